@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import exact_dedup, mixing, packing, sharding
 
-QUERIES = {"op9_exact_dedup": exact_dedup.op9_exact_dedup}
+QUERIES = {
+    "op4_mix_sources": mixing.op4_mix_sources,
+    "op8_shard": sharding.op8_shard,
+    "op9_exact_dedup": exact_dedup.op9_exact_dedup,
+    "op10_pack": packing.op10_pack,
+}
 SQL = {"op9_exact_dedup": exact_dedup.SQL}
