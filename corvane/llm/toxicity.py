@@ -105,52 +105,51 @@ class Model:
         return score
 
 
-def fit(docs_x: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, changes: list[list[tuple[int, int]]], l1: float = 2e-5, swap_penalty: float = 1.0, steps: int = 300) -> Model:
-    """Accelerated proximal gradient on log loss + swap_penalty * mean squared score change + l1 * |weights|."""
+def fit(docs_x: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, changes: list[list[tuple[int, int]]], rows_least: float = 3.0, swap_penalty: float = 1.0, z_least: float = 3.0, steps: int = 400) -> Model:
+    """Accelerated proximal gradient on mean log loss + swap_penalty * mean squared score change + l1 * |weights|.
+
+    Features enter if their rows' share of label 1 is z_least standard errors or more from the overall share, or
+    if a swap changes them. l1 is such that a feature needs rows_least rows of unexplained labels for a weight;
+    those that have one are then fitted again with a tenth of it.
+    """
     if len(y) == 0 or y.min() == y.max():
         return Model(prior=float(y.mean()) if len(y) else 0.0)
-    used, flat = np.unique(np.concatenate([f for f, _ in docs_x]), return_inverse=True)
-    value = np.concatenate([c for _, c in docs_x]).astype(np.float32)
-    row = np.repeat(np.arange(len(y)), [len(f) for f, _ in docs_x])
-    # a feature in one row only says nothing about others
-    keep = np.bincount(flat, minlength=len(used)) > 2
-    place = np.cumsum(keep) - 1
-    on = keep[flat]
-    row, value, col, used = row[on], np.minimum(value[on], 3), place[flat[on]], used[keep]
-    n, d = len(y), len(used)
-    at = {int(f): i for i, f in enumerate(used)}
+    n, share = len(y), y.mean()
+    used, col = np.unique(np.concatenate([f for f, _ in docs_x]), return_inverse=True)
+    row = np.repeat(np.arange(n), [len(f) for f, _ in docs_x])
+    seen, toxic = np.bincount(col, minlength=len(used)), np.bincount(col, weights=y[row], minlength=len(used))
+    swapped = np.isin(used, np.array(sorted({f for c in changes for f, _ in c}), dtype=used.dtype))
+    keep = (np.abs(toxic - seen * share) >= z_least * np.sqrt(seen * share * (1 - share))) & (seen >= rows_least) | swapped
+    on = keep[col]
+    x = np.minimum(np.concatenate([c for _, c in docs_x])[on], 3).astype(np.float64)
+    row, col, used = row[on], (np.cumsum(keep) - 1)[col[on]], used[keep]
+    d, at = len(used), {int(f): i for i, f in enumerate(used)}
     c_row = np.array([i for i, c in enumerate(changes) for f, _ in c if f in at], dtype=np.int64)
     c_col = np.array([at[f] for c in changes for f, _ in c if f in at], dtype=np.int64)
-    c_val = np.array([v for c in changes for f, v in c if f in at], dtype=np.float32)
-    weight = np.where(y == 1, 1.0, 1.0) / n
-    scale = 1 / np.sqrt(np.bincount(col, weights=value**2, minlength=d) / n + 1e-6)  # rare features move as fast as common ones
-    scale = np.minimum(scale, 60)
-    xv = value * scale[col]
-    w, b, z, zb, t = np.zeros(d), np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6)), np.zeros(d), 0.0, 1.0
-    zb = b
-    norm = np.bincount(row, weights=xv**2, minlength=n)
-    rate = 4 / (np.percentile(norm, 95) + 1)
-    loss_before = np.inf
-    for _ in range(steps):
-        m = np.clip(zb + np.bincount(row, weights=xv * z[col], minlength=n), -35, 35)
-        p = 1 / (1 + np.exp(-m))
-        g = np.bincount(col, weights=xv * ((p - y) * weight)[row], minlength=d)
-        if len(c_row):
-            change = np.bincount(c_row, weights=c_val * scale[c_col] * z[c_col], minlength=len(changes))
-            g += 2 * swap_penalty / len(changes) * np.bincount(c_col, weights=c_val * scale[c_col] * change[c_row], minlength=d)
-        loss = float(-(weight * (y * np.log(p + 1e-12) + (1 - y) * np.log(1 - p + 1e-12))).sum())
-        step = rate * n / 50
-        if loss > loss_before * 1.02:  # too long a step: start over from where we are, with half of it
-            rate, t, z, zb, loss_before = rate / 2, 1.0, w.copy(), b, np.inf
-            continue
-        loss_before = min(loss, loss_before)
+    c_val = np.array([v for c in changes for f, v in c if f in at], dtype=np.float64)
+    # a diagonal that bounds the curvature, so that each weight has its own safe step
+    reach = np.bincount(row, weights=x, minlength=n) + 1
+    bound = np.bincount(col, weights=x * reach[row], minlength=d) / (4 * n)
+    if len(changes):
+        c_reach = np.bincount(c_row, weights=np.abs(c_val), minlength=len(changes))
+        bound += 2 * swap_penalty / len(changes) * np.bincount(c_col, weights=np.abs(c_val) * c_reach[c_row], minlength=d)
+    step, b_step, l1 = 1 / np.maximum(bound, 1e-12), 4 / reach.mean(), rows_least / n
+    w, b, t = np.zeros(d), float(np.log(share / (1 - share))), 1.0
+    z, zb = w, b
+    for i in range(2 * steps):
+        if i == steps:  # what has no weight by now stays out, and the others are shrunk less
+            step, l1, t = np.where(w != 0, step, 0.0), l1 / 10, 1.0
+            z, zb = w, b
+        p = 1 / (1 + np.exp(-np.clip(zb + np.bincount(row, weights=x * z[col], minlength=n), -35, 35)))
+        g = np.bincount(col, weights=x * (p - y)[row], minlength=d) / n
+        if len(changes):
+            change = np.bincount(c_row, weights=c_val * z[c_col], minlength=len(changes))
+            g += 2 * swap_penalty / len(changes) * np.bincount(c_col, weights=c_val * change[c_row], minlength=d)
         new = z - step * g
         new = np.sign(new) * np.maximum(np.abs(new) - step * l1, 0)
-        new_b = zb - step * float(((p - y) * weight).sum())
-        t_next = (1 + np.sqrt(1 + 4 * t * t)) / 2
+        new_b, t_next = zb - b_step * float((p - y).mean()), (1 + np.sqrt(1 + 4 * t * t)) / 2
         z, zb = new + (t - 1) / t_next * (new - w), new_b + (t - 1) / t_next * (new_b - b)
         w, b, t = new, new_b, t_next
-    w = w * scale
     return Model(float(b), {int(f): float(v) for f, v in zip(used, w, strict=True) if v})
 
 
