@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, packing, sharding
+from . import embeddings, exact_dedup, mixing, packing, secrets, sharding, simhash, suffix_tree, toxicity
 
 QUERIES = {
+    "op1_suffix_tree": suffix_tree.op1_suffix_tree,
+    "op2_toxicity": toxicity.op2_toxicity,
+    "op3_secrets": secrets.op3_secrets,
     "op4_mix_sources": mixing.op4_mix_sources,
+    "op6_simhash": simhash.op6_simhash,
+    "op7_near_vectors": embeddings.op7_near_vectors,
     "op8_shard": sharding.op8_shard,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_pack": packing.op10_pack,

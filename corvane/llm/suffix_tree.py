@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 from .common import Shelf, read
 
 DEPTH = 5
-LEAST = 5e-5
-GAIN = 1e-6
+LEAST = 5e-6
+GAIN = 1e-7
 COMMON = 1e-6
 DISCOUNT = 0.5
 END = 10  # of a text; 0 stands for what is before its start
