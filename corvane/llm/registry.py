@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import embeddings, exact_dedup, mixing, packing, secrets, sharding, simhash, suffix_tree, toxicity
+from . import embeddings, exact_dedup, mixing, packing, secrets, sharding, simhash, suffix_dedup, suffix_tree, toxicity
 
 QUERIES = {
     "op1_suffix_tree": suffix_tree.op1_suffix_tree,
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_secrets": secrets.op3_secrets,
     "op4_mix_sources": mixing.op4_mix_sources,
+    "op5_repeats": suffix_dedup.op5_repeats,
     "op6_simhash": simhash.op6_simhash,
     "op7_near_vectors": embeddings.op7_near_vectors,
     "op8_shard": sharding.op8_shard,
