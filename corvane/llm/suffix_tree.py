@@ -179,7 +179,7 @@ def grow(entries: list[tuple[np.ndarray, np.ndarray]], positions: int, depth: in
         key, n = key[order], n[order]
         context = key >> 8
         cut = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]])) if len(key) else np.zeros(0, dtype=np.int64)
-        for a, b in zip(cut, np.append(cut[1:], len(key)), strict=True):
+        for a, b in zip(cut, np.append(cut[1:], len(key))[: len(cut)], strict=True):
             own = np.zeros(classes)
             own[symbol[key[a:b] & 255]] = n[a:b]
             c, s = (d, int(context[a])), (d - 1, int(context[a]) & ((1 << 8 * (d - 1)) - 1))
