@@ -32,14 +32,14 @@ from pyspark.sql import functions as F
 
 from .common import Shelf, read
 
-DEPTH = 5
+DEPTH = 6
 LEAST = 5e-6
 GAIN = 1e-7
 COMMON = 1e-6
 DISCOUNT = 0.5
 END = 10  # of a text; 0 stands for what is before its start
 #: Bytes whose windows are counted, or that are scored, at once; most distinct words or windows held by a task.
-CHUNK, MOST_WORDS, MOST_WINDOWS = 4 << 20, 200_000, 3_000_000
+CHUNK, MOST_WORDS, MOST_WINDOWS = 4 << 20, 200_000, 2_000_000
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -168,30 +168,38 @@ def grow(entries: list[tuple[np.ndarray, np.ndarray]], positions: int, depth: in
     if positions:
         root[symbol[entries[0][0].astype(np.int64) & 255]] = entries[0][1]
     root = (root + 0.1 * np.append(np.ones(len(seen)), unseen)) / (positions + 25.6)
-    dist: dict[tuple[int, int], np.ndarray] = {(0, 0): root}
-    empirical = {(0, 0): root}
+    levels: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))]
+    place: dict[tuple[int, int], tuple[int, int]] = {}  # of a context's entries in its level
     kept = {(0, 0)}
-    counts: dict[tuple[int, int], np.ndarray] = {}
+
+    def observed(c: tuple[int, int]) -> np.ndarray:
+        if c == (0, 0):
+            return root
+        (key, n), (a, b) = levels[c[0]], place[c]
+        out = np.zeros(classes)
+        out[symbol[key[a:b] & 255]] = n[a:b]
+        return out
+
     for d in range(1, depth + 1):
-        key, n = entries[d] if positions else (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))
-        key = key.astype(np.int64)
+        key, n = entries[d] if positions else levels[0]
         order = np.argsort(key)
-        key, n = key[order], n[order]
+        key, n = key[order].astype(np.int64), n[order]
+        levels.append((key, n))
         context = key >> 8
         cut = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]])) if len(key) else np.zeros(0, dtype=np.int64)
-        for a, b in zip(cut, np.append(cut[1:], len(key))[: len(cut)], strict=True):
-            own = np.zeros(classes)
-            own[symbol[key[a:b] & 255]] = n[a:b]
+        for a, b in zip(cut.tolist(), np.append(cut[1:], len(key))[: len(cut)].tolist(), strict=True):
             c, s = (d, int(context[a])), (d - 1, int(context[a]) & ((1 << 8 * (d - 1)) - 1))
-            counts[c] = own
-            p, q = own / own.sum(), empirical.get(s)
-            empirical[c] = p
-            some = p > 0
-            if q is not None and own.sum() / positions * float((p[some] * np.log2(p[some] / np.maximum(q[some], 1e-12))).sum()) >= gain:
+            place[c] = (a, b)
+            if d > 1 and s not in place:
+                continue
+            q, at, own = observed(s), symbol[key[a:b] & 255], n[a:b]
+            p = own / own.sum()
+            if own.sum() / positions * float((p * np.log2(p / np.maximum(q[at] / q.sum(), 1e-12))).sum()) >= gain:
                 for short in range(d, 0, -1):  # with its suffixes
                     kept.add((short, c[1] & ((1 << 8 * short) - 1)))
+    dist: dict[tuple[int, int], np.ndarray] = {(0, 0): root}
     for c in sorted(kept)[1:]:
-        own, below = counts[c], dist[(c[0] - 1, c[1] & ((1 << 8 * (c[0] - 1)) - 1))]
+        own, below = observed(c), dist[(c[0] - 1, c[1] & ((1 << 8 * (c[0] - 1)) - 1))]
         dist[c] = (np.maximum(own - discount, 0) + discount * (own > 0).sum() * below) / own.sum()
     # states: kept contexts and what they begin with, so that one byte leads from state to state
     states = sorted({(d - cut, c >> 8 * cut) for d, c in kept for cut in range(d + 1)} | {(d, 0) for d in range(depth + 1)})
