@@ -72,3 +72,20 @@ def authoritative(attempts: DataFrame, checkpoint: DataFrame) -> DataFrame:
     own = attempts.select("question_id", "attempt", "context", F.sha2("context", 256).alias("context_sha256"))
     latest = own.groupBy("question_id", "context_sha256").agg(F.max_by("context", "attempt").alias("context"), F.max("attempt").alias("attempt"))
     return done.join(latest, ["question_id", "context_sha256"], "left").withColumn("found", F.col("attempt").isNotNull())
+
+
+def replayed(checkpoint: DataFrame, saved: DataFrame) -> DataFrame:
+    """Completed questions with their published contexts: the saved ranking of documents, else those in the context.
+
+    source tells where the context came from; rebuild marks questions whose text was not saved.
+    """
+    s = saved.select("question_id", F.sha2("context", 256).alias("context_sha256"), "context", F.col("context_docs").alias("saved_docs"))
+    out = checkpoint.where(F.col("stage").isin("retrieved", "answered")).join(s, ["question_id", "context_sha256"], "left")
+    docs = F.coalesce(F.col("retrieved_doc_ids"), F.col("saved_docs"), F.col("context_docs"))
+    return out.select("question_id", "context", docs.alias("document_ids"), F.col("context").isNull().alias("rebuild"))
+
+
+def finished(replay: DataFrame, rebuilt: DataFrame) -> DataFrame:
+    """Contexts of replay, built anew where none was saved, which rebuilt_here notes."""
+    r = rebuilt.select("question_id", F.col("context").alias("new"))
+    return replay.join(r, "question_id", "left").select("question_id", F.coalesce("context", "new").alias("context"), "document_ids", (F.col("rebuild") & F.col("new").isNotNull()).alias("rebuilt_here"))

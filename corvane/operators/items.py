@@ -97,3 +97,10 @@ def typed_items(corpus: DataFrame) -> DataFrame:
 
 def kind_counts(items: DataFrame) -> DataFrame:
     return items.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+def edges(items: DataFrame) -> DataFrame:
+    """(src, dst, kind) of the pointers that items carry: parent, thread root and the mail replied to."""
+    f = lambda k: F.get_json_object("fields", f"$.{k}")
+    pointers = F.array(*[F.struct(F.lit(k).alias("kind"), f(k).alias("dst")) for k in ("parent_id", "thread_id", "in_reply_to")])
+    return items.select(F.col("id").alias("src"), F.explode(pointers).alias("p")).where("p.dst is not null and p.dst <> ''").select("src", "p.dst", "p.kind")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -89,3 +92,21 @@ def correction_counts(results: DataFrame, corrections: DataFrame) -> DataFrame:
     yes = lambda c: F.coalesce(F.sum(F.col(c).cast("long")), F.lit(0))
     own = corrections.agg(yes("doc_set_changed").alias("doc_set_changed"), yes("gold_answer_changed").alias("gold_answer_changed"), F.count(F.lit(1)).alias("records"))
     return own.crossJoin(results.agg(F.coalesce(F.sum((~F.col("corrected")).cast("long")), F.lit(0)).alias("uncorrected")))  # one row each
+
+
+def judge(answers: DataFrame, questions: DataFrame, plan: DataFrame, scorer: Callable[[dict], dict], done: DataFrame | None = None) -> DataFrame:
+    """(shard, question_id, answer_correct, completeness_pct): scorer over each answer, shards in parallel.
+
+    Shards in done (shard, complete) that are complete are left out; a shard's rows depend on the shard alone, so a
+    repeated run writes the same.
+    """
+    if done is not None:
+        plan = plan.join(done.where("complete").select("shard"), "shard", "left_anti")
+    rows = plan.select("shard", "question_id").join(answers, "question_id").join(questions, "question_id").repartition("shard")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            told = [{"shard": r["shard"], "question_id": r["question_id"], **scorer(r)} for r in batch.to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([t[c] for t in told], k) for c, k in (("shard", pa.int32()), ("question_id", pa.string()), ("answer_correct", pa.bool_()), ("completeness_pct", pa.float64()))], ["shard", "question_id", "answer_correct", "completeness_pct"])
+
+    return rows.mapInArrow(run, "shard int, question_id string, answer_correct boolean, completeness_pct double")

@@ -93,3 +93,13 @@ def distinct_documents(hits: DataFrame) -> DataFrame:
     docs = hits.withColumn("doc_id", document_of(F.col("chunk_id"))).where("doc_id <> ''")
     first = docs.groupBy("question_id", "doc_id").agg(F.min("rank").alias("first"))
     return first.select("question_id", "doc_id", F.row_number().over(Window.partitionBy("question_id").orderBy("first")).alias("doc_rank"))
+
+
+def search(questions: DataFrame, corpus: DataFrame, max_results: int = 100, query_by: str = "text", alpha: float = 0.5, vectors: DataFrame | None = None, query_vectors: DataFrame | None = None) -> DataFrame:
+    """(question_id, doc_id, score, rank): the local stand-in for a search service. query_by: text, vector or hybrid."""
+    if query_by == "text":
+        return lexical(questions, corpus, max_results)
+    if vectors is None or query_vectors is None:
+        raise ValueError("vectors are needed for this kind of search")
+    near = dense(query_vectors, vectors, max_results)
+    return near if query_by == "vector" else hybrid(near, lexical(questions, corpus, max_results), alpha, max_results)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -19,6 +20,22 @@ def quoting_stub(stage: str, question: str, context: str) -> str:
     return max(sentences, key=lambda s: len(asked & set(s.lower().split())), default="")
 
 
+def with_retries(complete: Completer, attempts: int = 5, transient: tuple[type[Exception], ...] = (TimeoutError, ConnectionError), most: float = 60.0, sleep: Callable[[float], None] = time.sleep) -> Completer:
+    """The model asked again after transient failures, with waits that double up to most seconds."""
+
+    def ask(stage: str, question: str, context: str) -> str:
+        for i in range(attempts):
+            try:
+                return complete(stage, question, context)
+            except transient:
+                if i == attempts - 1:
+                    raise
+                sleep(min(most, 2.0**i))
+        raise ValueError("attempts must be positive")
+
+    return ask
+
+
 def generate(contexts: DataFrame, complete: Completer = quoting_stub) -> DataFrame:
     """(question_id, answer, pass1, critique, pass2) of (question_id, question, context): draft, critique, rewrite.
 

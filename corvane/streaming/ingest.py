@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import re
+import time
 from collections.abc import Callable
 from typing import Protocol
 
@@ -71,3 +73,39 @@ def start(docs: DataFrame, sink: ItemSink, checkpoint: str, journal: str | None
 
 def run_identity(**parts) -> dict:
     return {k: v if isinstance(v, (str, int, float, bool, type(None))) else fingerprint(v) for k, v in parts.items()}
+
+
+class Busy(Exception):
+    """Raised by a sink whose service asks to wait; the message may say for how long."""
+
+
+class Patient:
+    """A sink that sends again when the one it wraps is busy: after the wait it asks for, else after wait seconds."""
+
+    def __init__(self, sink: ItemSink, tries: int = 10, wait: float = 30.0, sleep: Callable[[float], None] = time.sleep):
+        self.sink, self.tries, self.wait, self.sleep = sink, tries, wait, sleep
+
+    def send(self, items: DataFrame, batch: int) -> None:
+        for left in range(self.tries - 1, -1, -1):
+            try:
+                return self.sink.send(items, batch)
+            except Busy as e:
+                if not left:
+                    raise
+                asked = re.search(r"retry in (\d+) second", str(e), re.I)
+                self.sleep(float(asked[1]) if asked else self.wait)
+
+
+def latest_statuses(log: DataFrame) -> DataFrame:
+    """The last status of each (batch, id) of a streaming log (batch, id, status, seq): one row of state a key."""
+    return log.groupBy("batch", "id").agg(F.max_by("status", "seq").alias("status"), F.max("seq").alias("seq"))
+
+
+def dry_run(corpus: DataFrame, batch_size: int, lane: str = "source_type") -> DataFrame:
+    """(lane, documents, items, batches) that a run would send; nothing is sent."""
+    from ..operators.ledger import aligned_batches
+
+    sizes = typed_items(corpus).groupBy("doc_id").agg(F.count(F.lit(1)).alias("size"))
+    docs = corpus.select(lane, "doc_id").join(sizes, "doc_id")
+    last = aligned_batches(docs, batch_size, lane).groupBy(lane).agg((F.max("batch") + 1).alias("batches"))
+    return docs.groupBy(lane).agg(F.count(F.lit(1)).alias("documents"), F.sum("size").alias("items")).join(last, lane)
