@@ -46,7 +46,7 @@ ALLOWED = (
     r"[A-Z]?[a-z]+(?:[-_./=+][A-Z]?[a-z]+)*[-_./=+]*",
     r"[A-Z]+(?:[-_./][A-Z]+)*[-_./]*",
     r"[0-9]+(?:[-_./][0-9]+)*[-_./]*",
-    r"(?:[-_./=+]|[A-Za-z]+|[0-9]{1,4}(?![0-9A-Za-z]))+",
+    r"[A-Z]?[a-z]+(?:[-_./=+]+(?:[A-Z]?[a-z]+|[0-9]{1,4}))*[-_./=+]*",
     r"(?:[a-z]+\.)+[a-z]{2,6}(?:/[A-Za-z._-]*)*[0-9]*",
 )
 

@@ -32,3 +32,50 @@ def test_stages_take_empty_tables(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
     assert toxicity.THRESHOLD == 0.3
+
+
+def test_stages_equal_brute_force(spark, tmp_path):
+    """Each stage on what the one before kept of the smallest tables, against plain Python."""
+    import os
+    from collections import Counter, defaultdict
+
+    import numpy as np
+    import pytest
+
+    from corvane.llm import mixing, simhash
+
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("no tables")
+    norm = lambda t: "".join((t or "").translate({9: None, 10: None, 11: None, 12: None, 13: None, 32: None}))
+    at = spark.read.parquet(f"{sf}/documents.parquet")
+    score = toxicity.query_model(spark, sf).scorer()
+    frames = [at.toPandas()]
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, at, sf).write.parquet(str(tmp_path / f"{i}"))
+        at = spark.read.parquet(str(tmp_path / f"{i}"))
+        frames.append(at.toPandas())
+    given, clean, exact, near, mixed, packed = frames
+    assert set(clean.doc_id) == {d for d, t in zip(given.doc_id, given.text, strict=True) if score(t or "") < toxicity.THRESHOLD}
+    best = {}
+    for d, t in zip(clean.doc_id, clean.text, strict=True):
+        best[norm(t)] = min(best.get(norm(t), (1, 0)), (-len(t or ""), d))
+    assert sorted(exact.doc_id) == sorted(d for _, d in best.values())
+    ids, fps = exact.doc_id.to_numpy(), np.array([simhash.fingerprint(t) for t in exact.text], dtype=np.uint64)
+    linked, root = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 2, ids.copy()
+    for _ in range(20):
+        root = np.array([root[linked[i]].min() for i in range(len(ids))])
+    assert sorted(near.doc_id) == sorted(set(root.tolist()))
+    size = {d: len((t or "").encode().split()) for d, t in zip(near.doc_id, near.text, strict=True)}
+    source, copies, taken, total = dict(zip(near.doc_id, near.source, strict=True)), Counter(mixed.doc_id), Counter(), Counter()
+    aims = {r.source: r.target for r in mixing.mix(spark.createDataFrame(near)).select("source", "target").distinct().collect()}
+    largest = defaultdict(int)
+    for d, n in size.items():
+        taken[source[d]] += n * copies[d]
+        total[source[d]] += n
+        largest[source[d]] = max(largest[source[d]], n)
+    assert set(copies) <= set(size) and max(copies.values()) <= 3
+    assert all(abs(taken[s] - aims[s]) <= largest[s] / 2 + 1 for s in total)
+    assert Counter(packed[packed.piece == 0].doc_id) == copies
+    load = packed.groupby("sequence_id").length.sum()
+    assert load.max() <= 4096 and len(load) <= packed.length.sum() / 4096 * 1.1 + 2
