@@ -149,5 +149,14 @@ def components(shelf: Shelf, edges: DataFrame, name: str = "cc") -> DataFrame:
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots)
 
 
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """docs with a unique number for each row, which tells equal rows apart.
+
+    The number follows from the row's place in its partition. Operators evaluate docs more than once and rely on
+    equal numbers each time; so docs must be a table as read, or anything else that keeps rows in their places.
+    """
+    return docs.withColumn(name, F.monotonically_increasing_id())
+
+
 def read(spark: SparkSession, sf_dir: str, table: str, columns: Iterable[str]) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet").select(*columns)

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, Shelf, loosened, read
+from .common import SPACE, Shelf, loosened, numbered, read
 
 BLOCK = 2048
 
@@ -81,7 +81,7 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bl
     """
     spark = docs.sparkSession
     shelf = Shelf(spark, "exact-dedup")
-    own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).withColumn("__rid", F.monotonically_increasing_id())
+    own = numbered(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "__rid")
     names = name_texts(shelf, own, "text", block, digest or (lambda blk: F.xxhash64(blk)))
     facts = own.select("__rid", "doc_id", F.length(F.coalesce("text", F.lit(""))).alias("n_chars"), F.sha2(normalised(F.col("text")), 256).alias("text_sha256"))
     rows = shelf.keep(facts.join(names, "__rid"), "rows")
@@ -95,7 +95,7 @@ def drop_exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "
     """The rows of docs that stay, with all their columns."""
     spark = docs.sparkSession
     shelf = Shelf(spark, "exact-dedup")
-    own = docs.withColumn("__rid", F.monotonically_increasing_id())
+    own = numbered(docs, "__rid")
     names = name_texts(shelf, own.select("__rid", F.col(text).alias("text")), "text", block)
     facts = own.select("__rid", F.col(doc_id).alias("__id"), F.length(F.coalesce(F.col(text), F.lit(""))).alias("__chars"))
     rows = shelf.keep(facts.join(names, "__rid"), "rows")

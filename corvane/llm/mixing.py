@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import SPACE, WORD, Shelf, loosened, read, running_sum
+from .common import SPACE, WORD, Shelf, loosened, numbered, read, running_sum
 
 WEIGHTS = (5, 2, 1)
 MOST_EPOCHS = 3
@@ -56,7 +56,7 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: s
     come from its start; taken: all words. A source's taken words sum to its target, rounded.
     """
     shelf = Shelf(docs.sparkSession, "mixing")
-    rows = docs.select(F.monotonically_increasing_id().alias("__rid"), F.col(doc_id).alias("doc_id"), F.col(source).isNull().alias("no_source"), F.coalesce(F.col(source), F.lit("")).alias("source"), word_count(F.col(text)).alias("size"))
+    rows = numbered(docs, "__rid").select("__rid", F.col(doc_id).alias("doc_id"), F.col(source).isNull().alias("no_source"), F.coalesce(F.col(source), F.lit("")).alias("source"), word_count(F.col(text)).alias("size"))
     rows = shelf.keep(rows, "rows")
     sizes = rows.groupBy("no_source", "source").agg(F.sum("size").alias("source_size"))
     aims = shelf.keep(targets(sizes, weights, most), "targets")
@@ -74,7 +74,7 @@ def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", source: str = "sour
 
     A document without words costs nothing and stays once.
     """
-    own = docs.withColumn("__rid", F.monotonically_increasing_id())
+    own = numbered(docs, "__rid")
     copies = F.col("epochs") + F.when(F.col("part") * 2 >= F.col("size"), 1).otherwise(0)
     taken = mix(docs, doc_id, source, text, weights, most).select("__rid", F.when(F.col("size") == 0, 1).otherwise(copies).cast("int").alias("__copies")).where("__copies > 0")
     return own.join(taken, "__rid").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).drop("__rid", "__copies", "__copy")

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Shelf, components, loosened, read
+from .common import Shelf, components, loosened, numbered, read
 from .golay import near_codewords
 
 BITS = 2
@@ -150,7 +150,7 @@ def near_groups(docs: DataFrame, keep: list[str], best, text: str = "text", shin
 
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, bits: int = BITS) -> DataFrame:
     """The rows of docs that stay, one of each component, with all their columns: the one with the smallest doc_id."""
-    own = docs.withColumn("__rid", F.monotonically_increasing_id())
+    own = numbered(docs, "__rid")
     slim = own.select("__rid", F.col(doc_id).alias("__id"), F.col(text).alias("__body"))
     best = F.struct(F.col("__id").isNull().alias("x"), F.col("__id").alias("y"), F.col("__rid").alias("z"))
     stay = near_groups(slim, ["__rid", "__id"], best, "__body", shingle, bits).where(F.col("__rid") == F.col("first.z")).select("__rid")

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Shelf, loosened, read
+from .common import Shelf, loosened, numbered, read
 
 LEAST, SEED, WINDOW = 50, 25, 26
 NEIGHBOURS = 64
@@ -173,7 +173,7 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
         raise ValueError("a window must fit into the least passage")
     spark = docs.sparkSession
     shelf = Shelf(spark, "suffix-dedup")
-    own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).withColumn("rid", F.monotonically_increasing_id())
+    own = numbered(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "rid")
     kept = shelf.keep(positions(own, least, seed, window), "positions")
     often = kept.groupBy("key").count().where("count > 1").select("key")
     kept = shelf.keep(kept.join(loosened(often, "key"), "key").groupBy("rid").agg(F.collect_list("word").alias("words")), "repeated")
