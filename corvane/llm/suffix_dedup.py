@@ -34,8 +34,8 @@ from .common import Shelf, loosened, numbered, read
 
 LEAST, SEED, WINDOW = 50, 25, 26
 NEIGHBOURS = 64
-#: Bytes of text that are hashed at once.
-CHUNK = 4 << 20
+#: Bytes of text that are hashed at once; suffixes that a task holds at once.
+CHUNK, MOST_SUFFIXES = 1 << 20, 4096
 MULTIPLIER = 0x9E3779B97F4A7C15
 
 _powers: dict[str, np.ndarray] = {}
@@ -119,6 +119,14 @@ def suffixes(docs: DataFrame, least: int = LEAST, window: int = WINDOW) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             suffix, left, row, word = [], [], [], []
+
+            def told(batch: pa.RecordBatch = batch) -> pa.RecordBatch:
+                part = batch.select([0, 1]).take(pa.array(row, pa.int64()))
+                out = pa.RecordBatch.from_arrays([pa.array(suffix, pa.binary()), pa.array(left, pa.binary()), *part.columns, pa.array(word, pa.int32())], ["suffix", "left", "rid", "doc_id", "word"])
+                for x in (suffix, left, row, word):
+                    x.clear()
+                return out
+
             for i, (t, at) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
                 words = (t.as_py() or "").encode().lower().split()
                 for p in at.as_py():
@@ -126,8 +134,9 @@ def suffixes(docs: DataFrame, least: int = LEAST, window: int = WINDOW) -> DataF
                     left.append(b" ".join(words[max(0, p - window + 1) : p][::-1]))
                     row.append(i)
                     word.append(p)
-            part = batch.select([0, 1]).take(pa.array(row, pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(suffix, pa.binary()), pa.array(left, pa.binary()), *part.columns, pa.array(word, pa.int32())], ["suffix", "left", "rid", "doc_id", "word"])
+                    if len(row) == MOST_SUFFIXES:
+                        yield told()
+            yield told()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("rid", "doc_id", "text", "words").mapInArrow(run, f"suffix binary, left binary, rid long, doc_id {kind}, word int")
