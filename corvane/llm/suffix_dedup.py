@@ -221,7 +221,10 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
 
     id_type = {"bigint": pa.int64(), "int": pa.int32()}.get(kind, pa.string())
     order = ["suffix", "left", "rid", "word"]
-    told = rows.repartitionByRange(rows.count() // 20_000 + 1, *order).sortWithinPartitions(*order).mapInArrow(meet, f"rid long, doc_id {kind}, start int, end int, partner {kind}, suffix binary, left binary, part int")
+    n = rows.count()
+    # Spark samples a range's bounds on the driver, so ranges grow in rows before their number passes some hundreds
+    ranges = max(min(n // 20_000 + 1, 256), n // 500_000 + 1)
+    told = rows.repartitionByRange(ranges, *order).sortWithinPartitions(*order).mapInArrow(meet, f"rid long, doc_id {kind}, start int, end int, partner {kind}, suffix binary, left binary, part int")
     told = shelf.keep(told, "marks")
     shelf.drop("suffixes")
     outer = told.where("part is not null")
