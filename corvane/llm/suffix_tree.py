@@ -39,7 +39,7 @@ COMMON = 1e-6
 DISCOUNT = 0.5
 END = 10  # of a text; 0 stands for what is before its start
 #: Bytes whose windows are counted, or that are scored, at once; most distinct words or windows held by a task.
-CHUNK, MOST_WORDS, MOST_WINDOWS = 4 << 20, 200_000, 2_000_000
+CHUNK, MOST_WORDS, MOST_WINDOWS = 1 << 20, 200_000, 1_500_000
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -100,7 +100,7 @@ def count(texts: DataFrame, depth: int = DEPTH) -> DataFrame:
             parts.append(windows(b"".join(stream), depth))
             stream.clear()
             size = 0
-            if len(parts) > 4:
+            if len(parts) > 12:
                 parts[:] = [_merged(parts)]
 
         for batch in batches:
@@ -135,7 +135,7 @@ class Tree:
     start: int
     contexts: int
 
-    def scores(self, lines: list[bytes], lanes: int = 4096) -> np.ndarray:
+    def scores(self, lines: list[bytes], lanes: int = 2048) -> np.ndarray:
         """log10 probability of each line."""
         d, classes = self.depth, self.goto.shape[1]
         size = np.array([len(x) for x in lines], dtype=np.int64)
@@ -219,7 +219,7 @@ def grow(entries: list[tuple[np.ndarray, np.ndarray]], positions: int, depth: in
                     goto[i, j] = to
     start = number[(depth, 0)]
     goto[:, symbol[END]] = start  # a new text begins
-    return Tree(depth, symbol.astype(np.int64), goto, logp, start, len(kept))
+    return Tree(depth, symbol, goto, logp, start, len(kept))
 
 
 def learn(shelf: Shelf, windows_: DataFrame, depth: int = DEPTH, least: float = LEAST, gain: float = GAIN) -> Tree:
