@@ -344,6 +344,50 @@ def thread_items(spark, sf_dir):
     return items.typed_items(docs).select("id", "kind", "doc_id")
 
 
+def _exports(messages, kind, line):
+    """One export for each thread: its messages, each written as line (a column), in order."""
+    docs = messages.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("i", "author", "body", line.alias("t")))).alias("all"))
+    return docs.select("doc_id", F.lit(kind).alias("source_type"), F.col("doc_id").alias("title"), F.array_join(F.transform("all", lambda x: x["t"]), "\n\n" if kind == "gmail" else "\n").alias("content"))
+
+
+_field = lambda path: F.get_json_object("fields", f"$.{path}")
+_one_line = lambda c: F.regexp_replace(c, r"\s+", " ")
+
+
+@query("mail_items", """SELECT CASE WHEN total > 1 THEN doc_id || '_e' || printf('%02d', n) ELSE doc_id END AS id, doc_id, author || '@example.org' AS sender, CASE WHEN n > 0 THEN doc_id || '_e' || printf('%02d', n - 1) END AS reply_to
+    FROM (SELECT doc_id, author, row_number() OVER (PARTITION BY doc_id ORDER BY i, author, body) - 1 AS n, count(*) OVER (PARTITION BY doc_id) AS total FROM threads)""", "threads")
+def mail_items(spark, sf_dir):
+    """conversations written as mails in a row and read back by the mail parser."""
+    line = F.concat(F.lit("From: "), "author", F.lit("@example.org\nSubject: s\n\n"), _one_line("body"))
+    return items.typed_items(_exports(ad.threads(spark, sf_dir), "gmail", line)).select("id", "doc_id", _field("from").alias("sender"), _field("in_reply_to").alias("reply_to"))
+
+
+@query("ticket_items", """SELECT doc_id AS id, doc_id, NULL AS author, NULL AS created_at FROM threads GROUP BY doc_id
+    UNION ALL SELECT doc_id || '_c' || printf('%02d', row_number() OVER (PARTITION BY doc_id ORDER BY i, author, body) - 1), doc_id, upper(author[1]) || author[2:] || ' Writer', '2024-01-' || printf('%02d', i % 28 + 1) || 'T00:00:00Z' FROM threads WHERE NOT regexp_full_match(body, '\\s*')""", "threads")
+def ticket_items(spark, sf_dir):
+    """conversations written as comments of a ticket and read back by the ticket parser."""
+    line = F.concat(F.format_string("2024-01-%02d - ", F.col("i") % 28 + 1), F.initcap("author"), F.lit(" Writer: "), _one_line("body"))
+    docs = _exports(ad.threads(spark, sf_dir), "jira", line).withColumn("content", F.concat(F.lit("What happened.\ncomments:\n"), "content"))
+    return items.typed_items(docs).select("id", "doc_id", _field("author").alias("author"), _field("created_at").alias("created_at"))
+
+
+@query("page_revisions", "SELECT doc_id, CAST(2 AS BIGINT) AS revision_count, '2024-02-' || printf('%02d', content_len % 28 + 1) || 'T00:00:00Z' AS latest FROM corpus", "corpus")
+def page_revisions(spark, sf_dir):
+    """documents as pages that end in a revision history."""
+    day = (F.col("content_len") % 28 + 1).cast("int")
+    text = F.concat("content", F.lit("\n\nRevision history\n"), F.format_string("- 2024/01/%02d (Ann): first\n- 2024-02-%02d: second", day, day))
+    docs = ad.corpus(spark, sf_dir).select("doc_id", F.lit("confluence").alias("source_type"), "title", text.alias("content"))
+    return items.typed_items(docs).select("doc_id", F.get_json_object("metadata", "$.revision_count").cast("long").alias("revision_count"), F.col("timestamp").alias("latest"))
+
+
+@query("section_map", "SELECT CAST(c_custkey AS VARCHAR) AS doc_id, c_name AS body, c_mktsegment AS market_segment FROM customer")
+def section_map(spark, sf_dir):
+    """customers as records with labelled sections; of a label that stands twice the last counts."""
+    text = F.concat("c_name", F.lit("\nmarket segment:\nnone\nmarket segment:\n"), "c_mktsegment")
+    docs = ad.table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("doc_id"), F.lit("hubspot").alias("source_type"), F.col("c_name").alias("title"), text.alias("content"))
+    return items.typed_items(docs).select("doc_id", _field("data.body").alias("body"), _field("data.market_segment").alias("market_segment"))
+
+
 @query("kind_counts", "SELECT 'custom' AS kind, count(*) AS n FROM corpus WHERE NOT regexp_full_match(content, '\\s*') HAVING count(*) > 0", "corpus")
 def kind_counts(spark, sf_dir):
     return items.kind_counts(items.typed_items(ad.corpus(spark, sf_dir)))
