@@ -3,17 +3,17 @@
 Texts are read as words, letters A-Z lower-cased. Of all suffixes those at minimiser positions are kept: in each
 window of WINDOW successive SEED-word strings, the one with the least hash. The choice depends on content alone,
 so a passage of SEED + WINDOW - 1 words keeps the same suffixes wherever it stands. Suffixes whose first SEED
-words stand nowhere else are dropped by their hash. The others are sorted by their words, in ranges over all
-partitions; neighbours that share their first words are compared word by word and the match is extended to the
-right and to the left. Matches of LEAST words or more are joined to spans.
+words stand nowhere else are dropped by their hash, the key. What is left is compared in one of two exact ways.
 
-Suffixes carry LEAST words to the right and WINDOW - 1 to the left. That is enough: positions in a match are at
-most WINDOW apart, each covers its surroundings, and together they cover the match however long it is. A hot
-passage is spread over many ranges; the outer rows of adjacent ranges meet in a pass of their own.
+A key with up to CROWD rows: its suffixes are sorted by their words, and each is compared word by word with all
+before it, to the right and to the left. Suffixes carry LEAST words to the right and WINDOW - 1 to the left.
+Matches of LEAST words or more are joined to spans. That is enough: positions in a match are at most WINDOW
+apart, each covers its surroundings, and together they cover the match however long it is.
 
-A passage of LEAST + WINDOW - 1 words or more is always found, as some suffix shares LEAST words with its
-neighbour. A shorter one of LEAST words or more may need its left side too; for it a suffix is compared with up
-to NEIGHBOURS rows that share SEED words, and is missed only if more rows with other left sides are in between.
+A key with more rows: every string of LEAST words belongs to the minimiser of its first window. Those that belong
+to the key's rows are named by the key and a second hash, counted, and marked where they stand more than once. No
+row meets another one, so the work grows with the rows and not with their pairs, and a hot string is counted in
+parts. Two strings are taken for one only if both 64-bit hashes are equal.
 
 Defined results: null, empty and short texts have no spans; equal texts repeat each other as a whole; a passage
 that repeats within one document counts; a null doc_id has spans; overlapping spans are one; an empty table gives
@@ -26,14 +26,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Shelf, loosened, numbered, read
 
 LEAST, SEED, WINDOW = 50, 25, 26
-NEIGHBOURS = 64
+#: Most rows of a key that are compared with each other.
+CROWD = 32
 #: Bytes of text that are hashed at once; suffixes that a task holds at once.
 CHUNK, MOST_SUFFIXES = 1 << 20, 4096
 MULTIPLIER = 0x9E3779B97F4A7C15
@@ -66,21 +66,25 @@ _space = np.zeros(256, dtype=bool)
 _space[[32, 9, 10, 11, 12, 13]] = True
 
 
-def minimisers(texts: list[bytes], least: int = LEAST, seed: int = SEED, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, word, hash) of the minimiser positions of texts with at least least words."""
-    joined = b"\n".join([*texts, b""])
-    a = np.frombuffer(joined, dtype=np.uint8)
-    none = np.zeros(0, dtype=np.int64)
-    if not len(a):
-        return none, none, none.astype(np.uint64)
+def _words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the words of texts, the text of each, and the first word of each text."""
+    a = np.frombuffer(b"\n".join([*texts, b""]), dtype=np.uint8)
     gap = _space[a]
     edge = np.diff(np.concatenate([[True], gap, [True]]).astype(np.int8))
     start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
     text_end = np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))
     of = np.searchsorted(text_end, start, side="right")
-    if len(start) < least:
-        return none, none, none.astype(np.uint64)
-    word = _runs(_bytes[a], start, end, MULTIPLIER, "bytes")
+    word = _runs(_bytes[a], start, end, MULTIPLIER, "bytes") if len(start) else np.zeros(0, dtype=np.uint64)
+    return word, of, np.searchsorted(of, np.arange(len(texts)), side="left")
+
+
+def minimisers(texts: list[bytes], least: int = LEAST, seed: int = SEED, window: int = WINDOW) -> tuple[np.ndarray, ...]:
+    """(text, word, hash, first, windows) of the minimiser positions of texts with at least least words: first is the
+    first word of the first of so many successive windows that have this minimiser."""
+    word, of, first = _words(texts)
+    if len(word) < least:
+        none = np.zeros(0, dtype=np.int64)
+        return none, none, none.astype(np.uint64), none, none
     at = np.arange(len(word) - seed + 1)
     grams = _runs(word, at, at + seed, 0xD1342543DE82EF95, "words")
     fits = of[: len(word) - seed - window + 2] == of[seed + window - 2 :]  # the window's last word is of the same text
@@ -88,58 +92,101 @@ def minimisers(texts: list[bytes], least: int = LEAST, seed: int = SEED, window:
     for i in range(0, len(fits), 65_536):
         least_at = view[i : i + 65_536].argmin(axis=1) + np.arange(i, min(i + 65_536, len(fits)))
         found.append(least_at[fits[i : i + 65_536]])
-    at = np.unique(np.concatenate(found))
-    first = np.searchsorted(of, np.arange(len(texts)), side="left")
-    return of[at], at - first[of[at]], grams[at]
+    # minimisers ascend with their windows, so equal ones are successive
+    at, at_first, windows = np.unique(np.concatenate(found), return_index=True, return_counts=True)
+    before = first[of[at]]
+    return of[at], at - before, grams[at], np.flatnonzero(fits)[at_first] - before, windows
+
+
+def wholes(texts: list[bytes], of: np.ndarray, start: np.ndarray, least: int = LEAST) -> np.ndarray:
+    """Hashes of least words from word start of text of on. They must fit."""
+    word, _, first = _words(texts)
+    at = first[of] + start
+    return _runs(word, at, at + least, 0xA0761D6478BD642F, "wholes")
+
+
+def _chunks(texts: list[bytes]) -> Iterator[tuple[int, int]]:
+    """Successive ranges of texts of about CHUNK bytes."""
+    at = 0
+    while at < len(texts):
+        to, size = at, 0
+        while to < len(texts) and (to == at or size + len(texts[to]) <= CHUNK):
+            size += len(texts[to])
+            to += 1
+        yield at, to
+        at = to
 
 
 def positions(docs: DataFrame, least: int = LEAST, seed: int = SEED, window: int = WINDOW) -> DataFrame:
-    """(rid, word, key) of (rid, text)."""
+    """(rid, word, key, first, windows) of (rid, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rid = batch.column(0).to_numpy(zero_copy_only=False)
-            at = 0
             texts = [(t.as_py() or "").encode() for t in batch.column(1)]
-            while at < len(texts):
-                to, size = at, 0
-                while to < len(texts) and (to == at or size + len(texts[to]) <= CHUNK):
-                    size += len(texts[to])
-                    to += 1
-                of, word, key = minimisers(texts[at:to], least, seed, window)
-                yield pa.RecordBatch.from_arrays([pa.array(rid[at + of]), pa.array(word.astype(np.int32)), pa.array(key.view(np.int64))], ["rid", "word", "key"])
-                at = to
+            for at, to in _chunks(texts):
+                of, word, key, first, windows = minimisers(texts[at:to], least, seed, window)
+                columns = [rid[at + of], word.astype(np.int32), key.view(np.int64), first.astype(np.int32), windows.astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["rid", "word", "key", "first", "windows"])
 
-    return docs.select("rid", "text").mapInArrow(run, "rid long, word int, key long")
+    return docs.select("rid", "text").mapInArrow(run, "rid long, word int, key long, first int, windows int")
 
 
 def suffixes(docs: DataFrame, least: int = LEAST, window: int = WINDOW) -> DataFrame:
-    """(suffix, left, rid, doc_id, word) of (rid, doc_id, text, words): the words from each position on, and those before it from right to left."""
+    """(key, suffix, left, rid, doc_id, word, whole) of (rid, doc_id, text, few, many).
+
+    few, structs (word, key): the words from each position on, and those before it from right to left; whole is null.
+    many, structs (first, windows, key): the hash of each string of least words; word is its first, suffix and left null.
+    """
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    names = ["key", "suffix", "left", "rid", "doc_id", "word", "whole"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            suffix, left, row, word = [], [], [], []
-
-            def told(batch: pa.RecordBatch = batch) -> pa.RecordBatch:
-                part = batch.select([0, 1]).take(pa.array(row, pa.int64()))
-                out = pa.RecordBatch.from_arrays([pa.array(suffix, pa.binary()), pa.array(left, pa.binary()), *part.columns, pa.array(word, pa.int32())], ["suffix", "left", "rid", "doc_id", "word"])
-                for x in (suffix, left, row, word):
+            texts = [(t.as_py() or "").encode() for t in batch.column(2)]
+            part = batch.select([0, 1])
+            suffix, left, row, at = [], [], [], 0
+            few, ends = batch.column(3).flatten(), np.cumsum(batch.column(3).value_lengths().to_numpy(zero_copy_only=False))
+            word, key = few.field("word").to_pylist(), few.field("key")
+
+            def told(to: int) -> pa.RecordBatch:
+                n = len(row)
+                own = part.take(pa.array(row, pa.int64()))  # noqa: B023
+                columns = [key.slice(to - n, n), pa.array(suffix, pa.binary()), pa.array(left, pa.binary()), *own.columns, pa.array(word[to - n : to], pa.int32()), pa.nulls(n, pa.int64())]  # noqa: B023
+                for x in (suffix, left, row):  # noqa: B023
                     x.clear()
-                return out
+                return pa.RecordBatch.from_arrays(columns, names)
 
-            for i, (t, at) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-                words = (t.as_py() or "").encode().lower().split()
-                for p in at.as_py():
+            for i, end in enumerate(ends.tolist()):
+                words = texts[i].lower().split() if end > at else []
+                for at in range(at, end):  # noqa: B020, PLR1704
+                    p = word[at]
                     suffix.append(b" ".join(words[p : p + least]))
                     left.append(b" ".join(words[max(0, p - window + 1) : p][::-1]))
                     row.append(i)
-                    word.append(p)
                     if len(row) == MOST_SUFFIXES:
-                        yield told()
-            yield told()
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("rid", "doc_id", "text", "words").mapInArrow(run, f"suffix binary, left binary, rid long, doc_id {kind}, word int")
+                        yield told(at + 1)
+                at = end
+            yield told(at)
+
+            many, size = batch.column(4).flatten(), batch.column(4).value_lengths().to_numpy(zero_copy_only=False)
+            first, windows, key = (many.field(x).to_numpy(zero_copy_only=False) for x in ("first", "windows", "key"))
+            ends = np.cumsum(size)
+            for a, b in _chunks(texts):
+                lo, hi = ends[a] - size[a], ends[b - 1]
+                if lo == hi:
+                    continue
+                n = windows[lo:hi].astype(np.int64)
+                start = np.repeat(first[lo:hi], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                of = np.repeat(np.repeat(np.arange(a, b), size[a:b]), n)
+                length = np.array([len(t.split()) for t in texts[a:b]])
+                fits = start + least <= length[of - a]
+                start, of, keys = start[fits], of[fits], np.repeat(key[lo:hi], n)[fits]
+                whole = wholes(texts[a:b], of - a, start, least).view(np.int64)
+                none = pa.nulls(len(of), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), none, none, *part.take(pa.array(of)).columns, pa.array(start.astype(np.int32)), pa.array(whole)], names)
+
+    return docs.select("rid", "doc_id", "text", "few", "many").mapInArrow(run, f"key long, suffix binary, left binary, rid long, doc_id {kind}, word int, whole long")
 
 
 def shared(a: bytes, b: bytes) -> int:
@@ -155,12 +202,12 @@ def shared(a: bytes, b: bytes) -> int:
     return n
 
 
-def matches(rows: list[tuple], least: int = LEAST, seed: int = SEED, neighbours: int = NEIGHBOURS, first: int = 0) -> Iterator[tuple]:
+def matches(rows: list[tuple], least: int = LEAST, seed: int = SEED, first: int = 0) -> Iterator[tuple]:
     """Marks (rid, doc_id, start, end, partner) of sorted rows (suffix, left, rid, doc_id, word); pairs have their second row from first on."""
     with_next = [shared(a[0], b[0]) for a, b in zip(rows, rows[1:], strict=False)]
     for i in range(first, len(rows)):
         right, row = least, rows[i]
-        for j in range(i - 1, max(-1, i - 1 - neighbours), -1):
+        for j in range(i - 1, -1, -1):
             right = min(right, with_next[j])
             if right < seed:
                 break
@@ -173,10 +220,11 @@ def matches(rows: list[tuple], least: int = LEAST, seed: int = SEED, neighbours:
                 break  # the other row has met what this one would meet
 
 
-def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = LEAST, seed: int = SEED, window: int = WINDOW) -> DataFrame:
+def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = LEAST, seed: int = SEED, window: int = WINDOW, crowd: int = CROWD) -> DataFrame:
     """One row per row of docs with repeated passages: doc_id, n_spans, n_words, spans, partners.
 
-    spans: array of (start, end) in words, end exclusive. partners: doc_ids met as neighbours, one or two a suffix.
+    spans: array of (start, end) in words, end exclusive. partners: doc_ids that share a passage; of a crowded key's
+    strings the first or the last document only.
     """
     if seed + window - 1 > least:
         raise ValueError("a window must fit into the least passage")
@@ -184,57 +232,37 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     shelf = Shelf(spark, "suffix-dedup")
     own = numbered(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "rid")
     kept = shelf.keep(positions(own, least, seed, window), "positions")
-    often = kept.groupBy("key").count().where("count > 1").select("key")
-    kept = shelf.keep(kept.join(loosened(often, "key"), "key").groupBy("rid").agg(F.collect_list("word").alias("words")), "repeated")
+    often = kept.groupBy("key").count().where("count > 1").select("key", (F.col("count") > crowd).alias("crowded"))
+    kept = kept.join(loosened(often, "key"), "key")
+    few, many = F.when(~F.col("crowded"), F.struct("word", "key")), F.when(F.col("crowded"), F.struct("first", "windows", "key"))
+    kept = shelf.keep(kept.groupBy("rid").agg(F.collect_list(few).alias("few"), F.collect_list(many).alias("many")), "repeated")
     shelf.drop("positions")
     rows = shelf.keep(suffixes(own.join(kept, "rid"), least, window), "suffixes")
     kind = own.schema["doc_id"].dataType.simpleString()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, before, head = TaskContext.get().partitionId(), [], []
-        types = [pa.int64(), id_type, pa.int32(), pa.int32(), id_type, pa.binary(), pa.binary(), pa.int32()]
-        names = ["rid", "doc_id", "start", "end", "partner", "suffix", "left", "part"]
-
-        def told(marks: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*marks, strict=True) if marks else [[]] * 8, types, strict=True)], names)
-
-        for batch in batches:
-            new = list(zip(*(c.to_pylist() for c in batch.columns), strict=True))
-            if not new:
-                continue
-            head += new[: NEIGHBOURS - len(head)]
-            yield told([(*m, None, None, None) for m in matches(before + new, least, seed, first=len(before))])
-            before = (before + new)[-NEIGHBOURS:]
-        # the outer rows: start holds the position, end whether the row is among the last
-        yield told([(r[2], r[3], r[4], i, None, r[0], r[1], part) for i, own in enumerate([head, before]) for r in own])
-
-    def meet_at_border(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before: list[tuple] = []
-        border = None
+        types = [pa.int64(), id_type, pa.int32(), pa.int32(), id_type]
         for batch in batches:
-            marks = []
-            for *row, at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                before = [*before, tuple(row)][-2 * NEIGHBOURS :] if at == border else [tuple(row)]
-                border = at
-                marks += matches(before, least, seed, first=len(before) - 1)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*marks, strict=True) if marks else [[]] * 5, [pa.int64(), id_type, pa.int32(), pa.int32(), id_type], strict=True)], ["rid", "doc_id", "start", "end", "partner"])
+            new = list(zip(*(c.to_pylist() for c in batch.columns), strict=True))
+            marks = list(matches(before + new, least, seed, first=len(before)))
+            before = (before + new)[-crowd:]  # no key has more rows
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*marks, strict=True) if marks else [[]] * 5, types, strict=True)], ["rid", "doc_id", "start", "end", "partner"])
 
     id_type = {"bigint": pa.int64(), "int": pa.int32()}.get(kind, pa.string())
-    order = ["suffix", "left", "rid", "word"]
-    n = rows.count()
-    # Spark samples a range's bounds on the driver, so ranges grow in rows before their number passes some hundreds
-    ranges = max(min(n // 20_000 + 1, 256), n // 500_000 + 1)
-    told = rows.repartitionByRange(ranges, *order).sortWithinPartitions(*order).mapInArrow(meet, f"rid long, doc_id {kind}, start int, end int, partner {kind}, suffix binary, left binary, part int")
-    told = shelf.keep(told, "marks")
-    shelf.drop("suffixes")
-    outer = told.where("part is not null")
-    # one number for each range with rows
-    places = [(r[0], i) for i, r in enumerate(sorted(outer.select("part").distinct().collect()))]
-    border = spark.createDataFrame(places, "part int, place int")
-    outer = outer.join(F.broadcast(border), "part").select("suffix", "left", "rid", "doc_id", F.col("start").alias("word"), (F.col("place") - 1 + F.col("end")).alias("border"))
-    outer = outer.where((F.col("border") >= 0) & (F.col("border") < len(places) - 1))
-    more = outer.repartition("border").sortWithinPartitions("border", *order).mapInArrow(meet_at_border, f"rid long, doc_id {kind}, start int, end int, partner {kind}")
-    marks = told.where("part is null").select("rid", "doc_id", "start", "end", "partner").union(more)
+    order = ["key", "suffix", "left", "rid", "word"]
+    sorted_ = rows.where("whole is null").drop("whole")
+    n = sorted_.count()
+    parts = max(min(n // 20_000 + 1, 256), n // 500_000 + 1)
+    sorted_ = sorted_.repartition(parts, "key").sortWithinPartitions(*order).select("suffix", "left", "rid", "doc_id", "word")
+    met = shelf.keep(sorted_.mapInArrow(meet, f"rid long, doc_id {kind}, start int, end int, partner {kind}"), "marks")
+
+    strings = rows.where("whole is not null").select("key", "whole", "rid", "doc_id", "word")
+    twice = strings.groupBy("key", "whole").agg(F.count(F.lit(1)).alias("n"), F.min("rid").alias("low"), F.min_by("doc_id", "rid").alias("low_id"), F.max_by("doc_id", "rid").alias("high_id"))
+    twice = twice.where("n > 1").drop("n")
+    other = F.when(F.col("rid") == F.col("low"), F.col("high_id")).otherwise(F.col("low_id"))
+    counted = strings.join(loosened(twice, "key", "whole"), ["key", "whole"]).select("rid", "doc_id", F.col("word").alias("start"), (F.col("word") + least).alias("end"), other.alias("partner"))
+    marks = met.union(counted)
     spans = marks.groupBy("rid", "doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("all"), F.array_sort(F.collect_set("partner")).alias("partners"))
     joined = F.aggregate(
         "all",

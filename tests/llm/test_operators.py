@@ -436,3 +436,17 @@ def test_repeated_passages(spark, nothing, tmp_path):
     assert {r.doc_id: tuple((s.start, s.end) for s in r.spans) for r in got} == want
     assert all(r.n_spans == len(r.spans) and r.n_words == sum(s.end - s.start for s in r.spans) for r in got)
     assert suffix_dedup.repeated_passages(nothing).count() == 0
+
+
+def test_repeated_passages_around_a_hot_notice(spark, tmp_path):
+    """Pairs share 10 to 19 words and a notice of 40 words that hundreds carry after other words."""
+    notice = prose(1, 40)
+    texts = [prose(1000 + i, 60) + " " + prose(5000 + i // 2 if i < 80 else 5000 + i, 10 + i % 80 // 8) + " " + notice + " " + prose(9000 + i, 30) for i in range(600)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    want = {d: s for d, s in enumerate(brute_repeats(texts)) if s}
+    assert len(want) >= 80
+    for crowd in (2, suffix_dedup.CROWD, 1000):
+        got = suffix_dedup.repeated_passages(docs, crowd=crowd).collect()
+        assert {r.doc_id: tuple((s.start, s.end) for s in r.spans) for r in got} == want
+        assert all(r.doc_id ^ 1 in r.partners for r in got)
