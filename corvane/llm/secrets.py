@@ -3,7 +3,7 @@
 Candidates are maximal runs of the letters that keys are written in. A window slides over each; counts and the
 sum of c*log2(c) change by one letter in and one out, so a step costs the same whatever the window. Windows over
 the threshold of the candidate's character class are joined to spans. An allow-list suppresses what only looks
-random; spans of the fixed patterns always stay, and entropy spans that overlap one are not repeated.
+random; spans of the fixed patterns always stay, and of entropy spans the parts that no such span covers.
 
 Scale: one pass over whole texts, a row in and a row out, nothing is shuffled.
 
@@ -90,13 +90,18 @@ def scanner(window: int = WINDOW, classes=CLASSES, allowed=ALLOWED):
         for at, run in runs:  # both patterns lie within a run
             found += [("access", at + m.start(), at + m.end()) for m in ACCESS.finditer(run)]
             found += [("hex", at + m.start(), at + m.end()) for m in HEX.finditer(run)]
-        base = list(found)
+        base = sorted(found, key=lambda s: s[1])
         for at, run in runs:
             if allow is not None and allow.fullmatch(run):
                 continue
             for a, b in entropy_spans(run, window, classes):
                 a, b = at + a, at + b
-                if not any(x < b and a < y for _, x, y in base):
+                for _, x, y in base:
+                    if a < x < b:
+                        found.append(("entropy", a, x))
+                    if x < b and a < y:
+                        a = y
+                if a < b:
                     found.append(("entropy", a, b))
         found.sort(key=lambda s: (s[1], KINDS.index(s[0])))
         return found
