@@ -155,6 +155,23 @@ def test_shard(docs, nothing):
     assert len(few) == len(rows)
 
 
+def test_shards_of_a_small_capacity_hold_it(spark, tmp_path):
+    rows = [(i, prose(i % 300, 1 + i % 300 % 20)) for i in range(400)] + [(1000, prose(1000, 400)), (1001, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    for units in (2, 16, 8192):
+        got = sharding.shard(docs, None, capacity=1000, units=units).collect()
+        assert sorted(r.doc_id for r in got) == sorted(d for d, _ in rows)
+        load, alone, of_text = Counter(), defaultdict(list), defaultdict(set)
+        for r in got:
+            load[r.shard] += r.size
+            alone[r.shard].append(r.doc_id)
+            of_text[r.text_crc32].add(r.shard)
+        assert all(n <= 1000 or alone[s] == [1000] for s, n in load.items())
+        assert all(len(s) == 1 for s in of_text.values())
+        assert sorted(load) == list(range(len(load)))
+
+
 def test_packing(docs, nothing):
     import public_tokenizers
     from tokenizers import Tokenizer
