@@ -16,12 +16,17 @@ def tokens(text):
 
 
 def gold_pairs(questions: DataFrame, corpus: DataFrame, seed: int = 8) -> DataFrame:
-    """(question_id, doc_id): documents whose content holds the question's passage, of three words or more.
+    """(question_id, doc_id): documents whose content holds the question's passage.
 
     Words between a passage's first and last stand in the document as whole words, so the pair meets by a hash of
-    the second to ninth word (of the second alone in shorter passages) and is then verified. No cross join.
+    the second to ninth word (of the second alone in shorter passages) and is then verified. Passages of one or two
+    words have no whole word to meet by: each distinct one is looked for in every document.
     """
-    q = questions.select("question_id", "passage", tokens(F.col("passage")).alias("w")).where(F.size("w") >= 3)
+    q = questions.select("question_id", "passage", tokens(F.col("passage")).alias("w"))
+    short = q.where(F.size("w") < 3).select("question_id", "passage")
+    held = short.select("passage").distinct().join(corpus.select("doc_id", "content"), F.contains("content", "passage"))
+    held = held.select("doc_id", "passage").distinct().join(short, "passage").select("question_id", "doc_id")
+    q = q.where(F.size("w") >= 3)
     q = q.select("question_id", "passage", F.when(F.size("w") >= seed + 2, seed).otherwise(1).alias("n"), "w")
     q = q.select("question_id", "passage", "n", F.xxhash64(F.array_join(F.slice("w", 2, F.col("n")), " ")).alias("key"))
 
@@ -33,7 +38,7 @@ def gold_pairs(questions: DataFrame, corpus: DataFrame, seed: int = 8) -> DataFr
     keys = F.concat(runs(1), runs(seed))
     d = d.select("doc_id", F.explode(F.array_distinct(keys)).alias("key"))
     met = d.join(q.select("key", "question_id", "passage"), "key").select("doc_id", "question_id", "passage").distinct()
-    return met.join(corpus.select("doc_id", "content"), "doc_id").where(F.contains("content", "passage")).select("question_id", "doc_id")
+    return met.join(corpus.select("doc_id", "content"), "doc_id").where(F.contains("content", "passage")).select("question_id", "doc_id").union(held)
 
 
 def gold_sets(questions: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import random
 
 import pytest
 
-from corvane.operators import context, identity, judging, ledger, metrics, validation
+from corvane.operators import context, identity, judging, ledger, metrics, retrieval, validation
 from corvane.plans import answers, report
 from corvane.sources import corpus as sources
 
@@ -205,3 +205,12 @@ def test_digests(spark, tmp_path):
     one = [r.asDict() for r in now.collect()]
     stored = spark.createDataFrame([(r["path"], "old", 0) for r in one] + [(one[0]["path"], one[0]["sha256"], 1), ("gone", "x", 0)], "path string, sha256 string, at long")
     assert sorted(r.problem for r in validation.digests(stored, now).collect()) == ["changed", "missing"]
+
+
+def test_gold_of_short_passages(spark):
+    passages = ["gamma", "lta eps", "two words", " ", "", None, "alpha beta gamma", "absent", "gamma"]
+    contents = ["alpha beta gamma", "delta epsilon", "gammas and two wordsmiths", "", "x"]
+    q = spark.createDataFrame([(f"q{i}", p) for i, p in enumerate(passages)], "question_id string, passage string")
+    c = spark.createDataFrame([(f"d{i}", t) for i, t in enumerate(contents)], "doc_id string, content string")
+    got = {r.question_id: r.expected_doc_ids for r in retrieval.gold_sets(q, retrieval.gold_pairs(q, c)).collect()}
+    assert got == {f"q{i}": [f"d{j}" for j, t in enumerate(contents) if p is not None and p in t] for i, p in enumerate(passages)}
