@@ -40,8 +40,10 @@ def name_texts(shelf: Shelf, docs: DataFrame, text: str = "text", block: int = B
     docs needs a unique column __rid. digest: the hash by which blocks meet their names; any function will do,
     a weak one only makes the pass over colliding blocks larger.
     """
-    cut = docs.withColumn("__norm", normalised(F.col(text))).withColumn("__n", F.greatest(F.lit(1), F.ceil(F.length("__norm") / block)).cast("int"))
-    blocks = cut.select("__rid", "__n", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)).alias("i"), "__norm").select("__rid", "__n", "i", F.substring("__norm", F.col("i") * block + 1, F.lit(block)).alias("block"))
+    # one pass over a text cuts all its blocks, however many they are; a text without any is one empty block
+    cut = F.regexp_extract_all(normalised(F.col(text)), F.lit(f"(?s).{{1,{block}}}+"), F.lit(0))
+    cut = docs.select("__rid", F.when(F.size(cut) == 0, F.array(F.lit(""))).otherwise(cut).alias("__blocks"))
+    blocks = cut.select("__rid", F.size("__blocks").alias("__n"), F.posexplode("__blocks").alias("i", "block"))
     blocks = blocks.withColumn("h", digest(F.col("block")))
     # level 0: distinct blocks, sorted into names. One row for a hash; first and last tell whether it stands for one block.
     first = blocks.groupBy("h").agg(F.min("block").alias("lo"), F.max("block").alias("hi")).sortWithinPartitions("lo", "h")
