@@ -31,6 +31,8 @@ from .common import read
 SAMPLE = 20_000
 BITS = 20
 THRESHOLD = 0.3
+#: A feature counts at most so often in a text.
+MOST = 3
 WORDS = re.compile(r"[^\W\d_]+")
 SENTENCE = re.compile(r"[.!?\n]+")
 #: Most words in the cache of one Python worker.
@@ -57,17 +59,23 @@ def _counts(text: str) -> Counter:
     return Counter(f for w in words(text) for f in features(w))
 
 
-def swaps(text: str, terms: tuple[str, ...] = IDENTITY, each: int = 3) -> list[list[tuple[int, int]]]:
-    """For each identity term of each sentence, changes of features when it is swapped for some others."""
-    of, out = {t: i for i, t in enumerate(terms)}, []
-    for sentence in SENTENCE.split(text.lower()):
-        for w in WORDS.findall(sentence):
-            if w in of:
-                for j in range(1, each + 1):
-                    other = terms[(of[w] + j * 7) % len(terms)]
-                    change = Counter(features(other))
-                    change.subtract(features(w))
-                    out.append([(f, c) for f, c in change.items() if c])
+def mentions(text: str, terms: tuple[str, ...] = IDENTITY) -> Counter:
+    """How many sentences of text mention each identity term, by the term's place."""
+    of = {t: i for i, t in enumerate(terms)}
+    return Counter(of[w] for sentence in SENTENCE.split(text.lower()) for w in set(WORDS.findall(sentence)) if w in of)
+
+
+def swaps(mentioned: Counter, terms: tuple[str, ...] = IDENTITY, each: int = 3) -> list[tuple[int, list[tuple[int, int]]]]:
+    """For each mentioned term and some others: how many sentences swap them, and what changes in their features.
+
+    In a linear score the rest of a sentence cancels out, so equal swaps are one change with a count.
+    """
+    out = []
+    for i, n in sorted(mentioned.items()):
+        for j in range(1, each + 1):
+            change = Counter(features(terms[(i + j * 7) % len(terms)]))
+            change.subtract(features(terms[i]))
+            out.append((n, [(f, c) for f, c in change.items() if c]))
     return out
 
 
@@ -105,9 +113,10 @@ class Model:
         return score
 
 
-def fit(docs_x: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, changes: list[list[tuple[int, int]]], rows_least: float = 3.0, swap_penalty: float = 1.0, z_least: float = 3.0, steps: int = 400) -> Model:
+def fit(docs_x: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, changes: list[tuple[int, list[tuple[int, int]]]], rows_least: float = 3.0, swap_penalty: float = 1.0, z_least: float = 3.0, steps: int = 400) -> Model:
     """Accelerated proximal gradient on mean log loss + swap_penalty * mean squared score change + l1 * |weights|.
 
+    changes: of features by swaps, with the number of sentences of each; they weigh in the mean.
     Features enter if their rows' share of label 1 is z_least standard errors or more from the overall share, or
     if a swap changes them. l1 is such that a feature needs rows_least rows of unexplained labels for a weight;
     those that have one are then fitted again with a tenth of it.
@@ -118,21 +127,23 @@ def fit(docs_x: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, changes: lis
     used, col = np.unique(np.concatenate([f for f, _ in docs_x]), return_inverse=True)
     row = np.repeat(np.arange(n), [len(f) for f, _ in docs_x])
     seen, toxic = np.bincount(col, minlength=len(used)), np.bincount(col, weights=y[row], minlength=len(used))
-    swapped = np.isin(used, np.array(sorted({f for c in changes for f, _ in c}), dtype=used.dtype))
+    swapped = np.isin(used, np.array(sorted({f for _, c in changes for f, _ in c}), dtype=used.dtype))
     keep = (np.abs(toxic - seen * share) >= z_least * np.sqrt(seen * share * (1 - share))) & (seen >= rows_least) | swapped
     on = keep[col]
-    x = np.minimum(np.concatenate([c for _, c in docs_x])[on], 3).astype(np.float64)
+    x = np.minimum(np.concatenate([c for _, c in docs_x])[on], MOST).astype(np.float64)
     row, col, used = row[on], (np.cumsum(keep) - 1)[col[on]], used[keep]
     d, at = len(used), {int(f): i for i, f in enumerate(used)}
-    c_row = np.array([i for i, c in enumerate(changes) for f, _ in c if f in at], dtype=np.int64)
-    c_col = np.array([at[f] for c in changes for f, _ in c if f in at], dtype=np.int64)
-    c_val = np.array([v for c in changes for f, v in c if f in at], dtype=np.float64)
+    c_row = np.array([i for i, (_, c) in enumerate(changes) for f, _ in c if f in at], dtype=np.int64)
+    c_col = np.array([at[f] for _, c in changes for f, _ in c if f in at], dtype=np.int64)
+    c_val = np.array([v for _, c in changes for f, v in c if f in at], dtype=np.float64)
+    c_share = np.array([k for k, _ in changes], dtype=np.float64)
+    c_share /= max(c_share.sum(), 1)
     # a diagonal that bounds the curvature, so that each weight has its own safe step
     reach = np.bincount(row, weights=x, minlength=n) + 1
     bound = np.bincount(col, weights=x * reach[row], minlength=d) / (4 * n)
     if len(changes):
         c_reach = np.bincount(c_row, weights=np.abs(c_val), minlength=len(changes))
-        bound += 2 * swap_penalty / len(changes) * np.bincount(c_col, weights=np.abs(c_val) * c_reach[c_row], minlength=d)
+        bound += 2 * swap_penalty * np.bincount(c_col, weights=np.abs(c_val) * (c_share * c_reach)[c_row], minlength=d)
     step, b_step, l1 = 1 / np.maximum(bound, 1e-12), 4 / reach.mean(), rows_least / n
     w, b, t = np.zeros(d), float(np.log(share / (1 - share))), 1.0
     z, zb = w, b
@@ -144,7 +155,7 @@ def fit(docs_x: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, changes: lis
         g = np.bincount(col, weights=x * (p - y)[row], minlength=d) / n
         if len(changes):
             change = np.bincount(c_row, weights=c_val * z[c_col], minlength=len(changes))
-            g += 2 * swap_penalty / len(changes) * np.bincount(c_col, weights=c_val * change[c_row], minlength=d)
+            g += 2 * swap_penalty * np.bincount(c_col, weights=c_val * (c_share * change)[c_row], minlength=d)
         new = z - step * g
         new = np.sign(new) * np.maximum(np.abs(new) - step * l1, 0)
         new_b, t_next = zb - b_step * float((p - y).mean()), (1 + np.sqrt(1 + 4 * t * t)) / 2
@@ -153,7 +164,7 @@ def fit(docs_x: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, changes: lis
     return Model(float(b), {int(f): float(v) for f, v in zip(used, w, strict=True) if v})
 
 
-def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE, terms: tuple[str, ...] = IDENTITY) -> Model:
+def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE, terms: tuple[str, ...] = IDENTITY, swap_penalty: float = 1.0) -> Model:
     """The model of about sample labelled rows at most. labels: doc_id and label."""
     ids = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).alias("y")).where("doc_id is not null and y is not null").groupBy("doc_id").agg(F.max("y").cast("int").alias("y"))
     n = ids.count()
@@ -163,24 +174,20 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = [_counts(t.as_py() or "") for t in batch.column(1)]
-            s = [swaps(t.as_py() or "", terms) for t in batch.column(1)]
-            flat = [np.array([v for c in own for pair in (*c, (-1, 0)) for v in pair], dtype="<i4").tobytes() for own in s]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.fromiter(c, "<u4", len(c)).tobytes() for c in x], pa.binary()), pa.array([np.fromiter(c.values(), "<u2", len(c)).tobytes() for c in x], pa.binary()), pa.array(flat, pa.binary())], ["y", "f", "c", "s"])
+            s = [mentions(t.as_py() or "", terms) for t in batch.column(1)]
+            columns = [np.fromiter(c, "<u4", len(c)).tobytes() for c in x], [np.minimum(np.fromiter(c.values(), "<i8", len(c)), MOST).astype("u1").tobytes() for c in x]
+            flat = [np.array(list(own.items()), dtype="<i4").tobytes() for own in s]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.binary()) for c in (*columns, flat))], ["y", "f", "c", "s"])
 
     # the sample is bounded, so its ids are broadcast and no text moves
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(ids), "doc_id").select("y", "text")
     rows = own.mapInArrow(extract, "y int, f binary, c binary, s binary").toArrow()
-    xs = [(np.frombuffer(f, "<u4"), np.frombuffer(c, "<u2")) for f, c in zip(rows["f"].to_pylist(), rows["c"].to_pylist(), strict=True)]
-    changes: list[list[tuple[int, int]]] = []
+    xs = [(np.frombuffer(f, "<u4"), np.frombuffer(c, "u1")) for f, c in zip(rows["f"].to_pylist(), rows["c"].to_pylist(), strict=True)]
+    mentioned: Counter = Counter()
     for s in rows["s"].to_pylist():
-        now: list[tuple[int, int]] = []
-        for f, c in np.frombuffer(s, "<i4").reshape(-1, 2).tolist():
-            if f < 0:
-                changes.append(now)
-                now = []
-            else:
-                now.append((f, c))
-    return fit(xs, np.array(rows["y"].to_pylist(), dtype=np.float64), changes)
+        for i, k in np.frombuffer(s, "<i4").reshape(-1, 2).tolist():
+            mentioned[i] += k
+    return fit(xs, np.array(rows["y"].to_pylist(), dtype=np.float64), swaps(mentioned, terms), swap_penalty=swap_penalty)
 
 
 def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", out: str = "score") -> DataFrame:
