@@ -31,6 +31,8 @@ from .golay import near_codewords
 
 BITS = 2
 CROWD = 256
+#: Shingles that are counted bit by bit at once.
+CHUNK = 1 << 16
 #: First bit and number of bits of each segment.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 
@@ -40,16 +42,14 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     tokens = (text or "").encode().lower().split()
     if not tokens:
         return 0
-    if len(tokens) < shingle:
-        hashes = [xxhash.xxh64_intdigest(b" ".join(tokens), 42)]
-    else:
-        joined, ends = b" ".join(tokens), np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
-        starts = np.concatenate([[0], ends[:-1] + 1])
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(joined[a:b], 42) for a, b in zip(starts[: len(tokens) - shingle + 1].tolist(), ends[shingle - 1 :].tolist(), strict=True)]
-    bits = np.unpackbits(np.array(hashes, dtype="<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    set_ = bits.sum(axis=0, dtype=np.int64) * 2 > len(hashes)
-    return int.from_bytes(np.packbits(set_, bitorder="little").tobytes(), "little")
+    shingle = min(shingle, len(tokens))
+    joined, ends = b" ".join(tokens), np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
+    starts, n = np.concatenate([[0], ends[:-1] + 1]), len(tokens) - shingle + 1
+    digest, ones = xxhash.xxh64_intdigest, np.zeros(64, dtype=np.int64)
+    for i in range(0, n, CHUNK):
+        hashes = [digest(joined[a:b], 42) for a, b in zip(starts[i : min(i + CHUNK, n)].tolist(), ends[i + shingle - 1 : i + shingle - 1 + CHUNK].tolist(), strict=True)]
+        ones += np.unpackbits(np.array(hashes, dtype="<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(ones * 2 > n, bitorder="little").tobytes(), "little")
 
 
 def fingerprints(docs: DataFrame, keep: list[str], text: str = "text", shingle: int = 3) -> DataFrame:
