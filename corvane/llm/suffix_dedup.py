@@ -251,10 +251,7 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
 
     id_type = {"bigint": pa.int64(), "int": pa.int32()}.get(kind, pa.string())
     order = ["key", "suffix", "left", "rid", "word"]
-    sorted_ = rows.where("whole is null").drop("whole")
-    n = sorted_.count()
-    parts = max(min(n // 20_000 + 1, 256), n // 500_000 + 1)
-    sorted_ = sorted_.repartition(parts, "key").sortWithinPartitions(*order).select("suffix", "left", "rid", "doc_id", "word")
+    sorted_ = rows.where("whole is null").drop("whole").repartition("key").sortWithinPartitions(*order).select("suffix", "left", "rid", "doc_id", "word")
     met = shelf.keep(sorted_.mapInArrow(meet, f"rid long, doc_id {kind}, start int, end int, partner {kind}"), "marks")
 
     strings = rows.where("whole is not null").select("key", "whole", "rid", "doc_id", "word")
