@@ -19,6 +19,8 @@ from pyspark.sql.window import Window
 #: Characters that separate words, as a class body for Java, Python and RE2 patterns alike.
 SPACE = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACE}]+"
+#: Whether Spark deletes a query's shuffle files when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -49,8 +51,14 @@ class Shelf:
         atexit.register(self._sweep)
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.root}/{name}"
-        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        """df as a table. The shuffle files behind it go as soon as it is written: nothing reads them any more."""
+        path, conf = f"{self.root}/{name}", self.spark.conf
+        before = conf.get(CLEANUP, None)
+        conf.set(CLEANUP, "true")
+        try:
+            df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        finally:
+            conf.unset(CLEANUP) if before is None else conf.set(CLEANUP, before)
         return self.spark.read.schema(_nullable(df.schema)).parquet(path)
 
     def drop(self, *names: str) -> None:
