@@ -30,63 +30,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Shelf, loosened, numbered, read
+from .hashing import chunks, runs, words
 
 LEAST, SEED, WINDOW = 50, 25, 26
 #: Most rows of a key that are compared with each other.
 CROWD = 32
-#: Bytes of text that are hashed at once; suffixes that a task holds at once.
-CHUNK, MOST_SUFFIXES = 1 << 20, 4096
-MULTIPLIER = 0x9E3779B97F4A7C15
-
-_powers: dict[str, np.ndarray] = {}
-
-
-def _power(base: int, n: int, name: str) -> np.ndarray:
-    """base to the 0th to nth power, modulo 2 to the 64."""
-    got = _powers.get(name)
-    if got is None or len(got) <= n:
-        got = np.full(max(n + 1, 1024), base % 2**64, dtype=np.uint64)
-        got[0] = 1
-        _powers[name] = got = np.multiply.accumulate(got)
-    return got
-
-
-def _runs(values: np.ndarray, start: np.ndarray, end: np.ndarray, base: int, name: str) -> np.ndarray:
-    """Mixed polynomial hashes of values[start:end]."""
-    total = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(values * _power(base, len(values), name)[: len(values)], dtype=np.uint64)])
-    h = (total[end] - total[start]) * _power(pow(base, -1, 2**64), len(values), name + "-")[start]
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
-
-
-_bytes = np.random.default_rng(7).integers(1, 2**63, 256, dtype=np.uint64)
-_bytes[65:91] = _bytes[97:123]
-_space = np.zeros(256, dtype=bool)
-_space[[32, 9, 10, 11, 12, 13]] = True
-
-
-def _words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of the words of texts, the text of each, and the first word of each text."""
-    a = np.frombuffer(b"\n".join([*texts, b""]), dtype=np.uint8)
-    gap = _space[a]
-    edge = np.diff(np.concatenate([[True], gap, [True]]).astype(np.int8))
-    start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    text_end = np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))
-    of = np.searchsorted(text_end, start, side="right")
-    word = _runs(_bytes[a], start, end, MULTIPLIER, "bytes") if len(start) else np.zeros(0, dtype=np.uint64)
-    return word, of, np.searchsorted(of, np.arange(len(texts)), side="left")
+#: Suffixes that a task holds at once.
+MOST_SUFFIXES = 4096
 
 
 def minimisers(texts: list[bytes], least: int = LEAST, seed: int = SEED, window: int = WINDOW) -> tuple[np.ndarray, ...]:
     """(text, word, hash, first, windows) of the minimiser positions of texts with at least least words: first is the
     first word of the first of so many successive windows that have this minimiser."""
-    word, of, first = _words(texts)
+    word, of, first = words(texts)
     if len(word) < least:
         none = np.zeros(0, dtype=np.int64)
         return none, none, none.astype(np.uint64), none, none
     at = np.arange(len(word) - seed + 1)
-    grams = _runs(word, at, at + seed, 0xD1342543DE82EF95, "words")
+    grams = runs(word, at, at + seed, 0xD1342543DE82EF95, "words")
     fits = of[: len(word) - seed - window + 2] == of[seed + window - 2 :]  # the window's last word is of the same text
     view, found = np.lib.stride_tricks.sliding_window_view(grams, window), []
     for i in range(0, len(fits), 65_536):
@@ -100,21 +61,9 @@ def minimisers(texts: list[bytes], least: int = LEAST, seed: int = SEED, window:
 
 def wholes(texts: list[bytes], of: np.ndarray, start: np.ndarray, least: int = LEAST) -> np.ndarray:
     """Hashes of least words from word start of text of on. They must fit."""
-    word, _, first = _words(texts)
+    word, _, first = words(texts)
     at = first[of] + start
-    return _runs(word, at, at + least, 0xA0761D6478BD642F, "wholes")
-
-
-def _chunks(texts: list[bytes]) -> Iterator[tuple[int, int]]:
-    """Successive ranges of texts of about CHUNK bytes."""
-    at = 0
-    while at < len(texts):
-        to, size = at, 0
-        while to < len(texts) and (to == at or size + len(texts[to]) <= CHUNK):
-            size += len(texts[to])
-            to += 1
-        yield at, to
-        at = to
+    return runs(word, at, at + least, 0xA0761D6478BD642F, "wholes")
 
 
 def positions(docs: DataFrame, least: int = LEAST, seed: int = SEED, window: int = WINDOW) -> DataFrame:
@@ -124,7 +73,7 @@ def positions(docs: DataFrame, least: int = LEAST, seed: int = SEED, window: int
         for batch in batches:
             rid = batch.column(0).to_numpy(zero_copy_only=False)
             texts = [(t.as_py() or "").encode() for t in batch.column(1)]
-            for at, to in _chunks(texts):
+            for at, to in chunks(texts):
                 of, word, key, first, windows = minimisers(texts[at:to], least, seed, window)
                 columns = [rid[at + of], word.astype(np.int32), key.view(np.int64), first.astype(np.int32), windows.astype(np.int32)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["rid", "word", "key", "first", "windows"])
@@ -158,11 +107,11 @@ def suffixes(docs: DataFrame, least: int = LEAST, window: int = WINDOW) -> DataF
                 return pa.RecordBatch.from_arrays(columns, names)
 
             for i, end in enumerate(ends.tolist()):
-                words = texts[i].lower().split() if end > at else []
+                own = texts[i].lower().split() if end > at else []
                 for at in range(at, end):  # noqa: B020, PLR1704
                     p = word[at]
-                    suffix.append(b" ".join(words[p : p + least]))
-                    left.append(b" ".join(words[max(0, p - window + 1) : p][::-1]))
+                    suffix.append(b" ".join(own[p : p + least]))
+                    left.append(b" ".join(own[max(0, p - window + 1) : p][::-1]))
                     row.append(i)
                     if len(row) == MOST_SUFFIXES:
                         yield told(at + 1)
@@ -172,7 +121,7 @@ def suffixes(docs: DataFrame, least: int = LEAST, window: int = WINDOW) -> DataF
             many, size = batch.column(4).flatten(), batch.column(4).value_lengths().to_numpy(zero_copy_only=False)
             first, windows, key = (many.field(x).to_numpy(zero_copy_only=False) for x in ("first", "windows", "key"))
             ends = np.cumsum(size)
-            for a, b in _chunks(texts):
+            for a, b in chunks(texts):
                 lo, hi = ends[a] - size[a], ends[b - 1]
                 if lo == hi:
                     continue

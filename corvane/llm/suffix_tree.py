@@ -1,297 +1,288 @@
-"""Language-model scoring by a probabilistic suffix tree.
+"""Language-model scoring by a probabilistic suffix tree over words.
 
-The tree reads a text as its lower-cased words, a space between them and an end after the last, one byte at a
-time. Counts of all windows of DEPTH bytes and the next one come from every training text. A context is kept if
-it makes up LEAST of all positions and its next-symbol distribution diverges from its suffix's by GAIN bits a
-position of the corpus; so the tree is bounded by LEAST, not by the corpus. Distributions are smoothed by
-absolute discounting along suffixes. The tree becomes an automaton over the longest kept suffix, and texts are
-scored by stepping many places of a batch at once.
+A context is up to DEPTH words before a token. It is retained if it stands LEAST times or more in the training texts
+and its next-token distribution diverges from its suffix's: the log-likelihood ratio of the two over all its
+occurrences must be GAIN bits for each of its distinct next tokens, as each costs a parameter. The test uses counts
+alone, so more text retains more and longer contexts and nothing bounds their number. A token is scored in the state
+of its longest retained suffix. Distributions are smoothed by absolute discounting towards the next shorter retained
+suffix and last towards word frequencies, with one further word for all unseen ones.
 
-The word base is exact: counts of all words come from every training text. Words that make up COMMON of all
-tokens, at most 1/COMMON of them, are broadcast; the others' counts are joined.
+No task and no driver holds the tree. Texts become chunks of about CHUNK tokens, written once as small integers. For
+each chunk the hashes of its distinct strings of 1 to DEPTH + 1 words go to ranges of hashes, sorted and compressed,
+are summed there, and the sums return to the chunk that sent them. It then knows n(context) and n(context, next) for
+each of its positions, and sends each context's part of the ratio and of the number of distinct next tokens the same
+way. What comes back is which contexts are retained. A string that stands a million times in a chunk is one entry, so
+a hot one has no more than an entry a chunk.
 
-Scale: texts are read twice, for counts and for scores. Counts are combined in each task, then shuffled as
-distinct windows and words; in scoring only rarer words move.
+Words are told apart by 64 bits, longer strings by SPARE bits more than the number of tokens needs: at any size about
+one in 2^SPARE takes another's count.
+
+Scale: texts are read once. What moves grows in proportion to the tokens; the driver receives a few counts.
 
 Defined results: a null text counts as empty, and an empty text is one end; a null doc_id trains and is not held
-out; equal rows count each; without training rows all bytes are equally likely and every token scores 0 in the
-base; an empty table gives an empty result; further columns are ignored.
+out; equal rows count each; a text over CHUNK tokens spans chunks; without training rows every token scores 0; an
+empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
 
-import math
-from collections import Counter
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import hashing
 from .common import Shelf, read
 
-DEPTH = 6
-LEAST = 5e-6
-GAIN = 1e-7
-COMMON = 1e-6
-DISCOUNT = 0.5
-END = 10  # of a text; 0 stands for what is before its start
-#: Bytes whose windows are counted, or that are scored, at once; most distinct words or windows held by a task.
-CHUNK, MOST_WORDS, MOST_WINDOWS = 1 << 20, 200_000, 1_500_000
+DEPTH = 2
+LEAST = 2
+GAIN = 4.0
+DISCOUNT = 0.75
+SPARE = 16
+#: Tokens of a chunk; entries of a range of hashes.
+CHUNK, ENTRIES = 1 << 19, 2_000_000
+START, END = (np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA3B195354A39B70D))
+STEP = np.uint64(0xD1342543DE82EF95)
+#: Fractions of a bit, and of a distinct next token, in which parts are summed.
+BIT, NEXT = 1 << 6, 1 << 20
 
 
-def tokens(text: str | None) -> list[bytes]:
-    return (text or "").encode().lower().split()
+def chunked(docs: DataFrame, depth: int, size: int = CHUNK) -> DataFrame:
+    """(chunk, docs, vocab, stream, n, trained) of (rid, doc_id, trains, text).
 
+    A document in a chunk is its tokens, after depth tokens before them that count elsewhere or are starts. vocab:
+    hashes of the chunk's words, the frequent ones first. n: tokens, trained: those that are learned from.
+    """
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
-def line(words: list[bytes]) -> bytes:
-    """What the tree reads: words, spaces, the end. Byte 0 is taken by the start."""
-    return b" ".join(words).replace(b"\0", b"\1") + b"\n"
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, number = TaskContext.get().partitionId() << 32, 0
+        held: list[tuple] = []
+        holds, id_type = 0, None
+
+        def told() -> pa.RecordBatch:
+            nonlocal number, holds
+            rid, doc_id, trains, tokens = zip(*held, strict=True)
+            vocab, ids, n = np.unique(np.concatenate(tokens), return_inverse=True, return_counts=True)
+            order = np.argsort(-n, kind="stable")
+            place = np.empty_like(order)
+            place[order] = np.arange(len(order))
+            lengths = np.array([len(t) - depth for t in tokens])
+            parts = pa.StructArray.from_arrays([pa.array(rid, pa.int64()), pa.array(doc_id, id_type), pa.array(trains, pa.bool_()), pa.array(lengths, pa.int32())], ["rid", "doc_id", "trains", "size"])
+            row = [pa.array([first + number]), pa.ListArray.from_arrays(pa.array([0, len(parts)], pa.int32()), parts), pa.array([hashing.packed(vocab[order])]), pa.array([hashing.packed(place[ids])]), pa.array([int(lengths.sum())]), pa.array([int(lengths[np.array(trains)].sum())])]
+            held.clear()
+            number, holds = number + 1, 0
+            return pa.RecordBatch.from_arrays(row, ["chunk", "docs", "vocab", "stream", "n", "trained"])
 
+        for batch in batches:
+            id_type = batch.schema.field(1).type
+            texts = [(t.as_py() or "").encode() for t in batch.column(3)]
+            rid, doc_id, trains = (batch.column(i).to_pylist() for i in range(3))
+            for a, b in hashing.chunks(texts):
+                word, _, begins = hashing.words(texts[a:b])
+                for i, own in zip(range(a, b), np.split(word, begins[1:]), strict=True):
+                    own = np.concatenate([np.full(depth, START), own, [END]])
+                    for at in range(0, len(own) - depth, size):
+                        held.append((rid[i], doc_id[i], trains[i], own[at : at + size + depth]))
+                        holds += min(size, len(own) - depth - at)
+                        if holds >= size:
+                            yield told()
+        if held:
+            yield told()
+
+    return docs.select("rid", "doc_id", "trains", "text").mapInArrow(run, f"chunk long, docs array<struct<rid:long,doc_id:{kind},trains:boolean,size:int>>, vocab binary, stream binary, n long, trained long")
+
+
+class Chunk:
+    """A chunk's distinct strings of each length (keys), which of them each place has (at), and how often they are learned (own)."""
+
+    def __init__(self, vocab: bytes, stream: bytes, sizes: np.ndarray, trains: np.ndarray, depth: int, bits: int):
+        words, ids = hashing.unpacked(vocab), hashing.unpacked(stream).astype(np.int64)
+        h = words[ids]
+        self.begin = np.concatenate([[0], np.cumsum(sizes + depth)])[:-1]
+        self.token = np.ones(len(h), dtype=bool)  # a token to score, not one before the document's part
+        for i in range(depth):
+            self.token[self.begin + i] = False
+        self.learned = self.token & np.repeat(trains, sizes + depth)
+        counted = self.learned.copy()  # a start counts once a document, as the context of its first token
+        last = self.begin[trains] + depth - 1
+        counted[last[h[last] == START]] = True
+        order = np.argsort(words)
+        place = np.empty_like(order)
+        place[order] = np.arange(len(order))
+        self.keys, self.at = [words[order]], [place[ids]]
+        for _ in range(depth):
+            h = hashing.mixed(np.concatenate([h[:1], h[:-1]]) * STEP + words[ids])
+            key, at = np.unique(h >> np.uint64(64 - bits), return_inverse=True)
+            self.keys.append(key)
+            self.at.append(at)
+        self.own = [np.bincount(a, weights=counted, minlength=len(k)) for k, a in zip(self.keys, self.at, strict=True)]
+
+    def context(self, length: int) -> np.ndarray:
+        """For each place the string of so many words before it; of use at tokens only."""
+        return np.concatenate([self.at[length - 1][:1], self.at[length - 1][:-1]])
+
+
+class Counts:
+    """What is known of a chunk's places: n of the context, of the context with the token, by length; 0: no context."""
+
+    def __init__(self, own: Chunk, totals: list[np.ndarray], positions: int):
+        self.context = [np.full(len(own.token), positions, dtype=np.int64)]
+        self.both = [totals[0][own.at[0]]]
+        for j in range(1, len(totals)):
+            self.context.append(totals[j - 1][own.context(j)])
+            self.both.append(totals[j][own.at[j]])
+
+
+def _edges(bits: int, ranges: int) -> np.ndarray:
+    return np.array([-(-(i << bits) // ranges) for i in range(1, ranges)], dtype=np.uint64)
+
+
+def _sent(chunk: int, level: int, bits: int, ranges: int, keys: np.ndarray, values: list[np.ndarray]) -> Iterator[tuple]:
+    """(range, chunk, keys, values) of sorted keys; ranges of different levels differ."""
+    cuts = np.concatenate([[0], np.searchsorted(keys, _edges(bits, ranges)), [len(keys)]])
+    for i in np.flatnonzero(np.diff(cuts)):
+        a, b = cuts[i], cuts[i + 1]
+        yield level << 40 | int(i), chunk, hashing.packed(np.diff(keys[a:b], prepend=np.uint64(0))), [hashing.packed(hashing.signed(v[a:b])) for v in values]
+
+
+SENT = "range long, chunk long, keys binary, values array<binary>"
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.binary())), strict=True)], ["range", "chunk", "keys", "values"])
+
+
+def summed(sent: DataFrame, answer: Callable[[list[np.ndarray]], np.ndarray], ranges: int) -> DataFrame:
+    """(range, chunk, answer, distinct) of SENT rows: for each key that a row holds, answer of the key's summed values.
+
+    distinct: how many keys of the range have a first sum over 0, told once a range.
+    """
 
-def windows(stream: bytes, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct windows of depth bytes and the next one, as integers, and their counts. Windows that end in a start are none."""
-    a = np.frombuffer(stream, dtype=np.uint8).astype(np.uint64)
-    key = np.zeros(max(0, len(a) - depth), dtype=np.uint64)
-    for j in range(depth + 1):
-        key |= a[j : len(a) - depth + j] << np.uint64(8 * (depth - j))
-    key = key[a[depth:] != 0]
-    key.sort()
-    if not len(key):
-        return key, np.zeros(0, dtype=np.int64)
-    at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    return key[at], np.diff(np.append(at, len(key)))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def told() -> pa.RecordBatch:
+            keys = [np.cumsum(hashing.unpacked(k), dtype=np.uint64) for _, k, _ in held]
+            sizes = [len(k) for k in keys]
+            _, at = np.unique(np.concatenate(keys), return_inverse=True)
+            parts = [np.concatenate([hashing.unsigned(hashing.unpacked(v[i])) for *_, v in held]) for i in range(len(held[0][2]))]
+            sums = []
+            for p in parts:  # exact: in integers
+                total = np.zeros(int(at.max()) + 1, dtype=np.int64)
+                np.add.at(total, at, p)
+                sums.append(total)
+            out = np.split(answer(sums)[at], np.cumsum(sizes)[:-1])
+            distinct = [int((sums[0] > 0).sum())] + [0] * (len(held) - 1)
+            columns = [pa.array([now] * len(held), pa.int64()), pa.array([c for c, *_ in held], pa.int64()), pa.array([hashing.packed(hashing.signed(x)) for x in out], pa.binary()), pa.array(distinct, pa.int64())]
+            held.clear()
+            return pa.RecordBatch.from_arrays(columns, ["range", "chunk", "answer", "distinct"])
 
+        for batch in batches:
+            for r, c, k, v in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if r != now and held:
+                    yield told()
+                now = r
+                held.append((c, k, v))
+        if held:
+            yield told()
 
-def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    key, count = (np.concatenate(x) for x in zip(*parts, strict=True))
-    order = np.argsort(key, kind="stable")
-    key, count = key[order], count[order]
-    at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, dtype=np.int64)
-    return key[at], np.add.reduceat(count, at) if len(at) else count
+    return sent.repartition(ranges, "range").sortWithinPartitions("range", "chunk").mapInArrow(run, "range long, chunk long, answer binary, distinct long")
 
 
-def count(texts: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(word, window, n): counts of words and of windows of the first column of texts, combined within tasks only."""
+def _joined(answers: list[dict], level: int) -> np.ndarray:
+    """The answers of a level's ranges in their order."""
+    own = [hashing.unsigned(hashing.unpacked(x["answer"])) for x in sorted(answers, key=lambda x: x["range"]) if x["range"] >> 40 == level]
+    return np.concatenate(own) if own else np.zeros(0, dtype=np.int64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: Counter = Counter()
-        parts, stream, size = [], [], 0
-        types = (pa.binary(), pa.int64(), pa.int64())
-
-        def told_words() -> Iterator[pa.RecordBatch]:
-            items = list(words.items())
-            words.clear()
-            for i in range(0, len(items), 50_000):
-                own = items[i : i + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in own], types[0]), pa.nulls(len(own), types[1]), pa.array([n for _, n in own], types[2])], ["word", "window", "n"])
-
-        def told_windows() -> Iterator[pa.RecordBatch]:
-            key, n = _merged(parts)
-            parts.clear()
-            for i in range(0, len(key), 100_000):
-                own = key[i : i + 100_000].view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(own), types[0]), pa.array(own), pa.array(n[i : i + 100_000])], ["word", "window", "n"])
-
-        def take() -> None:
-            nonlocal size
-            parts.append(windows(b"".join(stream), depth))
-            stream.clear()
-            size = 0
-            if len(parts) > 12:
-                parts[:] = [_merged(parts)]
 
-        for batch in batches:
-            for t in batch.column(0):
-                own = tokens(t.as_py())
-                words.update(own)
-                stream += (b"\0" * depth, line(own))
-                size += len(stream[-1]) + depth
-                if size > CHUNK:
-                    take()
-                    if sum(len(k) for k, _ in parts) > MOST_WINDOWS:
-                        yield from told_windows()
-                if len(words) > MOST_WORDS:
-                    yield from told_words()
-        if stream:
-            take()
-        yield from told_words()
-        if parts:
-            yield from told_windows()
-
-    return texts.mapInArrow(run, "word binary, window long, n long")
-
-
-@dataclass
-class Tree:
-    """goto and log10 probabilities by state and symbol class; states are contexts, the first one the empty one."""
-
-    depth: int
-    symbol: np.ndarray
-    goto: np.ndarray
-    logp: np.ndarray
-    start: int
-    contexts: int
-
-    def scores(self, lines: list[bytes], lanes: int = 2048) -> np.ndarray:
-        """log10 probability of each line."""
-        d, classes = self.depth, self.goto.shape[1]
-        size = np.array([len(x) for x in lines], dtype=np.int64)
-        total = int(size.sum())
-        lanes = max(1, min(lanes, total // 64))
-        steps = -(-total // lanes)
-        stream = np.full(lanes * steps + d, END, dtype=np.uint8)
-        stream[d : d + total] = np.frombuffer(b"".join(lines), dtype=np.uint8)
-        sym = self.symbol[stream]
-        # a lane starts d symbols early: by then the state is that of the whole text, as no context is longer
-        place = np.lib.stride_tricks.as_strided(sym, (d + steps, lanes), (sym.itemsize, steps * sym.itemsize))
-        state, out = np.zeros(lanes, dtype=np.int64), np.empty((steps, lanes), dtype=np.float32)
-        goto, logp = self.goto.ravel(), self.logp.ravel()
-        for t in range(d + steps):
-            at = state * classes + place[t]
-            if t >= d:
-                np.take(logp, at, out=out[t - d])
-            state = goto[at].astype(np.int64)
-        flat = out.T.ravel()[:total].astype(np.float64)
-        return np.add.reduceat(flat, np.concatenate([[0], np.cumsum(size)[:-1]]))
-
-
-def grow(entries: list[tuple[np.ndarray, np.ndarray]], positions: int, depth: int = DEPTH, gain: float = GAIN, discount: float = DISCOUNT) -> Tree:
-    """entries: for each length of context, (context << 8 | next) and counts of contexts that are frequent enough."""
-    seen = sorted({int(k) & 255 for k, _ in entries[:1] for k in k}) if positions else []
-    symbol = np.full(256, len(seen), dtype=np.uint8)  # the last class: bytes never seen
-    symbol[seen] = np.arange(len(seen))
-    classes, unseen = len(seen) + 1, 256 - len(seen)
-    root = np.zeros(classes)
-    if positions:
-        root[symbol[entries[0][0].astype(np.int64) & 255]] = entries[0][1]
-    root = (root + 0.1 * np.append(np.ones(len(seen)), unseen)) / (positions + 25.6)
-    levels: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))]
-    place: dict[tuple[int, int], tuple[int, int]] = {}  # of a context's entries in its level
-    kept = {(0, 0)}
-
-    def observed(c: tuple[int, int]) -> np.ndarray:
-        if c == (0, 0):
-            return root
-        (key, n), (a, b) = levels[c[0]], place[c]
-        out = np.zeros(classes)
-        out[symbol[key[a:b] & 255]] = n[a:b]
-        return out
-
-    for d in range(1, depth + 1):
-        key, n = entries[d] if positions else levels[0]
-        order = np.argsort(key)
-        key, n = key[order].astype(np.int64), n[order]
-        levels.append((key, n))
-        context = key >> 8
-        cut = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]])) if len(key) else np.zeros(0, dtype=np.int64)
-        for a, b in zip(cut.tolist(), np.append(cut[1:], len(key))[: len(cut)].tolist(), strict=True):
-            c, s = (d, int(context[a])), (d - 1, int(context[a]) & ((1 << 8 * (d - 1)) - 1))
-            place[c] = (a, b)
-            if d > 1 and s not in place:
-                continue
-            q, at, own = observed(s), symbol[key[a:b] & 255], n[a:b]
-            p = own / own.sum()
-            if own.sum() / positions * float((p * np.log2(p / np.maximum(q[at] / q.sum(), 1e-12))).sum()) >= gain:
-                for short in range(d, 0, -1):  # with its suffixes
-                    kept.add((short, c[1] & ((1 << 8 * short) - 1)))
-    dist: dict[tuple[int, int], np.ndarray] = {(0, 0): root}
-    for c in sorted(kept)[1:]:
-        own, below = observed(c), dist[(c[0] - 1, c[1] & ((1 << 8 * (c[0] - 1)) - 1))]
-        dist[c] = (np.maximum(own - discount, 0) + discount * (own > 0).sum() * below) / own.sum()
-    # states: kept contexts and what they begin with, so that one byte leads from state to state
-    states = sorted({(d - cut, c >> 8 * cut) for d, c in kept for cut in range(d + 1)} | {(d, 0) for d in range(depth + 1)})
-    number = {c: i for i, c in enumerate(states)}
-    goto, logp = np.zeros((len(states), classes), dtype=np.int32), np.zeros((len(states), classes), dtype=np.float32)
-    per_byte = np.append(np.ones(len(seen)), unseen)
-    for i, (d, c) in enumerate(states):
-        fail = number[(d - 1, c & ((1 << 8 * (d - 1)) - 1))] if d else 0
-        if d:
-            goto[i], logp[i] = goto[fail], logp[fail]
-        if (d, c) in dist:
-            logp[i] = np.log10(dist[(d, c)] / per_byte)
-        if d < depth:
-            for j, s in enumerate(seen):
-                to = number.get((d + 1, c << 8 | s))
-                if to is not None:
-                    goto[i, j] = to
-    start = number[(depth, 0)]
-    goto[:, symbol[END]] = start  # a new text begins
-    return Tree(depth, symbol, goto, logp, start, len(kept))
-
-
-def learn(shelf: Shelf, windows_: DataFrame, depth: int = DEPTH, least: float = LEAST, gain: float = GAIN) -> Tree:
-    """The tree of (window, n). At most 1/least contexts of each length reach the driver."""
-    positions = windows_.agg(F.sum("n")).first()[0] or 0
-    mask = lambda d: F.element_at(F.array(*[F.lit((1 << 8 * (i + 1)) - 1) for i in range(depth + 1)]), d + 1)
-    all_ = windows_.select(F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("d"), "window", "n").select("d", F.col("window").bitwiseAND(mask(F.col("d"))).alias("key"), "n")
-    all_ = shelf.keep(all_.groupBy("d", "key").agg(F.sum("n").alias("n")), "orders")
-    often = all_.groupBy("d", F.shiftright("key", 8).alias("context")).agg(F.sum("n").alias("of")).where(F.col("of") >= least * positions).drop("of")
-    got = all_.withColumn("context", F.shiftright("key", 8)).join(often, ["d", "context"], "left_semi").select("d", "key", "n").toArrow()
-    d, key, n = (got[c].to_numpy() for c in ("d", "key", "n"))
-    return grow([(key[d == i], n[d == i]) for i in range(depth + 1)], positions, depth, gain)
-
-
-def score_texts(docs: DataFrame, trains: Column, doc_id: str = "doc_id", text: str = "text", depth: int = DEPTH, least: float = LEAST, gain: float = GAIN, common: float = COMMON) -> DataFrame:
-    """One row per row of docs: doc_id, trains, n_tokens, n_known, train_tokens, base_score, score.
-
-    trains: a condition on docs' columns; rows that meet it are learned from.
-    """
-    spark = docs.sparkSession
-    shelf = Shelf(spark, "suffix-tree")
-    own = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(trains, F.lit(True)).alias("trains"), F.col(text).alias("text"))
-    counted = count(own.where("trains").select("text"), depth).groupBy("word", "window").agg(F.sum("n").alias("n"))
-    counted = shelf.keep(counted, "counts")
-    words = counted.where("word is not null").select("word", "n")
-    tree = learn(shelf, counted.where("window is not null").select("window", "n"), depth, least, gain)
-    n_docs = counted.where((F.col("window").bitwiseAND(255) == END) & F.col("window").isNotNull()).agg(F.sum("n")).first()[0] or 0
-    n_words, distinct = words.agg(F.sum("n"), F.count(F.lit(1))).first()
-    n, v = (n_words or 0) + n_docs, distinct + (n_docs > 0)
-    floor = common * n
-    often = {bytes(w): math.log10(c + 0.1) for w, c in words.where(F.col("n") >= floor).collect()}  # at most 1/common words
-    sent = spark.sparkContext.broadcast((tree, often))
-    end = math.log10(n_docs + 0.1)
+def score_texts(docs: DataFrame, trains: Column, doc_id: str = "doc_id", text: str = "text", depth: int = DEPTH, least: int = LEAST, gain: float = GAIN, discount: float = DISCOUNT, size: int = CHUNK, entries: int = ENTRIES) -> DataFrame:
+    """One row per row of docs: doc_id, trains, n_tokens, n_known, train_tokens, base_score, score, n_contexts.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, often = sent.value
-        get = often.get
+    trains: a condition on docs' columns; rows that meet it are learned from. n_contexts: tokens with a retained context.
+    """
+    shelf = Shelf(docs.sparkSession, "suffix-tree")
+    own = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(trains, F.lit(True)).alias("trains"), F.col(text).alias("text")).withColumn("rid", F.monotonically_increasing_id())
+    kept = shelf.keep(chunked(own, depth, size), "chunks")
+    n_all, n = (x or 0 for x in kept.agg(F.sum("n"), F.sum("trained")).first())
+    bits, ranges = min(64, max(1, n_all).bit_length() + SPARE), n_all // entries + 1
+    widths = [64] + [bits] * depth
+
+    def opened(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.StructScalar, Chunk]]:
+        for c, d, vocab, stream in zip(batch["chunk"].to_pylist(), batch["docs"], batch["vocab"], batch["stream"], strict=True):
+            d = d.values
+            yield c, d, Chunk(vocab.as_py(), stream.as_py(), d.field("size").to_numpy().astype(np.int64), d.field("trains").to_numpy(zero_copy_only=False), depth, bits)
+
+    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lines, facts, rare = [], [], []
-            for t in batch.column(2):
-                own = tokens(t.as_py())
-                found = [get(w) for w in own]
-                missed = Counter([w for w, x in zip(own, found, strict=True) if x is None]) if None in found else {}
-                known = [x for x in found if x is not None] if missed else found
-                facts.append((len(own) + 1, len(known) + (n_docs > 0), math.fsum(known) + end))
-                rare.append([{"word": w, "times": c} for w, c in missed.items()])
-                lines.append(line(own))
-            got, at = [], 0
-            while at < len(lines):  # by CHUNK, so that memory does not follow the batch
-                to, size = at, 0
-                while to < len(lines) and (to == at or size + len(lines[to]) <= CHUNK):
-                    size += len(lines[to])
-                    to += 1
-                got.append(tree.scores(lines[at:to]))
-                at = to
-            n_tokens, n_known, base = zip(*facts, strict=True) if facts else ((), (), ())
-            kind = pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(np.concatenate(got) if got else [], pa.float64()), pa.array(rare, kind)], ["doc_id", "trains", "n_tokens", "n_known", "base", "score", "rare"])
+            for c, _, chunk in opened(batch):
+                for j, (keys, counts) in enumerate(zip(chunk.keys, chunk.own, strict=True)):
+                    yield _batch(list(_sent(c, j, widths[j], ranges, keys, [counts])))
 
+    counted = shelf.keep(summed(kept.mapInArrow(strings, SENT), lambda sums: sums[0], ranges), "counted")
+    distinct = counted.where(F.shiftright("range", 40) == 0).agg(F.sum("distinct")).first()[0] or 0
+    v = distinct - (n > 0)  # a start is no word
+
+    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for (c, _, chunk), answers in zip(opened(batch), batch["answers"].to_pylist(), strict=True):
+                totals = [_joined(answers, j) for j in range(depth + 1)]
+                known = Counts(chunk, totals, n)
+                for j in range(1, depth + 1):
+                    at, keys = chunk.context(j), chunk.keys[j - 1]
+                    asked = np.bincount(at[chunk.token], minlength=len(keys)) > 0
+                    asked &= totals[j - 1] >= least
+                    on = chunk.learned & asked[at]
+                    ratio = np.zeros(len(on))
+                    ratio[on] = np.log2(known.both[j][on] / known.context[j][on] * known.context[j - 1][on] / known.both[j - 1][on])
+                    share = np.zeros(len(on))
+                    share[on] = 1 / known.both[j][on]
+                    parts = [np.rint(np.bincount(at, weights=x, minlength=len(keys))[asked] * unit) for x, unit in ((share, NEXT), (ratio, BIT))]
+                    yield _batch(list(_sent(c, j + depth, widths[j - 1], ranges, keys[asked], parts)))
+
+    def retained(sums: list[np.ndarray]) -> np.ndarray:
+        """The number of distinct next tokens of a context that is retained; 0 for others."""
+        nexts = np.rint(sums[0] / NEXT)
+        return np.where(sums[1] / BIT >= gain * nexts, nexts, 0).astype(np.int64)
+
+    of_chunk = lambda answers: kept.join(answers.groupBy("chunk").agg(F.collect_list(F.struct("range", "answer")).alias("answers")), "chunk")
+    judged = shelf.keep(summed(of_chunk(counted).mapInArrow(contexts, SENT), retained, ranges), "judged")
     kind = own.schema["doc_id"].dataType.simpleString()
-    rows = own.mapInArrow(run, f"doc_id {kind}, trains boolean, n_tokens long, n_known long, base double, score double, rare array<struct<word:binary,times:long>>")
-    rows = shelf.keep(rows.withColumn("rid", F.monotonically_increasing_id()), "rows")
-    parts = rows.select("rid", F.explode("rare").alias("r")).select("rid", "r.word", "r.times")
-    parts = parts.join(words.where(F.col("n") < floor), "word", "left")
-    parts = parts.groupBy("rid").agg(F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("more"), F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 0.1)).alias("more_base"))
-    out = rows.drop("rare").join(parts, "rid", "left")
-    per_token = math.log10(n + 0.1 * (v + 1))
-    return out.select("doc_id", "trains", "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more_base", F.lit(0.0)) - F.col("n_tokens") * per_token).alias("base_score"), "score")
+
+    def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for (_, parts, chunk), answers in zip(opened(batch), batch["answers"].to_pylist(), strict=True):
+                totals = [_joined(answers, j) for j in range(depth + 1)]
+                known = Counts(chunk, totals, n)
+                base = (known.both[0] + 0.1) / (n + 0.1 * (v + 1))
+                p, inside = base.copy(), np.zeros(len(base), dtype=bool)
+                for j in range(1, depth + 1):
+                    at = chunk.context(j)
+                    asked = np.bincount(at[chunk.token], minlength=len(chunk.keys[j - 1])) > 0
+                    asked &= totals[j - 1] >= least
+                    nexts = np.zeros(len(asked), dtype=np.int64)
+                    nexts[asked] = _joined(answers, j + depth)
+                    nexts = nexts[at]
+                    on = chunk.token & (nexts > 0)
+                    p[on] = (np.maximum(known.both[j][on] - discount, 0) + discount * nexts[on] * p[on]) / known.context[j][on]
+                    inside |= on
+                total = lambda x: np.add.reduceat(np.where(chunk.token, x, 0), chunk.begin)  # noqa: E731, B023
+                columns = [total(1), total((known.both[0] > 0).astype(np.int64)), total(np.log10(base)), total(np.log10(p)), total(inside.astype(np.int64))]
+                yield pa.RecordBatch.from_arrays([*(parts.field(x) for x in ("rid", "doc_id", "trains")), *map(pa.array, columns)], ["rid", "doc_id", "trains", "n_tokens", "n_known", "base", "score", "inside"])
+
+    told = of_chunk(counted.select("chunk", "range", "answer").union(judged.select("chunk", "range", "answer")))
+    told = told.mapInArrow(scores, f"rid long, doc_id {kind}, trains boolean, n_tokens long, n_known long, base double, score double, inside long")
+    sums = [F.sum(x).alias(y) for x, y in (("n_tokens", "n_tokens"), ("n_known", "n_known"), ("base", "base_score"), ("score", "score"), ("inside", "n_contexts"))]
+    out = told.groupBy("rid").agg(F.first("doc_id").alias("doc_id"), F.first("trains").alias("trains"), *sums)
+    return out.select("doc_id", "trains", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score", "n_contexts")
 
 
 def op1_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents", ["doc_id", "text"])
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0
     out = score_texts(docs, ~held)
-    return out.select("doc_id", (~F.col("trains")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return out.select("doc_id", (~F.col("trains")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_contexts")

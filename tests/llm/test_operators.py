@@ -389,11 +389,42 @@ def test_receives():
         assert ((embeddings.receives(i, j, k) ^ embeddings.receives(j, i, k)) == (i != j)).all()
 
 
-def test_suffix_tree(spark, docs, nothing):
+def tree_scores(texts, trains, depth, least, gain, discount):
+    """log10 probabilities by a suffix tree in dictionaries, and the number of retained contexts."""
+    lines = [["^"] * depth + [w.decode() for w in words(t)] + ["$"] for t in texts]
+    after = defaultdict(Counter)  # of a context
+    for line, own in zip(lines, trains, strict=True):
+        for i in range(depth, len(line)) if own else ():
+            for j in range(depth + 1):
+                after[tuple(line[i - j : i])][line[i]] += 1
+    n = sum(after[()].values())
+    v, tree = len(after[()]), set()
+    for c, next_ in list(after.items()):
+        if c and sum(next_.values()) >= least:
+            below, all_ = after[c[1:]], sum(next_.values())
+            ratio = sum(k * math.log2(k / all_ / (below[w] / sum(below.values()))) for w, k in next_.items())
+            if ratio >= gain * len(next_):
+                tree.add(c)
+    out = []
+    for line in lines:
+        total = 0.0
+        for i in range(depth, len(line)):
+            p = (after[()][line[i]] + 0.1) / (n + 0.1 * (v + 1))
+            for j in range(1, depth + 1):
+                c = tuple(line[i - j : i])
+                if c in tree:
+                    p = (max(after[c][line[i]] - discount, 0) + discount * len(after[c]) * p) / sum(after[c].values())
+            total += math.log10(p)
+        out.append(total)
+    return out, len(tree)
+
+
+@pytest.mark.parametrize("depth, gain, size, entries", [(2, 4.0, 1 << 19, 2_000_000), (3, 1.0, 1000, 500), (1, 0.5, 50, 10_000)])
+def test_suffix_tree(spark, docs, nothing, depth, gain, size, entries):
     from pyspark.sql import functions as F
 
     trains = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 0
-    got = suffix_tree.score_texts(docs, trains, least=1e-4).collect()
+    got = suffix_tree.score_texts(docs, trains, depth=depth, gain=gain, size=size, entries=entries).collect()
     learned, texts = Counter(), 0
     mine = lambda d: d is None or zlib.crc32(str(d).encode()) % 3 != 0
     for d, t, *_ in table():
@@ -402,37 +433,52 @@ def test_suffix_tree(spark, docs, nothing):
             texts += 1
     n, v = sum(learned.values()) + texts, len(learned) + 1
     part = lambda c: math.log10((c + 0.1) / (n + 0.1 * (v + 1)))
-    want = Counter((d, mine(d), len(words(t)) + 1, 1 + sum(w in learned for w in words(t)), round(part(texts) + sum(part(learned[w]) for w in words(t)), 6)) for d, t, *_ in table())
-    assert Counter((r.doc_id, r.trains, r.n_tokens, r.n_known, round(r.base_score, 6)) for r in got) == want
-    assert all(r.score < 0 and r.train_tokens == n for r in got)
-    rare = suffix_tree.score_texts(docs, trains, least=1e-4, common=0.01).collect()  # nearly all words by the join
-    assert Counter((r.doc_id, r.n_known, round(r.base_score, 6)) for r in rare) == Counter((r.doc_id, r.n_known, round(r.base_score, 6)) for r in got)
-    assert suffix_tree.score_texts(nothing, trains).count() == 0
+    scores, contexts = tree_scores([t for _, t, *_ in table()], [mine(d) for d, *_ in table()], depth, suffix_tree.LEAST, gain, suffix_tree.DISCOUNT)
+    assert contexts > 20
+    want = sorted((str(d), mine(d), len(words(t)) + 1, 1 + sum(w in learned for w in words(t)), round(part(texts) + sum(part(learned[w]) for w in words(t)), 5), round(s, 5)) for (d, t, *_), s in zip(table(), scores, strict=True))
+    have = sorted((str(r.doc_id), r.trains, r.n_tokens, r.n_known, round(r.base_score, 5), round(r.score, 5)) for r in got)
+    assert [x[:4] for x in have] == [x[:4] for x in want]
+    assert np.allclose([x[4:] for x in have], [x[4:] for x in want], rtol=1e-6, atol=2e-5)
+    assert all(r.train_tokens == n for r in got)
+
+
+def test_suffix_tree_of_few_rows(docs, nothing):
+    from pyspark.sql import functions as F
+
+    assert suffix_tree.score_texts(nothing, F.lit(True)).count() == 0
     none = suffix_tree.score_texts(docs, F.lit(False)).collect()
-    assert len(none) == len(table()) and all(r.base_score == 0 and r.n_known == 0 for r in none)
-
-
-def test_suffix_tree_is_a_distribution_and_steps_alike():
-    text = [words(prose(i, 60)) for i in range(40)]
-    lines = [suffix_tree.line(w) for w in text]
-    depth = 3
-    key, n = suffix_tree.windows(b"".join(b"\0" * depth + x for x in lines), depth)
-    entries = []
-    for d in range(depth + 1):
-        k, at = np.unique(key & np.uint64((1 << 8 * (d + 1)) - 1), return_inverse=True)
-        entries.append((k.astype(np.int64), np.bincount(at, weights=n).astype(np.int64)))
-    tree = suffix_tree.grow(entries, int(n.sum()), depth, gain=1e-4)
-    seen = tree.goto.shape[1] - 1
-    weight = np.append(np.ones(seen), 256 - seen)
-    assert np.allclose((10.0 ** tree.logp.astype(float)) @ weight, 1, atol=1e-4)
-    def one_by_one(x):
-        state, total = tree.start, 0.0
-        for b in x:
-            total += float(tree.logp[state, tree.symbol[b]])
-            state = tree.goto[state, tree.symbol[b]]
-        return total
-    assert np.allclose(tree.scores(lines), [one_by_one(x) for x in lines], atol=1e-3)
-    assert np.allclose(tree.scores([b"\n", lines[0], b"\n"]), [one_by_one(b"\n"), one_by_one(lines[0]), one_by_one(b"\n")], atol=1e-3)
+    assert len(none) == len(table()) and all(r.base_score == 0 and r.score == 0 and r.n_known == 0 for r in none)
+
+
+def test_suffix_tree_grows_with_the_corpus(spark):
+    """Contexts are retained by counts, so a rare one is no worse off in a larger corpus."""
+    from pyspark.sql import functions as F
+
+    odd = "rare0 rare1 rare2 rare3"
+    few, many = ([odd, odd] + [prose(i, 200) for i in range(k)] for k in (5, 50))
+    gains = []
+    for texts in (few, many):
+        frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        got = {r.doc_id: r for r in suffix_tree.score_texts(frame, F.lit(True)).collect()}
+        gains.append(got[0].score - got[0].base_score)
+        assert got[0].n_contexts >= 4  # all but perhaps the start
+    assert gains[1] > gains[0] > 8
+
+
+def test_words_of_long_texts(monkeypatch):
+    from corvane.llm import hashing
+
+    texts = [("word%d " % i * 50 + "x" * 300 + " \n" + prose(i, 40)).encode() for i in range(6)] + [b"", b"  ", b"one"]
+    whole = hashing.words(texts)
+    monkeypatch.setattr(hashing, "CHUNK", 64)
+    for a, b in zip(whole, hashing.words(texts), strict=True):
+        assert (a == b).all()
+    assert whole[2].tolist() == np.cumsum([0] + [len(t.split()) for t in texts[:-1]]).tolist()
+    values = np.array([0, 1, 2**63, 77, 2**64 - 1], dtype=np.uint64)
+    for v in (values, values[:0], values[:1]):
+        assert (hashing.unpacked(hashing.packed(v)) == v).all()
+    signs = np.array([-5, 0, 7, -(2**40)])
+    assert (hashing.unsigned(hashing.signed(signs)) == signs).all()
 
 
 def brute_repeats(texts, least=50):
