@@ -96,3 +96,55 @@ def best_fit_decreasing(sizes: Iterable[tuple[object, int]], capacity: int, bins
         if bins is not None or at[0] > size:
             tree.add(at[0] - size, at[1])
     return out
+
+
+def pack_histogram(histogram: dict[int, int], capacity: int, bins: int | None = None) -> tuple[list[tuple[int, int, int, int]], int]:
+    """What best_fit_decreasing does with so many items of each size, in runs (size, rank, bin, each), and the number of bins.
+
+    Of a size's items, those from rank on fill bins from bin on, each items in each. Successive bins with equal room
+    are one entry of the tree; a bin that takes an item and has room for another stays the tightest, so it is filled
+    at once.
+    """
+    tree, many, rows, opened = CapacityTree(), {}, [], bins or 0
+
+    def put(room: int, first: int, count: int) -> None:
+        if count > 0 and (room > 0 or bins is not None):
+            tree.add(room, first)
+            many[first] = count
+
+    put(capacity, 0, opened)
+    for size in sorted(histogram, reverse=True):
+        rank, left = 0, histogram[size]
+        while left:
+            at = tree.tightest(size)
+            if at is not None:
+                tree.remove(*at)
+            elif bins is not None:  # overfills the one with most room
+                room, first = tree.widest()
+                tree.remove(room, first)
+                rows.append((size, rank, first, 1))
+                put(room, first + 1, many.pop(first) - 1)
+                put(room - size, first, 1)
+                rank, left = rank + 1, left - 1
+                continue
+            elif size > capacity:  # each has a bin to itself
+                rows.append((size, rank, opened, 1))
+                opened += left
+                break
+            else:
+                at = (capacity, opened)
+                many[opened] = -(-left // (capacity // size))
+                opened += many[opened]
+            room, first = at
+            count, each = many.pop(first), room // size
+            whole = min(count, left // each)
+            rest = left - whole * each if whole < count else 0
+            if whole:
+                rows.append((size, rank, first, each))
+                put(room - each * size, first, whole)
+            if rest:
+                rows.append((size, rank + whole * each, first + whole, rest))
+                put(room - rest * size, first + whole, 1)
+            put(room, first + whole + (rest > 0), count - whole - (rest > 0))
+            rank, left = rank + whole * each + rest, left - whole * each - rest
+    return rows, opened

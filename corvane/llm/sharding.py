@@ -1,16 +1,13 @@
 """Sharding by best-fit-decreasing bin packing of indivisible groups.
 
 Documents with equal texts form a group and stay together. Groups sorted by size enter the tightest shard with
-room, found in a balanced tree. Groups of over 1/UNITS of all bytes are packed one by one; smaller ones are first
-joined by a hash into UNITS bundles, which are packed like groups. So the packer sees at most 2 * UNITS sizes
-whatever the corpus, and a bundle is a small part of a shard.
+room, found in a balanced tree. Equal sizes are alike to the packing, so it is computed for the histogram of group
+sizes: how many groups of each size go where. A group then finds its shard by its size and its rank among groups of
+that size, which distributed prefix sums give. The outcome is that of packing all groups one by one.
 
-Where a capacity is given and 1/UNITS of all bytes is over 1/GRAIN of it, groups are first dealt by a hash into parts
-for which that holds. Each part is packed like this by a task of its own and opens shards of its own. A bundle over
-the capacity is taken apart again.
-
-Scale: texts are read once. Documents meet their shard by two broadcast tables of at most UNITS rows each, then
-slots come from distributed prefix sums.
+Scale: texts are read once; after that a few numbers a document move. The driver holds the histogram: different
+sizes add up to no more than all bytes, so there are at most the square root of twice the bytes of them (245,000 at
+30 GB), in practice as many as there are lengths of texts. Nothing is broadcast but what Spark finds small.
 
 Defined results: a null text has no bytes and forms a group with the empty ones; a null doc_id is a document;
 equal rows are separate members of a group; a group larger than a shard overfills one; an empty table gives an
@@ -19,84 +16,45 @@ empty result; further columns are ignored.
 
 from __future__ import annotations
 
-import pandas as pd
+from itertools import groupby
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
-
-from .capacity import best_fit_decreasing
-from .common import Shelf, read, running_sum
 
-UNITS = 8192
-#: Bundles have at most about 1/GRAIN of a given capacity.
-GRAIN = 64
+from .capacity import pack_histogram
+from .common import Shelf, loosened, read, running_sum
 
 
-def shard(docs: DataFrame, shards: int | None = 16, capacity: int | None = None, doc_id: str = "doc_id", text: str = "text", units: int = UNITS) -> DataFrame:
+def shard(docs: DataFrame, shards: int | None = 16, capacity: int | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, size, text_crc32, shard, slot.
 
-    shards: so many, each of an equal part of all bytes. With shards None, as few shards of capacity bytes as the
-    packing needs, up to one not full for each part; a group over the capacity then has a shard to itself.
+    shards: so many, each of an equal part of all bytes, or of capacity. With shards None, as few shards of capacity
+    bytes as the packing needs; a group over the capacity then has a shard to itself.
     """
     spark = docs.sparkSession
     shelf = Shelf(spark, "sharding")
     whole = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(doc_id).alias("doc_id"), (F.octet_length(whole) + 1).cast("long").alias("size"), F.crc32(whole.cast("binary")).alias("text_crc32"), F.unhex(F.sha2(whole, 256)).alias("digest"))
-    rows = shelf.keep(rows.withColumn("bundle", F.pmod(F.xxhash64("digest"), F.lit(units)).cast("int")), "rows")
-    groups = shelf.keep(rows.groupBy("digest", "bundle").agg(F.sum("size").alias("bytes")), "groups")
-    total = groups.agg(F.sum("bytes")).first()[0] or 0
-    capacity = capacity or max(1, -(-total // (shards or 1)))
-    parts = -(-total * GRAIN // (capacity * units)) if shards is None else 1
-    if parts > 1:
-        placed = rows.join(_in_parts(shelf, groups, capacity, parts, units), "digest")
-        return _slots(placed.select("doc_id", "size", "text_crc32", "shard"))
-    large = F.col("bytes") * units > total
-    # at most units groups hold over 1/units of the bytes each, and there are at most units bundles
-    packed = [(bytes(r[0]), r[1]) for r in groups.where(large).select("digest", "bytes").collect()]
-    bundles = [(r[0], r[1]) for r in groups.where(~large).groupBy("bundle").agg(F.sum("bytes")).collect()]
-    if shards is None:
-        apart = [k for k, n in bundles if n > capacity]
-        packed += [(bytes(r[0]), r[1]) for r in groups.where(~large & F.col("bundle").isin(apart)).select("digest", "bytes").collect()] if apart else []
-        bundles = [(k, n) for k, n in bundles if n <= capacity]
-    packed += bundles
-    held = best_fit_decreasing(((k.hex() if isinstance(k, bytes) else k, n) for k, n in packed), capacity, shards)
-    of_group = spark.createDataFrame([(k, held[k.hex()]) for k, _ in packed if isinstance(k, bytes)], "digest binary, own int")
-    of_bundle = spark.createDataFrame([(k, held[k]) for k, _ in packed if isinstance(k, int)], "bundle int, shared int")
-    placed = rows.join(F.broadcast(of_group), "digest", "left").join(F.broadcast(of_bundle), "bundle", "left")
-    return _slots(placed.select("doc_id", "size", "text_crc32", F.coalesce("own", "shared").alias("shard")))
-
-
-def _slots(placed: DataFrame) -> DataFrame:
-    placed = placed.withColumn("one", F.lit(1))
+    rows = shelf.keep(rows, "rows")
+    groups = shelf.keep(rows.groupBy("digest").agg(F.sum("size").alias("bytes")), "groups")
+    told = groups.groupBy("bytes").count().toArrow()
+    histogram = dict(zip(told["bytes"].to_pylist(), told["count"].to_pylist(), strict=True))
+    total = sum(k * n for k, n in histogram.items())
+    runs, _ = pack_histogram(histogram, capacity or max(1, -(-total // (shards or 1))), shards)
+    # a row for each size; its runs ascend by rank
+    sizes = [(k, *zip(*(r[1:] for r in own), strict=True)) for k, own in ((k, list(own)) for k, own in groupby(runs, key=lambda r: r[0]))]
+    kinds = (pa.int64(), *[pa.list_(pa.int64())] * 3)
+    plan = spark.createDataFrame(pa.table([pa.array([x[i] for x in sizes], kind) for i, kind in enumerate(kinds)], ["bytes", "from", "first", "each"]))
+    ranked = running_sum(groups.withColumn("one", F.lit(1)), ["bytes"], F.col("digest"), "one", "rank", ["digest"]).drop("one")
+    ranked = ranked.join(loosened(plan, "bytes"), "bytes").withColumn("run", F.size(F.filter("from", lambda r: r <= F.col("rank"))))
+    in_run = lambda c: F.element_at(c, F.col("run"))
+    held = ranked.select("digest", (in_run("first") + F.floor((F.col("rank") - in_run("from")) / in_run("each"))).cast("int").alias("shard"))
+    placed = rows.join(loosened(held, "digest"), "digest").select("doc_id", "size", "text_crc32", "shard")
+    placed = shelf.keep(placed, "placed").withColumn("one", F.lit(1))
     return running_sum(placed, ["shard"], F.struct("doc_id", "text_crc32"), "one", "slot", ["doc_id", "text_crc32"]).drop("one")
 
 
-def _in_parts(shelf: Shelf, groups: DataFrame, capacity: int, parts: int, units: int) -> DataFrame:
-    """(digest, shard) of groups, packed in parts. Numbers of shards go on from part to part."""
-    own = groups.withColumn("part", F.pmod(F.xxhash64("digest", F.lit("part")), F.lit(parts)).cast("int"))
-    small = F.col("bytes") * GRAIN <= capacity
-    sums = own.where(small).groupBy("part", "bundle").agg(F.sum("bytes").alias("held"))
-    full = sums.where(F.col("held") > capacity).select("part", "bundle", F.lit(True).alias("apart"))
-    own = own.join(full, ["part", "bundle"], "left")
-    # what is packed by itself keeps its digest, a bundle has none
-    own = own.withColumn("single", F.when(small & F.col("apart").isNull(), F.lit(None)).otherwise(F.hex("digest")))
-    own = shelf.keep(own.withColumn("bundle", F.when(F.col("single").isNull(), F.col("bundle")).otherwise(-1)).drop("apart"), "parts")
-    items = own.groupBy("part", "bundle", "single").agg(F.sum("bytes").alias("bytes"))
-
-    def pack(part: pd.DataFrame) -> pd.DataFrame:
-        keys = list(zip(part["bundle"], part["single"].fillna(""), strict=True))
-        held = best_fit_decreasing(zip(keys, part["bytes"].tolist(), strict=True), capacity)
-        return part[["part", "bundle", "single"]].assign(local=[held[k] for k in keys])
-
-    packed = shelf.keep(items.groupBy("part").applyInPandas(pack, "part int, bundle int, single string, local int"), "packed")
-    opened = packed.groupBy("part").agg((F.max("local") + 1).alias("opened"))
-    before = F.sum("opened").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))  # one row a part
-    packed = packed.join(opened.select("part", F.coalesce(before, F.lit(0)).alias("before")), "part")
-    packed = packed.select("part", "bundle", F.coalesce("single", F.lit("")).alias("single"), (F.col("before") + F.col("local")).cast("int").alias("shard"))
-    own = own.withColumn("single", F.coalesce("single", F.lit("")))
-    return own.join(packed, ["part", "bundle", "single"]).select("digest", "shard")
-
-
 def op8_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = shard(read(spark, sf_dir, "documents", ["doc_id", "text"]))
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

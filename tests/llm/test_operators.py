@@ -151,25 +151,72 @@ def test_shard(docs, nothing):
     assert sharding.shard(nothing, 4).count() == 0
     by_capacity = sharding.shard(docs, None, capacity=200_000).groupBy("shard").agg({"size": "sum"}).collect()
     assert all(r[1] <= 200_000 for r in by_capacity)
-    few = sharding.shard(docs, 4, units=2).collect()  # bundles instead of single groups
-    assert len(few) == len(rows)
+    sizes = Counter()
+    for _, t, *_ in rows:
+        sizes[t or ""] += len((t or "").encode()) + 1
+    held = capacity.best_fit_decreasing(sizes.items(), -(-sum(sizes.values()) // 4), 4)
+    load, want = Counter(), Counter()
+    for r in got:
+        load[r.shard] += r.size
+    for t, n in sizes.items():
+        want[held[t]] += n
+    assert sorted(load.values()) == sorted(want.values())
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_packing_of_a_histogram_equals_packing_one_by_one(seed):
+    r = random.Random(seed)
+    c, bins = r.choice([5, 100, 1000]), r.choice([None, 1, 4, 16])
+    histogram = {r.randint(1, c if bins is None else 3 * c): r.choice([1, 2, 3, 40]) for _ in range(r.choice([0, 1, 20, 200]))} | ({3 * c: 2} if seed % 3 == 0 else {})
+    if bins is not None:
+        c = -(-sum(k * n for k, n in histogram.items()) // bins) or 1
+    rows, opened = capacity.pack_histogram(histogram, c, bins)
+    load, placed = Counter(), Counter()
+    for size, own in ((k, sorted(x[1:] for x in rows if x[0] == k)) for k in histogram):
+        for rank in range(histogram[size]):
+            first, bin_, each = [x for x in own if x[0] <= rank][-1]
+            load[bin_ + (rank - first) // each] += size
+            placed[size] += 1
+    assert placed == Counter(histogram) and set(load) <= set(range(opened))
+    items = [((k, i), k) for k, n in histogram.items() for i in range(n)]
+    want = Counter()
+    for (k, _), b in capacity.best_fit_decreasing(items, c, bins).items():
+        want[b] += k
+    assert sorted(load.values()) == sorted(want.values())
+
+
+def test_shards_of_the_tables_are_balanced_and_those_of_brute_force(spark):
+    import os
+
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("no tables")
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    sizes, load = Counter(), Counter()
+    for _, t in docs.collect():
+        sizes[t or ""] += len((t or "").encode()) + 1
+    for r in sharding.shard(docs).collect():
+        load[r.shard] += r.size
+    want = Counter()
+    for t, b in capacity.best_fit_decreasing(sizes.items(), -(-sum(sizes.values()) // 16), 16).items():
+        want[b] += sizes[t]
+    assert sorted(load.values()) == sorted(want.values())
+    assert max(load.values()) <= 1.01 * sum(sizes.values()) / 16 or max(load.values()) == max(sizes.values())
 
 
 def test_shards_of_a_small_capacity_hold_it(spark, tmp_path):
     rows = [(i, prose(i % 300, 1 + i % 300 % 20)) for i in range(400)] + [(1000, prose(1000, 400)), (1001, None)]
     spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "d"))
-    docs = spark.read.parquet(str(tmp_path / "d"))
-    for units in (2, 16, 8192):
-        got = sharding.shard(docs, None, capacity=1000, units=units).collect()
-        assert sorted(r.doc_id for r in got) == sorted(d for d, _ in rows)
-        load, alone, of_text = Counter(), defaultdict(list), defaultdict(set)
-        for r in got:
-            load[r.shard] += r.size
-            alone[r.shard].append(r.doc_id)
-            of_text[r.text_crc32].add(r.shard)
-        assert all(n <= 1000 or alone[s] == [1000] for s, n in load.items())
-        assert all(len(s) == 1 for s in of_text.values())
-        assert sorted(load) == list(range(len(load)))
+    got = sharding.shard(spark.read.parquet(str(tmp_path / "d")), None, capacity=1000).collect()
+    assert sorted(r.doc_id for r in got) == sorted(d for d, _ in rows)
+    load, alone, of_text = Counter(), defaultdict(list), defaultdict(set)
+    for r in got:
+        load[r.shard] += r.size
+        alone[r.shard].append(r.doc_id)
+        of_text[r.text_crc32].add(r.shard)
+    assert all(n <= 1000 or alone[s] == [1000] for s, n in load.items())
+    assert all(len(s) == 1 for s in of_text.values())
+    assert sorted(load) == list(range(len(load)))
 
 
 def test_packing(docs, nothing):
