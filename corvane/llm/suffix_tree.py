@@ -43,11 +43,11 @@ GAIN = 4.0
 DISCOUNT = 0.75
 SPARE = 16
 #: Tokens of a chunk; entries of a range of hashes.
-CHUNK, ENTRIES = 1 << 19, 2_000_000
+CHUNK, ENTRIES = 3 << 18, 2_000_000
 START, END = (np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA3B195354A39B70D))
 STEP = np.uint64(0xD1342543DE82EF95)
 #: Fractions of a bit, and of a distinct next token, in which parts are summed.
-BIT, NEXT = 1 << 6, 1 << 20
+BIT, NEXT = 1 << 4, 1 << 14
 
 
 def chunked(docs: DataFrame, depth: int, size: int = CHUNK) -> DataFrame:
