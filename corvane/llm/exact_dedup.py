@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, Shelf, loosened, numbered, read
+from .common import SPACE, Shelf, loosened, numbered, read, spare
 
 BLOCK = 2048
 
@@ -96,14 +96,14 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bl
 def drop_exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
     """The rows of docs that stay, with all their columns."""
     spark = docs.sparkSession
-    shelf = Shelf(spark, "exact-dedup")
-    own = numbered(docs, "__rid")
-    names = name_texts(shelf, own.select("__rid", F.col(text).alias("text")), "text", block)
-    facts = own.select("__rid", F.col(doc_id).alias("__id"), F.length(F.coalesce(F.col(text), F.lit(""))).alias("__chars"))
+    shelf, rid = Shelf(spark, "exact-dedup"), spare(docs, "__rid")
+    own = numbered(docs, rid)
+    names = name_texts(shelf, own.select(F.col(rid).alias("__rid"), F.col(text).alias("text")), "text", block)
+    facts = own.select(F.col(rid).alias("__rid"), F.col(doc_id).alias("__id"), F.length(F.coalesce(F.col(text), F.lit(""))).alias("__chars"))
     rows = shelf.keep(facts.join(names, "__rid"), "rows")
     best = F.struct((-F.col("__chars")).alias("a"), F.col("__id").isNull().alias("b"), F.col("__id").alias("c"), F.col("__rid").alias("d"))
-    stay = rows.groupBy("level", "name").agg(F.min(best).alias("best")).select(F.col("best.d").alias("__rid"))
-    return own.join(stay, "__rid", "left_semi").drop("__rid")
+    stay = rows.groupBy("level", "name").agg(F.min(best).alias("best")).select(F.col("best.d").alias(rid))
+    return own.join(stay, rid, "left_semi").select(docs.columns)
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

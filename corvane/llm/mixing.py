@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import SPACE, WORD, Shelf, loosened, numbered, read, running_sum
+from .common import SPACE, WORD, Shelf, loosened, numbered, read, running_sum, spare
 
 WEIGHTS = (5, 2, 1)
 MOST_EPOCHS = 3
@@ -74,10 +74,11 @@ def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", source: str = "sour
 
     A document without words costs nothing and stays once.
     """
-    own = numbered(docs, "__rid")
+    rid = spare(docs, "__rid")
+    own = numbered(docs, rid)
     copies = F.col("epochs") + F.when(F.col("part") * 2 >= F.col("size"), 1).otherwise(0)
-    taken = mix(docs, doc_id, source, text, weights, most).select("__rid", F.when(F.col("size") == 0, 1).otherwise(copies).cast("int").alias("__copies")).where("__copies > 0")
-    return own.join(taken, "__rid").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).drop("__rid", "__copies", "__copy")
+    taken = mix(docs, doc_id, source, text, weights, most).select(F.col("__rid").alias(rid), F.when(F.col("size") == 0, 1).otherwise(copies).cast("int").alias("__copies")).where("__copies > 0")
+    return own.join(taken, rid).select(*docs.columns, F.explode(F.sequence(F.lit(1), taken["__copies"]))).select(docs.columns)
 
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -105,14 +105,14 @@ def test_mix(docs, nothing, spark):
     assert mixing.mixed_documents(docs).columns == docs.columns
 
 
-@pytest.mark.parametrize("seed", range(20))
-def test_targets_equal_repeated_resharing(seed):
-    # the closed form, in plain Python: sources by cap over weight are capped up to some place
+@pytest.mark.parametrize("seed", range(6))
+def test_targets_equal_repeated_resharing(spark, seed):
     r = random.Random(seed)
-    sizes = {f"s{i:02}": r.choice([0, 1, 10, 1000, 10**6]) for i in range(r.randrange(1, 12))}
+    sizes = {f"s{i:02}": r.choice([0, 1, 10, 1000, 10**6]) for i in range(r.randrange(1, 12))} | ({None: 5} if seed % 2 else {})
     aims = water(sizes, (5, 2, 1), 3)
-    assert math.isclose(sum(aims.values()), sum(sizes.values()), rel_tol=1e-9, abs_tol=1e-9)
-    assert all(aims[s] <= 3 * sizes[s] + 1e-9 for s in sizes)
+    frame = spark.createDataFrame([(s is None, s or "", n) for s, n in sizes.items()], "no_source boolean, source string, source_size long")
+    got = {None if x.no_source else x.source: x.target for x in mixing.targets(frame).collect()}
+    assert set(got) == set(aims) and all(math.isclose(got[s], aims[s], rel_tol=1e-9, abs_tol=1e-6) for s in aims)
 
 
 def test_capacity_tree_and_packing():
@@ -342,11 +342,34 @@ def test_toxicity(spark, docs, nothing):
     assert abs(score("muslims here") - score("women here")) < 0.05
     assert len(toxicity.score(docs, model).collect()) == len(table())
     assert toxicity.drop_toxic(docs, model).columns == docs.columns
+    blind = toxicity.train(own, labels, swap_penalty=0.0).scorer()
+    assert blind("muslims live here and the day is quiet") > score("muslims live here and the day is quiet")  # what the penalty is for
     empty = toxicity.train(nothing, labels)
     assert empty.prior == 0.0 and toxicity.score(nothing, empty).count() == 0
     assert toxicity.train(own, labels.where("toxic = 1")).scorer()("anything") == 1.0
 
 
+def test_very_long_texts(spark, tmp_path):
+    """A text of some megabytes beside short ones, through all operators on texts."""
+    from pyspark.sql import functions as F
+
+    r = random.Random(9)
+    long = " ".join(f"w{r.randrange(10**6)}" for _ in range(400_000))
+    rows = [(1, long, "a"), (2, long + " end", "a"), (3, "x" * 3_000_000, "b"), (4, prose(1, 60), None), (5, None, None)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(2).write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    assert exact_dedup.exact_groups(docs).where("kept").count() == 5
+    assert sorted(x.doc_id for x in simhash.drop_near_duplicates(docs).collect()) == [1, 3, 4, 5]
+    assert simhash.near_groups(docs, ["doc_id"], F.col("doc_id")).count() == 5
+    assert {x.doc_id: x.n_tokens for x in suffix_tree.score_texts(docs, F.lit(True)).collect()} == {1: 400_001, 2: 400_002, 3: 2, 4: 61, 5: 1}
+    assert {x.doc_id: [(s.start, s.end) for s in x.spans] for x in suffix_dedup.repeated_passages(docs).collect()} == {1: [(0, 400_000)], 2: [(0, 400_000)]}
+    assert sharding.shard(docs, 2).count() == 5 and mixing.mix(docs).count() == 5
+    assert sum(x.length for x in packing.pack_documents(docs.where("doc_id > 2")).collect()) > 3
+    assert secrets.find_secrets(docs).count() == 5
+    labels = spark.createDataFrame([(1, 1), (4, 0), (5, 0)], "doc_id long, toxic int")
+    assert toxicity.score(docs, toxicity.train(docs, labels)).count() == 5
+
+
 def test_golay():
     rng = np.random.default_rng(0)
     x = rng.integers(0, 1 << 23, 5000)
@@ -367,8 +390,64 @@ def test_simhash(spark, docs, nothing):
     assert Counter((r.doc_id, r.fp % 2**64) for r in got) == want
     assert {r["first"] for r in got if r.fp == 0} == {0}
     assert simhash.near_groups(nothing, ["doc_id"], F.col("doc_id")).count() == 0
+    assert simhash.drop_near_duplicates(docs).columns == docs.columns
+
+
+def edited(text, r, share):
+    return " ".join(r.choice(["new", "other", "more"]) + str(r.randrange(999)) if r.random() < share else w for w in text.split())
+
+
+@pytest.mark.parametrize("block", [4096, 20])
+def test_near_duplicates_equal_brute_force(spark, tmp_path, nothing, block):
+    """Pairs, a base with copies that are less alike among themselves, and others."""
+    from corvane.llm.common import Shelf, components
+
+    r = random.Random(4)
+    texts = [prose(1000 + i, r.randrange(60, 400)) for i in range(120)]
+    texts += [edited(texts[i % 60], r, r.choice([0.005, 0.01, 0.02, 0.03])) for i in range(120)] + [edited(texts[100], r, 0.015) for _ in range(60)]
+    texts += [None, "", "few words", "few words", "few  words here", texts[0] + " ", texts[1].upper()]
+    spark.createDataFrame(list(enumerate(texts)), "rid long, text string").repartition(3).write.parquet(str(tmp_path / "d"))
+    shelf, own = Shelf(spark, "test"), spark.read.parquet(str(tmp_path / "d"))
+    links = simhash.near_links(shelf, own, block=block)
+    got = {x.node: x.root for x in components(shelf, links).collect()}
+    sets = [{tuple(words(t)[j : j + 5]) for j in range(max(1, len(words(t)) - 4))} for t in texts]
+    alike = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    pairs = [(a, b) for a in range(len(texts)) for b in range(a + 1, len(texts)) if alike(a, b)]
+    assert len(pairs) > 100
+    assert all(alike(x.a, x.b) for x in links.collect())  # nothing else is linked
+    found = [got.get(a, a) == got.get(b, b) for a, b in pairs]
+    assert sum(found) >= 0.99 * len(found)
+    docs = own.select(own.rid.alias("doc_id"), "text", own.rid, own.rid.alias("RID_"))
     kept = simhash.drop_near_duplicates(docs)
-    assert kept.columns == docs.columns and kept.count() == len({r["first"] for r in got})
+    assert kept.columns == docs.columns and abs(kept.count() - (len(texts) - len(got) + len(set(got.values())))) <= 1  # with other blocks than got
+    assert simhash.drop_near_duplicates(nothing).count() == 0
+
+
+def test_word_set_fingerprints(monkeypatch):
+    from corvane.llm import hashing
+
+    texts = [prose(i, n).encode() for i, n in enumerate((0, 1, 50, 3000, 7))] + [b"B a b A"]
+    got = simhash.word_set_fingerprints(texts)
+    for t, f in zip(texts, got, strict=True):
+        h = np.unique(hashing.words([t])[0])
+        both = np.stack([h, hashing.mixed(h * np.uint64(hashing.MULTIPLIER) + np.uint64(1))], axis=1)
+        want = [sum(int(x[i // 64]) >> i % 64 & 1 for x in both) * 2 > len(h) for i in range(128)]
+        assert [int(f[i // 64]) >> i % 64 & 1 for i in range(128)] == want
+    monkeypatch.setattr(simhash, "CHUNK", 7)
+    assert (simhash.word_set_fingerprints(texts) == got).all()
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_fingerprint_equals_brute_force(seed, monkeypatch):
+    import xxhash
+
+    r = random.Random(seed)
+    monkeypatch.setattr(simhash, "CHUNK", r.choice([1, 5, 1 << 16]))
+    for n in (0, 1, 2, 3, 4, 80):
+        w = words(prose(seed * 10 + n, n))
+        grams = [b" ".join(w[i : i + 3]) for i in range(max(1, len(w) - 2))] if w else []
+        h = [xxhash.xxh64_intdigest(g, 42) for g in grams]
+        assert simhash.fingerprint(prose(seed * 10 + n, n)) == sum(1 << b for b in range(64) if sum(x >> b & 1 for x in h) * 2 > len(h))
 
 
 @pytest.mark.parametrize("crowd", [256, 2])

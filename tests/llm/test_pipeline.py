@@ -39,10 +39,9 @@ def test_stages_equal_brute_force(spark, tmp_path):
     import os
     from collections import Counter, defaultdict
 
-    import numpy as np
     import pytest
 
-    from corvane.llm import mixing, simhash
+    from corvane.llm import mixing
 
     sf = "/root/testdata/sf0.001"
     if not os.path.isdir(sf):
@@ -61,11 +60,15 @@ def test_stages_equal_brute_force(spark, tmp_path):
     for d, t in zip(clean.doc_id, clean.text, strict=True):
         best[norm(t)] = min(best.get(norm(t), (1, 0)), (-len(t or ""), d))
     assert sorted(exact.doc_id) == sorted(d for _, d in best.values())
-    ids, fps = exact.doc_id.to_numpy(), np.array([simhash.fingerprint(t) for t in exact.text], dtype=np.uint64)
-    linked, root = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 2, ids.copy()
-    for _ in range(20):
-        root = np.array([root[linked[i]].min() for i in range(len(ids))])
-    assert sorted(near.doc_id) == sorted(set(root.tolist()))
+    ids = exact.doc_id.tolist()
+    grams = [[tuple((t or "").encode().lower().split()[j:][:5]) for j in range(max(1, len((t or "").split()) - 4))] for t in exact.text]
+    sets, root = [set(g) for g in grams], {d: d for d in ids}
+    for _ in range(5):
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets):
+                if len(a & b) >= 0.8 * len(a | b):
+                    root[ids[i]] = root[ids[j]] = min(root[ids[i]], root[ids[j]])
+    assert sorted(near.doc_id) == sorted(set(root.values()))
     size = {d: len((t or "").encode().split()) for d, t in zip(near.doc_id, near.text, strict=True)}
     source, copies, taken, total = dict(zip(near.doc_id, near.source, strict=True)), Counter(mixed.doc_id), Counter(), Counter()
     aims = {r.source: r.target for r in mixing.mix(spark.createDataFrame(near)).select("source", "target").distinct().collect()}
