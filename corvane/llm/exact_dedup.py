@@ -16,7 +16,7 @@ empty result; further columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import SPACE, Shelf, loosened, numbered, read, spare
@@ -34,22 +34,30 @@ def _named(df: DataFrame, by: list[str]) -> DataFrame:
     return df.select(*by).distinct().sortWithinPartitions(*by).withColumn("name", F.monotonically_increasing_id())
 
 
-def name_texts(shelf: Shelf, docs: DataFrame, text: str = "text", block: int = BLOCK, digest=lambda blk: F.xxhash64(blk)) -> DataFrame:
-    """docs without text, and identity: a struct that is equal exactly for equal normalised texts.
+def _blocks(docs: DataFrame, text: str, block: int) -> DataFrame:
+    """docs with __norm, the normalised text, and __blocks: it in pieces of block characters; a text without any is one empty block."""
+    out = docs.withColumn("__norm", normalised(F.col(text))).withColumn("__n", F.length("__norm"))
+    places = F.sequence(F.lit(0), F.greatest(F.lit(1), F.ceil(F.col("__n") / block).cast("int")) - 1)
+    few = F.transform(places, lambda i: F.substring(F.col("__norm"), i * block + 1, F.lit(block)))
+    # a place in a string is found from its start, so many blocks are cut in one pass of a pattern
+    many = F.regexp_extract_all("__norm", F.lit(f"(?s).{{1,{block}}}+"), F.lit(0))
+    return out.withColumn("__blocks", F.when(F.col("__n") <= 16 * block, few).otherwise(many)).drop("__n")
+
+
+def name_texts(shelf: Shelf, docs: DataFrame, text: str = "text", block: int = BLOCK, digest=lambda blk: F.xxhash64(blk), also: tuple[Column, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """(facts, names): columns also of docs and __norm, the normalised text, by __rid, and level and name by __rid, which are equal exactly for equal normalised texts.
 
     docs needs a unique column __rid. digest: the hash by which blocks meet their names; any function will do,
     a weak one only makes the pass over colliding blocks larger.
     """
-    # one pass over a text cuts all its blocks, however many they are; a text without any is one empty block
-    cut = F.regexp_extract_all(normalised(F.col(text)), F.lit(f"(?s).{{1,{block}}}+"), F.lit(0))
-    cut = docs.select("__rid", F.when(F.size(cut) == 0, F.array(F.lit(""))).otherwise(cut).alias("__blocks"))
-    blocks = cut.select("__rid", F.size("__blocks").alias("__n"), F.posexplode("__blocks").alias("i", "block"))
-    blocks = blocks.withColumn("h", digest(F.col("block")))
+    facts = _blocks(docs, text, block).select("__rid", *also, F.transform("__blocks", digest).alias("__h"))
+    facts = shelf.keep(facts, "facts")
+    rows = facts.select("__rid", F.size("__h").alias("__n"), F.posexplode("__h").alias("i", "h"))
     # level 0: distinct blocks, sorted into names. One row for a hash; first and last tell whether it stands for one block.
+    blocks = _blocks(docs.select("__rid", text), text, block).select("__rid", F.size("__blocks").alias("__n"), F.posexplode("__blocks").alias("i", "block")).withColumn("h", digest(F.col("block")))
     first = blocks.groupBy("h").agg(F.min("block").alias("lo"), F.max("block").alias("hi")).sortWithinPartitions("lo", "h")
     first = first.select("h", F.monotonically_increasing_id().alias("name"), (F.col("lo") != F.col("hi")).alias("shared"))
     first = shelf.keep(first, "names-0")
-    rows = blocks.select("__rid", "__n", "i", "h")
     if first.where("shared").isEmpty():
         level = rows.join(first.select("h", "name"), "h").select("__rid", "__n", "i", "name")
     else:
@@ -72,7 +80,7 @@ def name_texts(shelf: Shelf, docs: DataFrame, text: str = "text", block: int = B
     out = done[0]
     for x in done[1:]:
         out = out.union(x)
-    return out
+    return facts.drop("__h"), out
 
 
 def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK, digest=None) -> DataFrame:
@@ -84,8 +92,8 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bl
     spark = docs.sparkSession
     shelf = Shelf(spark, "exact-dedup")
     own = numbered(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "__rid")
-    names = name_texts(shelf, own, "text", block, digest or (lambda blk: F.xxhash64(blk)))
-    facts = own.select("__rid", "doc_id", F.length(F.coalesce("text", F.lit(""))).alias("n_chars"), F.sha2(normalised(F.col("text")), 256).alias("text_sha256"))
+    also = F.col("doc_id"), F.length(F.coalesce("text", F.lit(""))).alias("n_chars"), F.sha2("__norm", 256).alias("text_sha256")
+    facts, names = name_texts(shelf, own, "text", block, digest or (lambda blk: F.xxhash64(blk)), also)
     rows = shelf.keep(facts.join(names, "__rid"), "rows")
     best = F.struct((-F.col("n_chars")).alias("a"), F.col("doc_id").isNull().alias("b"), F.col("doc_id").alias("c"), F.col("__rid").alias("d"))
     groups = rows.groupBy("level", "name").agg(F.min(best).alias("best"), F.count(F.lit(1)).alias("group_size"))
@@ -98,8 +106,8 @@ def drop_exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "
     spark = docs.sparkSession
     shelf, rid = Shelf(spark, "exact-dedup"), spare(docs, "__rid")
     own = numbered(docs, rid)
-    names = name_texts(shelf, own.select(F.col(rid).alias("__rid"), F.col(text).alias("text")), "text", block)
-    facts = own.select(F.col(rid).alias("__rid"), F.col(doc_id).alias("__id"), F.length(F.coalesce(F.col(text), F.lit(""))).alias("__chars"))
+    slim = own.select(F.col(rid).alias("__rid"), F.col(doc_id).alias("__id"), F.col(text).alias("text"))
+    facts, names = name_texts(shelf, slim, "text", block, also=(F.col("__id"), F.length(F.coalesce("text", F.lit(""))).alias("__chars")))
     rows = shelf.keep(facts.join(names, "__rid"), "rows")
     best = F.struct((-F.col("__chars")).alias("a"), F.col("__id").isNull().alias("b"), F.col("__id").alias("c"), F.col("__rid").alias("d"))
     stay = rows.groupBy("level", "name").agg(F.min(best).alias("best")).select(F.col("best.d").alias(rid))
