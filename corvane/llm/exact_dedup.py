@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from .common import SPACE, Shelf, loosened, numbered, read, spare
 
 BLOCK = 2048
+#: Blocks of a piece, in which places are found from its start.
+GRAIN = 16
 
 
 def normalised(text):
@@ -34,14 +36,30 @@ def _named(df: DataFrame, by: list[str]) -> DataFrame:
     return df.select(*by).distinct().sortWithinPartitions(*by).withColumn("name", F.monotonically_increasing_id())
 
 
+def _places(length: Column, block: int) -> Column:
+    """0 to the number of blocks of so many characters, exclusive; no characters are one empty block."""
+    return F.sequence(F.lit(0), F.greatest(F.lit(1), F.ceil(length / block).cast("int")) - 1)
+
+
+def _pieces(norm: str, length: Column, size: int) -> Column:
+    """norm in pieces of size characters. A place in a string is found from its start, so a long one is cut in one pass of a pattern."""
+    return F.when(length <= size, F.array(norm)).otherwise(F.regexp_extract_all(norm, F.lit(f"(?s).{{1,{size}}}+"), F.lit(0)))
+
+
 def _blocks(docs: DataFrame, text: str, block: int) -> DataFrame:
-    """docs with __norm, the normalised text, and __blocks: it in pieces of block characters; a text without any is one empty block."""
+    """docs with __norm, the normalised text, and __blocks: it in pieces of block characters."""
     out = docs.withColumn("__norm", normalised(F.col(text))).withColumn("__n", F.length("__norm"))
-    places = F.sequence(F.lit(0), F.greatest(F.lit(1), F.ceil(F.col("__n") / block).cast("int")) - 1)
-    few = F.transform(places, lambda i: F.substring(F.col("__norm"), i * block + 1, F.lit(block)))
-    # a place in a string is found from its start, so many blocks are cut in one pass of a pattern
-    many = F.regexp_extract_all("__norm", F.lit(f"(?s).{{1,{block}}}+"), F.lit(0))
-    return out.withColumn("__blocks", F.when(F.col("__n") <= 16 * block, few).otherwise(many)).drop("__n")
+    few = F.transform(_places(F.col("__n"), block), lambda i: F.substring(F.col("__norm"), i * block + 1, F.lit(block)))
+    return out.withColumn("__blocks", F.when(F.col("__n") <= GRAIN * block, few).otherwise(_pieces("__norm", F.col("__n"), block))).drop("__n")
+
+
+def _block_rows(docs: DataFrame, text: str, block: int) -> DataFrame:
+    """(__rid, __n, i, block): a row for each block of __blocks, and their number."""
+    out = docs.withColumn("__norm", normalised(F.col(text))).select("__rid", F.length("__norm").alias("__chars"), "__norm")
+    # outer, so that Spark does not evaluate the pieces once more to leave out rows without any
+    out = out.select("__rid", "__chars", F.posexplode_outer(_pieces("__norm", F.col("__chars"), GRAIN * block)).alias("p", "piece"))
+    out = out.select("__rid", "__chars", "p", "piece", F.explode_outer(_places(F.length("piece"), block)).alias("j"))
+    return out.select("__rid", F.size(_places(F.col("__chars"), block)).alias("__n"), (F.col("p") * GRAIN + F.col("j")).alias("i"), F.substring("piece", F.col("j") * block + 1, F.lit(block)).alias("block"))
 
 
 def name_texts(shelf: Shelf, docs: DataFrame, text: str = "text", block: int = BLOCK, digest=lambda blk: F.xxhash64(blk), also: tuple[Column, ...] = ()) -> tuple[DataFrame, DataFrame]:
@@ -54,7 +72,7 @@ def name_texts(shelf: Shelf, docs: DataFrame, text: str = "text", block: int = B
     facts = shelf.keep(facts, "facts")
     rows = facts.select("__rid", F.size("__h").alias("__n"), F.posexplode("__h").alias("i", "h"))
     # level 0: distinct blocks, sorted into names. One row for a hash; first and last tell whether it stands for one block.
-    blocks = _blocks(docs.select("__rid", text), text, block).select("__rid", F.size("__blocks").alias("__n"), F.posexplode("__blocks").alias("i", "block")).withColumn("h", digest(F.col("block")))
+    blocks = _block_rows(docs.select("__rid", text), text, block).withColumn("h", digest(F.col("block")))
     first = blocks.groupBy("h").agg(F.min("block").alias("lo"), F.max("block").alias("hi")).sortWithinPartitions("lo", "h")
     first = first.select("h", F.monotonically_increasing_id().alias("name"), (F.col("lo") != F.col("hi")).alias("shared"))
     first = shelf.keep(first, "names-0")
