@@ -20,13 +20,13 @@ def content_hash(corpus: DataFrame, group: str) -> DataFrame:
     return rows.select(group, F.size("rows").cast("long").alias("n"), F.sha2(F.array_join(F.transform("rows", lambda x: x["r"]), ""), 256).alias("sha256"))
 
 
-def content_merkle(corpus: DataFrame, buckets: int = 4096) -> DataFrame:
-    """(n, sha256): a hash of hashes that any size allows. Records are hashed, then each bucket's sorted hashes, then the buckets'.
+def content_merkle(corpus: DataFrame, digits: int = 3) -> DataFrame:
+    """(n, sha256): a hash of hashes. Records are hashed, then each bucket's sorted hashes, then the buckets'. A bucket is what a hash begins with.
 
     Not the same value as content_hash; it also covers source_type.
     """
     own = F.sha2(F.concat_ws("\x1f", F.coalesce("source_type", F.lit("")), _record()), 256)
-    rows = corpus.select(own.alias("h")).withColumn("b", F.pmod(F.xxhash64("h"), F.lit(buckets)))
+    rows = corpus.select(own.alias("h")).withColumn("b", F.substring("h", 1, digits))
     parts = rows.groupBy("b").agg(F.count(F.lit(1)).alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("h"))
     return parts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "h"))), lambda x: x["h"]), ""), 256).alias("sha256"))
 
@@ -34,3 +34,12 @@ def content_merkle(corpus: DataFrame, buckets: int = 4096) -> DataFrame:
 def fingerprint(value: object) -> str:
     """SHA-256 of a value's canonical JSON."""
     return hashlib.sha256(json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()
+
+
+def changed(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(part, problem) where two identities of a corpus (rows as content_hash tells, the group first) differ: it changed during a run."""
+    group = before.columns[0]
+    side = lambda df, name: df.select(F.col(group).alias("part"), F.struct("n", "sha256").alias(name))
+    both = side(before, "a").join(side(after, "b"), "part", "full_outer")
+    problem = F.when(F.col("a").isNull(), "appeared").when(F.col("b").isNull(), "vanished").when(F.col("a") != F.col("b"), "changed")
+    return both.select("part", problem.alias("problem")).where("problem is not null")

@@ -13,10 +13,9 @@ EMPTY = "cast(array() as array<string>)"
 
 
 def select_questions(questions: DataFrame, targets: DataFrame, n: int | None = None) -> DataFrame:
-    """Questions in the order of targets (ordinal, question_id), the first n. Unknown and repeated targets are errors."""
-    bad = targets.join(questions.select("question_id"), "question_id", "left_anti").select("question_id").union(targets.groupBy("question_id").count().where("count > 1").select("question_id"))
-    if found := [r[0] for r in bad.limit(5).collect()]:
-        raise ValueError(f"unknown or repeated questions: {', '.join(found)}")
+    """Questions in the order of targets (ordinal, question_id), the first n. A repeated target is selected as often; an unknown one is an error."""
+    if found := [r[0] for r in targets.join(questions.select("question_id"), "question_id", "left_anti").select("question_id").limit(5).collect()]:
+        raise ValueError(f"unknown questions: {', '.join(found)}")
     out = questions.join(targets, "question_id").orderBy("ordinal")
     return out if n is None else out.limit(n)
 
@@ -52,10 +51,15 @@ def same_set(a: str, b: str):
 
 
 def correction_records(originals: DataFrame, updates: DataFrame, plan: DataFrame) -> DataFrame:
-    """Corrections from shards' updated questions: only those the shard owns and marks as updated."""
+    """Corrections from shards' updated questions: only those the shard owns and marks as updated.
+
+    Facts and reasons are told where originals (answer_facts) and updates (answer_facts, update_reasons) have them.
+    """
     mine = updates.where("updated").join(plan.select("shard", "question_id"), ["shard", "question_id"])
-    after = mine.select("question_id", F.col("expected_doc_ids").alias("after_ids"), F.col("valid_doc_ids").alias("after_valid"), F.col("gold_answer").alias("after_answer"))
-    out = originals.select("question_id", F.col("expected_doc_ids").alias("before_ids"), F.col("gold_answer").alias("before_answer")).join(after, "question_id")
+    some = lambda df, name: F.col(name) if name in df.columns else F.lit(None).cast("array<string>")
+    after = mine.select("question_id", F.col("expected_doc_ids").alias("after_ids"), F.col("valid_doc_ids").alias("after_valid"), F.col("gold_answer").alias("after_answer"), some(mine, "answer_facts").alias("after_facts"), some(mine, "update_reasons").alias("reasons"))
+    before = originals.select("question_id", F.col("expected_doc_ids").alias("before_ids"), F.col("gold_answer").alias("before_answer"), some(originals, "answer_facts").alias("before_facts"))
+    out = before.join(after, "question_id")
     return out.withColumn("doc_set_changed", ~same_set("before_ids", "after_ids")).withColumn("gold_answer_changed", ~F.col("before_answer").eqNullSafe(F.col("after_answer")))
 
 
@@ -69,23 +73,40 @@ def overlaid(questions: DataFrame, corrections: DataFrame) -> DataFrame:
 
 
 def audit_corrections(results: DataFrame, corrections: DataFrame, questions: DataFrame, answers: DataFrame) -> DataFrame:
-    """(question_id, problem), a row for each broken rule."""
-    flagged = results.where("corrected").select("question_id")
-    ids = corrections.select("question_id")
-    told = lambda df, problem: df.select("question_id", F.lit(problem).alias("problem"))
-    both = corrections.join(questions.select("question_id", "expected_doc_ids", "gold_answer"), "question_id")
-    checks = {
-        "before set is not the question's": ~same_set("before_ids", "expected_doc_ids"),
-        "before answer is not the question's": ~F.col("before_answer").eqNullSafe(F.col("gold_answer")),
-        "wrong set flag": F.col("doc_set_changed") == same_set("before_ids", "after_ids"),
-        "wrong answer flag": F.col("gold_answer_changed") == F.col("before_answer").eqNullSafe(F.col("after_answer")),
-        "changes nothing": ~F.col("doc_set_changed") & ~F.col("gold_answer_changed"),
+    """(question_id, problem), a row for each broken rule.
+
+    results: question_id, corrected, document_recall_pct; questions: the originals; answers: question_id, document_ids.
+    Only a record that changes the gold set or the gold answer goes with a flagged result; one that adds valid
+    documents alone is a record too. One pass over the records: each meets its result, question and answer once.
+    """
+    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
+    filled = lambda c: F.coalesce(F.size(c) > 0, F.lit(False))
+    facts = F.col("answer_facts") if "answer_facts" in questions.columns else F.lit(None).cast("array<string>")
+    original = questions.select("question_id", F.col("expected_doc_ids").alias("own_ids"), F.col("gold_answer").alias("own_answer"), facts.alias("own_facts"), F.lit(True).alias("known"))
+    told = results.select("question_id", yes("corrected").alias("flagged"), "document_recall_pct")
+    w = Window.partitionBy("question_id")
+    c = corrections.withColumn("records", F.count(F.lit(1)).over(w)).join(original, "question_id", "left").join(told, "question_id", "left")
+    c = c.join(answers.select("question_id", F.array_distinct("document_ids").alias("submitted")), "question_id", "left")
+    gold = F.array_distinct(F.coalesce("after_ids", F.expr(EMPTY)))
+    recall = 100.0 * F.size(F.array_intersect("submitted", gold)) / F.size(gold)
+    changed = yes("doc_set_changed") | yes("gold_answer_changed")
+    rules = {
+        "repeated record": F.col("records") > 1,
+        "changes gold without flag": changed & ~yes("flagged"),
+        "changes nothing": ~changed & ~filled("after_valid"),
+        "unknown question": F.col("known").isNull(),
+    }
+    of_known = {
+        "wrong set flag": yes("doc_set_changed") == same_set("before_ids", "after_ids"),
+        "wrong answer flag": yes("gold_answer_changed") == F.col("before_answer").eqNullSafe(F.col("after_answer")),
+        "recall not reproduced": (F.size(gold) > 0) & (F.abs(recall - F.col("document_recall_pct")) > 0.011),
+        "before is not the original": ~(F.col("before_ids").eqNullSafe(F.col("own_ids")) & F.col("before_answer").eqNullSafe(F.col("own_answer")) & F.col("before_facts").eqNullSafe(F.col("own_facts"))),
+        "after is incomplete": ~filled("after_ids") | (F.coalesce("after_answer", F.lit("")) == "") | F.col("after_facts").isNull(),
+        "no reasons": ~filled("reasons"),
     }
-    out = told(flagged.join(ids, "question_id", "left_anti"), "flagged without record").union(told(ids.join(flagged, "question_id", "left_anti"), "record without flag"))
-    out = out.union(told(ids.join(questions, "question_id", "left_anti"), "unknown question")).union(told(ids.join(answers, "question_id", "left_anti"), "no answer"))
-    out = out.union(told(ids.groupBy("question_id").count().where("count > 1"), "repeated record"))
-    broken = F.array_compact(F.array(*[F.when(c, F.lit(name)) for name, c in checks.items()]))
-    return out.union(both.select("question_id", F.explode(broken).alias("problem")))
+    broken = [F.when(cond, F.lit(name)) for name, cond in rules.items()] + [F.when(yes("known") & cond, F.lit(name)) for name, cond in of_known.items()]
+    out = c.select("question_id", F.explode(F.array_compact(F.array(*broken))).alias("problem"))
+    return out.union(told.where("flagged").join(corrections, "question_id", "left_anti").select("question_id", F.lit("flagged without record").alias("problem")))
 
 
 def correction_counts(results: DataFrame, corrections: DataFrame) -> DataFrame:

@@ -54,17 +54,42 @@ def aligned_batches(docs: DataFrame, batch_size: int, lane: str = "lane") -> Dat
     return per.select(lane, F.explode(F.arrays_zip(F.transform("docs", lambda d: d["doc_id"]).alias("doc_id"), F.col("batches").alias("batch"))).alias("x")).select(lane, "x.doc_id", "x.batch")
 
 
-def readiness(sent: DataFrame, log: DataFrame) -> DataFrame:
-    """One row: items sent, settled, errored and pending, resolved (none pending) and ready (resolved and none errored)."""
+def readiness(sent: DataFrame, log: DataFrame, accept_failures: bool = False, open_batches: DataFrame | None = None) -> DataFrame:
+    """One row: items sent, settled, errored and pending, open batches, resolved (none pending, none open) and ready.
+
+    Ready is what is resolved without errors; failures may be accepted, what is unresolved never.
+    """
     last = log.groupBy("id").agg(F.max_by("status", "seq").alias("status"))
     all_ = sent.select("id").distinct().join(last, "id", "left")
     n = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
     status = F.coalesce("status", F.lit("pending"))
     out = all_.agg(F.count(F.lit(1)).alias("items_sent"), n(status == SETTLED).alias("settled"), n(status == FAILED).alias("errored"), n(~status.isin(SETTLED, FAILED)).alias("pending"))
-    return out.withColumn("resolved", F.col("pending") == 0).withColumn("ready", (F.col("pending") == 0) & (F.col("errored") == 0))
+    unresolved = sent.sparkSession.createDataFrame([(0,)], "unresolved long") if open_batches is None else open_batches.agg(F.countDistinct("batch").alias("unresolved"))
+    out = out.crossJoin(F.broadcast(unresolved))  # one row each
+    resolved = (F.col("pending") == 0) & (F.col("unresolved") == 0)
+    return out.withColumn("resolved", resolved).withColumn("ready", resolved & ((F.col("errored") == 0) | F.lit(accept_failures)))
 
 
 def latest_batches(journal: DataFrame) -> DataFrame:
     """The last state of each batch of an event-sourced journal (batch, seq, state, n_items)."""
     w = Window.partitionBy("batch").orderBy(F.desc("seq"))
     return journal.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+
+
+def batch_states(journal: DataFrame, items: DataFrame, log: DataFrame) -> DataFrame:
+    """(batch, state, n_items, settled, errored): sending, sent, or settled once all items of a sent batch have a final status.
+
+    journal: (batch, seq, state); items: (batch, id); log: statuses (batch, id, status, seq). Of a settled batch the counts are all that has to be kept.
+    """
+    last = latest_status(log).select("batch", "id", "status")
+    n = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
+    per = items.select("batch", "id").distinct().join(last, ["batch", "id"], "left").groupBy("batch").agg(F.count(F.lit(1)).alias("n_items"), n(F.col("status") == SETTLED).alias("settled"), n(F.col("status") == FAILED).alias("errored"))
+    out = latest_batches(journal).select("batch", "state").join(per, "batch", "left").na.fill(0, ["n_items", "settled", "errored"])
+    final = (F.col("state") == "sent") & (F.col("settled") + F.col("errored") == F.col("n_items"))
+    return out.withColumn("state", F.when(final, "settled").otherwise(F.col("state")))
+
+
+def next_attempt(attempts: DataFrame, parts: DataFrame, key: str = "shard") -> DataFrame:
+    """(key, attempt): the number of each part's next attempt, from 1."""
+    last = attempts.groupBy(key).agg(F.max("attempt").alias("last"))
+    return parts.select(key).distinct().join(last, key, "left").select(key, (F.coalesce("last", F.lit(0)) + 1).cast("int").alias("attempt"))

@@ -14,12 +14,19 @@ SCORE = "CASE WHEN answer_correct THEN completeness_pct ELSE 0.0 END"
 
 def group_stats(results: DataFrame, by: str = "question_type") -> DataFrame:
     """Statistics of all questions (grp null) and of each group, unrounded. Means of recall and extra skip nulls, 0 if there are none."""
-    results.createOrReplaceTempView("__results")
-    return results.sparkSession.sql(f"""
-        SELECT {by} AS grp, grouping({by}) = 1 AS is_total, count(*) AS n,
-               100.0 * avg(CASE WHEN answer_correct THEN 1.0D ELSE 0.0D END) AS correctness, avg(completeness_pct) AS completeness,
-               avg({SCORE}) AS combined, coalesce(avg(document_recall_pct), 0.0D) AS recall, coalesce(avg(invalid_extra_docs), 0.0D) AS invalid_extra
-        FROM __results GROUP BY GROUPING SETS ((), ({by}))""")
+    mean = lambda c: F.coalesce(F.avg(c), F.lit(0.0))
+    out = results.select("*", F.col(by).alias("grp")).rollup("grp").agg(
+        F.grouping("grp").alias("is_total"), F.count(F.lit(1)).alias("n"), (100.0 * F.avg(F.when(F.col("answer_correct"), 1.0).otherwise(0.0))).alias("correctness"), F.avg("completeness_pct").alias("completeness"),
+        F.avg(F.expr(SCORE)).alias("combined"), mean("document_recall_pct").alias("recall"), mean("invalid_extra_docs").alias("invalid_extra"),
+    )
+    return out.withColumn("is_total", F.col("is_total") == 1)
+
+
+def summary(results: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+    """(n, combined, correctness, completeness) of the results of ids (question_id), or of all; none is an error."""
+    own = results if ids is None else results.join(ids.select("question_id").distinct(), "question_id", "left_semi")
+    out = own.agg(F.count(F.lit(1)).alias("n"), F.avg(F.expr(SCORE)).alias("combined"), (100.0 * F.avg(F.col("answer_correct").cast("double"))).alias("correctness"), F.avg("completeness_pct").alias("completeness"))
+    return out.withColumn("n", F.when(F.col("n") > 0, F.col("n")).otherwise(F.raise_error(F.lit("no results to summarise")).cast("long")))
 
 
 def _sets(ranked: DataFrame, questions: DataFrame) -> DataFrame:
@@ -65,27 +72,66 @@ def compare(pairs: DataFrame) -> DataFrame:
 
 
 def flips(pairs: DataFrame) -> DataFrame:
-    return pairs.groupBy("flip").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_list("question_id")), ",").alias("ids"))
+    """(flip, n): how often correctness went from one state to the other or stayed."""
+    return pairs.groupBy("flip").agg(F.count(F.lit(1)).alias("n"))
+
+
+def flipped(pairs: DataFrame) -> DataFrame:
+    """(question_id, flip) of the questions whose correctness differs."""
+    return pairs.where("a_ok <> b_ok").select("question_id", "flip")
+
+
+def coverage_changes(rows_a: DataFrame, rows_b: DataFrame) -> DataFrame:
+    """(k, question_id, change): questions whose gold is found in full at depth k by one of two rankings only. Rows as recall_rows tells."""
+    full = lambda df, name: df.select("question_id", "k", (F.col("recall_pct") >= 100).alias(name))
+    both = full(rows_a, "a").join(full(rows_b, "b"), ["question_id", "k"]).where("a <> b")
+    return both.select("k", "question_id", F.when(F.col("b"), "gained").otherwise("lost").alias("change"))
+
+
+def recall_comparison(rows_a: DataFrame, rows_b: DataFrame, draws: int = 1000, seed: int = 0) -> DataFrame:
+    """(k, n, a, b, delta_mean, low, high): recall by depth of two rankings of the same questions, with a paired interval."""
+    side = lambda df, name: df.select("question_id", "k", F.col("recall_pct").alias(name))
+    both = side(rows_a, "a").join(side(rows_b, "b"), ["question_id", "k"]).withColumn("delta", F.col("b") - F.col("a"))
+    return both.groupBy("k").agg(F.avg("a").alias("a"), F.avg("b").alias("b")).join(bootstrap(both, draws, seed, by="k"), "k")
+
+
+def compare_runs(a: DataFrame, b: DataFrame, rows_a: DataFrame | None = None, rows_b: DataFrame | None = None, only: tuple[str, ...] = ("slack",), draws: int = 1000, seed: int = 0) -> dict[str, DataFrame]:
+    """All parts of a paired comparison of two results, by name.
+
+    problems: values out of bounds, repeated and missing questions; by_type; interval; flips; flipped; single_source:
+    of questions whose only source is one of only, where results have source_types; recall and coverage with rankings' recall rows.
+    """
+    from . import validation
+
+    problems = validation.metric_bounds(a).union(validation.metric_bounds(b)).union(validation.duplicates(a, "question_id")).union(validation.duplicates(b, "question_id")).union(validation.coverage(a, b))
+    pairs = paired(a, b)
+    out = {"problems": problems, "by_type": compare(pairs), "interval": bootstrap(pairs, draws, seed), "flips": flips(pairs), "flipped": flipped(pairs)}
+    if "source_types" in a.columns:
+        single = a.where((F.size("source_types") == 1) & F.col("source_types")[0].isin(*only)).select("question_id")
+        out["single_source"] = compare(pairs.join(single, "question_id", "left_semi"))
+    if rows_a is not None and rows_b is not None:
+        out |= {"recall": recall_comparison(rows_a, rows_b, draws, seed), "coverage": coverage_changes(rows_a, rows_b)}
+    return out
 
 
-def bootstrap(pairs: DataFrame, draws: int = 1000, seed: int = 0) -> DataFrame:
-    """(delta_mean, low, high, n): a paired bootstrap whose draws come from a hash of (seed, draw, place).
+def bootstrap(pairs: DataFrame, draws: int = 1000, seed: int = 0, by: str | None = None) -> DataFrame:
+    """(delta_mean, low, high, n), for each value of by if given: a paired bootstrap whose draws come from a hash of (seed, draw, place).
 
     Draws are rows, so it is one shuffle by place and one by draw. Bounds are the order statistics at
-    floor(0.025 * draws) and floor(0.975 * draws) from zero.
+    floor(0.025 * draws) and floor(0.975 * draws) from zero. The order of questions, and of draws, takes a task a group.
     """
     from pyspark.sql.window import Window
 
-    # a question set is small: its order takes one task
-    d = pairs.select("question_id", "delta").select((F.row_number().over(Window.orderBy("question_id")) - 1).cast("long").alias("place"), "delta")
-    n = d.agg(F.count(F.lit(1)).alias("n"), F.avg("delta").alias("delta_mean"))
-    many = d.sparkSession.range(draws).withColumnRenamed("id", "draw")
-    at = d.select("place").join(F.broadcast(many)).crossJoin(F.broadcast(n))
-    drawn = at.select("draw", (F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("draw"), "place")), 1, 8), 16, 10).cast("long") % F.col("n")).alias("place"))
-    means = drawn.join(d, "place").groupBy("draw").agg(F.avg("delta").alias("mean"))
-    ranked = means.withColumn("at", F.row_number().over(Window.orderBy("mean", "draw")) - 1)
+    own = pairs.select("question_id", "delta", (F.col(by) if by else F.lit(0)).alias("part"))
+    w = Window.partitionBy("part")
+    d = own.select("part", "delta", (F.row_number().over(w.orderBy("question_id")) - 1).cast("long").alias("place"), F.count(F.lit(1)).over(w).alias("n"))
+    at = d.select("part", "place", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(draws - 1).cast("long"))).alias("draw"))
+    drawn = at.select("part", "draw", (F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("draw"), "place")), 1, 8), 16, 10).cast("long") % F.col("n")).alias("place"))
+    means = drawn.join(d.drop("n"), ["part", "place"]).groupBy("part", "draw").agg(F.avg("delta").alias("mean"))
+    ranked = means.withColumn("at", F.row_number().over(w.orderBy("mean", "draw")) - 1)
     pick = lambda q, name: F.max(F.when(F.col("at") == int(q * draws), F.col("mean"))).alias(name)
-    return ranked.agg(pick(0.025, "low"), pick(0.975, "high")).crossJoin(n)
+    out = d.groupBy("part").agg(F.avg("delta").alias("delta_mean"), F.count(F.lit(1)).alias("n")).join(ranked.groupBy("part").agg(pick(0.025, "low"), pick(0.975, "high")), "part")
+    return out.withColumnRenamed("part", by) if by else out.drop("part")
 
 
 def bootstrap_sequential(pairs: DataFrame, draws: int = 10_000, seed: int = 0) -> DataFrame:

@@ -19,26 +19,29 @@ def gold_pairs(questions: DataFrame, corpus: DataFrame, seed: int = 8) -> DataFr
     """(question_id, doc_id): documents whose content holds the question's passage.
 
     Words between a passage's first and last stand in the document as whole words, so the pair meets by a hash of
-    the second to ninth word (of the second alone in shorter passages) and is then verified. Passages of one or two
-    words have no whole word to meet by: each distinct one is looked for in every document.
+    them, of the first seed at most, and is then verified. Documents make hashes of those lengths alone that occur
+    among the passages. Passages of one or two words have no whole word to meet by: each distinct one is looked for
+    in every document.
     """
     q = questions.select("question_id", "passage", tokens(F.col("passage")).alias("w"))
     short = q.where(F.size("w") < 3).select("question_id", "passage")
     held = short.select("passage").distinct().join(corpus.select("doc_id", "content"), F.contains("content", "passage"))
     held = held.select("doc_id", "passage").distinct().join(short, "passage").select("question_id", "doc_id")
-    q = q.where(F.size("w") >= 3)
-    q = q.select("question_id", "passage", F.when(F.size("w") >= seed + 2, seed).otherwise(1).alias("n"), "w")
-    q = q.select("question_id", "passage", "n", F.xxhash64(F.array_join(F.slice("w", 2, F.col("n")), " ")).alias("key"))
+    q = q.where(F.size("w") >= 3).withColumn("n", F.least(F.size("w") - 2, F.lit(seed)))
+    lengths = sorted(r[0] for r in q.select("n").distinct().collect())  # at most seed
+    if not lengths:
+        return held
+    q = q.select("question_id", "passage", F.xxhash64(F.array_join(F.slice("w", 2, F.col("n")), " ")).alias("key"))
 
     def runs(n: int):
         """Hashes of all runs of n words."""
-        return F.transform(F.sequence(F.lit(1), F.size("w")), lambda i: F.xxhash64(F.array_join(F.slice("w", i, F.lit(n)), " ")))
+        return F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.xxhash64(F.array_join(F.slice("w", i, F.lit(n)), " ")))).otherwise(F.expr("cast(array() as array<bigint>)"))
 
     d = corpus.select("doc_id", tokens(F.col("content")).alias("w")).where(F.size("w") > 0)
-    keys = F.concat(runs(1), runs(seed))
-    d = d.select("doc_id", F.explode(F.array_distinct(keys)).alias("key"))
-    met = d.join(q.select("key", "question_id", "passage"), "key").select("doc_id", "question_id", "passage").distinct()
-    return met.join(corpus.select("doc_id", "content"), "doc_id").where(F.contains("content", "passage")).select("question_id", "doc_id").union(held)
+    d = d.select("doc_id", F.explode(F.array_distinct(F.concat(*map(runs, lengths)))).alias("key"))
+    met = d.join(q.select("key", "question_id"), "key").select("doc_id", "question_id").distinct()
+    met = met.join(q.select("question_id", "passage"), "question_id").join(corpus.select("doc_id", "content"), "doc_id")
+    return met.where(F.contains("content", "passage")).select("question_id", "doc_id").distinct().union(held)
 
 
 def gold_sets(questions: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -72,10 +75,10 @@ def lexical(questions: DataFrame, corpus: DataFrame, k: int, k1: float = 1.2, b:
 
 
 def dense(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """(question_id, doc_id, score, rank) by cosine. queries: a stated, small set (question_id, vector), broadcast by Spark if it fits."""
+    """(question_id, doc_id, score, rank) by cosine. queries: a stated set (question_id, vector), which Spark broadcasts if it is small and else meets in blocks."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda a, c: a.cast("double") * c.cast("double")), F.lit(0.0), lambda acc, v: acc + v)
     unit = lambda df, id_, v: df.select(id_, v, F.sqrt(dot(F.col(v), F.col(v))).alias(f"{v}_norm"))
-    pairs = unit(vectors, "doc_id", "embedding").join(F.broadcast(unit(queries, "question_id", "vector")))
+    pairs = unit(vectors, "doc_id", "embedding").crossJoin(unit(queries, "question_id", "vector"))
     scored = pairs.select("question_id", "doc_id", F.round(dot(F.col("vector"), F.col("embedding")) / (F.col("vector_norm") * F.col("embedding_norm")), 6).alias("score"))
     return top_k(scored, k)
 

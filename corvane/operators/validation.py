@@ -127,6 +127,22 @@ def digests(stored: DataFrame, actual: DataFrame) -> DataFrame:
     return _rows(both, "checksum", F.col("path"), problem)
 
 
-def selection(saved: DataFrame, requested: DataFrame) -> DataFrame:
-    """Saved questions that a resumed run would leave out: a run may extend its selection, never narrow it."""
-    return _rows(saved.join(requested.select("question_id"), "question_id", "left_anti"), "selection", F.col("question_id"), F.lit("left out"))
+def selection(saved: DataFrame, requested: DataFrame, force: bool = False, done: tuple[str, ...] = ("answered",)) -> DataFrame:
+    """Saved questions that a resumed run would leave out: a run may extend its selection, never narrow it.
+
+    With force only those are told whose stage is not one of done; the others are exported besides the selection.
+    """
+    extra = saved.join(requested.select("question_id"), "question_id", "left_anti")
+    if force:
+        return _rows(extra.where(~F.coalesce(F.col("stage").isin(*done), F.lit(False))), "selection", F.col("question_id"), F.lit("left out and not complete"))
+    return _rows(extra, "selection", F.col("question_id"), F.lit("left out"))
+
+
+#: An answer's keys and their kinds, as Spark tells a JSON value's; a list without elements has no kind of them.
+ANSWER_SHAPES = tuple(f"OBJECT<answer: STRING, document_ids: ARRAY<{kind}>, question_id: STRING>" for kind in ("STRING", "VOID"))
+
+
+def answer_shape(lines: DataFrame) -> DataFrame:
+    """Lines (value) of an answer file that are not exactly a question's id, a text and a list of ids."""
+    shape = F.schema_of_variant(F.try_parse_json("value"))
+    return _rows(lines.where("trim(value) <> ''"), "answer shape", F.substring("value", 1, 80), F.when(~F.coalesce(shape.isin(*ANSWER_SHAPES), F.lit(False)), F.coalesce(shape, F.lit("no JSON"))))

@@ -13,6 +13,7 @@ from ..operators import context, identity, items, judging, ledger, metrics, retr
 from ..sources import corpus as sources
 from . import adapter as ad
 from .answers import generate
+from .workspace import kept
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -181,16 +182,17 @@ def dense_topk(spark, sf_dir):
     return retrieval.dense(q, v, 10).withColumn("rank", F.col("rank").cast("long"))
 
 
-@query("hybrid_topk", """, d AS (SELECT question_id, doc_id, score FROM hits WHERE rank <= 20 AND rank % 2 = 0), l AS (SELECT question_id, doc_id, score FROM hits WHERE rank <= 20),
+@query("hybrid_topk", """, u AS (SELECT vec_id, [CAST(x AS DOUBLE) FOR x IN embedding] AS e FROM embeddings), s AS (SELECT 'q' || i.item_id AS question_id, 'd' || u.vec_id AS doc_id, round(list_dot_product(q.e, u.e) / (sqrt(list_dot_product(q.e, q.e)) * sqrt(list_dot_product(u.e, u.e))), 6) AS score FROM benchmark i JOIN u q ON q.vec_id = i.item_id, u),
+    d AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY score DESC, doc_id) <= 20), l AS (SELECT question_id, doc_id, score FROM hits WHERE rank <= 20),
     x AS (SELECT *, min(score) OVER w AS a, max(score) OVER w AS b FROM d WINDOW w AS (PARTITION BY question_id)), y AS (SELECT *, min(score) OVER w AS a, max(score) OVER w AS b FROM l WINDOW w AS (PARTITION BY question_id)),
     z AS (SELECT question_id, doc_id, round(0.6 * coalesce(CASE WHEN x.b > x.a THEN (x.score - x.a) / (x.b - x.a) WHEN x.b IS NOT NULL THEN 1.0 END, 0.0) + 0.4 * coalesce(CASE WHEN y.b > y.a THEN (y.score - y.a) / (y.b - y.a) WHEN y.b IS NOT NULL THEN 1.0 END, 0.0), 6) AS score FROM x FULL JOIN y USING (question_id, doc_id))
     SELECT question_id, doc_id, score, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, doc_id) AS rank FROM z QUALIFY rank <= 10""", "hits")
 def hybrid_topk(spark, sf_dir):
-    hits = _hits(spark, sf_dir, 20).select("question_id", "doc_id", "score", "rank")
-    # the dense lane has no vectors of these documents, so every second hit stands in for it
-    return retrieval.hybrid(hits.where("rank % 2 = 0"), hits, 0.6, 10).withColumn("rank", F.col("rank").cast("long"))
-
-
+    """A vector stands for the document, and for the question, of its number."""
+    v = ad.table(spark, sf_dir, "embeddings")
+    docs = v.select(F.concat(F.lit("d"), "vec_id").alias("doc_id"), "embedding")
+    q = ad.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("vec_id")).join(v, "vec_id").select(F.concat(F.lit("q"), "vec_id").alias("question_id"), F.col("embedding").alias("vector"))
+    return retrieval.hybrid(retrieval.dense(q, docs, 20), _hits(spark, sf_dir, 20), 0.6, 10).select("question_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 @query("distinct_docs", """SELECT question_id, doc_id, row_number() OVER (PARTITION BY question_id ORDER BY first) AS doc_rank
@@ -212,23 +214,33 @@ def full_coverage(spark, sf_dir):
     return metrics.full_coverage(_ranked(_hits(spark, sf_dir)), _gold(spark, sf_dir))
 
 
-@query("recall_compare", """SELECT CAST(a.k AS INTEGER) AS k, round(avg(a.recall_pct), 6) AS a, round(avg(b.recall_pct), 6) AS b, CAST(count(*) FILTER (a.recall_pct < 100 AND b.recall_pct >= 100) AS BIGINT) AS gained, CAST(count(*) FILTER (b.recall_pct < 100 AND a.recall_pct >= 100) AS BIGINT) AS lost
-    FROM recall a JOIN (SELECT question_id, k2 AS k, recall_pct FROM recall JOIN (SELECT unnest([5, 10, 20]) AS k2, unnest([3, 5, 10]) AS k1) ON k = k1) b ON a.question_id = b.question_id AND a.k = b.k GROUP BY 1""", "recall")
+@query("recall_compare", """, r AS (SELECT a.question_id, a.k, a.recall_pct AS a, b.recall_pct AS b FROM recall a JOIN (SELECT question_id, k2 AS k, recall_pct FROM recall JOIN (SELECT unnest([5, 10, 20]) AS k2, unnest([3, 5, 10]) AS k1) ON k = k1) b ON a.question_id = b.question_id AND a.k = b.k),
+    e AS (SELECT k, row_number() OVER (PARTITION BY k ORDER BY question_id) - 1 AS place, b - a AS delta, count(*) OVER (PARTITION BY k) AS n FROM r),
+    w AS (SELECT k, draw, CAST(('0x' || substring(md5('0|' || draw || '|' || place), 1, 8)) AS BIGINT) % n AS place FROM e, (SELECT unnest(range(200)) AS draw)),
+    m AS (SELECT k, draw, avg(delta) AS mean FROM w JOIN e USING (k, place) GROUP BY ALL), o AS (SELECT k, mean, row_number() OVER (PARTITION BY k ORDER BY mean, draw) - 1 AS pos FROM m)
+    SELECT CAST(k AS INTEGER) AS k, count(*) AS n, round(avg(a), 6) AS a, round(avg(b), 6) AS b, round(avg(b - a), 6) AS delta_mean, any_value(low) AS low, any_value(high) AS high
+    FROM r JOIN (SELECT k, round(max(CASE WHEN pos = 5 THEN mean END), 6) AS low, round(max(CASE WHEN pos = 195 THEN mean END), 6) AS high FROM o GROUP BY 1) USING (k) GROUP BY 1""", "recall")
 def recall_compare(spark, sf_dir):
-    """Run b submits about half as deep as run a."""
-    rows = metrics.recall_rows(_ranked(_hits(spark, sf_dir)), _gold(spark, sf_dir), (3, 5, 10, 20))
-    a = rows.where("k > 3").select("question_id", "k", F.col("recall_pct").alias("a"))
-    b = rows.where("k < 20").select("question_id", F.when(F.col("k") == 3, 5).otherwise(F.col("k") * 2).alias("k"), F.col("recall_pct").alias("b"))
-    n = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
-    full = lambda c: F.col(c) >= 100
-    return a.join(b, ["question_id", "k"]).groupBy("k").agg(F.round(F.avg("a"), 6).alias("a"), F.round(F.avg("b"), 6).alias("b"), n(~full("a") & full("b")).alias("gained"), n(full("a") & ~full("b")).alias("lost"))
+    out = metrics.recall_comparison(*_two_depths(spark, sf_dir), draws=200)
+    return out.select("k", "n", *[F.round(c, 6).alias(c) for c in ("a", "b", "delta_mean", "low", "high")])
+
+
+def _two_depths(spark, sf_dir):
+    """Recall rows of a run and of one that submits about half as deep."""
+    rows = kept(metrics.recall_rows(_ranked(_hits(spark, sf_dir)), _gold(spark, sf_dir), (3, 5, 10, 20)), "recall")
+    return rows.where("k > 3"), rows.where("k < 20").withColumn("k", F.when(F.col("k") == 3, 5).otherwise(F.col("k") * 2))
+
+
+@query("coverage_changes", "SELECT CAST(a.k AS INTEGER) AS k, a.question_id, CASE WHEN b.recall_pct >= 100 THEN 'gained' ELSE 'lost' END AS change FROM recall a JOIN (SELECT question_id, k2 AS k, recall_pct FROM recall JOIN (SELECT unnest([5, 10, 20]) AS k2, unnest([3, 5, 10]) AS k1) ON k = k1) b ON a.question_id = b.question_id AND a.k = b.k WHERE (a.recall_pct >= 100) <> (b.recall_pct >= 100)", "recall")
+def coverage_changes(spark, sf_dir):
+    return metrics.coverage_changes(*_two_depths(spark, sf_dir))
 
 
 # --- contexts
 
 
 def _hydrated(spark, sf_dir):
-    hits = _hits(spark, sf_dir, 12)
+    hits = kept(_hits(spark, sf_dir, 12), "hits")  # read more than once below
     chunks = hits.select("question_id", "rank", F.concat("doc_id", F.lit("_m0000")).alias("chunk_id"), F.concat(F.lit("chunk of "), "doc_id").alias("chunk_content"))
     return context.hydrate(hits.select("question_id", F.col("rank").alias("doc_rank"), "doc_id"), ad.corpus(spark, sf_dir).where("content_len % 10 <> 0"), chunks)
 
@@ -320,7 +332,7 @@ def metadata_flatten(spark, sf_dir):
 
 @query("endpoint_normalise", "SELECT page_id, lower(regexp_replace(regexp_replace(trim(url), '[?#].*$', ''), '/+$', '')) AS endpoint FROM pages WHERE contains(url, '://')")
 def endpoint_normalise(spark, sf_dir):
-    return ad.table(spark, sf_dir, "pages").where(F.contains("url", F.lit("://"))).select("page_id", ft.endpoint(F.concat(F.upper(F.substring("url", 1, 4)), F.substring("url", 5, 10_000), F.lit("/?q=1#x"))).alias("endpoint"))
+    return ad.table(spark, sf_dir, "pages").where(F.contains("url", F.lit("://"))).select("page_id", ft.endpoint(F.concat(F.upper(F.substring("url", 1, 4)), F.expr("substring(url, 5)"), F.lit("/?q=1#x"))).alias("endpoint"))
 
 
 @query("retry_hint", "SELECT event_id, CAST(CASE WHEN event_id % 2 = 0 THEN event_id % 60 END AS INTEGER) AS seconds FROM events")
@@ -428,30 +440,53 @@ def stored_stats_check(spark, sf_dir):
     return validation.stored_stats(off, own).select("key", "problem")
 
 
+#: The same as _corrections tells: what records declare is tampered with in every eleventh (set flag) and thirteenth (before).
+CORRECTED = """, c0 AS (SELECT question_id, length(question) AS n, ids, len(ids) AS g, CASE WHEN length(question) % 4 = 2 THEN ids[2:] ELSE ids END AS after FROM questions JOIN gold USING (question_id)),
+    c AS (SELECT *, n % 2 = 0 AS recorded, (n % 4 = 2 AND g > 0) <> (n % 11 = 0) AS set_flag, n % 3 = 0 AS answer_flag FROM c0)"""
+
+
 def _corrections(spark, sf_dir):
-    """Synthetic corrections of questions with an even number of characters: the first gold document goes, the answer changes in every third."""
-    q = ad.questions(spark, sf_dir).withColumn("gold_answer", F.md5("question")).join(_gold(spark, sf_dir), "question_id").withColumn("n", F.length("question"))
-    up = q.where("n % 2 = 0").select("question_id", F.lit(True).alias("updated"), F.slice("expected_doc_ids", 2, 1000).alias("expected_doc_ids"), F.slice("expected_doc_ids", 1, 1).alias("valid_doc_ids"), F.when(F.col("n") % 3 == 0, "other").otherwise(F.col("gold_answer")).alias("gold_answer"))
+    """(questions, plan, records): synthetic corrections of questions with an even number of characters.
+
+    In every other one the first gold document goes, in the others the sets stay and a valid document is added; the
+    answer changes in every third; every seventh has no reasons.
+    """
+    q = ad.questions(spark, sf_dir).withColumn("gold_answer", F.md5("question")).withColumn("answer_facts", F.array("question")).join(_gold(spark, sf_dir), "question_id").withColumn("n", F.length("question"))
+    q = kept(q, "originals")
+    gold, reasons = F.col("expected_doc_ids"), F.when(F.col("n") % 7 != 0, F.array(F.lit("r"))).otherwise(F.expr(judging.EMPTY))
+    after = F.when(F.col("n") % 4 == 2, F.slice(gold, F.lit(2), F.size(gold))).otherwise(gold)
+    up = q.where("n % 2 = 0").select("question_id", F.lit(True).alias("updated"), after.alias("expected_doc_ids"), F.slice(gold, 1, 1).alias("valid_doc_ids"), F.when(F.col("n") % 3 == 0, "other").otherwise(F.col("gold_answer")).alias("gold_answer"), "answer_facts", reasons.alias("update_reasons"))
     plan = judging.shard_plan(q, 4)
     return q, plan, judging.correction_records(q, up.join(plan.select("shard", "question_id"), "question_id"), plan)
 
 
-@query("correction_overlay", "SELECT question_id, array_to_string(CASE WHEN length(question) % 2 = 0 THEN ids[2:] ELSE ids END, ',') AS gold, array_to_string(CASE WHEN length(question) % 2 = 0 THEN ids[1:1] ELSE [] END, ',') AS valid, length(question) % 2 = 0 AS corrected FROM questions JOIN gold USING (question_id)", "questions gold")
+@query("correction_overlay", "SELECT question_id, array_to_string(CASE WHEN length(question) % 4 = 2 THEN ids[2:] ELSE ids END, ',') AS gold, array_to_string(CASE WHEN length(question) % 2 = 0 THEN ids[1:1] ELSE [] END, ',') AS valid, length(question) % 2 = 0 AS corrected FROM questions JOIN gold USING (question_id)", "questions gold")
 def correction_overlay(spark, sf_dir):
     q, _, c = _corrections(spark, sf_dir)
     return judging.overlaid(q, c).select("question_id", F.array_join("expected_doc_ids", ",").alias("gold"), F.array_join("valid_doc_ids", ",").alias("valid"), "corrected")
 
 
-@query("correction_audit", """, c AS (SELECT question_id, length(question) AS n, len(ids) AS g FROM questions JOIN gold USING (question_id))
-    SELECT question_id, 'flagged without record' AS problem FROM c WHERE n % 5 = 0 AND n % 2 = 1 UNION ALL SELECT question_id, 'record without flag' FROM c WHERE n % 5 <> 0 AND n % 2 = 0
-    UNION ALL SELECT question_id, 'changes nothing' FROM c WHERE n % 2 = 0 AND n % 3 <> 0 AND g = 0 UNION ALL SELECT question_id, 'no answer' FROM c WHERE n % 2 = 0 AND n % 7 = 0""", "questions gold")
+@query("correction_audit", CORRECTED + """
+    SELECT question_id, 'flagged without record' AS problem FROM c WHERE n % 5 = 0 AND NOT recorded UNION ALL SELECT question_id, 'changes gold without flag' FROM c WHERE recorded AND n % 5 <> 0 AND (set_flag OR answer_flag)
+    UNION ALL SELECT question_id, 'changes nothing' FROM c WHERE recorded AND NOT set_flag AND NOT answer_flag AND g = 0 UNION ALL SELECT question_id, 'wrong set flag' FROM c WHERE recorded AND n % 11 = 0
+    UNION ALL SELECT question_id, 'wrong answer flag' FROM c WHERE recorded AND n % 13 = 0 AND NOT answer_flag UNION ALL SELECT question_id, 'before is not the original' FROM c WHERE recorded AND n % 13 = 0
+    UNION ALL SELECT question_id, 'recall not reproduced' FROM c WHERE recorded AND n % 8 <> 0 AND n % 9 = 0 AND len(after) > 0
+    UNION ALL SELECT question_id, 'after is incomplete' FROM c WHERE recorded AND len(after) = 0 UNION ALL SELECT question_id, 'no reasons' FROM c WHERE recorded AND n % 7 = 0""", "questions gold")
 def correction_audit(spark, sf_dir):
+    """Results tell another recall in every ninth question; questions of a multiple of eight characters have no answer."""
     q, _, c = _corrections(spark, sf_dir)
-    return judging.audit_corrections(q.select("question_id", (F.col("n") % 5 == 0).alias("corrected")), c, q, q.where("n % 7 <> 0"))
-
-
-@query("correction_counts", """, c AS (SELECT length(question) AS n, len(ids) AS g FROM questions JOIN gold USING (question_id))
-    SELECT CAST(count(*) FILTER (n % 2 = 0 AND g > 0) AS BIGINT) AS doc_set_changed, CAST(count(*) FILTER (n % 2 = 0 AND n % 3 = 0) AS BIGINT) AS gold_answer_changed, CAST(count(*) FILTER (n % 2 = 0) AS BIGINT) AS records, CAST(count(*) FILTER (n % 5 <> 0) AS BIGINT) AS uncorrected FROM c""", "questions gold")
+    n = F.length("question")
+    c = c.join(q.select("question_id", "question"), "question_id")
+    c = c.withColumn("doc_set_changed", F.col("doc_set_changed") != (n % 11 == 0)).withColumn("before_answer", F.when(n % 13 == 0, "x").otherwise(F.col("before_answer"))).drop("question")
+    submitted = q.select("question_id", "n", F.slice("expected_doc_ids", 1, 3).alias("document_ids"))
+    gold = judging.overlaid(q, c).select("question_id", F.col("expected_doc_ids").alias("after"))
+    told = submitted.join(gold, "question_id").withColumn("recall", F.when(F.size("after") > 0, 100.0 * F.size(F.array_intersect("document_ids", "after")) / F.size("after")))
+    results = told.select("question_id", (F.col("n") % 5 == 0).alias("corrected"), (F.col("recall") + F.when(F.col("n") % 9 == 0, 1.0).otherwise(0.0)).alias("document_recall_pct"))
+    return judging.audit_corrections(results, c, q, submitted.where("n % 8 <> 0"))
+
+
+@query("correction_counts", CORRECTED + """
+    SELECT CAST(count(*) FILTER (n % 4 = 2 AND g > 0) AS BIGINT) AS doc_set_changed, CAST(count(*) FILTER (recorded AND answer_flag) AS BIGINT) AS gold_answer_changed, CAST(count(*) FILTER (recorded) AS BIGINT) AS records, CAST(count(*) FILTER (n % 5 <> 0) AS BIGINT) AS uncorrected FROM c""", "questions gold")
 def correction_counts(spark, sf_dir):
     q, _, c = _corrections(spark, sf_dir)
     return judging.correction_counts(q.select((F.col("n") % 5 == 0).alias("corrected")), c)
@@ -549,11 +584,30 @@ def shard_complete(spark, sf_dir):
     return judging.complete_shards(parts, plan)
 
 
-@query("target_selection", "SELECT question_id FROM questions WHERE length(question) % 2 = 0 ORDER BY question_id DESC LIMIT 7", "questions")
+@query("target_selection", "SELECT question_id FROM (SELECT question_id FROM questions WHERE length(question) % 2 = 0 ORDER BY question_id DESC LIMIT 7) UNION ALL SELECT max(question_id) FROM questions WHERE length(question) % 2 = 0 HAVING count(*) > 0", "questions")
 def target_selection(spark, sf_dir):
+    """The first eight of a list that begins with its first question twice."""
     q = ad.questions(spark, sf_dir)
     w = Window.orderBy(F.desc("question_id"))
-    return judging.select_questions(q, q.where(F.length("question") % 2 == 0).select(F.row_number().over(w).alias("ordinal"), "question_id"), 7).select("question_id")
+    listed = q.where(F.length("question") % 2 == 0).select((F.row_number().over(w) * 2).alias("ordinal"), "question_id")
+    return judging.select_questions(q, listed.union(listed.where("ordinal = 2").withColumn("ordinal", F.lit(1))), 8).select("question_id")
+
+
+@query("resume_forced", "SELECT 'd' || doc_id AS key, 'left out and not complete' AS problem FROM documents WHERE doc_id % 2 = 0 AND doc_id % 3 = 0 AND doc_id % 5 = 0")
+def resume_forced(spark, sf_dir):
+    c = _checkpoint(spark, sf_dir)
+    saved = c.where("id % 2 = 0").withColumn("stage", F.when(F.col("id") % 5 == 0, "retrieved").otherwise(F.col("stage")))
+    return validation.selection(saved, c.where("id % 3 <> 0"), force=True).select("key", "problem")
+
+
+@query("answer_shapes", """SELECT CAST(count(*) AS BIGINT) AS n, problem FROM (SELECT CASE page_id % 4 WHEN 1 THEN 'OBJECT<answer: STRING, document_ids: STRING, question_id: STRING>' WHEN 2 THEN 'OBJECT<answer: STRING, document_ids: ARRAY<STRING>, extra: BOOLEAN, question_id: STRING>' WHEN 3 THEN 'no JSON' END AS problem FROM pages) WHERE problem IS NOT NULL GROUP BY 2""")
+def answer_shapes(spark, sf_dir):
+    """Lines of answers made of pages, three of four broken."""
+    p = ad.table(spark, sf_dir, "pages").withColumn("m", F.col("page_id") % 4)
+    text, ids = F.concat(F.lit("p"), F.col("page_id")), F.array(F.lit("d1"))
+    shapes = (F.struct(text.alias("question_id"), text.alias("answer"), ids.alias("document_ids")), F.struct(text.alias("question_id"), text.alias("answer"), text.alias("document_ids")), F.struct(text.alias("question_id"), text.alias("answer"), ids.alias("document_ids"), F.lit(True).alias("extra")))
+    lines = p.select(F.when(F.col("m") == 0, F.to_json(shapes[0])).when(F.col("m") == 1, F.to_json(shapes[1])).when(F.col("m") == 2, F.to_json(shapes[2])).otherwise(F.concat(F.lit("{broken "), text)).alias("value"))
+    return validation.answer_shape(lines).groupBy("problem").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("resume_selection", "SELECT 'd' || doc_id AS key, 'left out' AS problem FROM documents WHERE doc_id % 2 = 0 AND doc_id % 3 = 0")
@@ -577,12 +631,38 @@ def adopted_statuses(spark, sf_dir):
 
 
 @query("readiness", """, last AS (SELECT id, arg_max(status, seq) AS status FROM log GROUP BY 1), n AS (SELECT count(*) AS items_sent, CAST(count(*) FILTER (status = 'completed') AS BIGINT) AS settled, CAST(count(*) FILTER (status = 'errored') AS BIGINT) AS errored, CAST(count(*) FILTER (status = 'pending') AS BIGINT) AS pending FROM last)
-    SELECT *, pending = 0 AS resolved, pending = 0 AND errored = 0 AS ready FROM n""", "log")
+    SELECT *, CAST(0 AS BIGINT) AS unresolved, pending = 0 AS resolved, pending = 0 AND errored = 0 AS ready FROM n""", "log")
 def readiness(spark, sf_dir):
     log = ad.status_log(spark, sf_dir)
     return ledger.readiness(log.select("id"), log)
 
 
+@query("readiness_accepting", """, last AS (SELECT id, arg_max(status, seq) AS status FROM log WHERE status <> 'pending' GROUP BY 1), n AS (SELECT count(*) AS items_sent, CAST(count(*) FILTER (status = 'completed') AS BIGINT) AS settled, CAST(count(*) FILTER (status = 'errored') AS BIGINT) AS errored, CAST(0 AS BIGINT) AS pending FROM last)
+    SELECT *, unresolved = 0 AS resolved, unresolved = 0 AS ready FROM n, (SELECT count(DISTINCT batch) AS unresolved FROM log WHERE batch >= '2024-01-25')""", "log")
+def readiness_accepting(spark, sf_dir):
+    """Failures are accepted, batches from a day on are still open."""
+    log = ad.status_log(spark, sf_dir)
+    final = log.where("status <> 'pending'")
+    return ledger.readiness(final.select("id"), final, accept_failures=True, open_batches=log.where("batch >= '2024-01-25'"))
+
+
+@query("batch_states", """, last AS (SELECT batch, id, arg_max(status, seq) AS status FROM log GROUP BY ALL), n AS (SELECT batch, count(*) AS n_items, CAST(count(*) FILTER (status = 'completed') AS BIGINT) AS settled, CAST(count(*) FILTER (status = 'errored') AS BIGINT) AS errored FROM last GROUP BY 1),
+    j AS (SELECT batch, CASE WHEN max(seq) % 3 = 0 THEN 'sending' ELSE 'sent' END AS state FROM log GROUP BY 1)
+    SELECT batch, CASE WHEN state = 'sent' AND settled + errored = n_items THEN 'settled' ELSE state END AS state, n_items, settled, errored FROM j JOIN n USING (batch)""", "log")
+def batch_states(spark, sf_dir):
+    log = ad.status_log(spark, sf_dir)
+    journal = log.groupBy("batch").agg(F.max("seq").alias("seq")).withColumn("state", F.when(F.col("seq") % 3 == 0, "sending").otherwise("sent"))
+    return ledger.batch_states(journal, log, log)
+
+
+@query("next_attempts", "SELECT CAST(shard AS INTEGER) AS shard, CAST(1 + max(CASE WHEN n % 2 = 0 THEN n % 5 ELSE 0 END) AS INTEGER) AS attempt FROM (SELECT floor((row_number() OVER (ORDER BY question_id) - 1) / ceil(count(*) OVER () / 7.0)) AS shard, length(question) AS n FROM questions) GROUP BY 1", "questions")
+def next_attempts(spark, sf_dir):
+    q = ad.questions(spark, sf_dir).withColumn("n", F.length("question"))
+    plan = judging.shard_plan(q, 7)
+    tried = plan.join(q.where("n % 2 = 0").select("question_id", (F.col("n") % 5).alias("attempt")), "question_id")
+    return ledger.next_attempt(tried, plan)
+
+
 @query("failed_ledger", """, f AS (SELECT *, coalesce(max(CASE WHEN status = 'completed' THEN seq END) OVER (PARTITION BY id), -1) AS good FROM log WHERE status <> 'pending')
     SELECT id, CAST(count(*) AS BIGINT) AS attempts, max(seq) AS seq FROM f WHERE status = 'errored' AND seq > good GROUP BY 1""", "log")
 def failed_ledger(spark, sf_dir):
@@ -625,19 +705,36 @@ def paired_compare(spark, sf_dir):
     return out.select("grp", "is_total", "n", *[F.round(c, 6).alias(c) for c in out.columns[3:]] if out.columns[0] == "grp" else [])
 
 
-@query("flips", "SELECT CASE WHEN a_ok THEN 'T' ELSE 'F' END || '->' || CASE WHEN b_ok THEN 'T' ELSE 'F' END AS flip, count(*) AS n, string_agg(question_id, ',' ORDER BY question_id) AS ids FROM pairs GROUP BY 1", "pairs")
+@query("flips", "SELECT CASE WHEN a_ok THEN 'T' ELSE 'F' END || '->' || CASE WHEN b_ok THEN 'T' ELSE 'F' END AS flip, count(*) AS n FROM pairs GROUP BY 1", "pairs")
 def flips(spark, sf_dir):
     return metrics.flips(_pairs(spark, sf_dir))
 
 
-@query("bootstrap_ci", """, d AS (SELECT question_type, b_score - a_score AS delta, question_id FROM pairs), e AS (SELECT row_number() OVER (ORDER BY question_type) - 1 AS place, avg(delta) AS delta, count(*) OVER () AS n FROM d GROUP BY question_type),
+@query("flipped", "SELECT question_id, CASE WHEN a_ok THEN 'T->F' ELSE 'F->T' END AS flip FROM pairs WHERE a_ok <> b_ok", "pairs")
+def flipped(spark, sf_dir):
+    return metrics.flipped(_pairs(spark, sf_dir))
+
+
+@query("summary_subset", "SELECT count(*) AS n, round(avg(CASE WHEN answer_correct THEN completeness_pct ELSE 0 END), 6) AS combined, round(100.0 * avg(CAST(answer_correct AS INTEGER)), 6) AS correctness, round(avg(completeness_pct), 6) AS completeness FROM results WHERE source = 'src0'", "results")
+def summary_subset(spark, sf_dir):
+    r = ad.results(spark, sf_dir)
+    out = metrics.summary(r, r.where("source = 'src0'"))
+    return out.select("n", *[F.round(c, 6).alias(c) for c in ("combined", "correctness", "completeness")])
+
+
+@query("compare_problems", "SELECT question_id AS key, 'missing' AS problem FROM results WHERE source = 'src1'", "results")
+def compare_problems(spark, sf_dir):
+    """Of a comparison whose first run lacks a source's questions."""
+    a = ad.results(spark, sf_dir)
+    return metrics.compare_runs(a.where("source <> 'src1' or source is null"), ad.other_results(a))["problems"].select("key", "problem")
+
+
+@query("bootstrap_ci", """, e AS (SELECT row_number() OVER (ORDER BY question_id) - 1 AS place, b_score - a_score AS delta, count(*) OVER () AS n FROM pairs),
     r AS (SELECT draw, CAST(('0x' || substring(md5('0|' || draw || '|' || place), 1, 8)) AS BIGINT) % n AS place FROM e, (SELECT unnest(range(1000)) AS draw)),
     m AS (SELECT draw, avg(delta) AS mean FROM r JOIN e USING (place) GROUP BY 1), o AS (SELECT mean, row_number() OVER (ORDER BY mean, draw) - 1 AS k FROM m)
     SELECT round(max(CASE WHEN k = 25 THEN mean END), 6) AS low, round(max(CASE WHEN k = 975 THEN mean END), 6) AS high, (SELECT count(*) FROM e) AS n, (SELECT round(avg(delta), 6) FROM e) AS delta_mean FROM o""", "pairs")
 def bootstrap_ci(spark, sf_dir):
-    """Over the mean deltas of question types."""
-    own = _pairs(spark, sf_dir).groupBy(F.col("question_type").alias("question_id")).agg(F.avg("delta").alias("delta"))
-    out = metrics.bootstrap(own, 1000, 0)
+    out = metrics.bootstrap(_pairs(spark, sf_dir), 1000, 0)
     return out.select(*[F.round(c, 6).alias(c) for c in ("low", "high")], "n", F.round("delta_mean", 6).alias("delta_mean"))
 
 
@@ -646,11 +743,20 @@ def corpus_hash(spark, sf_dir):
     return identity.content_hash(ad.corpus(spark, sf_dir), "source_type")
 
 
-@query("corpus_merkle")
+@query("corpus_merkle", """, h AS (SELECT sha256(coalesce(source_type, '') || chr(31) || doc_id || chr(31) || title || chr(31) || content || chr(10)) AS h FROM corpus), b AS (SELECT h[1:3] AS b, count(*) AS n, sha256(string_agg(h, '' ORDER BY h)) AS h FROM h GROUP BY 1)
+    SELECT CAST(sum(n) AS BIGINT) AS n, sha256(string_agg(h, '' ORDER BY b)) AS sha256 FROM b""", "corpus")
 def corpus_merkle(spark, sf_dir):
     return identity.content_merkle(ad.corpus(spark, sf_dir))
 
 
+@query("corpus_changed", "SELECT source_type AS part, 'changed' AS problem FROM corpus GROUP BY 1 HAVING count(*) FILTER (content_len % 50 = 0) > 0", "corpus")
+def corpus_changed(spark, sf_dir):
+    """The corpus before and after a run that made some titles longer."""
+    c = ad.corpus(spark, sf_dir)
+    after = c.withColumn("title", F.when(F.col("content_len") % 50 == 0, F.concat("title", F.lit("!"))).otherwise(F.col("title")))
+    return identity.changed(identity.content_hash(c, "source_type"), identity.content_hash(after, "source_type"))
+
+
 @query("inspect_question", "SELECT question_id, question_type, answer_correct, CAST(length(d.text) AS BIGINT) AS context_chars, l.toxic FROM results JOIN documents d ON question_id = 'd' || d.doc_id JOIN labels l USING (doc_id) WHERE question_id = 'd1'", "results")
 def inspect_question(spark, sf_dir):
     """All that artifacts hold of one question."""

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def fresh(spark: SparkSession, name: str) -> str:
@@ -15,3 +15,10 @@ def fresh(spark: SparkSession, name: str) -> str:
         local = spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local"
         there = os.path.join(tempfile.gettempdir(), "checkpoints", uuid.uuid4().hex) if local else spark.conf.get("spark.sql.warehouse.dir")
     return f"{there.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df as a table of its own, for what a plan would compute more than once."""
+    path = fresh(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

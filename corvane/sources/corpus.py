@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -135,11 +137,33 @@ def write_answers(answers: DataFrame, path: str) -> None:
     answers.select("question_id", "answer", "document_ids").write.mode("overwrite").json(path)
 
 
-def chosen_retrieval(checkpoint: DataFrame) -> DataFrame:
-    """(question_id, document_ids, provenance): the saved ranking if all rows have it, else the submitted ids."""
-    have = checkpoint.agg(F.min(F.col("retrieved_doc_ids").isNotNull()).alias("saved"))
-    out = checkpoint.crossJoin(F.broadcast(have))  # one row
-    return out.select("question_id", F.when(F.col("saved"), F.col("retrieved_doc_ids")).otherwise(F.col("document_ids")).alias("document_ids"), F.when(F.col("saved"), "saved ranking").otherwise("submitted ids").alias("provenance"))
+def chosen_retrieval(checkpoint: DataFrame, answers: DataFrame | None = None) -> DataFrame:
+    """(question_id, document_ids, provenance): the saved ranking if all rows have it, else the submitted ids if all have those, else those of answers.
+
+    A repeated question in the checkpoint is an error.
+    """
+    if found := [r[0] for r in checkpoint.groupBy("question_id").count().where("count > 1").limit(5).collect()]:
+        raise ValueError(f"repeated questions: {', '.join(found)}")
+    full = lambda c: F.coalesce(F.min(F.col(c).isNotNull()), F.lit(False))
+    saved, submitted = checkpoint.agg(full("retrieved_doc_ids"), full("document_ids")).first()
+    for there, column, name in ((saved, "retrieved_doc_ids", "saved ranking"), (submitted, "document_ids", "submitted ids")):
+        if there:
+            return checkpoint.select("question_id", F.col(column).alias("document_ids"), F.lit(name).alias("provenance"))
+    own = checkpoint.select("question_id", "document_ids").limit(0) if answers is None else answers.select("question_id", F.coalesce("document_ids", F.expr("cast(array() as array<string>)")).alias("document_ids"))
+    return own.withColumn("provenance", F.lit("answers"))
+
+
+def read_keyed(spark: SparkSession, path: str, schema: str, key: str = "question_id") -> DataFrame:
+    """Rows of a JSON lines file by key, the last of each; a malformed line fails the read."""
+    lines = spark.read.text(path).where("trim(value) <> ''").select(F.monotonically_increasing_id().alias("at"), F.from_json("value", schema, {"mode": "FAILFAST"}).alias("r"))
+    return lines.groupBy(F.col(f"r.{key}").alias("k")).agg(F.max_by("r", "at").alias("r")).select("r.*")
+
+
+def read_checkpoint(spark: SparkSession, path: str, schema: str) -> tuple[dict, DataFrame]:
+    """A checkpoint's configuration, {} if it has none, and its rows: a JSON list whose first element may be the header."""
+    rows = spark.read.schema(f"_config string, {schema}").option("multiLine", True).json(path)
+    header = rows.where("_config is not null").select("_config").first()
+    return json.loads(header[0]) if header else {}, rows.where("question_id is not null").drop("_config")
 
 
 def file_digests(spark: SparkSession, root: str) -> DataFrame:

@@ -84,6 +84,12 @@ def test_bootstrap(spark):
     a = results(spark)
     pairs = metrics.paired(a, results(spark, [(q, t, not ok, c, r, e, x, y) for q, t, ok, c, r, e, x, y in ROWS]))
     assert {r.flip: r.n for r in metrics.flips(pairs).collect()} == {"T->F": 2, "F->T": 1}
+    assert {tuple(r) for r in metrics.flipped(pairs).collect()} == {("q1", "T->F"), ("q2", "F->T"), ("q3", "T->F")}
+    assert metrics.summary(a, a.where("question_type = 'a'")).first() == (2, 40.0, 50.0, 65.0)
+    with pytest.raises(Exception, match="no results"):
+        metrics.summary(a.where("false")).collect()
+    parts = metrics.compare_runs(a, results(spark, ROWS[:2]))
+    assert [tuple(r)[1:] for r in parts["problems"].select("check", "key", "problem").collect()] == [("q3", "unexpected")] and parts["by_type"].where("is_total").first().n == 2
     got = metrics.bootstrap_sequential(pairs, 500, 3).first()
     deltas, rng = [-80.0, 50.0, -100.0], random.Random(3)
     means = sorted(sum(deltas[rng.randrange(3)] for _ in range(3)) / 3 for _ in range(500))
@@ -107,6 +113,8 @@ def test_stored_statistics(spark):
 
 
 def test_corrections(spark):
+    from pyspark.sql import functions as F
+
     q = spark.createDataFrame([("q1", ["a"], "x"), ("q2", ["b"], "y")], "question_id string, expected_doc_ids array<string>, gold_answer string")
     plan = spark.createDataFrame([(0, "q1", 0), (1, "q2", 1)], "shard int, question_id string, ordinal int")
     updates = spark.createDataFrame([(0, "q1", True, [], ["a"], "x"), (0, "q2", True, ["z"], [], "y"), (1, "q2", False, ["z"], [], "y")], "shard int, question_id string, updated boolean, expected_doc_ids array<string>, valid_doc_ids array<string>, gold_answer string")
@@ -114,24 +122,64 @@ def test_corrections(spark):
     assert [(r.question_id, r.doc_set_changed, r.gold_answer_changed) for r in c.collect()] == [("q1", True, False)]
     over = {r.question_id: (r.expected_doc_ids, r.valid_doc_ids) for r in judging.overlaid(q, c).collect()}
     assert over == {"q1": ([], ["a"]), "q2": (["b"], [])}
-    audit = judging.audit_corrections(spark.createDataFrame([("q1", False), ("q2", True)], "question_id string, corrected boolean"), c, q, q)
-    assert {(r.question_id, r.problem) for r in audit.collect()} == {("q1", "record without flag"), ("q2", "flagged without record")}
+    told = spark.createDataFrame([("q1", False, 0.0), ("q2", True, 0.0)], "question_id string, corrected boolean, document_recall_pct double")
+    audit = judging.audit_corrections(told, c, q, q.select("question_id", F.col("expected_doc_ids").alias("document_ids")))
+    assert {(r.question_id, r.problem) for r in audit.collect()} == {("q1", "changes gold without flag"), ("q1", "after is incomplete"), ("q1", "no reasons"), ("q2", "flagged without record")}
+
+
+def test_every_rule_of_the_corrections_audit(spark):
+    """One record breaks one rule; a record that only adds valid documents breaks none."""
+    ids = "array<string>"
+    q = spark.createDataFrame([(f"q{i}", ["a"], "x", ["f"]) for i in range(12)], f"question_id string, expected_doc_ids {ids}, gold_answer string, answer_facts {ids}")
+    fine = (["a"], "x", ["f"], ["b"], ["v"], "x", ["f"], ["r"], True, False)
+    #       before ids, answer, facts, after ids, valid, answer, facts, reasons, set flag, answer flag
+    rows = {
+        "q0": ["a"] and (["a"], "x", ["f"], ["a"], ["v"], "x", ["f"], ["valid only"], False, False),
+        "q1": fine,
+        "q2": (["a"], "x", ["f"], ["a"], [], "x", ["f"], ["r"], False, False),
+        "q3": (*fine[:8], True, True),
+        "q4": (["a", "c"], *fine[1:]),
+        "q5": (*fine[:7], [], True, False),
+        "q6": (*fine[:6], None, ["r"], True, False),
+        "q7": (["a"], "x", ["f"], ["a"], ["v"], "x", ["f"], ["r"], True, False),
+        "q8": fine,
+        "q9": fine,
+        "strange": fine,
+    }
+    names = f"question_id string, before_ids {ids}, before_answer string, before_facts {ids}, after_ids {ids}, after_valid {ids}, after_answer string, after_facts {ids}, reasons {ids}, doc_set_changed boolean, gold_answer_changed boolean"
+    c = spark.createDataFrame([(k, *v) for k, v in rows.items()] + [("q9", *fine)], names)
+    flags = {"q0": False, "q2": False, "q8": False, "q10": True, "q11": False}
+    told = spark.createDataFrame([(f"q{i}", flags.get(f"q{i}", True), 50.0 if i == 1 else 100.0 if i in (0, 2, 7) else 0.0) for i in range(12)] + [("strange", True, None)], "question_id string, corrected boolean, document_recall_pct double")
+    answers = spark.createDataFrame([(f"q{i}", ["a"]) for i in range(12) if i != 3], f"question_id string, document_ids {ids}")
+    want = {
+        ("q1", "recall not reproduced"), ("q2", "changes nothing"), ("q3", "wrong answer flag"), ("q4", "before is not the original"), ("q5", "no reasons"), ("q6", "after is incomplete"),
+        ("q7", "wrong set flag"), ("q8", "changes gold without flag"), ("q9", "repeated record"), ("q10", "flagged without record"), ("strange", "unknown question"),
+    }
+    assert {tuple(r) for r in judging.audit_corrections(told, c, q, answers).collect()} == want
 
 
 def test_target_selection(spark):
     q = spark.createDataFrame([("q1",), ("q2",), ("q3",)], "question_id string")
     pick = lambda *ids: spark.createDataFrame(list(enumerate(ids)), "ordinal long, question_id string")
     assert [r.question_id for r in judging.select_questions(q, pick("q3", "q1"), 1).collect()] == ["q3"]
-    for bad in (pick("q1", "q1"), pick("nope")):
-        with pytest.raises(ValueError, match="unknown or repeated"):
-            judging.select_questions(q, bad)
+    assert [r.question_id for r in judging.select_questions(q, pick("q1", "q3", "q1")).collect()] == ["q1", "q3", "q1"]
+    with pytest.raises(ValueError, match="unknown questions: nope"):
+        judging.select_questions(q, pick("q1", "nope"))
 
 
 def test_ledger(spark):
     log = spark.createDataFrame([("b", "i1", "errored", 1), ("b", "i1", "errored", 2), ("b", "i2", "errored", 1), ("b", "i2", "completed", 2), ("b", "i3", "pending", 1)], "batch string, id string, status string, seq long")
     assert [(r.id, r.attempts) for r in ledger.failed_items(log).collect()] == [("i1", 2)]
     sent = spark.createDataFrame([("i1",), ("i2",), ("i3",), ("i4",)], "id string")
-    assert tuple(ledger.readiness(sent, log).first()) == (4, 1, 1, 2, False, False)
+    assert tuple(ledger.readiness(sent, log).first()) == (4, 1, 1, 2, 0, False, False)
+    done, log = sent.where("id in ('i1', 'i2')"), log.where("id in ('i1', 'i2')")
+    assert tuple(ledger.readiness(done, log).first()) == (2, 1, 1, 0, 0, True, False)
+    assert ledger.readiness(done, log, accept_failures=True).first().ready
+    waiting = ledger.readiness(done, log, accept_failures=True, open_batches=log).first()
+    assert (waiting.unresolved, waiting.resolved, waiting.ready) == (1, False, False)
+    states = ledger.batch_states(spark.createDataFrame([("b", 1, "sending"), ("b", 2, "sent"), ("c", 1, "sending")], "batch string, seq long, state string"), log, log)
+    assert {tuple(r) for r in states.collect()} == {("b", "settled", 2, 1, 1), ("c", "sending", 0, 0, 0)}
+    assert [tuple(r) for r in ledger.next_attempt(spark.createDataFrame([(0, 1), (0, 3)], "shard int, attempt int"), spark.createDataFrame([(0,), (1,)], "shard int")).orderBy("shard").collect()] == [(0, 4), (1, 1)]
 
 
 def test_identity(spark):
@@ -168,6 +216,8 @@ def test_journal_reader(spark, tmp_path):
 
 
 def test_lines_results_and_append(spark, tmp_path):
+    from pyspark.sql import functions as F
+
     (tmp_path / "a.jsonl").write_text('{"question_id": "q", "answer": "x", "document_ids": ["d"]}\n\n')
     assert sources.read_lines(spark, str(tmp_path / "a.jsonl"), sources.ANSWER).count() == 1
     (tmp_path / "bad.jsonl").write_text("{nope\n")
@@ -182,6 +232,16 @@ def test_lines_results_and_append(spark, tmp_path):
     assert sorted((r.doc_id, r.content) for r in spark.read.parquet(str(tmp_path / "c")).collect()) == [("a", "0"), ("b", "x")]
     saved = spark.createDataFrame([("q1", ["a"], ["b"]), ("q2", None, ["c"])], "question_id string, retrieved_doc_ids array<string>, document_ids array<string>")
     assert {r.provenance for r in sources.chosen_retrieval(saved).collect()} == {"submitted ids"}
+    with pytest.raises(ValueError, match="repeated questions: q1"):
+        sources.chosen_retrieval(saved.union(saved.where("question_id = 'q1'")))
+    neither = saved.select("question_id", "retrieved_doc_ids", F.when(F.col("question_id") == "q1", F.col("document_ids")).alias("document_ids"))
+    answers_ = spark.createDataFrame([("q9", ["z"]), ("q8", None)], "question_id string, document_ids array<string>")
+    assert {(r.question_id, tuple(r.document_ids), r.provenance) for r in sources.chosen_retrieval(neither, answers_).collect()} == {("q9", ("z",), "answers"), ("q8", (), "answers")}
+    (tmp_path / "k.jsonl").write_text('{"question_id": "q", "answer": "old"}\n\n{"question_id": "r", "answer": "x"}\n{"question_id": "q", "answer": "new"}\n')
+    assert {(r.question_id, r.answer) for r in sources.read_keyed(spark, str(tmp_path / "k.jsonl"), sources.ANSWER).collect()} == {("q", "new"), ("r", "x")}
+    (tmp_path / "c.json").write_text(json.dumps([{"_config": {"top": 3}}, {"question_id": "q", "stage": "answered"}]))
+    header, rows = sources.read_checkpoint(spark, str(tmp_path / "c.json"), "question_id string, stage string")
+    assert header == {"top": 3} and [tuple(r) for r in rows.collect()] == [("q", "answered")]
     (tmp_path / "ids").write_text("q2\n\nq1\n")
     assert [r.question_id for r in sources.read_ids(spark, str(tmp_path / "ids")).orderBy("ordinal").collect()] == ["q2", "q1"]
 
