@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..operators.identity import fingerprint
 from ..operators.items import typed_items
+from ..operators.ledger import FAILED, SETTLED
 
 
 class ItemSink(Protocol):
@@ -109,3 +110,35 @@ def dry_run(corpus: DataFrame, batch_size: int, lane: str = "source_type") -> Da
     docs = corpus.select(lane, "doc_id").join(sizes, "doc_id")
     last = aligned_batches(docs, batch_size, lane).groupBy(lane).agg((F.max("batch") + 1).alias("batches"))
     return docs.groupBy(lane).agg(F.count(F.lit(1)).alias("documents"), F.sum("size").alias("items")).join(last, lane)
+
+
+def settled(ask: Callable[[list[str]], dict[str, str]], ids: list[str], timeout: float = 3600.0, wait: float = 10.0, each: int = 500, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep) -> dict[str, str]:
+    """Status of each id of a batch, asked for again until it is final or the time is up; what is left is pending."""
+    told, end = dict.fromkeys(ids, "pending"), clock() + timeout
+    while left := [i for i, s in told.items() if s not in (SETTLED, FAILED)]:
+        for at in range(0, len(left), each):
+            told |= {i: s for i, s in ask(left[at : at + each]).items() if i in told and s in (SETTLED, FAILED)}
+        if clock() >= end:
+            break
+        if any(s == "pending" for s in told.values()):
+            sleep(wait)
+    return told
+
+
+def poll(sent: DataFrame, ask: Callable[[list[str]], dict[str, str]], **options) -> DataFrame:
+    """(batch, id, status) of (batch, id): batches are polled in parallel, each as a whole; a batch is what was sent at once."""
+    import pandas as pd
+
+    def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        told = settled(ask, rows["id"].tolist(), **options)
+        return pd.DataFrame({"batch": key[0], "id": list(told), "status": list(told.values())})
+
+    return sent.groupBy("batch").applyInPandas(one, f"batch {sent.schema['batch'].dataType.simpleString()}, id string, status string")
+
+
+def provision(spark: SparkSession, database: str) -> list[str]:
+    """Makes the database if there is none, and lists its tables."""
+    if not re.fullmatch(r"\w+", database):
+        raise ValueError(f"no name of a database: {database!r}")
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
+    return sorted(t.name for t in spark.catalog.listTables(database) if not t.isTemporary)

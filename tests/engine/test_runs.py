@@ -123,3 +123,68 @@ def test_search(spark):
     assert first(retrieval.search(q, corpus, query_by="hybrid", alpha=0.9, vectors=v, query_vectors=qv)) == "a"
     with pytest.raises(ValueError, match="vectors are needed"):
         retrieval.search(q, corpus, query_by="hybrid")
+
+
+def test_generate_judge_and_audit(spark, tmp_path, capsys):
+    import json
+    import sys
+
+    from corvane.plans import cli
+
+    root = tmp_path / "sources" / "jira"
+    root.mkdir(parents=True)
+    for i, text in enumerate(("The red fox ran home. It rained", "A blue whale swims. It sings")):
+        (root / f"{i}.json").write_text(json.dumps({"title_field_name": "t", "content_field_names": ["c"], "dataset_doc_uuid": f"x{i}", "t": "T", "c": text}))
+    gold = {"expected_doc_ids": ["x0"], "gold_answer": "fox", "answer_facts": ["f"]}
+    lines = [{"question_id": "q1", "question": "where did the red fox run", **gold}, {"question_id": "q2", "question": "what is a blue whale", **gold, "expected_doc_ids": ["x1"]}]
+    one, both = tmp_path / "one.jsonl", tmp_path / "q.jsonl"
+    one.write_text(json.dumps(lines[0]) + "\n")
+    both.write_text("".join(json.dumps(x) + "\n" for x in lines))
+    run = str(tmp_path / "run")
+    go = lambda *a: cli.main([str(x) for x in a])
+    assert go("generate", "--run", run, "--questions", one, "--checkout", tmp_path / "sources") == 0
+    assert go("generate", "--run", run, "--questions", both, "--checkout", tmp_path / "sources") == 0  # only the second is new
+    got = {r.question_id: (r.answer, r.document_ids[0]) for r in spark.read.json(f"{run}/answers").collect()}
+    assert set(got) == {"q1", "q2"} and got["q2"][1] == "x1"
+    assert go("generate", "--run", run, "--questions", one, "--checkout", tmp_path / "sources") == 1  # narrower
+    (tmp_path / "scorers.py").write_text("def same(r):\n    return {'answer_correct': 'fox' in r['answer'], 'completeness_pct': 50.0}\n")
+    sys.path.insert(0, str(tmp_path))
+    import scorers
+
+    from pyspark import cloudpickle as own
+
+    own.register_pickle_by_value(scorers)
+    for _ in range(2):
+        assert go("judge", "--run", run, "--questions", both, "--answers", f"{run}/answers", "--scorer", "scorers:same", "--shards", 2) == 0
+    assert spark.read.json(f"{run}/judged").count() == 2
+    record = {"question_id": "q1", "before": gold, "after": {**gold, "valid_doc_ids": ["v"]}, "update_reasons": ["valid only"], "doc_set_changed": False, "gold_answer_changed": False}
+    (tmp_path / "r.json").write_text(json.dumps({"questions": [{"question_id": q, "question_type": "t", "answer_correct": True, "completeness_pct": 50.0, "corrected": False} for q in ("q1", "q2")]}))
+    for valid, code in ((["v"], 0), ([], 1)):
+        record["after"]["valid_doc_ids"] = valid
+        (tmp_path / "c.jsonl").write_text(json.dumps(record) + "\n")
+        assert go("audit-corrections", "--results", tmp_path / "r.json", "--corrections", tmp_path / "c.jsonl", "--questions", both) == code
+    assert go("doctor", "--path", both) == 0 and go("doctor", "--path", tmp_path / "nowhere") == 1
+    assert "changes nothing" in capsys.readouterr().out
+
+
+def test_polling_and_provision(spark):
+    from corvane.streaming import ingest
+
+    now, asked = [0.0], []
+
+    def ask(ids):
+        asked.append(list(ids))
+        return {i: "completed" if now[0] >= 20 and i != "c" else "errored" if i == "b" else "queued" for i in ids}
+
+    def sleep(seconds):
+        now[0] += seconds
+
+    got = ingest.settled(ask, ["a", "b", "c"], timeout=30, each=2, clock=lambda: now[0], sleep=sleep)
+    assert got == {"a": "completed", "b": "errored", "c": "pending"}
+    assert asked[:2] == [["a", "b"], ["c"]] and asked[2] == ["a", "c"]
+    sent = spark.createDataFrame([("b1", "x"), ("b1", "y"), ("b2", "z")], "batch string, id string")
+    told = ingest.poll(sent, lambda ids: {i: "errored" if i == "y" else "completed" for i in ids})
+    assert {tuple(r) for r in told.collect()} == {("b1", "x", "completed"), ("b1", "y", "errored"), ("b2", "z", "completed")}
+    assert ingest.provision(spark, "corvane_test") == []
+    with pytest.raises(ValueError, match="no name"):
+        ingest.provision(spark, "a; b")
