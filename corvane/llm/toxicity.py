@@ -124,14 +124,19 @@ def fit(docs_x: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, changes: lis
     if len(y) == 0 or y.min() == y.max():
         return Model(prior=float(y.mean()) if len(y) else 0.0)
     n, share = len(y), y.mean()
-    used, col = np.unique(np.concatenate([f for f, _ in docs_x]), return_inverse=True)
-    row = np.repeat(np.arange(n), [len(f) for f, _ in docs_x])
-    seen, toxic = np.bincount(col, minlength=len(used)), np.bincount(col, weights=y[row], minlength=len(used))
-    swapped = np.isin(used, np.array(sorted({f for _, c in changes for f, _ in c}), dtype=used.dtype))
-    keep = (np.abs(toxic - seen * share) >= z_least * np.sqrt(seen * share * (1 - share))) & (seen >= rows_least) | swapped
-    on = keep[col]
-    x = np.minimum(np.concatenate([c for _, c in docs_x])[on], MOST).astype(np.float64)
-    row, col, used = row[on], (np.cumsum(keep) - 1)[col[on]], used[keep]
+    # features are BITS wide: they are counted in place, and only those that enter are brought together
+    seen, toxic = np.zeros(1 << BITS), np.zeros(1 << BITS)
+    for (f, _), label in zip(docs_x, y, strict=True):
+        seen[f] += 1
+        toxic[f] += label
+    keep = (np.abs(toxic - seen * share) >= z_least * np.sqrt(seen * share * (1 - share))) & (seen >= rows_least)
+    keep[sorted({f for _, c in changes for f, _ in c})] = True
+    keep &= seen > 0
+    place, used = np.cumsum(keep) - 1, np.flatnonzero(keep)
+    own = [keep[f] for f, _ in docs_x]
+    row = np.repeat(np.arange(n), [int(k.sum()) for k in own])
+    col = place[np.concatenate([f[k] for (f, _), k in zip(docs_x, own, strict=True)])]
+    x = np.minimum(np.concatenate([c[k] for (_, c), k in zip(docs_x, own, strict=True)]), MOST).astype(np.float64)
     d, at = len(used), {int(f): i for i, f in enumerate(used)}
     c_row = np.array([i for i, (_, c) in enumerate(changes) for f, _ in c if f in at], dtype=np.int64)
     c_col = np.array([at[f] for _, c in changes for f, _ in c if f in at], dtype=np.int64)
@@ -182,7 +187,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     # the sample is bounded, so its ids are broadcast and no text moves
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(ids), "doc_id").select("y", "text")
     rows = own.mapInArrow(extract, "y int, f binary, c binary, s binary").toArrow()
-    xs = [(np.frombuffer(f, "<u4"), np.frombuffer(c, "u1")) for f, c in zip(rows["f"].to_pylist(), rows["c"].to_pylist(), strict=True)]
+    xs = [(np.frombuffer(f.as_buffer(), "<u4"), np.frombuffer(c.as_buffer(), "u1")) for f, c in zip(rows["f"], rows["c"], strict=True)]  # no copies
     mentioned: Counter = Counter()
     for s in rows["s"].to_pylist():
         for i, k in np.frombuffer(s, "<i4").reshape(-1, 2).tolist():
