@@ -49,7 +49,7 @@ SIMILARITY, SHINGLE = 0.8, 5
 #: Most bits of 128 that differ in a pair to verify; most fingerprints of a block.
 REACH, BLOCK = 24, 4096
 #: How many of those within reach a fingerprint is paired with at a key, beside the most central one.
-NEAREST = 8
+NEAREST = 4
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -166,17 +166,15 @@ def near_groups(docs: DataFrame, keep: list[str], best, text: str = "text", shin
 def word_set_fingerprints(texts: list[bytes]) -> np.ndarray:
     """Two 64-bit integers for each text: bit i is 1 if over half of its distinct words' hashes have it."""
     word, of, _ = hashing.words(texts)
-    order = np.lexsort((word, of))
-    word, of = word[order], of[order]
-    new = np.ones(len(word), dtype=bool)
-    new[1:] = (word[1:] != word[:-1]) | (of[1:] != of[:-1])
-    word, of = word[new], of[new]
+    both = np.sort(of.astype(np.uint64) << np.uint64(44) | word >> np.uint64(20))  # the text and 44 bits of the word
+    both = both[np.concatenate([[True], both[1:] != both[:-1]])[: len(both)]]
+    word, of = both & np.uint64((1 << 44) - 1), (both >> np.uint64(44)).astype(np.int64)
     ones, n = np.zeros((len(texts), 128), dtype=np.int64), np.bincount(of, minlength=len(texts))
     for i in range(0, len(word), CHUNK):
         w, o = word[i : i + CHUNK], of[i : i + CHUNK]
-        both = np.stack([w, hashing.mixed(w * np.uint64(hashing.MULTIPLIER) + np.uint64(1))], axis=1)
+        both = np.stack([hashing.mixed(w * np.uint64(hashing.MULTIPLIER) + np.uint64(k)) for k in (1, 2)], axis=1)
         first = np.flatnonzero(np.concatenate([[True], o[1:] != o[:-1]]))
-        ones[o[first]] += np.add.reduceat(np.unpackbits(both.astype("<u8").view(np.uint8).reshape(-1, 16), axis=1, bitorder="little"), first, axis=0, dtype=np.int64)
+        ones[o[first]] += np.add.reduceat(np.unpackbits(both.astype("<u8").view(np.uint8).reshape(-1, 16), axis=1, bitorder="little"), first, axis=0, dtype=np.uint32)
     return np.packbits(ones * 2 > n[:, None], axis=1, bitorder="little").reshape(-1).view("<u8").reshape(-1, 2)
 
 
@@ -313,7 +311,8 @@ def near_links(shelf: Shelf, own: DataFrame, similarity: float = SIMILARITY, shi
             found = shingle_sets([(t.as_py() or "").encode() for t in batch.column(1)], shingle)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in found], pa.binary())], ["rid", "grams"])
 
-    grams = shelf.keep(own.join(loosened(ids, "rid"), "rid").select("rid", "text").mapInArrow(sets, "rid long, grams binary"), "grams")
+    # texts meet ids by sorting at every size, and no broadcast of ids grows with the documents
+    grams = shelf.keep(own.join(loosened(ids, "rid").hint("merge"), "rid").select("rid", "text").mapInArrow(sets, "rid long, grams binary"), "grams")
     pairs = candidates.join(grams.select(F.col("rid").alias("a"), F.col("grams").alias("x")), "a").join(grams.select(F.col("rid").alias("b"), F.col("grams").alias("y")), "b")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -334,7 +333,7 @@ def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     best = F.struct(F.col("id").isNull().alias("x"), F.col("id").alias("y"), F.col("rid").alias("z"))
     stay = known.groupBy("root").agg(F.min(best).alias("best"))
     gone = known.join(loosened(stay, "root"), "root").where(F.col("rid") != F.col("best.z")).select(F.col("rid").alias(name))
-    return own.join(loosened(gone, name), name, "left_anti").select(docs.columns)
+    return own.join(loosened(gone, name).hint("merge"), name, "left_anti").select(docs.columns)
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
