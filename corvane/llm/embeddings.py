@@ -6,9 +6,14 @@ if it lies within r of the border between the two (distance to the border: (x.pi
 triangle inequality bounds) and within r of the cell's farthest member; then it is replicated to j. Of two cells
 one receives, chosen in a ring, so each pair meets once and cells share the load. Cells join independently.
 
-Cells with many members are split into blocks of BLOCK; a task holds one block and streams what may be near it,
-so its memory is bounded however large a cell is. Equal vectors count as one with a multiplicity, so copies never
-meet. A block puts out counts for each vector and links that connect what is linked, never all pairs.
+Members within r/2 of their pivot form the cell's core. By the triangle inequality all of them are linked to each
+other, so they are counted and connected in bulk and never meet. A cluster that a third of all vectors crowd into
+costs no more than its members, as far as it lies in a core. What is not core meets all others of its cell.
+
+Cells with many members are split into blocks of BLOCK, of core or other members; a task holds one block and streams
+what may be near it, so its memory is bounded however large a cell is. Equal vectors count as one with a
+multiplicity, so copies never meet. A block puts out counts for each vector and links that connect what is linked,
+never all pairs.
 
 Scale: pivots grow with the square root of the number of vectors. Where vectors fill all 64 dimensions evenly,
 r of 0.45 reaches most borders and a vector goes to up to half the cells: exact range joins have no better bound
@@ -34,12 +39,13 @@ from .common import Shelf, components, loosened, read
 COSINE = 0.9
 BLOCK = 2048
 MOST_PIVOTS = 1024
-#: Distances are widened by this, so that rounding never loses a pair that is exactly at the threshold.
-SLACK = 1e-9
+#: Distances are widened by this, so that rounding never loses a pair that is exactly at the threshold; and a core is narrower by that.
+SLACK, CORE_SLACK = 1e-9, 1e-6
 
 
 def _unit(column) -> np.ndarray:
     values = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+    values /= np.abs(values).max(axis=1, keepdims=True)  # squares neither overflow nor vanish
     norm = np.sqrt((values * values).sum(axis=1, keepdims=True))
     values /= norm
     return values
@@ -84,15 +90,19 @@ def _join(reps: DataFrame, shelf: Shelf, name: str, n: int, cosine: float, block
 
     kind = reps.schema["embedding"].dataType.simpleString()
     settled = shelf.keep(reps.select("node", "mult", "embedding").mapInArrow(settle, f"node long, mult long, embedding {kind}, home int, away double"), f"{name}-settled")
-    count, radius = np.zeros(k, dtype=np.int64), np.zeros(k)
-    for h, c, a in settled.groupBy("home").agg(F.count(F.lit(1)), F.max("away")).collect():  # a row for each pivot
-        count[h], radius[h] = c, a
-    blocks = np.maximum(1, -(-count // block))
+    core = r / 2 - CORE_SLACK
+    count, cored, radius = np.zeros(k, dtype=np.int64), np.zeros(k, dtype=np.int64), np.zeros(k)
+    inside = F.col("away") <= core
+    for h, c, d, a in settled.groupBy("home").agg(F.count(F.lit(1)), F.sum(inside.cast("long")), F.max("away")).collect():  # a row for each pivot
+        count[h], cored[h], radius[h] = c, d, a
+    loose, tight = -(-(count - cored) // block), -(-cored // block)  # blocks of a cell, the loose ones first
+    blocks = loose + tight
     first = np.concatenate([[0], np.cumsum(blocks)])  # number of a cell's first block
-    shape = spark.sparkContext.broadcast((count, radius, blocks, first))
+    shape = spark.sparkContext.broadcast((count, radius, loose, tight, first))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pivots, (count, radius, blocks, first) = sent.value, shape.value
+        pivots, (count, radius, loose, tight, first) = sent.value, shape.value
+        blocks = loose + tight
         between = np.sqrt(np.maximum(1e-18, 2 - 2 * pivots @ pivots.T))
         cells = np.arange(k)
         for batch in batches:
@@ -102,21 +112,23 @@ def _join(reps: DataFrame, shelf: Shelf, name: str, n: int, cosine: float, block
             gap = near[np.arange(len(home)), home][:, None] - near
             reach = (gap <= (r * between)[home]) & (np.sqrt(np.maximum(0, 2 - 2 * near)) <= radius[None, :] + r) & (count > 0)[None, :]
             reach &= receives(home[:, None], cells[None, :], k)
-            # a block of the home by a mixed hash of the node, and the later blocks of the home
+            # a block of the home by a mixed hash of the node; who is not core also goes to the home's later blocks
             mixed = (node.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
-            own = (mixed % blocks[home].astype(np.uint64)).astype(np.int64)
-            row, unit, guest = [np.arange(len(home))], [first[home] + own], [np.zeros(len(home), dtype=bool)]
+            central = batch.column(4).to_numpy(zero_copy_only=False) <= core
+            many = np.where(central, tight[home], loose[home])
+            own = (mixed % many.astype(np.uint64)).astype(np.int64) + np.where(central, loose[home], 0)
+            row, unit, guest = [np.arange(len(home))], [first[home] + own], [np.where(central, CORE, MEMBER)]
             for j in range(int(blocks.max())):
                 at, cell = np.nonzero(reach & (blocks > j)[None, :])
-                later = np.nonzero((j > own) & (j < blocks[home]))[0]
+                later = np.nonzero(~central & (j > own) & (j < blocks[home]))[0]
                 row += [at, later]
                 unit += [first[cell] + j, first[home[later]] + j]
-                guest += [np.ones(len(at) + len(later), dtype=bool)]
+                guest += [np.full(len(at) + len(later), GUEST)]
             row, unit, guest = map(np.concatenate, (row, unit, guest))
             for at in range(0, len(row), 20_000):
                 part = row[at : at + 20_000]
                 taken = batch.select([0, 1, 2]).take(pa.array(part))
-                yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(unit[at : at + 20_000]), pa.array(guest[at : at + 20_000])], ["node", "mult", "embedding", "unit", "guest"])
+                yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(unit[at : at + 20_000]), pa.array(guest[at : at + 20_000].astype(np.int32))], ["node", "mult", "embedding", "unit", "guest"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unit, members, told = None, None, []
@@ -139,14 +151,23 @@ def _join(reps: DataFrame, shelf: Shelf, name: str, n: int, cosine: float, block
                     unit, members = units[a], _Members(cosine)
                 part = batch.slice(a, b - a)
                 node, mult = (part.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-                told.extend(members.meet(node, mult, _unit(part.column(2))) if guests[a] else members.add(node, mult, _unit(part.column(2))))
+                unit_ = _unit(part.column(2))
+                told.extend(members.meet(node, mult, unit_) if guests[a] == GUEST else members.add(node, mult, unit_, guests[a] == CORE))
             yield out()
         if members is not None:
             told.append(members.counted())
         yield out()
 
-    dealt = settled.mapInArrow(deal, f"node long, mult long, embedding {kind}, unit long, guest boolean")
-    return dealt.repartition("unit").sortWithinPartitions("unit", "guest").mapInArrow(meet, "kind long, x long, y long")
+    dealt = settled.mapInArrow(deal, f"node long, mult long, embedding {kind}, unit long, guest int")
+    met = dealt.repartition("unit").sortWithinPartitions("unit", "guest").mapInArrow(meet, "kind long, x long, y long")
+    cores = settled.where(inside).groupBy("home").agg(F.sum("mult").alias("all"), F.min("node").alias("one"))
+    cores = settled.where(inside).select("node", "mult", "home").join(loosened(cores, "home"), "home")
+    bulk = cores.where("all > mult").select(F.lit(0).cast("long"), "node", F.col("all") - F.col("mult")).union(cores.where("node <> one").select(F.lit(1).cast("long"), "node", "one"))
+    return met.union(bulk)
+
+
+#: What a vector is to a block, in the order in which a block takes them.
+MEMBER, CORE, GUEST = 0, 1, 2
 
 
 class _Members:
@@ -159,15 +180,15 @@ class _Members:
         self.node, self.mult, self.links, self.root = (np.zeros(0, dtype=np.int64) for _ in range(4))
         self.unit: np.ndarray | None = None
 
-    def add(self, node, mult, unit) -> list[np.ndarray]:
-        """More members; they meet those before them and each other."""
-        told = self.meet(node, mult, unit) if len(self.node) else []
+    def add(self, node, mult, unit, core: bool = False) -> list[np.ndarray]:
+        """More members; they meet those before them and each other, unless they are a core's, which are linked as they are."""
+        told = self.meet(node, mult, unit) if len(self.node) and not core else []
         at = len(self.node)
         self.unit = unit if self.unit is None else np.concatenate([self.unit, unit])
         self.node, self.mult = np.concatenate([self.node, node]), np.concatenate([self.mult, mult])
         self.links = np.concatenate([self.links, np.zeros(len(node), dtype=np.int64)])
-        self.root = np.concatenate([self.root, np.arange(at, at + len(node))])
-        for i in range(0, len(node), self.STEP):
+        self.root = np.concatenate([self.root, np.zeros(len(node), dtype=np.int64) if core else np.arange(at, at + len(node))])
+        for i in range(0, 0 if core else len(node), self.STEP):
             own = slice(at + i, min(at + i + self.STEP, at + len(node)))
             near = self.unit[own] @ self.unit[at:].T >= self.cosine
             near[np.arange(own.stop - own.start), np.arange(own.start - at, own.stop - at)] = False
