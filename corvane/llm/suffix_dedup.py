@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Shelf, loosened, numbered, read
+from .common import Shelf, components, loosened, numbered, read
 from .hashing import chunks, runs, words
 
 LEAST, SEED, WINDOW = 50, 25, 26
@@ -152,7 +152,7 @@ def shared(a: bytes, b: bytes) -> int:
 
 
 def matches(rows: list[tuple], least: int = LEAST, seed: int = SEED, first: int = 0) -> Iterator[tuple]:
-    """Marks (rid, doc_id, start, end, partner) of sorted rows (suffix, left, rid, doc_id, word); pairs have their second row from first on."""
+    """Marks (rid, doc_id, start, end, partner, other) of sorted rows (suffix, left, rid, doc_id, word); pairs have their second row from first on."""
     with_next = [shared(a[0], b[0]) for a, b in zip(rows, rows[1:], strict=False)]
     for i in range(first, len(rows)):
         right, row = least, rows[i]
@@ -163,17 +163,17 @@ def matches(rows: list[tuple], least: int = LEAST, seed: int = SEED, first: int
             other = rows[j]
             left = shared(row[1], other[1])
             if left + right >= least:
-                yield row[2], row[3], row[4] - left, row[4] + right, other[3]
-                yield other[2], other[3], other[4] - left, other[4] + right, row[3]
+                yield row[2], row[3], row[4] - left, row[4] + right, other[3], other[2]
+                yield other[2], other[3], other[4] - left, other[4] + right, row[3], row[2]
             if row[:2] == other[:2]:
                 break  # the other row has met what this one would meet
 
 
 def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = LEAST, seed: int = SEED, window: int = WINDOW, crowd: int = CROWD) -> DataFrame:
-    """One row per row of docs with repeated passages: doc_id, n_spans, n_words, spans, partners.
+    """One row per row of docs with repeated passages: doc_id, n_spans, n_words, spans, partners, component_id.
 
     spans: array of (start, end) in words, end exclusive. partners: doc_ids that share a passage; of a crowded key's
-    strings the first or the last document only.
+    strings the first or the last document only. component_id: smallest doc_id reachable by shared passages.
     """
     if seed + window - 1 > least:
         raise ValueError("a window must fit into the least passage")
@@ -191,24 +191,30 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before: list[tuple] = []
-        types = [pa.int64(), id_type, pa.int32(), pa.int32(), id_type]
+        types = [pa.int64(), id_type, pa.int32(), pa.int32(), id_type, pa.int64()]
         for batch in batches:
             new = list(zip(*(c.to_pylist() for c in batch.columns), strict=True))
             marks = list(matches(before + new, least, seed, first=len(before)))
             before = (before + new)[-crowd:]  # no key has more rows
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*marks, strict=True) if marks else [[]] * 5, types, strict=True)], ["rid", "doc_id", "start", "end", "partner"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*marks, strict=True) if marks else [[]] * 6, types, strict=True)], ["rid", "doc_id", "start", "end", "partner", "other"])
 
     id_type = {"bigint": pa.int64(), "int": pa.int32()}.get(kind, pa.string())
     order = ["key", "suffix", "left", "rid", "word"]
     sorted_ = rows.where("whole is null").drop("whole").repartition("key").sortWithinPartitions(*order).select("suffix", "left", "rid", "doc_id", "word")
-    met = shelf.keep(sorted_.mapInArrow(meet, f"rid long, doc_id {kind}, start int, end int, partner {kind}"), "marks")
+    met = shelf.keep(sorted_.mapInArrow(meet, f"rid long, doc_id {kind}, start int, end int, partner {kind}, other long"), "marks")
 
     strings = rows.where("whole is not null").select("key", "whole", "rid", "doc_id", "word")
-    twice = strings.groupBy("key", "whole").agg(F.count(F.lit(1)).alias("n"), F.min("rid").alias("low"), F.min_by("doc_id", "rid").alias("low_id"), F.max_by("doc_id", "rid").alias("high_id"))
+    twice = strings.groupBy("key", "whole").agg(F.count(F.lit(1)).alias("n"), F.min("rid").alias("low"), F.max("rid").alias("high"), F.min_by("doc_id", "rid").alias("low_id"), F.max_by("doc_id", "rid").alias("high_id"))
     twice = twice.where("n > 1").drop("n")
-    other = F.when(F.col("rid") == F.col("low"), F.col("high_id")).otherwise(F.col("low_id"))
-    counted = strings.join(loosened(twice, "key", "whole"), ["key", "whole"]).select("rid", "doc_id", F.col("word").alias("start"), (F.col("word") + least).alias("end"), other.alias("partner"))
-    marks = met.union(counted)
+    is_low = F.col("rid") == F.col("low")
+    partner, other = F.when(is_low, F.col("high_id")).otherwise(F.col("low_id")), F.when(is_low, F.col("high")).otherwise(F.col("low"))
+    counted = strings.join(loosened(twice, "key", "whole"), ["key", "whole"]).select("rid", "doc_id", F.col("word").alias("start"), (F.col("word") + least).alias("end"), partner.alias("partner"), other.alias("other"))
+    marks = shelf.keep(met.union(counted), "all-marks")
+    linked = components(shelf, marks.select(F.col("rid").alias("a"), F.col("other").alias("b")))
+    known = marks.select("rid", "doc_id").distinct().join(loosened(linked.withColumnRenamed("node", "rid"), "rid"), "rid", "left").withColumn("root", F.coalesce("root", "rid"))
+    known = shelf.keep(known, "components")
+    smallest = known.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    classes = known.join(loosened(smallest, "root"), "root").select("rid", "component_id")
     spans = marks.groupBy("rid", "doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("all"), F.array_sort(F.collect_set("partner")).alias("partners"))
     joined = F.aggregate(
         "all",
@@ -217,12 +223,12 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
             F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(F.try_element_at(acc, F.lit(-1))["start"].alias("start"), F.greatest(F.try_element_at(acc, F.lit(-1))["end"], s["end"]).alias("end"))))
         ),
     )
-    out = spans.withColumn("spans", joined)
+    out = spans.withColumn("spans", joined).join(loosened(classes, "rid"), "rid")
     words = F.aggregate("spans", F.lit(0), lambda acc, s: acc + s["end"] - s["start"])
-    return out.select("doc_id", F.size("spans").alias("n_spans"), words.alias("n_words"), "spans", "partners")
+    return out.select("doc_id", F.size("spans").alias("n_spans"), words.alias("n_words"), "spans", "partners", "component_id")
 
 
 def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = repeated_passages(read(spark, sf_dir, "documents", ["doc_id", "text"]))
     told = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
-    return out.select("doc_id", "n_spans", "n_words", told.alias("spans"), "partners")
+    return out.select("doc_id", "n_spans", "n_words", told.alias("spans"), "partners", "component_id")
