@@ -573,6 +573,27 @@ def test_near_vectors(spark, tmp_path):
     assert embeddings.near_vectors(empty).count() == 0
 
 
+@pytest.mark.parametrize("block", [16, 2048])
+def test_near_vectors_of_a_hot_cluster(spark, tmp_path, block):
+    """Half of all vectors crowd around one place, some within the core; and components of any size."""
+    rng = np.random.default_rng(5)
+    place = rng.normal(size=12)
+    place /= np.linalg.norm(place)
+    crowd = [place + rng.normal(size=12) * s for s in rng.choice([0.02, 0.08, 0.14], 300)]
+    vectors = crowd + [rng.normal(size=12) for _ in range(300)]
+    vectors = [v * 10.0 ** rng.integers(-200, 200) for v in vectors] + [crowd[0] * 3, crowd[0] * 3]
+    spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>").repartition(4).write.parquet(str(tmp_path / "v"))
+    got = {r.vec_id: r for r in embeddings.near_vectors(spark.read.parquet(str(tmp_path / "v")), block=block).collect()}
+    u = np.array([v / np.abs(v).max() for v in vectors])
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    linked = u @ u.T >= 0.9
+    root = np.arange(len(u))
+    for _ in range(30):
+        root = np.array([root[x].min() for x in linked])
+    assert [got[i].n_links for i in range(len(u))] == (linked.sum(axis=1) - 1).tolist()
+    assert [got[i].component_id for i in range(len(u))] == root.tolist()
+
+
 def test_receives():
     for k in (1, 2, 5, 8):
         i, j = np.meshgrid(range(k), range(k))
@@ -697,6 +718,16 @@ def test_repeated_passages(spark, nothing, tmp_path):
     got = suffix_dedup.repeated_passages(spark.read.parquet(str(tmp_path / "d"))).collect()
     want = {d: s for (d, _), s in zip(rows, brute_repeats(texts), strict=True) if s}
     assert {r.doc_id: tuple((s.start, s.end) for s in r.spans) for r in got} == want
+    ids = [d for d, _ in rows]
+    grams = [{tuple(words(t)[j : j + 50]) for j in range(len(words(t)) - 49)} for t in texts]
+    root = list(range(len(texts)))
+    for _ in range(6):
+        for i, a in enumerate(grams):
+            for j, b in enumerate(grams):
+                if a & b:
+                    root[i] = root[j] = min(root[i], root[j])
+    smallest = {k: min((ids[i] for i in range(len(ids)) if root[i] == k and ids[i] is not None), default=None) for k in set(root)}
+    assert {r.doc_id: r.component_id for r in got} == {ids[i]: smallest[root[i]] for i in range(len(ids)) if ids[i] in want}
     assert all(r.n_spans == len(r.spans) and r.n_words == sum(s.end - s.start for s in r.spans) for r in got)
     assert suffix_dedup.repeated_passages(nothing).count() == 0
 
@@ -712,4 +743,4 @@ def test_repeated_passages_around_a_hot_notice(spark, tmp_path):
     for crowd in (2, suffix_dedup.CROWD, 1000):
         got = suffix_dedup.repeated_passages(docs, crowd=crowd).collect()
         assert {r.doc_id: tuple((s.start, s.end) for s in r.spans) for r in got} == want
-        assert all(r.doc_id ^ 1 in r.partners for r in got)
+        assert all(r.doc_id ^ 1 in r.partners and r.component_id == r.doc_id & ~1 for r in got)
