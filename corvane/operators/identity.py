@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,9 +17,29 @@ def _record():
 
 
 def content_hash(corpus: DataFrame, group: str) -> DataFrame:
-    """(group, n, sha256): SHA-256 of the group's records in id order. A group must fit into one value."""
-    rows = corpus.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("doc_id", _record().alias("r")))).alias("rows"))
-    return rows.select(group, F.size("rows").cast("long").alias("n"), F.sha2(F.array_join(F.transform("rows", lambda x: x["r"]), ""), 256).alias("sha256"))
+    """(group, n, sha256): SHA-256 of the group's records in id order. A group streams through one task, record by record."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, n, h = None, 0, None
+        kind = None
+
+        def told() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([now], kind), pa.array([n]), pa.array([h.hexdigest()])], [group, "n", "sha256"])
+
+        for batch in batches:
+            kind = batch.schema.field(0).type
+            for own, record in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if h is None or own != now:
+                    if h is not None:
+                        yield told()
+                    now, n, h = own, 0, hashlib.sha256()
+                n += 1
+                h.update(record.as_py().encode())
+        if h is not None:
+            yield told()
+
+    rows = corpus.select(group, "doc_id", _record().alias("record")).repartition(group).sortWithinPartitions(group, "doc_id", "record").select(group, "record")
+    return rows.mapInArrow(run, f"{group} {rows.schema[group].dataType.simpleString()}, n long, sha256 string")
 
 
 def content_merkle(corpus: DataFrame, digits: int = 3) -> DataFrame:

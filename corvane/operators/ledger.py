@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -24,10 +27,9 @@ def adopted(log: DataFrame, open_batches: DataFrame) -> DataFrame:
 def failed_items(log: DataFrame) -> DataFrame:
     """(id, attempts, seq): items whose last final status is a failure, and how often they failed in a row."""
     final = log.where(F.col("status").isin(SETTLED, FAILED))
-    good = F.coalesce(F.max(F.when(F.col("status") == SETTLED, F.col("seq"))), F.lit(-1))
-    per = final.groupBy("id").agg(good.alias("good"), F.array_sort(F.collect_list(F.when(F.col("status") == FAILED, F.col("seq")))).alias("failures"), F.max("seq").alias("seq"))
-    after = F.filter("failures", lambda s: s > F.col("good"))
-    return per.select("id", F.size(after).cast("long").alias("attempts"), "seq").where("attempts > 0")
+    last = final.groupBy("id").agg(F.max(F.when(F.col("status") == SETTLED, F.col("seq"))).alias("good"), F.max("seq").alias("seq"))
+    since = final.where(F.col("status") == FAILED).select("id", F.col("seq").alias("at")).join(last, "id").where("good is null or at > good")
+    return since.groupBy("id", "seq").agg(F.count(F.lit(1)).alias("attempts")).select("id", "attempts", "seq")
 
 
 def failed_documents(failed: DataFrame, in_flight: DataFrame | None = None) -> DataFrame:
@@ -48,10 +50,27 @@ def batch_fold(sizes: Column, batch_size: int) -> Column:
 
 
 def aligned_batches(docs: DataFrame, batch_size: int, lane: str = "lane") -> DataFrame:
-    """(lane, doc_id, batch) of (lane, doc_id, size): each lane is folded in id order by itself, so lanes run in parallel."""
-    per = docs.groupBy(lane).agg(F.array_sort(F.collect_list(F.struct("doc_id", F.col("size").cast("long").alias("size")))).alias("docs"))
-    per = per.withColumn("batches", batch_fold(F.transform("docs", lambda d: d["size"]), batch_size))
-    return per.select(lane, F.explode(F.arrays_zip(F.transform("docs", lambda d: d["doc_id"]).alias("doc_id"), F.col("batches").alias("batch"))).alias("x")).select(lane, "x.doc_id", "x.batch")
+    """(lane, doc_id, batch) of (lane, doc_id, size): each lane is folded in id order by itself, so lanes run in parallel.
+
+    A batch closes when it has batch_size items or more. A lane streams through one task, which holds a running count.
+    """
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, number, n, begun = None, 0, 0, False
+        for batch in batches:
+            out = []
+            for own, size in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if own != now or not begun:
+                    now, number, n, begun = own, 0, 0, True
+                out.append(number)
+                n += size or 0
+                if n >= batch_size:
+                    number, n = number + 1, 0
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.int32())], [lane, "doc_id", "batch"])
+
+    rows = docs.select(lane, "doc_id", F.col("size").cast("long").alias("size")).repartition(lane).sortWithinPartitions(lane, "doc_id")
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    return rows.mapInArrow(fold, f"{lane} {kinds[lane]}, doc_id {kinds['doc_id']}, batch int")
 
 
 def readiness(sent: DataFrame, log: DataFrame, accept_failures: bool = False, open_batches: DataFrame | None = None) -> DataFrame:
