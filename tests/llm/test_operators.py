@@ -268,6 +268,38 @@ def test_packing_plan(seed):
     assert bins <= max(capacity.best_fit_decreasing(items, c).values(), default=-1) + 1
 
 
+def pack_one_by_one(items, c):
+    """Contents of bins: items above a third pair with the largest that fits, the others go to the tightest gap."""
+    large, bins = sorted(x for x in items if 3 * x > c), []
+    while large:
+        a = large.pop()
+        fit = [i for i, x in enumerate(large) if x + a <= c]
+        bins.append([a] + ([large.pop(fit[-1])] if fit else []))
+    for x in sorted((x for x in items if 3 * x <= c), reverse=True):
+        gaps = [(c - sum(b), i) for i, b in enumerate(bins) if c - sum(b) >= x]
+        if gaps:
+            bins[min(gaps)[1]].append(x)
+        else:
+            bins.append([x])
+    return bins
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_packing_plan_equals_packing_one_by_one(seed):
+    r = random.Random(seed)
+    c = r.choice([2, 10, 30, 100, 4096])
+    h = {r.randint(1, c): r.choice([1, 2, 3, 9]) for _ in range(r.choice([1, 5, 40]))}
+    rows, bins = packing.plan(h, c)
+    used = defaultdict(list)
+    for length, n in h.items():
+        own = sorted(x[1:] for x in rows if x[0] == length)
+        for k in range(n):
+            rank, bin_, each, _ = [x for x in own if x[0] <= k][-1]
+            used[bin_ + (k - rank) // each].append(length)
+    want = pack_one_by_one([k for k, n in h.items() for _ in range(n)], c)
+    assert sorted(map(sum, used.values())) == sorted(map(sum, want)) and len(used) == bins == len(want)
+
+
 ODD = ["The café's naïve façade isn't 12,345.67 -- I'LL İstanbul ΟΔΟΣ <|endoftext|> don't", "á état", "ẛ̣ Å ﬁn", "x\ry\x0bz w", "..,,.. a.b, c,.", "漢字かな交じり文 한국어", "tabs\tand\n\nlines"]
 
 
