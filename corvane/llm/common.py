@@ -43,12 +43,15 @@ class Shelf:
     """Tables written to the shared folder under one run's own name. Reading one back starts a new lineage.
 
     A lost executor costs nothing that was written: the files outlive it. drop() removes a table that nothing
-    reads any more; what is left goes when the driver ends.
+    reads any more, clear() all of a shelf's; what is left goes when the driver ends.
     """
 
+    opened: list[Shelf] = []
+
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-        atexit.register(self._sweep)
+        Shelf.opened.append(self)
+        atexit.register(self.clear)
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         """df as a table. The shuffle files behind it go as soon as it is written: nothing reads them any more."""
@@ -70,7 +73,10 @@ class Shelf:
         at = jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(jsc.hadoopConfiguration()).delete(at, True)
 
-    def _sweep(self) -> None:
+    def clear(self) -> None:
+        if self in Shelf.opened:
+            Shelf.opened.remove(self)
+            atexit.unregister(self.clear)
         try:
             if self.spark.sparkContext._jsc is not None:
                 self._delete(self.root)
