@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -111,3 +115,41 @@ def search(questions: DataFrame, corpus: DataFrame, max_results: int = 100, quer
         raise ValueError("vectors are needed for this kind of search")
     near = dense(query_vectors, vectors, max_results)
     return near if query_by == "vector" else hybrid(near, lexical(questions, corpus, max_results), alpha, max_results)
+
+
+def request(question: str, collection: str, max_results: int = 100, query_by: str = "hybrid", mode: str = "fast", alpha: float = 0.5, graph_context: bool = False, query_apps: bool = False) -> dict:
+    """What a search service is asked. The last two are named only where they are set."""
+    if query_by not in ("text", "vector", "hybrid") or mode not in ("fast", "thinking") or not 0 <= alpha <= 1:
+        raise ValueError(f"no such search: {query_by}, {mode}, {alpha}")
+    out = {"collection": collection, "query": question, "max_results": max_results, "query_by": query_by, "mode": mode, "alpha": alpha}
+    return out | {name: True for name, on in (("graph_context", graph_context), ("query_apps", query_apps)) if on}
+
+
+def search_service(questions: DataFrame, ask: Callable[[dict], list[dict]], collection: str, attempts: int = 5, wait: float = 5.0, transient: tuple[type[Exception], ...] = (TimeoutError, ConnectionError), sleep: Callable[[float], None] = time.sleep, **options) -> DataFrame:
+    """(question_id, rank, chunk_id, chunk_content, score) from a service: ask takes a request and tells chunks (chunk_id, content, score) in order.
+
+    No result and transient failures are asked for again after growing waits; a failure that stays is raised, no result is none.
+    """
+
+    def found(question: str) -> list[dict]:
+        failure = None
+        for i in range(attempts):
+            try:
+                failure = None
+                if chunks := ask(request(question, collection, **options)):
+                    return chunks
+            except transient as e:
+                failure = e
+            if i + 1 < attempts:
+                sleep(wait * (i + 1))
+        if failure is not None:
+            raise failure
+        return []
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(q, i, c["chunk_id"], c.get("content"), c.get("score")) for q, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for i, c in enumerate(found(text), 1)]
+            kinds = (pa.string(), pa.int32(), pa.string(), pa.string(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["question_id", "rank", "chunk_id", "chunk_content", "score"])
+
+    return questions.select("question_id", "question").mapInArrow(run, "question_id string, rank int, chunk_id string, chunk_content string, score double")

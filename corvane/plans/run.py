@@ -22,6 +22,8 @@ class Retrieval:
     query_by: str = "hybrid"
     mode: str = "fast"
     alpha: float = 0.5
+    graph_context: bool = False
+    query_apps: bool = False
 
 
 @dataclass(frozen=True)

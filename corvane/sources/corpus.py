@@ -170,3 +170,16 @@ def file_digests(spark: SparkSession, root: str) -> DataFrame:
     """(path, sha256) of all files below root."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     return files.select("path", F.sha2("content", 256).alias("sha256"))
+
+
+def keep_identity(spark: SparkSession, path: str, identity: dict) -> None:
+    """Writes the identity of a corpus or a run beside it at the first call; refuses another one later."""
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(f"{path}/identity")
+    if at.getFileSystem(conf).exists(at):
+        before = json.loads(spark.read.text(f"{path}/identity").first()[0])
+        for k in sorted({*before, *identity}):
+            if before.get(k) != identity.get(k):
+                raise ValueError(f"cannot resume: {k} was {before.get(k)!r}, now {identity.get(k)!r}")
+    else:
+        spark.createDataFrame([(json.dumps(identity, sort_keys=True),)], "value string").coalesce(1).write.text(f"{path}/identity")

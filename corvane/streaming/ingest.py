@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import re
 import time
 from collections.abc import Callable
@@ -14,6 +13,7 @@ from pyspark.sql import functions as F
 from ..operators.identity import fingerprint
 from ..operators.items import typed_items
 from ..operators.ledger import FAILED, SETTLED
+from ..sources.corpus import keep_identity
 
 
 class ItemSink(Protocol):
@@ -36,19 +36,6 @@ class TableSink:
         return rows.groupBy("id").agg(F.max_by(F.struct(*[c for c in rows.columns if c != "id"]), "sent_in").alias("v")).select("id", "v.*").drop("sent_in")
 
 
-def guard(spark: SparkSession, path: str, identity: dict) -> None:
-    """Refuses to resume with another identity than the one beside the checkpoint; writes it at the first run."""
-    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    at = jvm.org.apache.hadoop.fs.Path(f"{path}/identity")
-    if at.getFileSystem(conf).exists(at):
-        before = json.loads(spark.read.text(f"{path}/identity").first()[0])
-        for k in sorted({*before, *identity}):
-            if before.get(k) != identity.get(k):
-                raise ValueError(f"cannot resume: {k} was {before.get(k)!r}, now {identity.get(k)!r}")
-    else:
-        spark.createDataFrame([(json.dumps(identity, sort_keys=True),)], "value string").coalesce(1).write.text(f"{path}/identity")
-
-
 def start(docs: DataFrame, sink: ItemSink, checkpoint: str, journal: str | None = None, identity: dict | None = None, convert: Callable[[DataFrame], DataFrame] = typed_items):
     """Starts the job over a streaming frame of corpus rows and stops when all that is there has been taken.
 
@@ -56,7 +43,7 @@ def start(docs: DataFrame, sink: ItemSink, checkpoint: str, journal: str | None
     """
     spark = docs.sparkSession
     if identity is not None:
-        guard(spark, checkpoint, identity)
+        keep_identity(spark, checkpoint, identity)
 
     def each(batch: DataFrame, number: int) -> None:
         items = convert(batch)

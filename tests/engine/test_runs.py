@@ -188,3 +188,26 @@ def test_polling_and_provision(spark):
     assert ingest.provision(spark, "corvane_test") == []
     with pytest.raises(ValueError, match="no name"):
         ingest.provision(spark, "a; b")
+
+
+def test_search_service(spark):
+    assert "graph_context" not in retrieval.request("q", "c") and retrieval.request("q", "c", graph_context=True)["graph_context"]
+    with pytest.raises(ValueError, match="no such search"):
+        retrieval.request("q", "c", mode="slow")
+    q = spark.createDataFrame([("q1", "fox"), ("q2", "empty")], "question_id string, question string")
+    tried: dict = {}
+
+    def ask(r):
+        n = tried[r["query"]] = tried.get(r["query"], 0) + 1
+        if n == 1:
+            raise TimeoutError
+        return [] if r["query"] == "empty" or n == 2 else [{"chunk_id": "d_c01", "content": "a", "score": 0.5}, {"chunk_id": "e"}]
+
+    got = retrieval.search_service(q, ask, "c", attempts=3, sleep=lambda s: None)
+    assert [tuple(r) for r in got.orderBy("rank").collect()] == [("q1", 1, "d_c01", "a", 0.5), ("q1", 2, "e", None, None)]
+
+    def down(r):
+        raise ConnectionError("down")
+
+    with pytest.raises(Exception, match="down"):
+        retrieval.search_service(q, down, "c", attempts=2, sleep=lambda s: None).collect()

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import pytest
 
-from corvane.streaming.ingest import TableSink, guard, start
+from corvane.sources.corpus import keep_identity
+from corvane.streaming.ingest import TableSink, start
 
 SCHEMA = "doc_id string, source_type string, title string, content string"
 
@@ -35,7 +36,7 @@ def test_restart_after_a_failure_converges(spark, tmp_path):
 
 
 def test_identity_guard(spark, tmp_path):
-    guard(spark, str(tmp_path), {"corpus": "a", "limit": 1})
-    guard(spark, str(tmp_path), {"corpus": "a", "limit": 1})
+    keep_identity(spark, str(tmp_path), {"corpus": "a", "limit": 1})
+    keep_identity(spark, str(tmp_path), {"corpus": "a", "limit": 1})
     with pytest.raises(ValueError, match="limit was 1, now 2"):
-        guard(spark, str(tmp_path), {"corpus": "a", "limit": 2})
+        keep_identity(spark, str(tmp_path), {"corpus": "a", "limit": 2})
