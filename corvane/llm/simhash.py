@@ -49,7 +49,7 @@ SIMILARITY, SHINGLE = 0.8, 5
 #: Most bits of 128 that differ in a pair to verify; most fingerprints of a block.
 REACH, BLOCK = 24, 4096
 #: How many of those within reach a fingerprint is paired with at a key, beside the most central one.
-NEAREST = 4
+NEAREST = 2
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
