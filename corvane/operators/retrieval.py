@@ -15,6 +15,15 @@ from ..functions.text import document_of
 SPACE = r"[\x20\x09-\x0D]+"
 
 
+#: Most rows of a side that is broadcast; beyond it both sides are shuffled.
+FEW = 200_000
+
+
+def if_few(df: DataFrame, most: int = FEW) -> DataFrame:
+    """df, to be broadcast if it has at most so many rows; they are counted first."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def tokens(text):
     return F.filter(F.split(text, SPACE), lambda t: t != "")
 
@@ -43,7 +52,7 @@ def gold_pairs(questions: DataFrame, corpus: DataFrame, seed: int = 8) -> DataFr
 
     d = corpus.select("doc_id", tokens(F.col("content")).alias("w")).where(F.size("w") > 0)
     d = d.select("doc_id", F.explode(F.array_distinct(F.concat(*map(runs, lengths)))).alias("key"))
-    met = d.join(q.select("key", "question_id"), "key").select("doc_id", "question_id").distinct()
+    met = d.join(if_few(q.select("key", "question_id")), "key").select("doc_id", "question_id").distinct()
     met = met.join(q.select("question_id", "passage"), "question_id").join(corpus.select("doc_id", "content"), "doc_id")
     return met.where(F.contains("content", "passage")).select("question_id", "doc_id").distinct().union(held)
 
@@ -63,12 +72,13 @@ def top_k(scored: DataFrame, k: int, by: str = "score", group: str = "question_i
 def lexical(questions: DataFrame, corpus: DataFrame, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(question_id, doc_id, score, rank) by BM25 over white-space words, scores rounded to six places.
 
-    Only postings of the questions' words are shuffled: the corpus's words meet them before they are counted.
+    Only postings of the questions' words are shuffled: the corpus's words meet them before they are counted, in place
+    while the questions have few words.
     """
     asked = questions.select("question_id", F.explode(F.array_distinct(tokens(F.col("question")))).alias("term"))
     docs = corpus.select("doc_id", tokens(F.col("content")).alias("w"))
     size = docs.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("w")).alias("mean"))
-    wanted = asked.select("term").distinct()
+    wanted = if_few(asked.select("term").distinct())
     found = docs.select("doc_id", F.size("w").alias("len"), F.explode("w").alias("term")).join(wanted, "term", "left_semi")
     tf = found.groupBy("term", "doc_id", "len").agg(F.count(F.lit(1)).alias("tf"))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
