@@ -214,7 +214,7 @@ def full_coverage(spark, sf_dir):
     return metrics.full_coverage(_ranked(_hits(spark, sf_dir)), _gold(spark, sf_dir))
 
 
-@query("recall_compare", """, r AS (SELECT a.question_id, a.k, a.recall_pct AS a, b.recall_pct AS b FROM recall a JOIN (SELECT question_id, k2 AS k, recall_pct FROM recall JOIN (SELECT unnest([5, 10, 20]) AS k2, unnest([3, 5, 10]) AS k1) ON k = k1) b ON a.question_id = b.question_id AND a.k = b.k),
+@query("recall_compare", """, r AS (SELECT a.question_id, a.k, a.recall_pct AS a, b.recall_pct AS b FROM recall a JOIN (SELECT question_id, k2 AS k, recall_pct FROM recall JOIN (SELECT unnest([5, 10, 20]) AS k2, unnest([1, 1, 3]) AS k1) ON k = k1) b ON a.question_id = b.question_id AND a.k = b.k),
     e AS (SELECT k, row_number() OVER (PARTITION BY k ORDER BY question_id) - 1 AS place, b - a AS delta, count(*) OVER (PARTITION BY k) AS n FROM r),
     w AS (SELECT k, draw, CAST(('0x' || substring(md5('0|' || draw || '|' || place), 1, 8)) AS BIGINT) % n AS place FROM e, (SELECT unnest(range(200)) AS draw)),
     m AS (SELECT k, draw, avg(delta) AS mean FROM w JOIN e USING (k, place) GROUP BY ALL), o AS (SELECT k, mean, row_number() OVER (PARTITION BY k ORDER BY mean, draw) - 1 AS pos FROM m)
@@ -226,12 +226,13 @@ def recall_compare(spark, sf_dir):
 
 
 def _two_depths(spark, sf_dir):
-    """Recall rows of a run and of one that submits about half as deep."""
-    rows = kept(metrics.recall_rows(_ranked(_hits(spark, sf_dir)), _gold(spark, sf_dir), (3, 5, 10, 20)), "recall")
-    return rows.where("k > 3"), rows.where("k < 20").withColumn("k", F.when(F.col("k") == 3, 5).otherwise(F.col("k") * 2))
+    """Recall rows at 5, 10 and 20 of a run, and of one that submits one, one and three documents there."""
+    rows = kept(metrics.recall_rows(_ranked(_hits(spark, sf_dir)), _gold(spark, sf_dir), (1, 3, 5, 10, 20)), "recall")
+    at = F.explode(F.when(F.col("k") == 1, F.array(F.lit(5), F.lit(10))).otherwise(F.array(F.lit(20))))
+    return rows.where("k > 3"), rows.where("k <= 3").withColumn("k", at)
 
 
-@query("coverage_changes", "SELECT CAST(a.k AS INTEGER) AS k, a.question_id, CASE WHEN b.recall_pct >= 100 THEN 'gained' ELSE 'lost' END AS change FROM recall a JOIN (SELECT question_id, k2 AS k, recall_pct FROM recall JOIN (SELECT unnest([5, 10, 20]) AS k2, unnest([3, 5, 10]) AS k1) ON k = k1) b ON a.question_id = b.question_id AND a.k = b.k WHERE (a.recall_pct >= 100) <> (b.recall_pct >= 100)", "recall")
+@query("coverage_changes", "SELECT CAST(a.k AS INTEGER) AS k, a.question_id, CASE WHEN b.recall_pct >= 100 THEN 'gained' ELSE 'lost' END AS change FROM recall a JOIN (SELECT question_id, k2 AS k, recall_pct FROM recall JOIN (SELECT unnest([5, 10, 20]) AS k2, unnest([1, 1, 3]) AS k1) ON k = k1) b ON a.question_id = b.question_id AND a.k = b.k WHERE (a.recall_pct >= 100) <> (b.recall_pct >= 100)", "recall")
 def coverage_changes(spark, sf_dir):
     return metrics.coverage_changes(*_two_depths(spark, sf_dir))
 
