@@ -43,12 +43,14 @@ MOST_PIVOTS = 1024
 SLACK, CORE_SLACK = 1e-9, 1e-6
 
 
+def _scaled(values: np.ndarray) -> np.ndarray:
+    """Rows at length 1. They are scaled by their largest component first, so that squares neither overflow nor vanish."""
+    values = values / np.abs(values).max(axis=1, keepdims=True)
+    return values / np.sqrt((values * values).sum(axis=1, keepdims=True))
+
+
 def _unit(column) -> np.ndarray:
-    values = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
-    values /= np.abs(values).max(axis=1, keepdims=True)  # squares neither overflow nor vanish
-    norm = np.sqrt((values * values).sum(axis=1, keepdims=True))
-    values /= norm
-    return values
+    return _scaled(column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1))
 
 
 def farthest_first(sample: np.ndarray, k: int) -> np.ndarray:
@@ -75,8 +77,7 @@ def _join(reps: DataFrame, shelf: Shelf, name: str, n: int, cosine: float, block
     k = max(1, min(MOST_PIVOTS, round(math.sqrt(n) / 4)))
     # bounded: eight candidates for each of at most MOST_PIVOTS pivots
     rows = reps.select("embedding", F.xxhash64("embedding").alias("h")).orderBy("h").limit(8 * k).collect()
-    sample = np.array([x[0] for x in rows], dtype=np.float64)
-    pivots = farthest_first(sample / np.linalg.norm(sample, axis=1, keepdims=True), k)
+    pivots = farthest_first(_scaled(np.array([x[0] for x in rows], dtype=np.float64)), k)
     k, spark = len(pivots), reps.sparkSession
     sent = spark.sparkContext.broadcast(pivots)
 

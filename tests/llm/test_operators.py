@@ -626,6 +626,28 @@ def test_near_vectors_of_a_hot_cluster(spark, tmp_path, block):
     assert [got[i].component_id for i in range(len(u))] == root.tolist()
 
 
+def test_clashing_columns(spark, docs, tmp_path):
+    """Columns that are named like the operators' own change nothing."""
+    plain = docs.select("doc_id", "text")
+    rows = lambda df: sorted(map(str, df.collect()))
+    names = ["rid", "word", "key", "suffix", "other", "root", "component_id", "many", "whole", "chunk", "range", "n", "trains"]
+    odd = docs.select("doc_id", "text", *[docs.n_chars.alias(x) for x in names])
+    odd.write.parquet(str(tmp_path / "d"))
+    odd = spark.read.parquet(str(tmp_path / "d"))
+    assert rows(suffix_dedup.repeated_passages(odd).select("doc_id", "n_spans", "n_words")) == rows(suffix_dedup.repeated_passages(plain).select("doc_id", "n_spans", "n_words"))
+    keep = lambda df: sorted((str(r.doc_id), round(r.score, 5)) for r in df.collect())
+    from pyspark.sql import functions as F
+
+    assert keep(suffix_tree.score_texts(odd, F.lit(True))) == keep(suffix_tree.score_texts(plain, F.lit(True)))
+    for f in (simhash.drop_near_duplicates, exact_dedup.drop_exact_duplicates):
+        assert f(odd).columns == odd.columns
+    own = [(i, [float(i % 3), 1.0], 7, 7, 7, 7, 7, "x") for i in range(9)]
+    vectors = spark.createDataFrame(own, "vec_id long, embedding array<double>, node long, mult long, home int, unit long, rid long, root string")
+    vectors.write.parquet(str(tmp_path / "v"))
+    vectors = spark.read.parquet(str(tmp_path / "v"))
+    assert rows(embeddings.near_vectors(vectors)) == rows(embeddings.near_vectors(vectors.select("vec_id", "embedding")))
+
+
 def test_receives():
     for k in (1, 2, 5, 8):
         i, j = np.meshgrid(range(k), range(k))
