@@ -36,12 +36,14 @@ def encoder(path: str) -> Callable[[str], bytes]:
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    model, letters, cache = tokenizer.model, _letter_bytes(), {}
+    model, letters = tokenizer.model, _letter_bytes()
 
     def ids(values: list[int]) -> bytes:
         return array.array("I", values).tobytes()
 
     def word(chunk: str) -> bytes:
+        if chunk.isascii() and chunk.isalpha():  # these letters stand for themselves in the byte-level alphabet
+            return ids([t.id for t in model.tokenize(chunk.lower())])
         low = "".join(c.lower() for c in unicodedata.normalize("NFC", chunk))
         if low.isalpha():  # one piece for the model: neither the pattern nor the normaliser changes it
             return ids([t.id for t in model.tokenize("".join(letters[b] for b in low.encode()))])
@@ -49,26 +51,25 @@ def encoder(path: str) -> Callable[[str], bytes]:
 
     def chunk_ids(chunk: str) -> bytes:
         if (m := _PLAIN.fullmatch(chunk)) and m[2]:
-            return look(m[1]) + look(m[2])
+            return cache[m[1]] + cache[m[2]]
         return word(chunk) if m else ids(tokenizer.encode(chunk, add_special_tokens=False).ids)
 
-    def look(chunk: str) -> bytes:
-        got = cache.get(chunk)
-        if got is None:
+    class Cache(dict):
+        """Ids by chunk; what is not there is encoded when it is asked for."""
+
+        def __missing__(self, chunk: str) -> bytes:
             got = chunk_ids(chunk)
-            if len(cache) >= CACHE:
-                cache.clear()
-            cache[chunk] = got
-        return got
+            if len(self) >= CACHE:
+                self.clear()
+            self[chunk] = got
+            return got
+
+    cache = Cache()
 
     def encode(text: str) -> bytes:
         if text.isascii():
             text = text.lower()
-        chunks = text.replace("\n", " ").split(" ")
-        try:
-            return b"".join([cache[c] for c in chunks])
-        except KeyError:
-            return b"".join([look(c) for c in chunks])
+        return b"".join([cache[c] for c in text.replace("\n", " ").split(" ")])
 
     cache[""] = b""
     _loaded[path] = encode
