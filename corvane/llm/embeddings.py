@@ -96,13 +96,15 @@ def _join(reps: DataFrame, shelf: Shelf, name: str, n: int, cosine: float, block
     inside = F.col("away") <= core
     for h, c, d, a in settled.groupBy("home").agg(F.count(F.lit(1)), F.sum(inside.cast("long")), F.max("away")).collect():  # a row for each pivot
         count[h], cored[h], radius[h] = c, d, a
-    loose, tight = -(-(count - cored) // block), -(-cored // block)  # blocks of a cell, the loose ones first
+    # a small cell is one block; a larger one has blocks of core and of other members, these first
+    whole = count <= block
+    loose, tight = np.where(whole, 0, -(-(count - cored) // block)), np.where(whole, 1, -(-cored // block))
     blocks = loose + tight
     first = np.concatenate([[0], np.cumsum(blocks)])  # number of a cell's first block
-    shape = spark.sparkContext.broadcast((count, radius, loose, tight, first))
+    shape = spark.sparkContext.broadcast((count, radius, whole, loose, tight, first))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pivots, (count, radius, loose, tight, first) = sent.value, shape.value
+        pivots, (count, radius, whole, loose, tight, first) = sent.value, shape.value
         blocks = loose + tight
         between = np.sqrt(np.maximum(1e-18, 2 - 2 * pivots @ pivots.T))
         cells = np.arange(k)
@@ -116,12 +118,13 @@ def _join(reps: DataFrame, shelf: Shelf, name: str, n: int, cosine: float, block
             # a block of the home by a mixed hash of the node; who is not core also goes to the home's later blocks
             mixed = (node.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
             central = batch.column(4).to_numpy(zero_copy_only=False) <= core
-            many = np.where(central, tight[home], loose[home])
-            own = (mixed % many.astype(np.uint64)).astype(np.int64) + np.where(central, loose[home], 0)
+            later_on = central | whole[home]  # their block is among those that come last, and they visit none of their home
+            many = np.where(later_on, tight[home], loose[home])
+            own = (mixed % many.astype(np.uint64)).astype(np.int64) + np.where(later_on, loose[home], 0)
             row, unit, guest = [np.arange(len(home))], [first[home] + own], [np.where(central, CORE, MEMBER)]
             for j in range(int(blocks.max())):
                 at, cell = np.nonzero(reach & (blocks > j)[None, :])
-                later = np.nonzero(~central & (j > own) & (j < blocks[home]))[0]
+                later = np.nonzero(~later_on & (j > own) & (j < blocks[home]))[0]
                 row += [at, later]
                 unit += [first[cell] + j, first[home[later]] + j]
                 guest += [np.full(len(at) + len(later), GUEST)]
@@ -180,15 +183,22 @@ class _Members:
         self.cosine = cosine
         self.node, self.mult, self.links, self.root = (np.zeros(0, dtype=np.int64) for _ in range(4))
         self.unit: np.ndarray | None = None
+        self.loose, self.first_core = 0, -1  # how many members are no core's, and the first that is
 
     def add(self, node, mult, unit, core: bool = False) -> list[np.ndarray]:
-        """More members; they meet those before them and each other, unless they are a core's, which are linked as they are."""
-        told = self.meet(node, mult, unit) if len(self.node) and not core else []
+        """More members; they meet those before them and each other. A core's come last and meet no others of it: these are linked as they are."""
+        told = self.meet(node, mult, unit, self.loose) if self.loose else []
         at = len(self.node)
+        if core and self.first_core < 0:
+            self.first_core = at
+        self.loose += 0 if core else len(node)
         self.unit = unit if self.unit is None else np.concatenate([self.unit, unit])
         self.node, self.mult = np.concatenate([self.node, node]), np.concatenate([self.mult, mult])
         self.links = np.concatenate([self.links, np.zeros(len(node), dtype=np.int64)])
-        self.root = np.concatenate([self.root, np.zeros(len(node), dtype=np.int64) if core else np.arange(at, at + len(node))])
+        fresh = np.arange(at, at + len(node))
+        if core:
+            fresh[:] = self.first_core if at == self.first_core else self.root[self.first_core]
+        self.root = np.concatenate([self.root, fresh])
         for i in range(0, 0 if core else len(node), self.STEP):
             own = slice(at + i, min(at + i + self.STEP, at + len(node)))
             near = self.unit[own] @ self.unit[at:].T >= self.cosine
@@ -198,15 +208,16 @@ class _Members:
                 told += self._connect(self.node[own.start + x], np.flatnonzero(near[x]) + at, own.start + x)
         return told
 
-    def meet(self, node, mult, unit) -> list[np.ndarray]:
+    def meet(self, node, mult, unit, first: int | None = None) -> list[np.ndarray]:
+        """What node and the first members are to each other; all members if first is None."""
         told = []
         for i in range(0, len(node), self.STEP):
-            near = unit[i : i + self.STEP] @ self.unit.T >= self.cosine
+            near = unit[i : i + self.STEP] @ self.unit[:first].T >= self.cosine
             rows = np.flatnonzero(near.any(axis=1))
             if len(rows):
                 near = near[rows]
-                self.links += mult[i + rows] @ near
-                told.append(np.stack([np.zeros(len(rows), dtype=np.int64), node[i + rows], near @ self.mult], axis=1))
+                self.links[:first] += mult[i + rows] @ near
+                told.append(np.stack([np.zeros(len(rows), dtype=np.int64), node[i + rows], near @ self.mult[:first]], axis=1))
                 for x, hits in zip(rows, near, strict=True):
                     told += self._connect(node[i + x], np.flatnonzero(hits))
         return told

@@ -605,7 +605,7 @@ def test_near_vectors(spark, tmp_path):
     assert embeddings.near_vectors(empty).count() == 0
 
 
-@pytest.mark.parametrize("block", [16, 2048])
+@pytest.mark.parametrize("block", [16, 100, 2048])
 def test_near_vectors_of_a_hot_cluster(spark, tmp_path, block):
     """Half of all vectors crowd around one place, some within the core; and components of any size."""
     rng = np.random.default_rng(5)
