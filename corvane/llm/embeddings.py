@@ -165,7 +165,7 @@ def _join(reps: DataFrame, shelf: Shelf, name: str, n: int, cosine: float, block
     dealt = settled.mapInArrow(deal, f"node long, mult long, embedding {kind}, unit long, guest int")
     met = dealt.repartition("unit").sortWithinPartitions("unit", "guest").mapInArrow(meet, "kind long, x long, y long")
     cores = settled.where(inside).groupBy("home").agg(F.sum("mult").alias("all"), F.min("node").alias("one"))
-    cores = settled.where(inside).select("node", "mult", "home").join(loosened(cores, "home"), "home")
+    cores = settled.where(inside).select("node", "mult", "home").join(F.broadcast(cores), "home")  # a row for each pivot at most
     bulk = cores.where("all > mult").select(F.lit(0).cast("long"), "node", F.col("all") - F.col("mult")).union(cores.where("node <> one").select(F.lit(1).cast("long"), "node", "one"))
     return met.union(bulk)
 
