@@ -44,13 +44,14 @@ def gold_pairs(questions: DataFrame, corpus: DataFrame, seed: int = 8) -> DataFr
     lengths = sorted(r[0] for r in q.select("n").distinct().collect())  # at most seed
     if not lengths:
         return held
-    q = q.select("question_id", "passage", F.xxhash64(F.array_join(F.slice("w", 2, F.col("n")), " ")).alias("key"))
+    hashes = F.transform("w", lambda x: F.xxhash64(x))
+    q = q.select("question_id", "passage", F.xxhash64(F.slice(hashes, 2, F.col("n"))).alias("key"))
 
     def runs(n: int):
         """Hashes of all runs of n words."""
-        return F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.xxhash64(F.array_join(F.slice("w", i, F.lit(n)), " ")))).otherwise(F.expr("cast(array() as array<bigint>)"))
+        return F.when(F.size("h") >= n, F.transform(F.sequence(F.lit(1), F.size("h") - n + 1), lambda i: F.xxhash64(F.slice("h", i, F.lit(n))))).otherwise(F.expr("cast(array() as array<bigint>)"))
 
-    d = corpus.select("doc_id", tokens(F.col("content")).alias("w")).where(F.size("w") > 0)
+    d = corpus.select("doc_id", tokens(F.col("content")).alias("w")).select("doc_id", hashes.alias("h"))
     d = d.select("doc_id", F.explode(F.array_distinct(F.concat(*map(runs, lengths)))).alias("key"))
     met = d.join(if_few(q.select("key", "question_id")), "key").select("doc_id", "question_id").distinct()
     met = met.join(q.select("question_id", "passage"), "question_id").join(corpus.select("doc_id", "content"), "doc_id")
