@@ -47,12 +47,13 @@ CLASSES = (
 #: Candidates that are never flagged by entropy: identifiers of fixed form.
 ALLOWED = (r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}",)
 #: Pieces of letters and digits that no flagged window touches: words, words that begin with capitals, with a number or a letter before or after.
+#: Each splits a piece in one way only, so that a match that fails takes no longer than the piece.
 WORDS = (
     r"[A-Z]?[a-z]{3,}[0-9]{0,4}",
     r"[A-Z]{3,}[0-9]{0,4}",
     r"[0-9]{1,4}[A-Za-z]?[a-z]{3,}",
     r"[a-z]*(?:[A-Z]{1,5}[a-z]{2,})+[A-Z]{0,5}[0-9]{0,4}",
-    r"(?:[A-Za-z]?[a-z]{3,}[0-9]{1,2})+",
+    r"(?:[A-Z]?[a-z]{3,}[0-9]{1,2})+",
 )
 
 

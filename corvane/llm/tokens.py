@@ -41,18 +41,22 @@ def encoder(path: str) -> Callable[[str], bytes]:
     def ids(values: list[int]) -> bytes:
         return array.array("I", values).tobytes()
 
+    def lowered(chunk: str) -> str:
+        return "".join(c.lower() for c in unicodedata.normalize("NFC", chunk))
+
     def word(chunk: str) -> bytes:
         if chunk.isascii() and chunk.isalpha():  # these letters stand for themselves in the byte-level alphabet
             return ids([t.id for t in model.tokenize(chunk.lower())])
-        low = "".join(c.lower() for c in unicodedata.normalize("NFC", chunk))
-        if low.isalpha():  # one piece for the model: neither the pattern nor the normaliser changes it
+        if (low := lowered(chunk)).isalpha():  # one piece for the model: neither the pattern nor the normaliser changes it
             return ids([t.id for t in model.tokenize("".join(letters[b] for b in low.encode()))])
         return ids(tokenizer.encode(chunk, add_special_tokens=False).ids)
 
     def chunk_ids(chunk: str) -> bytes:
-        if (m := _PLAIN.fullmatch(chunk)) and m[2]:
+        m = _PLAIN.fullmatch(chunk)
+        # a letter that turns into a letter and a mark would meet the full stop in one piece
+        if m and m[2] and (m[1].isascii() or lowered(m[1]).isalpha()):
             return cache[m[1]] + cache[m[2]]
-        return word(chunk) if m else ids(tokenizer.encode(chunk, add_special_tokens=False).ids)
+        return word(chunk) if m and not m[2] else ids(tokenizer.encode(chunk, add_special_tokens=False).ids)
 
     class Cache(dict):
         """Ids by chunk; what is not there is encoded when it is asked for."""
