@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embeddings, exact_dedup, filter_audit, hard_negatives, mixing, packing, secrets, sharding, simhash, suffix_dedup, suffix_tree, toxicity
+from . import embeddings, exact_dedup, filter_audit, hard_negatives, mixing, packing, quality, secrets, sharding, simhash, suffix_dedup, suffix_tree, toxicity
 
 QUERIES = {
     "op1_suffix_tree": suffix_tree.op1_suffix_tree,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_pack": packing.op10_pack,
     "op11_hard_negatives": hard_negatives.op11_hard_negatives,
+    "op12_quality": quality.op12_quality,
     "op13_filter_audit": filter_audit.op13_filter_audit,
 }
 SQL = {"op9_exact_dedup": exact_dedup.SQL, "op11_hard_negatives": hard_negatives.SQL, "op13_filter_audit": filter_audit.SQL}
