@@ -1,10 +1,10 @@
 """Text quality: random-indexing word vectors pooled per document, and a two-layer network with calibrated probabilities.
 
-Words are runs of letters of one case, of digits or of other signs, case-sensitive, and meet in BUCKETS buckets by a
-hash. A bucket's index vector is sparse and ternary and follows from its number. Its word vector is the sum of
+Words are runs of letters (cut before a capital that follows a small letter), of digits or of other signs, case-sensitive,
+and meet in BUCKETS buckets by a hash. A bucket's index vector is sparse and ternary and follows from its number. Its word vector is the sum of
 the index vectors of its neighbours within REACH words, over all words of all documents; the vectors' common direction
 is taken out and they are scaled to length 1. A document is pooled to the mean and the spread of its words'
-vectors, rare words counting more, as their share of the corpus tells.
+vectors, rare words counting more, as their share of the corpus tells, and to the mean cosine of neighbours at each distance.
 
 A hidden layer of tanh units and a logistic output learn the labels, from a sample of at most about SAMPLE labelled
 documents chosen by a hash. A fifth of the sample is set aside: a temperature that divides the output is chosen on it,
@@ -40,6 +40,8 @@ WIDTH = 64
 MARKS = 4
 #: Words to each side that are neighbours.
 REACH = 2
+#: Values that a document is pooled to.
+POOLED = 2 * WIDTH + REACH
 #: Buckets that are summed in one row.
 BLOCK = 1024
 SALTS = 32
@@ -67,7 +69,8 @@ def index_vectors() -> tuple[np.ndarray, np.ndarray]:
 def _runs(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     a = np.frombuffer(b"\n".join([*texts, b""]), dtype=np.uint8)
     kind = _class[a]
-    cut = np.flatnonzero(np.diff(np.concatenate([[0], kind, [0]])))
+    edge = np.concatenate([[0], kind, [0]])
+    cut = np.flatnonzero((edge[1:] != edge[:-1]) & ~((edge[:-1] == 2) & (edge[1:] == 1)))
     start, end = cut[:-1], cut[1:]
     solid = kind[start] > 0 if len(start) else np.zeros(0, dtype=bool)
     start, end = start[solid], end[solid]
@@ -166,12 +169,21 @@ class Words:
         return cls(vectors.astype(np.float32), (COMMON / (COMMON + seen / n)).astype(np.float32))
 
     def pool(self, texts: list[bytes]) -> np.ndarray:
-        """Mean and spread of the words' vectors of each text."""
+        """Mean and spread of the words' vectors of each text, and the mean cosine of words one and two places apart."""
         n = len(texts)
-        total, squares, weight = np.zeros((n, WIDTH)), np.zeros((n, WIDTH)), np.zeros(n)
+        total, squares, weight, agree, pairs = np.zeros((n, WIDTH)), np.zeros((n, WIDTH)), np.zeros(n), np.zeros((n, REACH)), np.zeros((n, REACH))
         for h, of in buckets(texts):
             if not len(h):
                 continue
+            for gap in range(1, REACH + 1):
+                for at in range(0, len(h) - gap, 50_000):  # a bounded number of vectors at once
+                    b, own = h[at + gap : at + gap + 50_000], of[at + gap : at + gap + 50_000]
+                    a, same = h[at : at + len(b)], of[at : at + len(b)] == own
+                    own = own[same]
+                    if len(own):
+                        there = slice(int(own[0]), int(own[-1]) + 1)
+                        agree[there, gap - 1] += np.bincount(own - own[0], weights=np.einsum("ij,ij->i", self.vectors[a[same]], self.vectors[b[same]]))
+                        pairs[there, gap - 1] += np.bincount(own - own[0])
             # equal words of a text count at once
             key, times = np.unique(of.astype(np.int64) << BITS | h, return_counts=True)
             of, h = key >> BITS, key & (BUCKETS - 1)
@@ -184,7 +196,8 @@ class Words:
             squares[at] += np.add.reduceat(x * v, first, axis=0)
             weight[at] += np.add.reduceat(w, first)
         mean = total / np.maximum(1e-9, weight)[:, None]
-        return np.concatenate([mean, np.sqrt(np.maximum(0, squares / np.maximum(1e-9, weight)[:, None] - mean**2))], axis=1)
+        spread = np.sqrt(np.maximum(0, squares / np.maximum(1e-9, weight)[:, None] - mean**2))
+        return np.concatenate([mean, spread, agree / np.maximum(1, pairs)], axis=1)
 
 
 @dataclass
@@ -267,7 +280,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     # the sample is bounded, so its ids are broadcast and no text moves; of rows with one id one is taken
     rows = own.join(F.broadcast(ids), "doc_id").select(F.xxhash64("doc_id").alias("place"), "y", "text").mapInArrow(pooled, "place long, y int, x binary")
     rows = sorted(rows.groupBy("place").agg(F.max("y").alias("y"), F.min("x").alias("x")).collect())
-    x = np.frombuffer(b"".join(r.x for r in rows), "<f4").reshape(len(rows), 2 * WIDTH).astype(np.float64)
+    x = np.frombuffer(b"".join(r.x for r in rows), "<f4").reshape(len(rows), POOLED).astype(np.float64)
     return words, fit(x, np.array([float(r.y > 0) for r in rows]))
 
 
