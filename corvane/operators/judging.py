@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .ordering import row_numbers
+
 EMPTY = "cast(array() as array<string>)"
 
 
@@ -21,14 +23,9 @@ def select_questions(questions: DataFrame, targets: DataFrame, n: int | None = N
 
 
 def shard_plan(ids: DataFrame, shards: int) -> DataFrame:
-    """(shard, question_id, ordinal): contiguous shards of ceil(n / shards) ids in id order, so there may be fewer.
-
-    A question set is small; its order takes one task.
-    """
-    w = Window.orderBy("question_id")
-    n = F.count(F.lit(1)).over(Window.partitionBy())
-    out = ids.select("question_id").select("question_id", (F.row_number().over(w) - 1).alias("ordinal"), F.ceil(n / shards).cast("int").alias("each"))
-    return out.select(F.floor(F.col("ordinal") / F.col("each")).cast("int").alias("shard"), "question_id", "ordinal")
+    """(shard, question_id, ordinal): contiguous shards of ceil(n / shards) ids in id order, so there may be fewer."""
+    out = row_numbers(ids.select("question_id"), "question_id", total="n")
+    return out.select(F.floor(F.col("ordinal") / F.ceil(F.col("n") / shards)).cast("int").alias("shard"), "question_id", "ordinal")
 
 
 def merge(parts: DataFrame, plan: DataFrame) -> tuple[DataFrame, DataFrame]:

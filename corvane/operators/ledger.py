@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import document_of
+from .ordering import consecutive_batches
 
 SETTLED, FAILED = "completed", "errored"
 
@@ -50,27 +48,11 @@ def batch_fold(sizes: Column, batch_size: int) -> Column:
 
 
 def aligned_batches(docs: DataFrame, batch_size: int, lane: str = "lane") -> DataFrame:
-    """(lane, doc_id, batch) of (lane, doc_id, size): each lane is folded in id order by itself, so lanes run in parallel.
+    """(lane, doc_id, batch) of (lane, doc_id, size): each lane in id order by itself, one lane spread over many tasks.
 
-    A batch closes when it has batch_size items or more. A lane streams through one task, which holds a running count.
+    A batch closes when it has batch_size items or more; a document is never split.
     """
-
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, number, n, begun = None, 0, 0, False
-        for batch in batches:
-            out = []
-            for own, size in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                if own != now or not begun:
-                    now, number, n, begun = own, 0, 0, True
-                out.append(number)
-                n += size or 0
-                if n >= batch_size:
-                    number, n = number + 1, 0
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.int32())], [lane, "doc_id", "batch"])
-
-    rows = docs.select(lane, "doc_id", F.col("size").cast("long").alias("size")).repartition(lane).sortWithinPartitions(lane, "doc_id")
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    return rows.mapInArrow(fold, f"{lane} {kinds[lane]}, doc_id {kinds['doc_id']}, batch int")
+    return consecutive_batches(docs, batch_size, lane).withColumn("batch", F.col("batch").cast("int"))
 
 
 def readiness(sent: DataFrame, log: DataFrame, accept_failures: bool = False, open_batches: DataFrame | None = None) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import document_of
+from .vectors import nearest
 
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -90,12 +91,8 @@ def lexical(questions: DataFrame, corpus: DataFrame, k: int, k1: float = 1.2, b:
 
 
 def dense(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """(question_id, doc_id, score, rank) by cosine. queries: a stated set (question_id, vector), which Spark broadcasts if it is small and else meets in blocks."""
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda a, c: a.cast("double") * c.cast("double")), F.lit(0.0), lambda acc, v: acc + v)
-    unit = lambda df, id_, v: df.select(id_, v, F.sqrt(dot(F.col(v), F.col(v))).alias(f"{v}_norm"))
-    pairs = unit(vectors, "doc_id", "embedding").crossJoin(unit(queries, "question_id", "vector"))
-    scored = pairs.select("question_id", "doc_id", F.round(dot(F.col("vector"), F.col("embedding")) / (F.col("vector_norm") * F.col("embedding_norm")), 6).alias("score"))
-    return top_k(scored, k)
+    """(question_id, doc_id, score, rank) by cosine of (question_id, vector) and (doc_id, embedding), in blocks."""
+    return nearest(queries, vectors, k)
 
 
 def hybrid(dense_hits: DataFrame, lexical_hits: DataFrame, alpha: float, k: int) -> DataFrame:
