@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import document_of
+from ..plans.workspace import kept
 from .vectors import nearest
 
 SPACE = r"[\x20\x09-\x0D]+"
@@ -25,8 +26,14 @@ def if_few(df: DataFrame, most: int = FEW) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where it is read in fewer pieces than there are cores, as a file of one row group is; else as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def tokens(text):
-    return F.filter(F.split(text, SPACE), lambda t: t != "")
+    return F.array_remove(F.split(text, SPACE), "")
 
 
 def gold_pairs(questions: DataFrame, corpus: DataFrame, seed: int = 8) -> DataFrame:
@@ -52,7 +59,7 @@ def gold_pairs(questions: DataFrame, corpus: DataFrame, seed: int = 8) -> DataFr
         """Hashes of all runs of n words."""
         return F.when(F.size("h") >= n, F.transform(F.sequence(F.lit(1), F.size("h") - n + 1), lambda i: F.xxhash64(F.slice("h", i, F.lit(n))))).otherwise(F.expr("cast(array() as array<bigint>)"))
 
-    d = corpus.select("doc_id", tokens(F.col("content")).alias("w")).select("doc_id", hashes.alias("h"))
+    d = spread(corpus.select("doc_id", "content")).select("doc_id", tokens(F.col("content")).alias("w")).select("doc_id", hashes.alias("h"))
     d = d.select("doc_id", F.explode(F.array_distinct(F.concat(*map(runs, lengths)))).alias("key"))
     met = d.join(if_few(q.select("key", "question_id")), "key").select("doc_id", "question_id").distinct()
     met = met.join(q.select("question_id", "passage"), "question_id").join(corpus.select("doc_id", "content"), "doc_id")
@@ -71,25 +78,39 @@ def top_k(scored: DataFrame, k: int, by: str = "score", group: str = "question_i
     return scored.withColumn(out, F.row_number().over(w)).where(F.col(out) <= k)
 
 
-def lexical(questions: DataFrame, corpus: DataFrame, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(question_id, doc_id, score, rank) by BM25 over white-space words, scores rounded to six places.
+def bm25(asked: DataFrame, tf: DataFrame, documents: int, words: int, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(question_id, doc_id, score, rank) of asked (question_id, term) by all postings tf (term, doc_id, tf, len) of the terms.
 
-    Only postings of the questions' words are shuffled: the corpus's words meet them before they are counted, in place
-    while the questions have few words.
+    documents and words: how many there are in the corpus.
     """
-    asked = questions.select("question_id", F.explode(F.array_distinct(tokens(F.col("question")))).alias("term"))
-    docs = corpus.select("doc_id", tokens(F.col("content")).alias("w"))
-    size = docs.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("w")).alias("mean"))
-    wanted = if_few(asked.select("term").distinct())
-    found = docs.select("doc_id", F.size("w").alias("len"), F.explode("w").alias("term")).join(wanted, "term", "left_semi")
-    tf = found.groupBy("term", "doc_id", "len").agg(F.count(F.lit(1)).alias("tf"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    part = tf.join(df, "term").crossJoin(F.broadcast(size))  # one row
-    part = part.select("term", "doc_id", (F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean")))).alias("s"))
+    n, mean = F.lit(documents), F.lit(words / max(documents, 1))
+    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).select("term", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    part = tf.join(df, "term").select("term", "doc_id", (F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / mean))).alias("s"))
     scored = asked.join(part, "term").groupBy("question_id", "doc_id").agg(F.round(F.sum("s"), 6).alias("score"))
     return top_k(scored, k)
 
 
+def asked_terms(questions: DataFrame) -> DataFrame:
+    """(question_id, term): the distinct words of each question."""
+    return questions.select("question_id", F.explode(F.array_distinct(tokens(F.col("question")))).alias("term"))
+
+
+def lexical(questions: DataFrame, corpus: DataFrame, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(question_id, doc_id, score, rank) by BM25 over white-space words, scores rounded to six places.
+
+    The corpus is read once: only postings of the questions' words leave it, and are kept as a table beside each document's
+    length. Where a corpus is searched more than once, an index saves that pass (operators/index.py).
+    """
+    asked = kept(asked_terms(questions), "asked")
+    docs = spread(corpus.select("doc_id", "content")).select("doc_id", tokens(F.coalesce("content", F.lit(""))).alias("w"))
+    # a row without a term carries the length of its document, so that lengths need no pass of their own
+    rows = docs.select("doc_id", F.size("w").alias("len"), F.explode(F.concat("w", F.array(F.lit("")))).alias("term"))
+    wanted = asked.select("term").union(rows.sparkSession.createDataFrame([("",)], "term string")).distinct()
+    tf = kept(rows.join(wanted, "term", "left_semi").groupBy("doc_id", "len", "term").agg(F.count(F.lit(1)).alias("tf")), "postings")
+    n, total = tf.where("term = ''").agg(F.count(F.lit(1)), F.sum("len")).first()
+    return bm25(asked, tf.where("term <> ''"), n, total or 0, k, k1, b)
+
+
 def dense(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """(question_id, doc_id, score, rank) by cosine of (question_id, vector) and (doc_id, embedding), in blocks."""
     return nearest(queries, vectors, k)

@@ -39,11 +39,14 @@ def other_results(a: DataFrame) -> DataFrame:
     return a.withColumn("answer_correct", ok).withColumn("completeness_pct", F.least(F.lit(100.0), F.col("completeness_pct") + 3))
 
 
-def status_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+def statuses(events: DataFrame) -> DataFrame:
     """events as a status log: batch is the day, id the user, order the event id."""
-    e = table(spark, sf_dir, "events")
     status = F.when(F.col("event_type") == "error", "errored").when(F.col("event_type") == "purchase", "completed").otherwise("pending")
-    return e.select(F.date_format("ts", "yyyy-MM-dd").alias("batch"), F.concat(F.lit("u"), F.col("user_id")).alias("id"), status.alias("status"), F.col("event_id").alias("seq"))
+    return events.select(F.date_format("ts", "yyyy-MM-dd").alias("batch"), F.concat(F.lit("u"), F.col("user_id")).alias("id"), status.alias("status"), F.col("event_id").alias("seq"), "ts")
+
+
+def status_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return statuses(table(spark, sf_dir, "events")).drop("ts")
 
 
 def threads(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as ft
-from ..operators import context, identity, items, judging, ledger, metrics, retrieval, validation
+from ..operators import context, identity, index, items, judging, ledger, metrics, retrieval, validation
 from ..sources import corpus as sources
 from . import adapter as ad
 from .answers import generate
@@ -173,6 +173,18 @@ def lexical_topk(spark, sf_dir):
     return _hits(spark, sf_dir).select("question_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
+@query("lexical_index_topk", "SELECT question_id, doc_id, score, CAST(rank AS BIGINT) AS rank FROM hits", "hits")
+def lexical_index_topk(spark, sf_dir):
+    """The same from a stored index that was built in two parts, the second of which replaces some documents."""
+    from .workspace import fresh
+
+    root, c = fresh(spark, "index"), ad.corpus(spark, sf_dir)
+    early = c.where("content_len % 3 <> 0").withColumn("content", F.when(F.col("content_len") % 3 == 1, F.substring("content", 5, 1000)).otherwise(F.col("content")))
+    index.upsert(spark, root, early)
+    index.upsert(spark, root, c.where("content_len % 3 <> 2"))
+    return index.search(spark, root, ad.questions(spark, sf_dir), 50).select("question_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
+
+
 @query("dense_topk", """WITH u AS (SELECT vec_id, [CAST(x AS DOUBLE) FOR x IN embedding] AS e FROM embeddings), q AS (SELECT * FROM u WHERE vec_id % 100 = 0),
     s AS (SELECT q.vec_id AS question_id, u.vec_id AS doc_id, round(list_dot_product(q.e, u.e) / (sqrt(list_dot_product(q.e, q.e)) * sqrt(list_dot_product(u.e, u.e))), 6) AS score FROM q, u)
     SELECT question_id, doc_id, score, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, doc_id) AS rank FROM s QUALIFY rank <= 10""")
@@ -647,13 +659,36 @@ def readiness_accepting(spark, sf_dir):
     return ledger.readiness(final.select("id"), final, accept_failures=True, open_batches=log.where("batch >= '2024-01-25'"))
 
 
-@query("batch_states", """, last AS (SELECT batch, id, arg_max(status, seq) AS status FROM log GROUP BY ALL), n AS (SELECT batch, count(*) AS n_items, CAST(count(*) FILTER (status = 'completed') AS BIGINT) AS settled, CAST(count(*) FILTER (status = 'errored') AS BIGINT) AS errored FROM last GROUP BY 1),
+BATCH_STATES = """, last AS (SELECT batch, id, arg_max(status, seq) AS status FROM log GROUP BY ALL), n AS (SELECT batch, count(*) AS n_items, CAST(count(*) FILTER (status = 'completed') AS BIGINT) AS settled, CAST(count(*) FILTER (status = 'errored') AS BIGINT) AS errored FROM last GROUP BY 1),
     j AS (SELECT batch, CASE WHEN max(seq) % 3 = 0 THEN 'sending' ELSE 'sent' END AS state FROM log GROUP BY 1)
-    SELECT batch, CASE WHEN state = 'sent' AND settled + errored = n_items THEN 'settled' ELSE state END AS state, n_items, settled, errored FROM j JOIN n USING (batch)""", "log")
+    SELECT batch, CASE WHEN state = 'sent' AND settled + errored = n_items THEN 'settled' ELSE state END AS state, n_items, settled, errored FROM j JOIN n USING (batch)"""
+
+
+def _batch_journal(log):
+    """A batch is still being sent if its last event's number is a multiple of three."""
+    return log.groupBy("batch").agg(F.max("seq").alias("seq")).withColumn("state", F.when(F.col("seq") % 3 == 0, "sending").otherwise("sent"))
+
+
+@query("batch_states", BATCH_STATES, "log")
 def batch_states(spark, sf_dir):
     log = ad.status_log(spark, sf_dir)
-    journal = log.groupBy("batch").agg(F.max("seq").alias("seq")).withColumn("state", F.when(F.col("seq") % 3 == 0, "sending").otherwise("sent"))
-    return ledger.batch_states(journal, log, log)
+    return ledger.batch_states(_batch_journal(log), log, log)
+
+
+@query("stream_batch_states", BATCH_STATES, "log")
+def stream_batch_states(spark, sf_dir):
+    """The same from events that are streamed as files, and a streamed journal; no batch is old enough to be called stalled."""
+    from ..streaming import ledger as streamed
+    from .workspace import fresh
+
+    root = fresh(spark, "ledger")
+    raw = spark.readStream.schema(ad.table(spark, sf_dir, "events").schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")
+    streamed.settle_items(ad.statuses(raw), root).awaitTermination()
+    log = ad.status_log(spark, sf_dir)
+    _batch_journal(log).withColumn("ts", F.col("batch").cast("timestamp")).write.parquet(f"{root}/journal")
+    journal = spark.readStream.schema("batch string, seq long, state string, ts timestamp").parquet(f"{root}/journal")
+    streamed.settle_batches(spark, journal, root, patience_ms=10**12).awaitTermination()
+    return streamed.batch_states(spark, root)
 
 
 @query("next_attempts", "SELECT CAST(shard AS INTEGER) AS shard, CAST(1 + max(CASE WHEN n % 2 = 0 THEN n % 5 ELSE 0 END) AS INTEGER) AS attempt FROM (SELECT floor((row_number() OVER (ORDER BY question_id) - 1) / ceil(count(*) OVER () / 7.0)) AS shard, length(question) AS n FROM questions) GROUP BY 1", "questions")
