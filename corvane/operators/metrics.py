@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import math
 import random
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..plans.workspace import kept
+from .ordering import row_numbers
 
 SCORE = "CASE WHEN answer_correct THEN completeness_pct ELSE 0.0 END"
 
@@ -117,15 +122,18 @@ def compare_runs(a: DataFrame, b: DataFrame, rows_a: DataFrame | None = None, ro
 def bootstrap(pairs: DataFrame, draws: int = 1000, seed: int = 0, by: str | None = None) -> DataFrame:
     """(delta_mean, low, high, n), for each value of by if given: a paired bootstrap whose draws come from a hash of (seed, draw, place).
 
-    Draws are rows, so it is one shuffle by place and one by draw. Bounds are the order statistics at
-    floor(0.025 * draws) and floor(0.975 * draws) from zero. The order of questions, and of draws, takes a task a group.
+    A draw takes exactly n questions, by their places in the order of ids, so it is n * draws rows that meet the
+    questions; sketch() needs none of them. Bounds are the order statistics at floor(0.025 * draws) and
+    floor(0.975 * draws) from zero.
     """
-    from pyspark.sql.window import Window
-
     own = pairs.select("question_id", "delta", (F.col(by) if by else F.lit(0)).alias("part"))
+    placed = row_numbers(own, "part", "question_id", out="at")
+    first = placed.groupBy("part").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
+    d = placed.join(first, "part").select("part", "delta", (F.col("at") - F.col("first")).alias("place"), "n")
     w = Window.partitionBy("part")
-    d = own.select("part", "delta", (F.row_number().over(w.orderBy("question_id")) - 1).cast("long").alias("place"), F.count(F.lit(1)).over(w).alias("n"))
-    at = d.select("part", "place", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(draws - 1).cast("long"))).alias("draw"))
+    d = kept(d, "places")
+    # few rows become many here: they are dealt out first
+    at = d.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))).select("part", "place", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(draws - 1).cast("long"))).alias("draw"))
     drawn = at.select("part", "draw", (F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("draw"), "place")), 1, 8), 16, 10).cast("long") % F.col("n")).alias("place"))
     means = drawn.join(d.drop("n"), ["part", "place"]).groupBy("part", "draw").agg(F.avg("delta").alias("mean"))
     ranked = means.withColumn("at", F.row_number().over(w.orderBy("mean", "draw")) - 1)
@@ -134,6 +142,34 @@ def bootstrap(pairs: DataFrame, draws: int = 1000, seed: int = 0, by: str | None
     return out.withColumnRenamed("part", by) if by else out.drop("part")
 
 
+#: A hash part of eight hex digits at or beyond the i-th of these means i + 1 occurrences or more: the distribution of how often a row is drawn.
+OCCURS = tuple(f"{math.ceil(2**32 * sum(math.exp(-1) / math.factorial(i) for i in range(k))):08x}" for k in range(1, 10))
+
+
+def sketch(pairs: DataFrame, draws: int = 1000, seed: int = 0, by: str | None = None) -> DataFrame:
+    """(part, draw, times, total): how many questions each draw has and the sum of their deltas. Sketches of disjoint questions add up.
+
+    A question is in a draw as often as a Poisson variable of mean 1 says, which comes from a hash of (seed, question, draw)
+    alone. So questions need no order, a task adds up its own, and a row a draw and task is all that moves.
+    """
+    own = pairs.select("question_id", "delta", (F.col(by) if by else F.lit(0)).alias("part"))
+    four = own.withColumn("four", F.explode(F.sequence(F.lit(0), F.lit(-(-draws // 4) - 1))))
+    four = four.withColumn("h", F.md5(F.concat_ws("|", F.lit(str(seed)), "question_id", F.col("four").cast("string"))))
+    times = lambda i: sum((F.substring("h", 8 * i + 1, 8) >= t).cast("int") for t in OCCURS)
+    some = [f(times(i)).alias(f"{name}{i}") for i in range(4) for name, f in (("n", lambda c: F.sum(c.cast("long"))), ("s", lambda c: F.sum(c * F.col("delta"))))]
+    sums = four.groupBy("part", "four").agg(*some)
+    each = F.explode(F.array(*[F.struct((F.col("four") * 4 + i).alias("draw"), F.col(f"n{i}").alias("times"), F.col(f"s{i}").alias("total")) for i in range(4)]))
+    return sums.select("part", each.alias("d")).select("part", "d.*").where(F.col("draw") < draws)
+
+
+def interval(sketches: DataFrame, draws: int) -> DataFrame:
+    """(part, low, high) of sketches, which may be several of one part: order statistics of the draws' means as bootstrap() takes them."""
+    means = sketches.groupBy("part", "draw").agg((F.sum("total") / F.when(F.sum("times") > 0, F.sum("times"))).alias("mean"))
+    ranked = means.withColumn("at", F.row_number().over(Window.partitionBy("part").orderBy("mean", "draw")) - 1)  # a row a draw
+    pick = lambda q, name: F.max(F.when(F.col("at") == int(q * draws), F.col("mean"))).alias(name)
+    return ranked.groupBy("part").agg(pick(0.025, "low"), pick(0.975, "high"))
+
+
 def bootstrap_sequential(pairs: DataFrame, draws: int = 10_000, seed: int = 0) -> DataFrame:
     """The same with Python's generator, drawn in one task in the order of the sorted ids: for parity with other tools."""
 

@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from ..functions import text as ft
 from ..operators import context, identity, index, items, judging, ledger, metrics, retrieval, validation
 from ..sources import corpus as sources
+from ..sources import journal
 from . import adapter as ad
 from .answers import generate
 from .workspace import kept
@@ -691,6 +692,19 @@ def stream_batch_states(spark, sf_dir):
     return streamed.batch_states(spark, root)
 
 
+@query("journal_source", """SELECT batch, seq, CASE WHEN seq % 3 = 0 THEN 'sending' ELSE 'sent' END AS state, CAST(row_number() OVER (ORDER BY batch) AS BIGINT) AS place FROM (SELECT batch, max(seq) AS seq FROM log GROUP BY 1)""", "log")
+def journal_source(spark, sf_dir):
+    """The batches' journal as a file of lines, a batch a line, read in small splits; place follows from where a line begins."""
+    from ..operators.ordering import row_numbers
+    from .workspace import fresh
+
+    path = fresh(spark, "journal")
+    lines = _batch_journal(ad.status_log(spark, sf_dir)).orderBy("batch").select(F.to_json(F.struct("batch", "seq", "state")))
+    lines.coalesce(1).write.text(path)
+    rows = journal.read(spark, spark.read.text(path).inputFiles()[0], "batch string, seq long, state string", 256)
+    return row_numbers(rows, "at", out="place").select("batch", "seq", "state", (F.col("place") + 1).alias("place"))
+
+
 @query("next_attempts", "SELECT CAST(shard AS INTEGER) AS shard, CAST(1 + max(CASE WHEN n % 2 = 0 THEN n % 5 ELSE 0 END) AS INTEGER) AS attempt FROM (SELECT floor((row_number() OVER (ORDER BY question_id) - 1) / ceil(count(*) OVER () / 7.0)) AS shard, length(question) AS n FROM questions) GROUP BY 1", "questions")
 def next_attempts(spark, sf_dir):
     q = ad.questions(spark, sf_dir).withColumn("n", F.length("question"))
@@ -774,6 +788,13 @@ def bootstrap_ci(spark, sf_dir):
     return out.select(*[F.round(c, 6).alias(c) for c in ("low", "high")], "n", F.round("delta_mean", 6).alias("delta_mean"))
 
 
+@query("bootstrap_sketch", f""", h AS (SELECT b_score - a_score AS delta, draw, substring(md5('0|' || question_id || '|' || (draw // 4)), 8 * (draw % 4)::INT + 1, 8) AS h FROM pairs, (SELECT unnest(range(1000)) AS draw)),
+    m AS (SELECT draw, sum(t * delta) / sum(t) AS mean FROM (SELECT draw, delta, {" + ".join(f"(h >= '{t}')::INT" for t in metrics.OCCURS)} AS t FROM h) GROUP BY 1), o AS (SELECT mean, row_number() OVER (ORDER BY mean, draw) - 1 AS k FROM m)
+    SELECT round(max(CASE WHEN k = 25 THEN mean END), 6) AS low, round(max(CASE WHEN k = 975 THEN mean END), 6) AS high FROM o""", "pairs")
+def bootstrap_sketch(spark, sf_dir):
+    return metrics.interval(metrics.sketch(_pairs(spark, sf_dir), 1000, 0), 1000).select(*[F.round(c, 6).alias(c) for c in ("low", "high")])
+
+
 @query("corpus_hash", "SELECT source_type, count(*) AS n, sha256(string_agg(doc_id || chr(31) || title || chr(31) || content || chr(10), '' ORDER BY doc_id)) AS sha256 FROM corpus GROUP BY 1", "corpus")
 def corpus_hash(spark, sf_dir):
     return identity.content_hash(ad.corpus(spark, sf_dir), "source_type")
@@ -810,7 +831,8 @@ def answer_stub(spark, sf_dir):
 @query("stream_ingest", "SELECT doc_id AS id, 'custom' AS kind FROM corpus WHERE NOT regexp_full_match(content, '\\s*')", "corpus")
 def stream_ingest(spark, sf_dir):
     """documents streamed as files into a table of items."""
-    from ..streaming.ingest import TableSink, start
+    from ..streaming.ingest import start
+    from ..streaming.table import KeyedSink
     from .workspace import fresh
 
     root = fresh(spark, "stream")
@@ -818,6 +840,6 @@ def stream_ingest(spark, sf_dir):
     raw = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/documents.parquet*")
     text = F.coalesce("text", F.lit(""))
     docs = raw.select(F.concat(F.lit("d"), F.col("doc_id")).alias("doc_id"), F.col("source").alias("source_type"), F.substring(text, 1, 40).alias("title"), text.alias("content"))
-    sink = TableSink(f"{root}/items")
+    sink = KeyedSink(f"{root}/items", 16)
     start(docs, sink, f"{root}/checkpoint", f"{root}/journal").awaitTermination()
     return sink.current(spark).select("id", "kind")

@@ -103,3 +103,22 @@ def test_batches_of_a_hot_lane_equal_the_fold(spark, monkeypatch, batch_size):
     assert got == want
     assert tables[0].where("__lane = 'hot'").select("__part").distinct().count() > 4  # one lane over many tasks
     assert ordering.consecutive_batches(df.limit(0), batch_size).count() == 0
+
+
+def test_bootstrap_sketch_adds_up_and_covers(spark):
+    from corvane.operators import metrics
+
+    r = np.random.default_rng(2)
+    rows = [(f"q{i}", float(x), "a" if i % 3 else "b") for i, x in enumerate(r.normal(2, 5, 400))]
+    df = spark.createDataFrame(rows, "question_id string, delta double, grp string").repartition(4)
+    whole = metrics.sketch(df, 400, 1)
+    halves = metrics.sketch(df.where("delta > 2"), 400, 1).union(metrics.sketch(df.where("delta <= 2"), 400, 1))
+    one, two = metrics.interval(whole, 400).first(), metrics.interval(halves, 400).first()
+    assert one.low == pytest.approx(two.low) and one.high == pytest.approx(two.high)
+    deltas = np.array([x for _, x, _ in rows])
+    error = deltas.std() / np.sqrt(len(deltas))
+    assert abs(one.low - (deltas.mean() - 1.96 * error)) < 0.5 * error and abs(one.high - (deltas.mean() + 1.96 * error)) < 0.5 * error
+    told = whole.collect()
+    times = np.array([x.times for x in told])
+    assert len(told) == 400 and abs(times.mean() - 400) < 5 and 15 < times.std() < 25  # Poisson of mean 400
+    assert {x.part for x in metrics.interval(metrics.sketch(df, 50, 1, by="grp"), 50).collect()} == {"a", "b"}
