@@ -12,6 +12,7 @@ from ..functions import text as ft
 from ..operators import context, identity, index, items, judging, ledger, metrics, retrieval, validation
 from ..sources import corpus as sources
 from ..sources import journal
+from ..streaming import calls
 from . import adapter as ad
 from .answers import generate
 from .workspace import kept
@@ -823,6 +824,29 @@ def inspect_question(spark, sf_dir):
     return out.select("question_id", "question_type", "answer_correct", F.col("context_chars").cast("long").alias("context_chars"), "toxic")
 
 
+@query("tool_calls", """SELECT 'c' || conv_id || '-' || turn AS call_id, role AS name, '{"md5":"' || md5(coalesce(text, '')) || '"}' AS args, CAST(length(coalesce(text, '')) AS BIGINT) AS n_text FROM conversations""")
+def tool_calls(spark, sf_dir):
+    """Each message as the pieces of a call, in one of two shapes by its turn, after its text in pieces; and folded again."""
+    c = ad.table(spark, sf_dir, "conversations").withColumn("id", F.concat(F.lit("c"), "conv_id", F.lit("-"), "turn"))
+    text, args = F.coalesce("text", F.lit("")), F.concat(F.lit('{"md5":"'), F.md5(F.coalesce("text", F.lit(""))), F.lit('"}'))
+    cut = lambda x, n: F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.length(x) - 1) / n).cast("int"))), lambda i: F.substring(x, i * n + 1, F.lit(n)))
+    js, none = F.to_json, F.lit(None)
+    named = F.concat(
+        F.transform(cut(text, 40), lambda p: js(F.struct(F.lit("response.output_text.delta").alias("type"), p.alias("delta")))),
+        F.array(js(F.struct(F.lit("response.output_item.added").alias("type"), F.struct(F.lit("function_call").alias("type"), F.col("id").alias("call_id"), F.col("role").alias("name")).alias("item")))),
+        F.transform(cut(args, 7), lambda p: js(F.struct(F.lit("response.function_call_arguments.delta").alias("type"), p.alias("delta")))),
+        F.array(js(F.struct(F.lit("response.output_item.done").alias("type"))), js(F.struct(F.lit("response.completed").alias("type")))),
+    )
+    chunk = lambda **d: js(F.struct(F.array(F.struct(F.struct(*[v.alias(k) for k, v in d.items()]).alias("delta"))).alias("choices")))
+    piece = lambda id_, name, a: F.array(F.struct(F.lit(0).alias("index"), id_.alias("id"), F.struct(name.alias("name"), a.alias("arguments")).alias("function")))
+    chat = F.concat(
+        F.array(chunk(reasoning=F.lit("hm"))), F.transform(cut(text, 40), lambda p: chunk(content=p)), F.array(chunk(tool_calls=piece(F.col("id"), F.col("role"), none.cast("string")))),
+        F.transform(cut(args, 5), lambda p: chunk(tool_calls=piece(none.cast("string"), none.cast("string"), p))),
+    )
+    events = c.select(F.col("id").alias("response"), F.posexplode(F.when(F.col("turn") % 2 == 0, named).otherwise(chat)).alias("seq", "event"))
+    return calls.whole(events).select(F.explode("calls").alias("c"), F.length("text").cast("long").alias("n_text")).select("c.*", "n_text")
+
+
 @query("answer_stub")
 def answer_stub(spark, sf_dir):
     return generate(_contexts(spark, sf_dir).join(ad.questions(spark, sf_dir), "question_id"))

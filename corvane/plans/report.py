@@ -14,10 +14,12 @@ DEPTHS = (1, 3, 5, 10, 20, 50)
 def markdown(title: str, results: DataFrame, ranked: DataFrame | None = None, questions: DataFrame | None = None, leaderboard: list[dict] | None = None, corrections: DataFrame | None = None) -> str:
     """Overall and per-category scores, corrections, recall by depth with full coverage, and where the result would stand.
 
-    Categories are listed by their number of questions, equal ones by their first question.
+    Categories are listed by their number of questions, equal ones in the order they first appear in: by ordinal, the place of
+    a row in its file, where results have it, else by question.
     """
-    first = {r[0]: r[1] for r in results.groupBy("question_type").agg(F.min("question_id")).collect()}
-    stats = sorted(group_stats(results).collect(), key=lambda r: (not r["is_total"], -r["n"], first.get(r["grp"]) or ""))
+    place = "ordinal" if "ordinal" in results.columns else "question_id"
+    first = {r[0]: (r[1] is None, r[1]) for r in results.groupBy("question_type").agg(F.min(place)).collect()}
+    stats = sorted(group_stats(results).collect(), key=lambda r: (not r["is_total"], -r["n"], first.get(r["grp"], (False, 0)) if not r["is_total"] else 0))
     lines = [f"# {title}", "", "| category | n | combined | correctness | completeness | recall | invalid extra |", "|---|---|---|---|---|---|---|"]
     for r in stats:
         values = " | ".join(str(round(r[c], 2)) for c in ("combined", "correctness", "completeness", "recall", "invalid_extra"))

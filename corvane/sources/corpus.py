@@ -123,8 +123,8 @@ def read_journal(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame
 
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:
-    """Question rows of a results file, one JSON document."""
-    return spark.read.schema(f"questions array<struct<{', '.join(f.replace(' ', ':', 1) for f in RESULT.split(', '))}>>").option("multiLine", True).json(path).select(F.explode("questions").alias("q")).select("q.*")
+    """Question rows of a results file, one JSON document, with ordinal, a row's place in it."""
+    return spark.read.schema(f"questions array<struct<{', '.join(f.replace(' ', ':', 1) for f in RESULT.split(', '))}>>").option("multiLine", True).json(path).select(F.posexplode("questions").alias("ordinal", "q")).select("q.*", "ordinal")
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:

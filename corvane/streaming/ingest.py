@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import re
 import time
-from collections.abc import Callable
+from collections import deque
+from collections.abc import Callable, Iterator
 from typing import Protocol
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from ..operators.identity import fingerprint
 from ..operators.items import typed_items
 from ..operators.ledger import FAILED, SETTLED
+from ..plans.workspace import kept
 from ..sources.corpus import keep_identity
 
 
@@ -123,6 +125,58 @@ def poll(sent: DataFrame, ask: Callable[[list[str]], dict[str, str]], **options)
     return sent.groupBy("batch").applyInPandas(one, f"batch {sent.schema['batch'].dataType.simpleString()}, id string, status string")
 
 
+class InFlight:
+    """A sink that has window batches on their way at most: before another one is over, the oldest is waited for.
+
+    Statuses of a batch are asked for by as many tasks as its ids have partitions and written to log as (id, status).
+    finish() waits for what is left. Batches that an earlier process left open can be taken over with taken().
+    """
+
+    def __init__(self, sink: ItemSink, ask: Callable[[list[str]], dict[str, str]], log: str, window: int = 4, **options):
+        self.sink, self.ask, self.log, self.window, self.options = sink, ask, log, window, options
+        self.waiting: deque[tuple[int, DataFrame]] = deque()
+
+    def taken(self, ids: DataFrame, batch: int) -> None:
+        self.waiting.append((batch, kept(ids.select("id"), "in-flight")))
+        while len(self.waiting) > self.window:
+            self._settle()
+
+    def send(self, items: DataFrame, batch: int) -> None:
+        while len(self.waiting) >= self.window:
+            self._settle()
+        self.sink.send(items, batch)
+        self.taken(items, batch)
+
+    def _settle(self) -> None:
+        import pandas as pd
+
+        batch, ids = self.waiting[0]
+        ask, options = self.ask, self.options
+
+        def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for part in parts:
+                told = settled(ask, part["id"].tolist(), **options)
+                yield pd.DataFrame({"id": list(told), "status": list(told.values())})
+
+        ids.mapInPandas(run, "id string, status string").write.mode("overwrite").parquet(f"{self.log}/batch={batch}")
+        self.waiting.popleft()
+
+    def finish(self) -> None:
+        while self.waiting:
+            self._settle()
+
+
+def wait_ready(status: Callable[[], dict], timeout: float = 900.0, wait: float = 20.0, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep) -> dict:
+    """The status of a store once it says that it takes items, itself or of its infra; a store that is not ready in time is an error."""
+    end, last = clock() + timeout, {}
+    while clock() < end:
+        last = status()
+        if last.get("ready_for_ingestion") or (last.get("infra") or {}).get("ready_for_ingestion"):
+            return last
+        sleep(wait)
+    raise TimeoutError(f"not ready after {timeout} s: {last!r}")
+
+
 def provision(spark: SparkSession, database: str) -> list[str]:
     """Makes the database if there is none, and lists its tables."""
     if not re.fullmatch(r"\w+", database):
