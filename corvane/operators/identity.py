@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _record():
+def record():
+    """A document as the text that identities cover."""
     text = lambda c: F.coalesce(c, F.lit(""))
     return F.concat(F.col("doc_id"), F.lit("\x1f"), text("title"), F.lit("\x1f"), text("content"), F.lit("\n"))
 
@@ -38,7 +39,7 @@ def content_hash(corpus: DataFrame, group: str) -> DataFrame:
         if h is not None:
             yield told()
 
-    rows = corpus.select(group, "doc_id", _record().alias("record")).repartition(group).sortWithinPartitions(group, "doc_id", "record").select(group, "record")
+    rows = corpus.select(group, "doc_id", record().alias("record")).repartition(group).sortWithinPartitions(group, "doc_id", "record").select(group, "record")
     return rows.mapInArrow(run, f"{group} {rows.schema[group].dataType.simpleString()}, n long, sha256 string")
 
 
@@ -47,7 +48,7 @@ def content_merkle(corpus: DataFrame, digits: int = 3) -> DataFrame:
 
     Not the same value as content_hash; it also covers source_type.
     """
-    own = F.sha2(F.concat_ws("\x1f", F.coalesce("source_type", F.lit("")), _record()), 256)
+    own = F.sha2(F.concat_ws("\x1f", F.coalesce("source_type", F.lit("")), record()), 256)
     rows = corpus.select(own.alias("h")).withColumn("b", F.substring("h", 1, digits))
     parts = rows.groupBy("b").agg(F.count(F.lit(1)).alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("h"))
     return parts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "h"))), lambda x: x["h"]), ""), 256).alias("sha256"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as ft
-from ..operators import context, identity, index, items, judging, ledger, metrics, retrieval, validation
+from ..operators import context, identity, index, items, judging, ledger, merkle, metrics, retrieval, validation
 from ..sources import corpus as sources
 from ..sources import journal
 from ..streaming import calls
@@ -815,6 +815,19 @@ def corpus_changed(spark, sf_dir):
     return identity.changed(identity.content_hash(c, "source_type"), identity.content_hash(after, "source_type"))
 
 
+@query("corpus_tree_changes", "SELECT doc_id, CASE content_len % 50 WHEN 0 THEN 'changed' WHEN 1 THEN 'vanished' ELSE 'appeared' END AS problem FROM corpus WHERE content_len % 50 < 3", "corpus")
+def corpus_tree_changes(spark, sf_dir):
+    """Documents that a later version of the corpus changes, takes out and adds, told by two trees' nodes."""
+    from .workspace import fresh
+
+    c = ad.corpus(spark, sf_dir)
+    longer = c.withColumn("title", F.when(F.col("content_len") % 50 == 0, F.concat("title", F.lit("!"))).otherwise(F.col("title")))
+    before, after = (merkle.Tree(fresh(spark, "tree"), 1) for _ in range(2))
+    before.update(c.where("content_len % 50 <> 2"))
+    after.update(longer.where("content_len % 50 <> 1"))
+    return merkle.changes(spark, before, after)
+
+
 @query("inspect_question", "SELECT question_id, question_type, answer_correct, CAST(length(d.text) AS BIGINT) AS context_chars, l.toxic FROM results JOIN documents d ON question_id = 'd' || d.doc_id JOIN labels l USING (doc_id) WHERE question_id = 'd1'", "results")
 def inspect_question(spark, sf_dir):
     """All that artifacts hold of one question."""

@@ -29,12 +29,12 @@ class KeyedTable:
         paths = [f"{self.root}/data/v={v}/bucket={b}" for b, v in sorted(now["live"].items(), key=lambda x: int(x[0])) if only is None or int(b) in only]
         return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
 
-    def read(self, spark: SparkSession) -> DataFrame:
-        """The rows of the last version."""
+    def read(self, spark: SparkSession, only: set[int] | None = None) -> DataFrame:
+        """The rows of the last version, of some buckets alone if told so."""
         _, now = manifest.latest(spark, self.root)
         if not now:
             raise ValueError(f"there is no table in {self.root}")
-        return self._read(spark, now)
+        return self._read(spark, now, only)
 
     def upsert(self, rows: DataFrame, batch: int | None = None, order: str | None = None, removed: DataFrame | None = None) -> int:
         """Puts rows in the place of those with their keys, and takes removed keys out; tells the version that has them.
