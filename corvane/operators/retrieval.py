@@ -15,15 +15,7 @@ from ..plans.workspace import kept
 from .vectors import nearest
 
 SPACE = r"[\x20\x09-\x0D]+"
-
-
-#: Most rows of a side that is broadcast; beyond it both sides are shuffled.
-FEW = 200_000
-
-
-def if_few(df: DataFrame, most: int = FEW) -> DataFrame:
-    """df, to be broadcast if it has at most so many rows; they are counted first."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+EMPTY = "cast(array() as array<string>)"
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -36,18 +28,38 @@ def tokens(text):
     return F.array_remove(F.split(text, SPACE), "")
 
 
+def _short_pairs(q: DataFrame, corpus: DataFrame, gram: int = 3) -> DataFrame:
+    """(question_id, doc_id) for passages of fewer than three words, q (question_id, passage, w).
+
+    The passage's longest word lies within a word of the document. Distinct words of the corpus meet it by a part of
+    gram letters, or of fewer where it is shorter, and documents meet their words; then whole passages are verified. Passages
+    of white space only are looked for in every document: nothing else tells where they stand.
+    """
+    sizes = sorted(r[0] for r in q.select(F.least(F.array_max(F.transform("w", lambda x: F.length(x))), F.lit(gram)).alias("n")).distinct().collect() if r[0] is not None)  # at most gram
+    text = corpus.select("doc_id", "content")
+    blank = q.where(F.size("w") == 0).select("question_id", "passage")
+    out = text.join(blank, F.contains("content", "passage")).select("question_id", "doc_id")
+    if not sizes:
+        return out
+    longest = F.array_max(F.transform("w", lambda x: F.struct(F.length(x), x.alias("x"))))["x"]
+    asked = q.where(F.size("w") > 0).select("question_id", "passage", longest.alias("part")).withColumn("gram", F.substring("part", 1, gram))
+    words = text.select("doc_id", F.explode(F.array_distinct(tokens(F.col("content")))).alias("word"))
+    parts = lambda n: F.when(F.length("word") >= n, F.transform(F.sequence(F.lit(1), F.length("word") - n + 1), lambda i: F.substring(F.col("word"), i, F.lit(n)))).otherwise(F.expr(EMPTY))
+    grams = words.select("word").distinct().select("word", F.explode(F.array_distinct(F.concat(*map(parts, sizes)))).alias("gram"))
+    within = grams.join(asked, "gram").where(F.contains("word", "part")).select("word", "question_id", "passage").distinct()
+    met = words.join(within, "word").select("doc_id", "question_id", "passage").distinct().join(text, "doc_id")
+    return out.union(met.where(F.contains("content", "passage")).select("question_id", "doc_id")).distinct()
+
+
 def gold_pairs(questions: DataFrame, corpus: DataFrame, seed: int = 8) -> DataFrame:
     """(question_id, doc_id): documents whose content holds the question's passage.
 
     Words between a passage's first and last stand in the document as whole words, so the pair meets by a hash of
     them, of the first seed at most, and is then verified. Documents make hashes of those lengths alone that occur
-    among the passages. Passages of one or two words have no whole word to meet by: each distinct one is looked for
-    in every document.
+    among the passages. Passages of one or two words have no whole word to meet by and meet parts of words instead.
     """
     q = questions.select("question_id", "passage", tokens(F.col("passage")).alias("w"))
-    short = q.where(F.size("w") < 3).select("question_id", "passage")
-    held = short.select("passage").distinct().join(corpus.select("doc_id", "content"), F.contains("content", "passage"))
-    held = held.select("doc_id", "passage").distinct().join(short, "passage").select("question_id", "doc_id")
+    held = _short_pairs(q.where(F.size("w") < 3), corpus)
     q = q.where(F.size("w") >= 3).withColumn("n", F.least(F.size("w") - 2, F.lit(seed)))
     lengths = sorted(r[0] for r in q.select("n").distinct().collect())  # at most seed
     if not lengths:
@@ -61,7 +73,7 @@ def gold_pairs(questions: DataFrame, corpus: DataFrame, seed: int = 8) -> DataFr
 
     d = spread(corpus.select("doc_id", "content")).select("doc_id", tokens(F.col("content")).alias("w")).select("doc_id", hashes.alias("h"))
     d = d.select("doc_id", F.explode(F.array_distinct(F.concat(*map(runs, lengths)))).alias("key"))
-    met = d.join(if_few(q.select("key", "question_id")), "key").select("doc_id", "question_id").distinct()
+    met = d.join(q.select("key", "question_id"), "key").select("doc_id", "question_id").distinct()
     met = met.join(q.select("question_id", "passage"), "question_id").join(corpus.select("doc_id", "content"), "doc_id")
     return met.where(F.contains("content", "passage")).select("question_id", "doc_id").distinct().union(held)
 

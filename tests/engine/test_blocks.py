@@ -122,3 +122,16 @@ def test_bootstrap_sketch_adds_up_and_covers(spark):
     times = np.array([x.times for x in told])
     assert len(told) == 400 and abs(times.mean() - 400) < 5 and 15 < times.std() < 25  # Poisson of mean 400
     assert {x.part for x in metrics.interval(metrics.sketch(df, 50, 1, by="grp"), 50).collect()} == {"a", "b"}
+
+
+def test_short_passages_meet_parts_of_words(spark):
+    r = random.Random(3)
+    docs = [(f"d{i}", " ".join("".join(r.choice("abc") for _ in range(r.randrange(1, 6))) for _ in range(r.randrange(12)))) for i in range(80)] + [("e", ""), ("n", None), ("w", "a  b")]
+    passages = ["a", "ab", "abc", "abca", "ab c", "c ab", "b b", "a  b", "", " ", "zz", "cab abc", "bca a b", None]
+    q = spark.createDataFrame([(f"q{i}", p) for i, p in enumerate(passages)] + [("again", "ab")], "question_id string, passage string")
+    got = retrieval.gold_pairs(q, spark.createDataFrame(docs, "doc_id string, content string"))
+    want = sorted((f"q{i}", d) for i, p in enumerate(passages) if p is not None for d, t in docs if t is not None and p in t)
+    want += [("again", d) for d, t in docs if t is not None and "ab" in t]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    plain = retrieval.gold_pairs(q.where("length(trim(passage)) > 0"), spark.createDataFrame(docs, "doc_id string, content string"))
+    assert plain.count() == sum(passages[int(x[0][1:])].strip() != "" if x[0] != "again" else True for x in want)
