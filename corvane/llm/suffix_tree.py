@@ -9,9 +9,10 @@ suffix and last towards word frequencies, with one further word for all unseen o
 
 No task and no driver holds the tree. Texts become chunks of about CHUNK tokens, written once as small integers. For
 each chunk the hashes of its distinct strings of 1 to DEPTH + 1 words go to ranges of hashes, sorted and compressed,
-are summed there, and the sums return to the chunk that sent them. It then knows n(context) and n(context, next) for
-each of its positions, and sends each context's part of the ratio and of the number of distinct next tokens the same
-way. What comes back is which contexts are retained. A string that stands a million times in a chunk is one entry, so
+are summed there, and the sums return to the chunks that sent them, the first of which owns the string. A chunk then knows
+n(context) and n(context, next) for each of its positions, and sends what the strings it owns add to the ratio and to the
+number of distinct next tokens of their contexts the same way. Each string adds once, by its counts alone, so the model is
+the same however texts are dealt into files and chunks. What comes back is which contexts are retained. A string that stands a million times in a chunk is one entry, so
 a hot one has no more than an entry a chunk.
 
 Words are told apart by 64 bits, longer strings by SPARE bits more than the number of tokens needs: at any size about
@@ -46,8 +47,8 @@ SPARE = 16
 CHUNK, ENTRIES = 3 << 18, 2_000_000
 START, END = (np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA3B195354A39B70D))
 STEP = np.uint64(0xD1342543DE82EF95)
-#: Fractions of a bit, and of a distinct next token, in which parts are summed.
-BIT, NEXT = 1 << 4, 1 << 14
+#: Fractions of a bit in which a string's part of a ratio is taken.
+BIT = 1 << 4
 
 
 def chunked(docs: DataFrame, depth: int, size: int = CHUNK) -> DataFrame:
@@ -113,12 +114,13 @@ class Chunk:
         order = np.argsort(words)
         place = np.empty_like(order)
         place[order] = np.arange(len(order))
-        self.keys, self.at = [words[order]], [place[ids]]
+        self.keys, self.at, self.where = [words[order]], [place[ids]], [np.zeros(len(words), dtype=np.int64)]
         for _ in range(depth):
             h = hashing.mixed(np.concatenate([h[:1], h[:-1]]) * STEP + words[ids])
-            key, at = np.unique(h >> np.uint64(64 - bits), return_inverse=True)
+            key, where, at = np.unique(h >> np.uint64(64 - bits), return_index=True, return_inverse=True)
             self.keys.append(key)
             self.at.append(at)
+            self.where.append(where)  # a place of each string
         self.own = [np.bincount(a, weights=counted, minlength=len(k)) for k, a in zip(self.keys, self.at, strict=True)]
 
     def context(self, length: int) -> np.ndarray:
@@ -126,6 +128,24 @@ class Chunk:
         return np.concatenate([self.at[length - 1][:1], self.at[length - 1][:-1]])
 
 
+    def divergence(self, totals: list[np.ndarray], owned: np.ndarray, j: int, positions: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(asked, next tokens, bits) of the contexts of j words: which are asked for, and what the strings that this chunk owns add to them.
+
+        A string's part of the ratio is taken once, over all its occurrences, and rounded by itself: sums are the same
+        however texts are dealt into chunks.
+        """
+        where = self.where[j][owned & (totals[j] > 0)]
+        where = where[self.keys[0][self.at[0][where]] != START]  # a start follows nothing
+        before = np.maximum(where - 1, 0)
+        context, string, n = self.at[j - 1][before], self.at[j][where], len(self.keys[j - 1])
+        above = positions if j == 1 else totals[j - 2][self.at[j - 2][before]]
+        both = totals[j][string]
+        bits = np.rint(both * np.log2(both / totals[j - 1][context] * above / totals[j - 1][self.at[j - 1][where]]) * BIT)
+        asked = (np.bincount(self.context(j)[self.token], minlength=n) > 0) | (np.bincount(context, minlength=n) > 0)
+        asked &= totals[j - 1] >= least
+        return asked, np.bincount(context, minlength=n), np.bincount(context, weights=bits, minlength=n)
+
+
 class Counts:
     """What is known of a chunk's places: n of the context, of the context with the token, by length; 0: no context."""
 
@@ -158,9 +178,10 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def summed(sent: DataFrame, answer: Callable[[list[np.ndarray]], np.ndarray], ranges: int) -> DataFrame:
-    """(range, chunk, answer, distinct) of SENT rows: for each key that a row holds, answer of the key's summed values.
+    """(range, chunk, answer, distinct) of SENT rows: for each key that a row holds, twice the answer of the key's summed values.
 
-    distinct: how many keys of the range have a first sum over 0, told once a range.
+    One is added for the first chunk that holds the key, which owns it. distinct: how many keys of the range have a first
+    sum over 0, told once a range.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,14 +190,16 @@ def summed(sent: DataFrame, answer: Callable[[list[np.ndarray]], np.ndarray], ra
         def told() -> pa.RecordBatch:
             keys = [np.cumsum(hashing.unpacked(k), dtype=np.uint64) for _, k, _ in held]
             sizes = [len(k) for k in keys]
-            _, at = np.unique(np.concatenate(keys), return_inverse=True)
+            _, first, at = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
             parts = [np.concatenate([hashing.unsigned(hashing.unpacked(v[i])) for *_, v in held]) for i in range(len(held[0][2]))]
             sums = []
             for p in parts:  # exact: in integers
                 total = np.zeros(int(at.max()) + 1, dtype=np.int64)
                 np.add.at(total, at, p)
                 sums.append(total)
-            out = np.split(answer(sums)[at], np.cumsum(sizes)[:-1])
+            answers = 2 * answer(sums)[at]
+            answers[first] += 1
+            out = np.split(answers, np.cumsum(sizes)[:-1])
             distinct = [int((sums[0] > 0).sum())] + [0] * (len(held) - 1)
             columns = [pa.array([now] * len(held), pa.int64()), pa.array([c for c, *_ in held], pa.int64()), pa.array([hashing.packed(hashing.signed(x)) for x in out], pa.binary()), pa.array(distinct, pa.int64())]
             held.clear()
@@ -194,10 +217,17 @@ def summed(sent: DataFrame, answer: Callable[[list[np.ndarray]], np.ndarray], ra
     return sent.repartition(ranges, "range").sortWithinPartitions("range", "chunk").mapInArrow(run, "range long, chunk long, answer binary, distinct long")
 
 
-def _joined(answers: list[dict], level: int) -> np.ndarray:
-    """The answers of a level's ranges in their order."""
+def _joined(answers: list[dict], level: int) -> tuple[np.ndarray, np.ndarray]:
+    """The answers of a level's ranges in their order, and which keys this chunk owns."""
     own = [hashing.unsigned(hashing.unpacked(x["answer"])) for x in sorted(answers, key=lambda x: x["range"]) if x["range"] >> 40 == level]
-    return np.concatenate(own) if own else np.zeros(0, dtype=np.int64)
+    both = np.concatenate(own) if own else np.zeros(0, dtype=np.int64)
+    return both >> 1, (both & 1) > 0
+
+
+def _totals(answers: list[dict], depth: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """(counts, ownership) of a chunk's strings by length."""
+    both = [_joined(answers, j) for j in range(depth + 1)]
+    return [t for t, _ in both], [o for _, o in both]
 
 
 def score_texts(docs: DataFrame, trains: Column, doc_id: str = "doc_id", text: str = "text", depth: int = DEPTH, least: int = LEAST, gain: float = GAIN, discount: float = DISCOUNT, size: int = CHUNK, entries: int = ENTRIES) -> DataFrame:
@@ -230,24 +260,14 @@ def score_texts(docs: DataFrame, trains: Column, doc_id: str = "doc_id", text: s
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for (c, _, chunk), answers in zip(opened(batch), batch["answers"].to_pylist(), strict=True):
-                totals = [_joined(answers, j) for j in range(depth + 1)]
-                known = Counts(chunk, totals, n)
+                totals, owned = _totals(answers, depth)
                 for j in range(1, depth + 1):
-                    at, keys = chunk.context(j), chunk.keys[j - 1]
-                    asked = np.bincount(at[chunk.token], minlength=len(keys)) > 0
-                    asked &= totals[j - 1] >= least
-                    on = chunk.learned & asked[at]
-                    ratio = np.zeros(len(on))
-                    ratio[on] = np.log2(known.both[j][on] / known.context[j][on] * known.context[j - 1][on] / known.both[j - 1][on])
-                    share = np.zeros(len(on))
-                    share[on] = 1 / known.both[j][on]
-                    parts = [np.rint(np.bincount(at, weights=x, minlength=len(keys))[asked] * unit) for x, unit in ((share, NEXT), (ratio, BIT))]
-                    yield _batch(list(_sent(c, j + depth, widths[j - 1], ranges, keys[asked], parts)))
+                    asked, nexts, ratio = chunk.divergence(totals, owned[j], j, n, least)
+                    yield _batch(list(_sent(c, j + depth, widths[j - 1], ranges, chunk.keys[j - 1][asked], [nexts[asked], ratio[asked]])))
 
     def retained(sums: list[np.ndarray]) -> np.ndarray:
         """The number of distinct next tokens of a context that is retained; 0 for others."""
-        nexts = np.rint(sums[0] / NEXT)
-        return np.where(sums[1] / BIT >= gain * nexts, nexts, 0).astype(np.int64)
+        return np.where(sums[1] >= gain * BIT * sums[0], sums[0], 0)
 
     of_chunk = lambda answers: kept.join(answers.groupBy("chunk").agg(F.collect_list(F.struct("range", "answer")).alias("answers")), "chunk")
     judged = shelf.keep(summed(of_chunk(counted).mapInArrow(contexts, SENT), retained, ranges), "judged")
@@ -256,17 +276,15 @@ def score_texts(docs: DataFrame, trains: Column, doc_id: str = "doc_id", text: s
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for (_, parts, chunk), answers in zip(opened(batch), batch["answers"].to_pylist(), strict=True):
-                totals = [_joined(answers, j) for j in range(depth + 1)]
+                totals, owned = _totals(answers, depth)
                 known = Counts(chunk, totals, n)
                 base = (known.both[0] + 0.1) / (n + 0.1 * (v + 1))
                 p, inside = base.copy(), np.zeros(len(base), dtype=bool)
                 for j in range(1, depth + 1):
-                    at = chunk.context(j)
-                    asked = np.bincount(at[chunk.token], minlength=len(chunk.keys[j - 1])) > 0
-                    asked &= totals[j - 1] >= least
+                    asked = chunk.divergence(totals, owned[j], j, n, least)[0]
                     nexts = np.zeros(len(asked), dtype=np.int64)
-                    nexts[asked] = _joined(answers, j + depth)
-                    nexts = nexts[at]
+                    nexts[asked] = _joined(answers, j + depth)[0]
+                    nexts = nexts[chunk.context(j)]
                     on = chunk.token & (nexts > 0)
                     p[on] = (np.maximum(known.both[j][on] - discount, 0) + discount * nexts[on] * p[on]) / known.context[j][on]
                     inside |= on

@@ -707,6 +707,19 @@ def test_suffix_tree(spark, docs, nothing, depth, gain, size, entries):
     assert all(r.train_tokens == n for r in got)
 
 
+def test_scores_are_the_same_for_any_files_and_chunks(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    rows = [(i, prose(i % 60, 40 + 13 * (i % 9))) for i in range(240)]
+    found = []
+    for n, size in ((1, 1 << 19), (7, 1 << 19), (3, 500), (2, 37)):
+        path = str(tmp_path / f"d{n}")
+        spark.createDataFrame(rows, "doc_id long, text string").repartition(n, F.xxhash64("doc_id", F.lit(n))).write.mode("overwrite").parquet(path)
+        got = suffix_tree.score_texts(spark.read.parquet(path), F.col("doc_id") % 5 != 0, gain=1.0, size=size).collect()
+        found.append({r.doc_id: (r.n_known, r.n_contexts, round(r.score, 8)) for r in got})
+    assert all(f == found[0] for f in found[1:]) and sum(c for _, c, _ in found[0].values()) > 1000
+
+
 def test_suffix_tree_of_few_rows(docs, nothing):
     from pyspark.sql import functions as F
 
