@@ -1,7 +1,8 @@
-"""Folders for streams' checkpoints and tables, in the folder that driver and executors share."""
+"""Folders for streams' checkpoints and tables, in the folder that driver and executors share. They go when the driver ends."""
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -14,7 +15,19 @@ def fresh(spark: SparkSession, name: str) -> str:
     if not there:
         local = spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local"
         there = os.path.join(tempfile.gettempdir(), "checkpoints", uuid.uuid4().hex) if local else spark.conf.get("spark.sql.warehouse.dir")
-    return f"{there.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{there.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    atexit.register(discard, spark, path)
+    return path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that fresh() named; if the session is gone already, it stays to its owner."""
+    try:
+        if spark.sparkContext._jsc is not None:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    except Exception:  # the driver is ending
+        pass
 
 
 def kept(df: DataFrame, name: str) -> DataFrame:
