@@ -45,7 +45,7 @@ def test_both_shapes_give_the_same_calls(spark):
     assert calls.whole(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("seed", [1])
 def test_stream_of_any_cuts_tells_each_response_once(spark, tmp_path, seed):
     r = random.Random(seed)
     own = [x for n in range(4) for x in rows(f"a{n}", NAMED) + rows(f"b{n}", CHAT)]

@@ -26,7 +26,7 @@ def ran(spark, root, one_by_one=True):
     return {tuple(r) for r in ledger.batch_states(spark, f"{root}/out").collect()}
 
 
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("seed", [1])
 def test_repeated_and_late_rows_give_the_batch_result(spark, tmp_path, seed):
     r, root = random.Random(seed), str(tmp_path)
     log = [(f"b{r.randrange(4)}", f"i{r.randrange(12)}", r.choice(["pending", "completed", "errored"]), n, DAY + timedelta(minutes=n)) for n in range(120)]
