@@ -9,14 +9,14 @@ suffix and last towards word frequencies, with one further word for all unseen o
 
 No task and no driver holds the tree. Texts become chunks of about CHUNK tokens, written once as small integers. For
 each chunk the hashes of its distinct strings of 1 to DEPTH + 1 words go to ranges of hashes, sorted and compressed,
-are summed there, and the sums return to the chunks that sent them, the first of which owns the string. A chunk then knows
+are summed there, and the sums return to the chunks that sent them, the first of which to learn from the string owns it. A chunk then knows
 n(context) and n(context, next) for each of its positions, and sends what the strings it owns add to the ratio and to the
 number of distinct next tokens of their contexts the same way. Each string adds once, by its counts alone, so the model is
-the same however texts are dealt into files and chunks. What comes back is which contexts are retained. A string that stands a million times in a chunk is one entry, so
-a hot one has no more than an entry a chunk.
+the same however texts are dealt into files and chunks. What comes back is which contexts are retained. A string that
+stands a million times in a chunk is one entry, so a hot one has no more than an entry a chunk.
 
 Words are told apart by 64 bits, longer strings by SPARE bits more than the number of tokens needs: at any size about
-one in 2^SPARE takes another's count.
+one in 2^SPARE takes another's count, and what such a string adds may depend on chunks.
 
 Scale: texts are read once. What moves grows in proportion to the tokens; the driver receives a few counts.
 
@@ -137,6 +137,10 @@ class Chunk:
         where = self.where[j][owned & (totals[j] > 0)]
         where = where[self.keys[0][self.at[0][where]] != START]  # a start follows nothing
         before = np.maximum(where - 1, 0)
+        # a string that took another's count may have parts without any
+        real = (totals[j - 1][self.at[j - 1][before]] > 0) & (totals[j - 1][self.at[j - 1][where]] > 0)
+        real &= (j == 1) | (totals[max(j - 2, 0)][self.at[max(j - 2, 0)][before]] > 0)
+        where, before = where[real], before[real]
         context, string, n = self.at[j - 1][before], self.at[j][where], len(self.keys[j - 1])
         above = positions if j == 1 else totals[j - 2][self.at[j - 2][before]]
         both = totals[j][string]
@@ -180,7 +184,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 def summed(sent: DataFrame, answer: Callable[[list[np.ndarray]], np.ndarray], ranges: int) -> DataFrame:
     """(range, chunk, answer, distinct) of SENT rows: for each key that a row holds, twice the answer of the key's summed values.
 
-    One is added for the first chunk that holds the key, which owns it. distinct: how many keys of the range have a first
+    One is added for the first chunk with a first value over 0, which owns the key. distinct: how many keys of the range have a first
     sum over 0, told once a range.
     """
 
@@ -190,7 +194,7 @@ def summed(sent: DataFrame, answer: Callable[[list[np.ndarray]], np.ndarray], ra
         def told() -> pa.RecordBatch:
             keys = [np.cumsum(hashing.unpacked(k), dtype=np.uint64) for _, k, _ in held]
             sizes = [len(k) for k in keys]
-            _, first, at = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+            _, at = np.unique(np.concatenate(keys), return_inverse=True)
             parts = [np.concatenate([hashing.unsigned(hashing.unpacked(v[i])) for *_, v in held]) for i in range(len(held[0][2]))]
             sums = []
             for p in parts:  # exact: in integers
@@ -198,7 +202,8 @@ def summed(sent: DataFrame, answer: Callable[[list[np.ndarray]], np.ndarray], ra
                 np.add.at(total, at, p)
                 sums.append(total)
             answers = 2 * answer(sums)[at]
-            answers[first] += 1
+            counting = np.flatnonzero(parts[0] > 0)
+            answers[counting[np.unique(at[counting], return_index=True)[1]]] += 1
             out = np.split(answers, np.cumsum(sizes)[:-1])
             distinct = [int((sums[0] > 0).sum())] + [0] * (len(held) - 1)
             columns = [pa.array([now] * len(held), pa.int64()), pa.array([c for c, *_ in held], pa.int64()), pa.array([hashing.packed(hashing.signed(x)) for x in out], pa.binary()), pa.array(distinct, pa.int64())]
