@@ -33,7 +33,7 @@ def stats(spark, a) -> int:
 
 def report_(spark, a) -> int:
     board = json.load(open(a.leaderboard, encoding="utf-8")) if a.leaderboard else None
-    print(report.markdown(a.title, sources.read_results(spark, a.results), leaderboard=board))
+    print(report.markdown(a.title, sources.read_results(spark, a.results, placed=True), leaderboard=board))
     return 0
 
 

@@ -122,9 +122,10 @@ def read_journal(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame
     return rows.where("r is not null and r._bad is null").select("r.*").drop("_bad"), bool(bad[2])
 
 
-def read_results(spark: SparkSession, path: str) -> DataFrame:
-    """Question rows of a results file, one JSON document, with ordinal, a row's place in it."""
-    return spark.read.schema(f"questions array<struct<{', '.join(f.replace(' ', ':', 1) for f in RESULT.split(', '))}>>").option("multiLine", True).json(path).select(F.posexplode("questions").alias("ordinal", "q")).select("q.*", "ordinal")
+def read_results(spark: SparkSession, path: str, placed: bool = False) -> DataFrame:
+    """Question rows of a results file, one JSON document; placed: with ordinal, a row's place in it."""
+    rows = spark.read.schema(f"questions array<struct<{', '.join(f.replace(' ', ':', 1) for f in RESULT.split(', '))}>>").option("multiLine", True).json(path).select(F.posexplode("questions").alias("ordinal", "q"))
+    return rows.select("q.*", "ordinal") if placed else rows.select("q.*")
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
