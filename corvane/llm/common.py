@@ -21,6 +21,8 @@ SPACE = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACE}]+"
 #: Whether Spark deletes a query's shuffle files when it ends.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Most rows that go to a Python worker at once.
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -53,15 +55,21 @@ class Shelf:
         Shelf.opened.append(self)
         atexit.register(self.clear)
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        """df as a table. The shuffle files behind it go as soon as it is written: nothing reads them any more."""
+    def keep(self, df: DataFrame, name: str, batch: int | None = None) -> DataFrame:
+        """df as a table. The shuffle files behind it go as soon as it is written: nothing reads them any more.
+
+        batch: most rows that go to a Python worker at once, where rows hold whole texts.
+        """
         path, conf = f"{self.root}/{name}", self.spark.conf
-        before = conf.get(CLEANUP, None)
-        conf.set(CLEANUP, "true")
+        own = {CLEANUP: "true"} | ({BATCH: str(batch)} if batch else {})
+        before = {k: conf.get(k, None) for k in own}
+        for k, v in own.items():
+            conf.set(k, v)
         try:
             df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         finally:
-            conf.unset(CLEANUP) if before is None else conf.set(CLEANUP, before)
+            for k, v in before.items():
+                conf.unset(k) if v is None else conf.set(k, v)
         return self.spark.read.schema(_nullable(df.schema)).parquet(path)
 
     def drop(self, *names: str) -> None:

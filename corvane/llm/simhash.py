@@ -12,8 +12,10 @@ words, where each edit moves few bits. Its six segments are decoded in pairs: a
 segment with one near to the other. Pairs of segments with ten errors in all share a key in 99.9 % of cases, with
 sixteen in 95 %. Who meets at a key and differs in REACH bits or less is paired with its NEAREST ones there, with the
 most central one, and by a least spanning forest; so a crowd puts out pairs in proportion to its members. Each pair
-is verified by the similarity of the two texts. In a crowd a pair may be left out whose ends are not connected by
-others. A key with over BLOCK fingerprints is split into blocks, each two of which are a unit of their own.
+is verified by the similarity of the two texts. What is not connected by then meets once more at its keys: every
+pair within reach whose ends lie in different components is bounded from above by the parities of its shingles, and
+verified unless the bound rules it out. So of pairs that share a key and are within reach none is lost, however
+crowded the key. A key with over BLOCK fingerprints is split into blocks, each two of which are a unit of their own.
 
 For near_groups, keys are made for distinct fingerprints, so copies never meet. A key with two fingerprints is verified from its
 smallest and largest; one with up to CROWD is verified in a row of its own; a more crowded one is split exactly:
@@ -48,8 +50,11 @@ SEGMENTS = ((0, 22), (22, 21), (43, 21))
 SIMILARITY, SHINGLE = 0.8, 5
 #: Most bits of 128 that differ in a pair to verify; most fingerprints of a block.
 REACH, BLOCK = 24, 4096
-#: How many of those within reach a fingerprint is paired with at a key, beside the most central one.
+#: How many of those within reach a fingerprint is paired with at a key in the first round, beside the most central
+#: one. The second round pairs it with all others that the first one left unconnected.
 NEAREST = 2
+#: Bits of the parities of a text's shingles; most rows with whole texts or shingles that go to a worker at once.
+MARKS, ROWS = 4096, 500
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -185,14 +190,15 @@ def _long_fingerprints(own: DataFrame) -> DataFrame:
         for batch in batches:
             texts = [(t.as_py() or "").encode() for t in batch.column(1)]
             parts = [word_set_fingerprints(texts[a:b]) for a, b in hashing.chunks(texts)]
+            del texts
             f = np.concatenate([np.zeros((0, 2), dtype=np.uint64), *parts]).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(f[:, 0].copy()), pa.array(f[:, 1].copy())], ["rid", "f0", "f1"])
 
     return own.select("rid", "text").mapInArrow(run, "rid long, f0 long, f1 long")
 
 
-def _pair_keys(fps: DataFrame) -> DataFrame:
-    """(key, rid, f0, f1): three to 108 keys of each fingerprint."""
+def _pair_keys(fps: DataFrame, *more: str) -> DataFrame:
+    """(key, rid, f0, f1) and more (columns of integers): three to 108 keys of each fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -204,9 +210,10 @@ def _pair_keys(fps: DataFrame) -> DataFrame:
                     a, b = part[2 * t], part[2 * t + 1]
                     row, x, y = np.nonzero((a >= 0)[:, :, None] & (b >= 0)[:, None, :])
                     key = (np.int64(t) << 24) | (a[row, x] << 12) | b[row, y]
-                    yield pa.RecordBatch.from_arrays([pa.array(key), *batch.take(pa.array(row)).columns], ["key", "rid", "f0", "f1"])
+                    yield pa.RecordBatch.from_arrays([pa.array(key), *batch.take(pa.array(row)).columns], ["key", *names])
 
-    return fps.select("rid", "f0", "f1").mapInArrow(run, "key long, rid long, f0 long, f1 long")
+    names = ["rid", "f0", "f1", *more]
+    return fps.select(*names).mapInArrow(run, "key long, " + ", ".join(f"{c} long" for c in names))
 
 
 def near_pairs(f: np.ndarray, reach: int, nearest: int = NEAREST) -> set[tuple[int, int]]:
@@ -253,25 +260,101 @@ def _met(keys: DataFrame, reach: int) -> DataFrame:
             out.append(rid[a : a + n][pairs])
         return out
 
+    def told(rows: np.ndarray) -> pa.RecordBatch:
+        found = links_of(rows[:, 3], rows[:, 4:].copy().view(np.uint64), rows[:, :3]) if len(rows) else []
+        return _link_batch(np.concatenate(found) if found else np.zeros((0, 2), dtype=np.int64))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros((0, 6), dtype=np.int64)
+        for batch in _whole_units(batches):
+            yield told(np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns], axis=1))
 
-        def told(rows: np.ndarray) -> pa.RecordBatch:
-            found = links_of(rows[:, 3], rows[:, 4:].copy().view(np.uint64), rows[:, :3]) if len(rows) else []
-            links = np.unique(np.sort(np.concatenate(found), axis=1), axis=0) if found else np.zeros((0, 2), dtype=np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(links[:, 0].copy()), pa.array(links[:, 1].copy())], ["a", "b"])
+    return keys.mapInArrow(run, "a long, b long")
 
-        for batch in batches:
-            rows = np.concatenate([held, np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns], axis=1)])
-            last = np.flatnonzero((rows[:, :3] != rows[-1, :3]).any(axis=1))[-1:] + 1 if len(rows) else np.zeros(0, dtype=np.int64)
-            cut = int(last[0]) if len(last) else 0  # the last unit may go on
-            yield told(rows[:cut])
-            held = rows[cut:]
-        yield told(held)
+
+def _link_batch(links: np.ndarray) -> pa.RecordBatch:
+    links = np.unique(np.sort(links, axis=1), axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(links[:, 0].copy()), pa.array(links[:, 1].copy())], ["a", "b"])
+
+
+def _whole_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows, sorted by their first three columns (the unit), in batches that cut no unit."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        unit = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)], axis=1)
+        last = [batch.column(i)[-1].as_py() for i in range(3)]
+        other = np.flatnonzero((unit != last).any(axis=1))[-1:]
+        cut = int(other[0]) + 1 if len(other) else 0  # from here on the last unit, which may go on
+        same = bool(held) and [held[-1].column(i)[-1].as_py() for i in range(3)] == last
+        if cut or held and not same:
+            yield pa.Table.from_batches([*held, batch.slice(0, cut)]).combine_chunks().to_batches(max_chunksize=None)[0]
+            held = []
+        held.append(batch.slice(cut))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def _units(batch: pa.RecordBatch) -> Iterator[tuple[int, int]]:
+    """First row and end of each unit."""
+    unit = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)], axis=1)
+    at = np.flatnonzero(np.concatenate([[True], (unit[1:] != unit[:-1]).any(axis=1)]))
+    yield from zip(at.tolist(), [*at[1:].tolist(), len(unit)], strict=True)
+
+
+def _apart(f: np.ndarray, root: np.ndarray, reach: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Each row of a unit with those after it that are within reach and have another root."""
+    for x in range(len(f) - 1):
+        others = x + 1 + np.flatnonzero((root[x + 1 :] != root[x]) & (np.bitwise_count(f[x + 1 :] ^ f[x]).sum(axis=1, dtype=np.int64) <= reach))
+        if len(others):
+            yield x, others
+
+
+def _crossing(keys: DataFrame, reach: int) -> DataFrame:
+    """The rows of units (key, i, j), which come sorted, that are within reach of one of another root in their unit."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _whole_units(batches):
+            f = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in (4, 5)], axis=1).view(np.uint64)
+            root = batch.column(6).to_numpy(zero_copy_only=False)
+            told = np.zeros(batch.num_rows, dtype=bool)
+            for a, b in _units(batch):
+                for x, others in _apart(f[a:b], root[a:b], reach):
+                    told[a + x] = told[a + others] = True
+            yield batch.filter(pa.array(told))
+
+    return keys.mapInArrow(run, keys.schema)
+
+
+def _unruled(keys: DataFrame, reach: int, similarity: float) -> DataFrame:
+    """Links (a, b) of rids of different roots within units that may have the similarity, by sizes and marks.
+
+    Sets with that similarity differ in at most (m + n) (1 - similarity) / (1 + similarity) shingles, and the parities
+    of their shingles in no more bits.
+    """
+    part = (1 - similarity) / (1 + similarity)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _whole_units(batches):
+            rid, f0, f1, root, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3, 8))
+            f = np.stack([f0, f1], axis=1).view(np.uint64)
+            out = [np.zeros((0, 2), dtype=np.int64)]
+            for a, b in _units(batch):
+                marks = np.frombuffer(b"".join(batch.column(8).slice(a, b - a).to_pylist()), dtype=np.uint64).reshape(b - a, -1)
+                for x, others in _apart(f[a:b], root[a:b], reach):
+                    most = (n[a:b][others] + n[a + x]) * part + 1e-6
+                    others = others[np.maximum(np.bitwise_count(marks[others] ^ marks[x]).sum(axis=1, dtype=np.int64), np.abs(n[a:b][others] - n[a + x])) <= most]
+                    out.append(np.stack([np.full(len(others), rid[a + x]), rid[a:b][others]], axis=1))
+            yield _link_batch(np.concatenate(out))
 
     return keys.mapInArrow(run, "a long, b long")
 
 
+def _parities(grams: np.ndarray) -> bytes:
+    """For each value of the hash's first bits whether the number of hashes with it is odd, as MARKS bits."""
+    return np.packbits(np.bincount((grams >> np.uint64(64 - MARKS.bit_length() + 1)).astype(np.int64), minlength=MARKS) & 1, bitorder="little").tobytes()
+
+
 def shingle_sets(texts: list[bytes], shingle: int = SHINGLE) -> list[np.ndarray]:
     """Sorted distinct hashes of shingle successive words of each text; of the whole sequence where it is shorter."""
     out = []
@@ -290,37 +373,63 @@ def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     return both >= similarity * (len(a) + len(b) - both) - 1e-9
 
 
-def near_links(shelf: Shelf, own: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, reach: int = REACH, block: int = BLOCK) -> DataFrame:
-    """Verified links (a, b) between rids of own (rid, text)."""
-    rows = shelf.keep(_long_fingerprints(own), "long")
-    fps = shelf.keep(rows.groupBy("f0", "f1").agg(F.min("rid").alias("rid")), "distinct")
-    equal = rows.join(loosened(fps.withColumnRenamed("rid", "a"), "f0", "f1"), ["f0", "f1"]).where("a <> rid").select("a", F.col("rid").alias("b"))
-    keys = _pair_keys(fps)
-    crowds = shelf.keep(keys.groupBy("key").count().where(F.col("count") > block).select("key", F.ceil(F.col("count") / block).cast("int").alias("blocks")), "crowds")
+def _dealt(keys: DataFrame, crowds: DataFrame, *more: str) -> DataFrame:
+    """(key, i, j, rid, f0, f1) and more of keys by units, sorted. crowds: key, and blocks of the keys that are split."""
     dealt = keys.join(loosened(crowds, "key"), "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     mine = F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int")
-    dealt = dealt.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "rid", "f0", "f1")
     # two blocks' unit holds both, so a block alone needs one only where it is the only one
-    dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "rid")
-    candidates = shelf.keep(_met(dealt, reach).union(equal).distinct(), "candidates")
-    ids = candidates.select(F.col("a").alias("rid")).union(candidates.select("b")).distinct()
+    dealt = dealt.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "rid", "f0", "f1", *more)
+    return _by_unit(dealt)
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = shingle_sets([(t.as_py() or "").encode() for t in batch.column(1)], shingle)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in found], pa.binary())], ["rid", "grams"])
 
-    # texts meet ids by sorting at every size, and no broadcast of ids grows with the documents
-    grams = shelf.keep(own.join(loosened(ids, "rid").hint("merge"), "rid").select("rid", "text").mapInArrow(sets, "rid long, grams binary"), "grams")
-    pairs = candidates.join(grams.select(F.col("rid").alias("a"), F.col("grams").alias("x")), "a").join(grams.select(F.col("rid").alias("b"), F.col("grams").alias("y")), "b")
+def _by_unit(rows: DataFrame) -> DataFrame:
+    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "rid")
+
+
+def _verified(shelf: Shelf, pairs: DataFrame, grams: DataFrame, similarity: float, name: str) -> DataFrame:
+    """Of pairs (a, b) those whose texts have the similarity."""
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fits = [similar(*(np.frombuffer(g.as_py(), dtype=np.uint64) for g in pair), similarity) for pair in zip(batch.column(2), batch.column(3), strict=True)]
             yield batch.select([0, 1]).filter(pa.array(fits, pa.bool_()))
 
-    return shelf.keep(pairs.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long"), "links")
+    own = pairs.join(grams.select(F.col("rid").alias("a"), F.col("grams").alias("x")), "a").join(grams.select(F.col("rid").alias("b"), F.col("grams").alias("y")), "b")
+    return shelf.keep(own.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long"), name, ROWS)
+
+
+def near_links(shelf: Shelf, own: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, reach: int = REACH, block: int = BLOCK) -> DataFrame:
+    """Verified links (a, b) between rids of own (rid, text) that connect all that are so linked and met."""
+    rows = shelf.keep(_long_fingerprints(own), "long", ROWS)
+    fps = shelf.keep(rows.groupBy("f0", "f1").agg(F.min("rid").alias("rid")), "distinct")
+    equal = rows.join(loosened(fps.withColumnRenamed("rid", "a"), "f0", "f1"), ["f0", "f1"]).where("a <> rid").select("a", F.col("rid").alias("b"))
+    keys, blocks = _pair_keys(fps), F.ceil(F.col("n") / block).cast("int").alias("blocks")
+    crowds = shelf.keep(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block).select("key", blocks), "crowds")
+    candidates = shelf.keep(_met(_dealt(keys, crowds), reach).union(equal).distinct(), "candidates")
+    ids = candidates.select(F.col("a").alias("rid")).union(candidates.select("b")).distinct()
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = shingle_sets([(t.as_py() or "").encode() for t in batch.column(1)], shingle)
+            more = pa.array([len(x) for x in found], pa.int64()), pa.array([_parities(x) for x in found], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in found], pa.binary()), *more], ["rid", "grams", "n", "marks"])
+
+    # texts meet ids by sorting at every size, and no broadcast of ids grows with the documents
+    grams = own.join(loosened(ids, "rid").hint("merge"), "rid").select("rid", "text").mapInArrow(sets, "rid long, grams binary, n long, marks binary")
+    grams = shelf.keep(grams, "grams", ROWS)
+    first = _verified(shelf, candidates, grams, similarity, "links")
+    # whoever has others within reach is among the ids; keys whose rows are all connected have nothing to add
+    rooted = rows.join(loosened(grams.select("rid"), "rid"), "rid").join(loosened(components(shelf, first, "met").withColumnRenamed("node", "rid"), "rid"), "rid", "left")
+    rooted = shelf.keep(rooted.select("rid", "f0", "f1", F.coalesce("root", "rid").alias("root")), "rooted")
+    keys = _pair_keys(rooted, "root")
+    mixed = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("least"), F.max("root").alias("most")).where("least < most")
+    mixed = shelf.keep(mixed.select("key", blocks), "mixed")
+    dealt = _dealt(keys.join(loosened(mixed.select("key"), "key"), "key", "left_semi"), mixed.where("blocks > 1"), "root")
+    crossing = shelf.keep(_crossing(dealt, reach), "crossing")
+    marked = crossing.join(loosened(grams.select("rid", "n", "marks"), "rid"), "rid").select(*crossing.columns, "n", "marks")
+    late = shelf.keep(_unruled(_by_unit(marked), reach, similarity).distinct().join(candidates, ["a", "b"], "left_anti"), "late")
+    return first.union(_verified(shelf, late, grams, similarity, "late-links"))
 
 
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:

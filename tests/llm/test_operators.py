@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from corvane.llm import capacity, embeddings, exact_dedup, golay, mixing, packing, secrets, sharding, simhash, suffix_dedup, suffix_tree, toxicity
@@ -519,6 +520,46 @@ def test_near_duplicates_equal_brute_force(spark, tmp_path, nothing, block):
     assert simhash.drop_near_duplicates(nothing).count() == 0
 
 
+@pytest.mark.parametrize("n, length, share, block", [(60, 200, 0.02, 4096), (80, 150, 0.015, 16)])
+def test_near_duplicates_of_a_crowd_around_the_threshold(spark, tmp_path, n, length, share, block):
+    """Copies of one text, about half of whose pairs have the similarity: their groups are those of all pairs."""
+    from corvane.llm.common import Shelf, components
+
+    r = random.Random(n)
+    base = prose(n, length)
+    texts = [edited(base, r, share) for _ in range(n)]
+    spark.createDataFrame(list(enumerate(texts)), "rid long, text string").repartition(3).write.parquet(str(tmp_path / "d"))
+    shelf = Shelf(spark, "test")
+    links = simhash.near_links(shelf, spark.read.parquet(str(tmp_path / "d")), block=block)
+    got = {x.node: x.root for x in components(shelf, links).collect()}
+    sets, root = [{tuple(words(t)[j : j + 5]) for j in range(len(words(t)) - 4)} for t in texts], list(range(n))
+    alike = [(a, b) for a in range(n) for b in range(a + 1, n) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    for _ in range(n):
+        before = list(root)
+        for a, b in alike:
+            root[a] = root[b] = min(root[a], root[b])
+        if before == root:
+            break
+    assert 1 < len(set(root)) < n
+    assert [got.get(a, a) for a in range(n)] == root
+
+
+def test_units_are_cut_nowhere_and_bounds_hold():
+    r = np.random.default_rng(3)
+    unit = np.sort(r.integers(0, 9, 500))
+    rows = pa.RecordBatch.from_arrays([pa.array(unit), pa.array(unit * 0), pa.array(unit * 0), pa.array(np.arange(500))], ["key", "i", "j", "rid"])
+    for size in (1, 7, 100, 500):
+        got = list(simhash._whole_units(iter([rows.slice(i, size) for i in range(0, 500, size)])))
+        assert np.concatenate([b.column(3).to_numpy() for b in got]).tolist() == list(range(500))
+        assert sum(len(set(b.column(0).to_pylist())) for b in got) == len(set(unit.tolist()))
+    assert list(simhash._whole_units(iter([]))) == [] == list(simhash._whole_units(iter([rows.slice(0, 0)])))
+    marks = lambda x: np.frombuffer(simhash._parities(x), dtype=np.uint64)
+    for n in (0, 1, 50, 5000):
+        a = np.unique(r.integers(0, 2**64, n, dtype=np.uint64))
+        b = np.concatenate([a[: n // 2], np.unique(r.integers(0, 2**64, n // 3, dtype=np.uint64))])
+        assert np.bitwise_count(marks(a) ^ marks(b)).sum() <= len(np.setxor1d(a, b))
+
+
 def test_word_set_fingerprints(monkeypatch):
     from corvane.llm import hashing
 
