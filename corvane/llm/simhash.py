@@ -10,8 +10,9 @@ That is what near_groups links. Near copies in the usual sense, with a Jaccard s
 sets of five words, lie further apart. near_links finds them by a fingerprint of 128 bits of the set of a text's
 words, where each edit moves few bits. Its six segments are decoded in pairs: a key is a codeword index near to one
 segment with one near to the other. Pairs of segments with ten errors in all share a key in 99.9 % of cases, with
-sixteen in 95 %. Who meets at a key and differs in REACH bits or less is paired with its NEAREST ones there, with the
-most central one, and by a least spanning forest; so a crowd puts out pairs in proportion to its members. Each pair
+sixteen in 95 %. Two that differ in REACH bits or less are met at the least key that they share. Of those it meets there
+each one is paired with its NEAREST, with the most central one, and by a least spanning forest; so a crowd puts out
+pairs in proportion to its members, and none at each of its keys anew. Each pair
 is verified by the similarity of the two texts. What is not connected by then meets once more at its keys: every
 pair within reach whose ends lie in different components is bounded from above by the parities of its shingles, and
 verified unless the bound rules it out. So of pairs that share a key and are within reach none is lost, however
@@ -216,14 +217,38 @@ def _pair_keys(fps: DataFrame, *more: str) -> DataFrame:
     return fps.select(*names).mapInArrow(run, "key long, " + ", ".join(f"{c} long" for c in names))
 
 
-def near_pairs(f: np.ndarray, reach: int, nearest: int = NEAREST) -> set[tuple[int, int]]:
-    """Pairs of at most reach differing bits: those of a least spanning forest, each one's nearest, and all with the most central one.
+def _codewords(f: np.ndarray) -> np.ndarray:
+    """Codeword indices near to each of the six segments of fingerprints f (two integers a row), up to six, -1 fills up."""
+    return np.stack([near_codewords(((f[:, j] >> np.uint64(at)) & np.uint64((1 << n) - 1)).astype(np.int64)) for j in (0, 1) for at, n in SEGMENTS], axis=1).astype(np.int16)
 
-    f: two integers a row. Who has up to nearest others within reach is paired with all of them.
+
+def _least_shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least key that fingerprints of codewords a and b share, row by row; -1 if there is none."""
+    same = (a[:, :, :, None] == b[:, :, None, :]) & (a >= 0)[:, :, :, None]
+    least, out = np.where(same, a[:, :, :, None], 4096).min(axis=(2, 3)).astype(np.int64), np.full(len(same), -1, dtype=np.int64)
+    for t in (2, 1, 0):
+        x, y = least[:, 2 * t], least[:, 2 * t + 1]
+        both = (x < 4096) & (y < 4096)
+        out[both] = (np.int64(t) << 24) | (x[both] << 12) | y[both]
+    return out
+
+
+def near_pairs(f: np.ndarray, reach: int, key: int, nearest: int = NEAREST) -> set[tuple[int, int]]:
+    """Of the pairs of at most reach differing bits whose least shared key is key: those of a least spanning forest, each one's nearest, and all with the most central one.
+
+    f: two integers a row, all of which have the key. Who has up to nearest such others is paired with all of them; equally near ones go by place.
     """
     out, apart, to = set(), np.full(len(f), 255, dtype=np.int64), np.zeros(len(f), dtype=np.int64)
-    left, total = np.ones(len(f), dtype=bool), np.zeros(len(f), dtype=np.int64)
-    pair = lambda x, others: out.update((min(x, y), max(x, y)) for y in others if y != x)
+    left, total, words = np.ones(len(f), dtype=bool), np.zeros(len(f), dtype=np.int64), _codewords(f)
+    pair = lambda x, others: out.update((min(x, y), max(x, y)) for y in others)
+    if _shared_by_all(words, key):
+        return out
+
+    def met(x: int, now: np.ndarray) -> np.ndarray:
+        close = np.flatnonzero(now <= reach)
+        close = close[close != x]
+        return close[_least_shared(words[close], words[x : x + 1]) == key]
+
     for _ in range(len(f)):
         x = int(np.where(left, apart, 256).argmin())
         if apart[x] <= reach:
@@ -231,19 +256,26 @@ def near_pairs(f: np.ndarray, reach: int, nearest: int = NEAREST) -> set[tuple[i
         left[x] = False
         now = np.bitwise_count(f ^ f[x]).sum(axis=1, dtype=np.int64)
         total[x] = now.sum()
-        close = np.flatnonzero(now <= reach)
-        if len(close) > nearest + 1:
-            close = close[np.argpartition(now[close], nearest)[: nearest + 1]]
-        pair(x, close.tolist())
-        nearer = now < apart
+        close = met(x, now)
+        nearer = close[now[close] < apart[close]]
         apart[nearer], to[nearer] = now[nearer], x
+        if len(close) > nearest:
+            close = close[np.argpartition(now[close] * len(f) + close, nearest - 1)[:nearest]]
+        pair(x, close.tolist())
     middle = int(total.argmin())
-    pair(middle, np.flatnonzero(np.bitwise_count(f ^ f[middle]).sum(axis=1, dtype=np.int64) <= reach).tolist())
+    pair(middle, met(middle, np.bitwise_count(f ^ f[middle]).sum(axis=1, dtype=np.int64)).tolist())
     return out
 
 
+def _shared_by_all(words: np.ndarray, key: int) -> bool:
+    """Whether all have a key in common that is less than key."""
+    held = [[a for a in words[0, i].tolist() if a >= 0 and (words[:, i] == a).any(axis=1).all()] for i in range(6)]
+    least = [(t << 24) | (min(held[2 * t]) << 12) | min(held[2 * t + 1]) for t in range(3) if held[2 * t] and held[2 * t + 1]]
+    return bool(least) and min(least) < key
+
+
 def _met(keys: DataFrame, reach: int) -> DataFrame:
-    """Links (a, b) of rids within units (key, i, j), which come sorted."""
+    """Links (a, b) of rids within units (key, i, j), which come sorted, each told at the least key that both have."""
 
     def links_of(rid: np.ndarray, f: np.ndarray, unit: np.ndarray) -> list[np.ndarray]:
         at = np.flatnonzero(np.concatenate([[True], (unit[1:] != unit[:-1]).any(axis=1)]))
@@ -254,9 +286,11 @@ def _met(keys: DataFrame, reach: int) -> DataFrame:
             if not len(i):
                 break
             i = i[np.bitwise_count(f[i] ^ f[i + step]).sum(axis=1) <= reach]
-            out.append(np.stack([rid[i], rid[i + step]], axis=1))
+            for own in np.split(i, range(CHUNK // 8, len(i), CHUNK // 8)):
+                own = own[_least_shared(_codewords(f[own]), _codewords(f[own + step])) == unit[own, 0]]
+                out.append(np.stack([rid[own], rid[own + step]], axis=1))
         for a, n in zip(at[size > 8], size[size > 8], strict=True):
-            pairs = np.array(sorted(near_pairs(f[a : a + n], reach)), dtype=np.int64).reshape(-1, 2)
+            pairs = np.array(sorted(near_pairs(f[a : a + n], reach, int(unit[a, 0]))), dtype=np.int64).reshape(-1, 2)
             out.append(rid[a : a + n][pairs])
         return out
 

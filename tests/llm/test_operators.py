@@ -852,3 +852,25 @@ def test_repeated_passages_around_a_hot_notice(spark, tmp_path):
         got = suffix_dedup.repeated_passages(docs, crowd=crowd).collect()
         assert {r.doc_id: tuple((s.start, s.end) for s in r.spans) for r in got} == want
         assert all(r.doc_id ^ 1 in r.partners and r.component_id == r.doc_id & ~1 for r in got)
+
+
+def test_pairs_of_a_crowd_are_told_once(spark, tmp_path):
+    """A crowd that meets at many keys tells each pair at one of them, and all that are within reach stay connected."""
+    from corvane.llm.common import Shelf, components
+
+    r = random.Random(5)
+    texts = [edited(prose(b, 200), r, 0.01) for b in (1, 2) for _ in range(40)] + [prose(50 + i, 200) for i in range(40)]
+    f = simhash.word_set_fingerprints([t.encode() for t in texts])
+    fps = spark.createDataFrame([(i, *map(int, x)) for i, x in enumerate(f.view(np.int64))], "rid long, f0 long, f1 long")
+    shelf, keys = Shelf(spark, "test"), simhash._pair_keys(fps)
+    units = keys.selectExpr("key", "0 as i", "0 as j", "rid", "f0", "f1")
+    rows = simhash._met(simhash._by_unit(units), simhash.REACH)
+    assert rows.count() == rows.distinct().count()
+    shared, apart = {}, lambda a, b: int(np.bitwise_count(f[a] ^ f[b]).sum())
+    for x in keys.collect():
+        shared.setdefault(x.key, []).append(x.rid)
+    pairs = {(a, b) for m in shared.values() for a in m for b in m if a < b and apart(a, b) <= simhash.REACH}
+    root = {x.node: x.root for x in components(shelf, rows).collect()}
+    assert len(pairs) > 1000 and {x.a for x in rows.collect()} | {x.b for x in rows.collect()} == {x for p in pairs for x in p}
+    assert all(root[a] == root[b] for a, b in pairs)
+    assert {(x.a, x.b) for x in rows.collect()} <= pairs
