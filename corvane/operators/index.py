@@ -42,6 +42,11 @@ def _read(spark: SparkSession, root: str, kind: str, segments: list[int], schema
     return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], f"{schema}, seg int")
 
 
+def _beginnings(words: str):
+    """Where each distinct word begins in the column of sorted words, from 0."""
+    return F.filter(F.sequence(F.lit(0), F.size(words)), lambda i: (i < F.size(words)) & ((i == 0) | (F.get(words, i) != F.get(words, i - 1))))
+
+
 def _values(df: DataFrame, column: str) -> list[int]:
     return sorted(r[0] for r in df.select(column).distinct().collect())  # BUCKETS at most
 
@@ -62,15 +67,20 @@ def upsert(spark: SparkSession, root: str, corpus: DataFrame) -> int:
     """Adds documents (doc_id, content) or replaces those with their ids, as one segment; of rows with one id the first by content. Tells the version."""
     version, (_, now) = manifest.following(spark, root), manifest.latest(spark, root)
     docs = first_by(spread(corpus.select("doc_id", F.coalesce("content", F.lit("")).alias("content"))), ["doc_id"], ["content"])
-    docs = kept(docs.select("doc_id", tokens(F.col("content")).alias("w")).select("doc_id", "w", F.size("w").alias("len")), "upserted")
+    # words in order, and where each one begins among them: a document counts its own words, and no word moves for that
+    docs = docs.select("doc_id", F.array_sort(tokens(F.col("content"))).alias("w")).select("doc_id", "w", F.size("w").alias("len"))
+    docs = kept(docs.withColumn("at", _beginnings("w")), "upserted")
     gone, gone_words = _retired(spark, root, now, docs.select("doc_id"), version)
-    rows = docs.select("doc_id", "len", F.explode("w").alias("term")).groupBy("doc_id", "len", "term").agg(F.count(F.lit(1)).cast("int").alias("tf"))
-    rows = kept(rows, "postings")
-    blocks = rows.groupBy("term").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    rows = rows.join(blocks, "term").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).withColumn("bucket", _bucket("term"))
-    packed = rows.groupBy("bucket", "term", "block").agg(F.collect_list(F.struct("doc_id", "tf", "len")).alias("p")).select("term", "block", *[F.col(f"p.{a}").alias(b) for a, b in (("doc_id", "ids"), ("tf", "tfs"), ("len", "lens"))], "bucket")
-    packed.repartition("bucket", "block").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/postings/seg={version}")
-    forward = docs.select("doc_id", "len", F.array_distinct("w").alias("terms")).withColumn("part", _bucket("doc_id"))
+    ends = F.concat(F.slice("at", 2, F.greatest(F.size("at") - 1, F.lit(0))), F.array(F.col("len")))
+    own = F.transform(F.arrays_zip(F.col("at").alias("a"), ends.alias("b")), lambda x: F.struct(F.get("w", x["a"]).alias("term"), (x["b"] - x["a"]).alias("tf")))
+    rows = docs.where("len > 0").select("doc_id", "len", F.inline(own))
+    # most words have one block: only those with more are looked up
+    many = kept(rows.groupBy("term").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).where("blocks > 1"), "blocks")
+    rows = rows.join(many, "term", "left").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.coalesce("blocks", F.lit(1))).cast("int")).withColumn("bucket", _bucket("term"))
+    # a block's postings meet where they are written, in one move
+    packed = rows.select("bucket", "block", "term", "doc_id", "tf", "len").repartition("bucket", "block").groupBy("bucket", "block", "term").agg(*[F.collect_list(a).alias(b) for a, b in (("doc_id", "ids"), ("tf", "tfs"), ("len", "lens"))])
+    packed.select("term", "block", "ids", "tfs", "lens", "bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/postings/seg={version}")
+    forward = docs.select("doc_id", "len", F.transform("at", lambda i: F.get("w", i)).alias("terms")).withColumn("part", _bucket("doc_id"))
     forward.repartition("part").write.mode("overwrite").partitionBy("part").parquet(f"{root}/forward/seg={version}")
     n, words = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum("len"), F.lit(0))).first()
     manifest.commit(spark, root, version, {"segments": [*now.get("segments", []), version], "documents": now.get("documents", 0) - gone + n, "words": now.get("words", 0) - gone_words + words})

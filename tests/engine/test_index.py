@@ -62,3 +62,15 @@ def test_two_writers_conflict(spark, tmp_path):
     with pytest.raises(manifest.Conflict):
         manifest.commit(spark, str(tmp_path), 1, {"a": 2})
     assert manifest.latest(spark, str(tmp_path)) == (1, {"a": 1}) and manifest.following(spark, str(tmp_path)) == 2
+
+
+def test_postings_are_not_written_before_they_are_packed(spark, tmp_path, monkeypatch):
+    """Tables on the way to a segment have a row a document, not a row for each word of it."""
+    sizes, kept = [], index.kept
+    monkeypatch.setattr(index, "kept", lambda df, name: (out := kept(df, name), sizes.append(out.count()))[0])
+    now = corpus(6, [f"d{i}" for i in range(50)])
+    index.upsert(spark, str(tmp_path / "i"), spark.createDataFrame(list(now.items()), DOC))
+    assert max(sizes) == len(now)
+    words = spark.read.parquet(str(tmp_path / "i" / "postings" / "seg=1"))
+    got = sorted((r.term, d, n) for r in words.collect() for d, n in zip(r.ids, r.tfs, strict=True))
+    assert got == sorted((t, d, v.split().count(t)) for d, v in now.items() for t in set(v.split()))
