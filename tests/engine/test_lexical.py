@@ -43,3 +43,22 @@ def test_units_tell_their_best_alone(spark, monkeypatch, unit, units, asked, pro
     assert sorted((x.question_id, x.doc_id, x.score, x["rank"]) for x in got.collect()) == want
     n = -(-len(docs) // max(unit[0], min(unit[1], len(docs) // units)))
     assert seen[0].count() <= n * len(questions) * 4  # not a row for each question and document that share a word
+
+
+def test_a_row_group_is_spread_however_many_tasks_its_file_is_split_into(spark, tmp_path):
+    path = str(tmp_path / "docs")
+    spark.range(400).selectExpr("'d' || id AS doc_id", "repeat(sha2(cast(id as string), 512), 20) AS content").coalesce(1).write.parquet(path)  # one row group
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        docs = spark.read.parquet(path)
+        sizes = lambda df: df.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+        assert len(sizes(docs)) > 4 and max(sizes(docs)) == 400  # more tasks than cores, and one has all rows
+        spread = retrieval.spread(docs)
+        assert max(sizes(spread)) < 200 and sorted(spread.collect()) == sorted(docs.collect())
+        even = docs.repartition(4)
+        assert retrieval.spread(even) is even
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
