@@ -37,6 +37,8 @@ WORDS = re.compile(r"[^\W\d_]+")
 SENTENCE = re.compile(r"[.!?\n]+")
 #: Most words in the cache of one Python worker.
 CACHE = 400_000
+#: Rows that are told apart at once: what leaves a worker is small, however large the batches are that reach it.
+ROWS = 500
 #: Terms that name groups; mentions of them are neutral by themselves.
 IDENTITY = tuple(
     "women men woman man girls boys gay lesbian bisexual transgender queer straight black white asian african latino european american mexican chinese indian arab jewish jews muslim muslims "
@@ -216,7 +218,9 @@ def drop_toxic(docs: DataFrame, model: Model, text: str = "text", threshold: flo
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = sent.value.scorer()
         for batch in batches:
-            yield batch.filter(pa.array([of(t.as_py() or "") < threshold for t in batch.column(place)], pa.bool_()))
+            for i in range(0, batch.num_rows, ROWS):
+                own = batch.slice(i, ROWS)
+                yield own.filter(pa.array([of(t.as_py() or "") < threshold for t in own.column(place)], pa.bool_()))
 
     return docs.mapInArrow(run, schema)
 

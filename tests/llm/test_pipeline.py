@@ -82,3 +82,18 @@ def test_stages_equal_brute_force(spark, tmp_path):
     assert Counter(packed[packed.piece == 0].doc_id) == copies
     load = packed.groupby("sequence_id").length.sum()
     assert load.max() <= 4096 and len(load) <= packed.length.sum() / 4096 * 1.1 + 2
+
+
+def test_toxicity_tells_large_batches_in_small_ones(spark, monkeypatch):
+    import pyarrow as pa
+    from pyspark.sql import DataFrame
+
+    from corvane.llm import toxicity
+
+    docs, ran = spark.createDataFrame([(1, "a")], "doc_id long, text string"), []
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, run, schema: ran.append(run) or self)
+    assert isinstance(toxicity.drop_toxic(docs, toxicity.Model(prior=0.1)), DataFrame)
+    whole = pa.RecordBatch.from_pydict({"doc_id": list(range(1201)), "text": ["x", None, ""] * 400 + ["y"]})
+    out = list(ran[0](iter([whole, whole.slice(0, 0)])))
+    assert max(b.num_rows for b in out) <= toxicity.ROWS
+    assert pa.Table.from_batches(out).column("doc_id").to_pylist() == list(range(1201))
