@@ -61,3 +61,31 @@ def test_timers_compact_items_and_tell_stalled_batches(spark, tmp_path):
     assert ran(spark, root) == {("a", "settled", 1, 1, 0), ("b", "stalled", 1, 0, 0), ("c", "settled", 2, 1, 1)}
     state = spark.read.format("statestore").option("path", f"{root}/out/items-state").option("operatorId", 0).option("stateVarName", "last").load()
     assert {tuple(k.key) for k in state.select("key").collect()} == {("b", "1"), ("c", "1"), ("c", "2")}  # a's item is gone
+
+
+def test_an_item_that_was_never_final_asks_for_no_timers():
+    from types import SimpleNamespace as Own
+
+    class Handle:
+        def __init__(self):
+            self.own, self.asked, self.timers = None, 0, []
+
+        def getValueState(self, name, schema):
+            return Own(get=lambda: self.own, update=lambda v: setattr(self, "own", v), clear=lambda: setattr(self, "own", None))
+
+        def listTimers(self):
+            self.asked += 1
+            return iter(self.timers)
+
+        def deleteTimer(self, t):
+            self.timers.remove(t)
+
+        def registerTimer(self, t):
+            self.timers.append(t)
+
+    handle, items = Handle(), ledger.Items(1000)
+    items.init(handle)
+    tell = lambda seq, status: [(r.n_items, r.settled, r.errored) for r in items.handleInputRows(("b", "i"), iter([Own(seq=seq, status=status, ts=DAY)]), None)]
+    assert tell(1, "pending") == [(1, 0, 0)] and tell(2, "completed") == [(0, 1, 0)]
+    assert handle.asked == 0 and len(handle.timers) == 1
+    assert tell(3, "pending") == [(0, -1, 0)] and handle.asked == 1 and handle.timers == []
