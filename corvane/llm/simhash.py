@@ -10,12 +10,14 @@ That is what near_groups links. Near copies in the usual sense, with a Jaccard s
 sets of five words, lie further apart. near_links finds them by a fingerprint of 128 bits of the set of a text's
 words, where each edit moves few bits. Its six segments are decoded in pairs: a key is a codeword index near to one
 segment with one near to the other. Pairs of segments with ten errors in all share a key in 99.9 % of cases, with
-sixteen in 95 %. Two that differ in REACH bits or less are met at the least key that they share. Of those it meets there
-each one is paired with its NEAREST, with the most central one, and by a least spanning forest; so a crowd puts out
-pairs in proportion to its members, and none at each of its keys anew. Each pair
-is verified by the similarity of the two texts. What is not connected by then meets once more at its keys: every
-pair within reach whose ends lie in different components is bounded from above by the parities of its shingles, and
-verified unless the bound rules it out. So of pairs that share a key and are within reach none is lost, however
+sixteen in 95 %. Two that differ in REACH bits or less are met at the least key that they share, where a least spanning
+forest joins all that meet. Over all its keys each one takes up to NEAREST of its pairs there, its nearest among them;
+so a crowd has pairs in proportion to its members, and not to its members' keys. Each pair
+is verified by the similarity of the two texts. What is not connected by then meets again at its keys, in rounds: every
+pair within reach whose ends lie in different components is bounded from above by the parities of its shingles, and unless
+the bound rules it out it waits for verification. A round verifies up to so many of each one's waiting pairs, the likeliest among
+them; those that the new links connect need it no more, and the next round takes up to GROWTH times as many. Rounds go on until no
+pair waits. So of pairs that share a key and are within reach none is lost, however
 crowded the key. A key with over BLOCK fingerprints is split into blocks, each two of which are a unit of their own.
 
 For near_groups, keys are made for distinct fingerprints, so copies never meet. A key with two fingerprints is verified from its
@@ -51,9 +53,9 @@ SEGMENTS = ((0, 22), (22, 21), (43, 21))
 SIMILARITY, SHINGLE = 0.8, 5
 #: Most bits of 128 that differ in a pair to verify; most fingerprints of a block.
 REACH, BLOCK = 24, 4096
-#: How many of those within reach a fingerprint is paired with at a key in the first round, beside the most central
-#: one. The second round pairs it with all others that the first one left unconnected.
-NEAREST = 2
+#: How many pairs a document takes in the first round at most, and how many times as many in each later one. Pairs that
+#: a round leaves out wait for the next, until none is left.
+NEAREST, GROWTH = 2, 4
 #: Bits of the parities of a text's shingles; most rows with whole texts or shingles that go to a worker at once.
 MARKS, ROWS = 4096, 500
 
@@ -233,37 +235,24 @@ def _least_shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def near_pairs(f: np.ndarray, reach: int, key: int, nearest: int = NEAREST) -> set[tuple[int, int]]:
-    """Of the pairs of at most reach differing bits whose least shared key is key: those of a least spanning forest, each one's nearest, and all with the most central one.
+def near_pairs(f: np.ndarray, reach: int, key: int) -> list[tuple[int, int]]:
+    """Of the pairs of at most reach differing bits whose least shared key is key: those of a least spanning forest.
 
-    f: two integers a row, all of which have the key. Who has up to nearest such others is paired with all of them; equally near ones go by place.
+    f: two integers a row, all of which have the key. The forest holds a nearest one of each that has such others.
     """
-    out, apart, to = set(), np.full(len(f), 255, dtype=np.int64), np.zeros(len(f), dtype=np.int64)
-    left, total, words = np.ones(len(f), dtype=bool), np.zeros(len(f), dtype=np.int64), _codewords(f)
-    pair = lambda x, others: out.update((min(x, y), max(x, y)) for y in others)
+    out, apart, to = [], np.full(len(f), 255, dtype=np.int64), np.zeros(len(f), dtype=np.int64)
+    left, words = np.ones(len(f), dtype=bool), _codewords(f)
     if _shared_by_all(words, key):
         return out
-
-    def met(x: int, now: np.ndarray) -> np.ndarray:
-        close = np.flatnonzero(now <= reach)
-        close = close[close != x]
-        return close[_least_shared(words[close], words[x : x + 1]) == key]
-
     for _ in range(len(f)):
         x = int(np.where(left, apart, 256).argmin())
         if apart[x] <= reach:
-            pair(x, [int(to[x])])
+            out.append((x, int(to[x])))
         left[x] = False
         now = np.bitwise_count(f ^ f[x]).sum(axis=1, dtype=np.int64)
-        total[x] = now.sum()
-        close = met(x, now)
-        nearer = close[now[close] < apart[close]]
+        nearer = np.flatnonzero(left & (now <= reach) & (now < apart))
+        nearer = nearer[_least_shared(words[nearer], words[x : x + 1]) == key]
         apart[nearer], to[nearer] = now[nearer], x
-        if len(close) > nearest:
-            close = close[np.argpartition(now[close] * len(f) + close, nearest - 1)[:nearest]]
-        pair(x, close.tolist())
-    middle = int(total.argmin())
-    pair(middle, met(middle, np.bitwise_count(f ^ f[middle]).sum(axis=1, dtype=np.int64)).tolist())
     return out
 
 
@@ -275,7 +264,10 @@ def _shared_by_all(words: np.ndarray, key: int) -> bool:
 
 
 def _met(keys: DataFrame, reach: int) -> DataFrame:
-    """Links (a, b) of rids within units (key, i, j), which come sorted, each told at the least key that both have."""
+    """Links (a, b, far) of rids within units (key, i, j), which come sorted, each told at the least key that both have. far: bits that differ."""
+
+    def linked(rid: np.ndarray, f: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return np.stack([rid[x], rid[y], np.bitwise_count(f[x] ^ f[y]).sum(axis=1, dtype=np.int64)], axis=1)
 
     def links_of(rid: np.ndarray, f: np.ndarray, unit: np.ndarray) -> list[np.ndarray]:
         at = np.flatnonzero(np.concatenate([[True], (unit[1:] != unit[:-1]).any(axis=1)]))
@@ -288,26 +280,33 @@ def _met(keys: DataFrame, reach: int) -> DataFrame:
             i = i[np.bitwise_count(f[i] ^ f[i + step]).sum(axis=1) <= reach]
             for own in np.split(i, range(CHUNK // 8, len(i), CHUNK // 8)):
                 own = own[_least_shared(_codewords(f[own]), _codewords(f[own + step])) == unit[own, 0]]
-                out.append(np.stack([rid[own], rid[own + step]], axis=1))
+                out.append(linked(rid, f, own, own + step))
         for a, n in zip(at[size > 8], size[size > 8], strict=True):
-            pairs = np.array(sorted(near_pairs(f[a : a + n], reach, int(unit[a, 0]))), dtype=np.int64).reshape(-1, 2)
-            out.append(rid[a : a + n][pairs])
+            pairs = a + np.array(near_pairs(f[a : a + n], reach, int(unit[a, 0])), dtype=np.int64).reshape(-1, 2)
+            out.append(linked(rid, f, pairs[:, 0], pairs[:, 1]))
         return out
 
     def told(rows: np.ndarray) -> pa.RecordBatch:
         found = links_of(rows[:, 3], rows[:, 4:].copy().view(np.uint64), rows[:, :3]) if len(rows) else []
-        return _link_batch(np.concatenate(found) if found else np.zeros((0, 2), dtype=np.int64))
+        return _link_batch(np.concatenate(found) if found else np.zeros((0, 3), dtype=np.int64), ["a", "b", "far"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _whole_units(batches):
             yield told(np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns], axis=1))
 
-    return keys.mapInArrow(run, "a long, b long")
+    return keys.mapInArrow(run, "a long, b long, far long")
+
+
+def _link_batch(links: np.ndarray, names: list[str]) -> pa.RecordBatch:
+    links = np.unique(np.concatenate([np.sort(links[:, :2], axis=1), links[:, 2:]], axis=1), axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(links[:, i].copy()) for i in range(len(names))], names)
 
 
-def _link_batch(links: np.ndarray) -> pa.RecordBatch:
-    links = np.unique(np.sort(links, axis=1), axis=0)
-    return pa.RecordBatch.from_arrays([pa.array(links[:, 0].copy()), pa.array(links[:, 1].copy())], ["a", "b"])
+def _likeliest(pairs: DataFrame, most: int) -> DataFrame:
+    """Of pairs (a, b, far) up to most of each rid's, the one of its least far among them: the least far in each share of its others."""
+    both = pairs.select(F.col("a").alias("x"), F.col("b").alias("y"), "far").union(pairs.select("b", "a", "far"))
+    of = both.groupBy("x", F.pmod(F.xxhash64("y"), F.lit(most)).alias("share")).agg(F.min(F.struct("far", "y")).alias("best"))
+    return of.select(F.least("x", "best.y").alias("a"), F.greatest("x", "best.y").alias("b")).distinct()
 
 
 def _whole_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -337,9 +336,10 @@ def _units(batch: pa.RecordBatch) -> Iterator[tuple[int, int]]:
 
 
 def _apart(f: np.ndarray, root: np.ndarray, reach: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Each row of a unit with those after it that are within reach and have another root."""
-    for x in range(len(f) - 1):
-        others = x + 1 + np.flatnonzero((root[x + 1 :] != root[x]) & (np.bitwise_count(f[x + 1 :] ^ f[x]).sum(axis=1, dtype=np.int64) <= reach))
+    """Each row of a unit with those that are within reach and have another root."""
+    for x in range(len(f)):
+        others = np.flatnonzero(root != root[x])
+        others = others[np.bitwise_count(f[others] ^ f[x]).sum(axis=1, dtype=np.int64) <= reach]
         if len(others):
             yield x, others
 
@@ -353,35 +353,53 @@ def _crossing(keys: DataFrame, reach: int) -> DataFrame:
             root = batch.column(6).to_numpy(zero_copy_only=False)
             told = np.zeros(batch.num_rows, dtype=bool)
             for a, b in _units(batch):
-                for x, others in _apart(f[a:b], root[a:b], reach):
-                    told[a + x] = told[a + others] = True
+                for x, _ in _apart(f[a:b], root[a:b], reach):
+                    told[a + x] = True
             yield batch.filter(pa.array(told))
 
     return keys.mapInArrow(run, keys.schema)
 
 
-def _unruled(keys: DataFrame, reach: int, similarity: float) -> DataFrame:
-    """Links (a, b) of rids of different roots within units that may have the similarity, by sizes and marks.
+def _unruled(keys: DataFrame, reach: int, similarity: float, most: int) -> DataFrame:
+    """(a, b, far, more) of rids of different roots within units that may have the similarity, by sizes and marks.
 
     Sets with that similarity differ in at most (m + n) (1 - similarity) / (1 + similarity) shingles, and the parities
-    of their shingles in no more bits.
+    of their shingles in no more bits. far: the share of shingles that differ at least, in millionths. Each row tells
+    its up to most least far ones; more is 1 where it has others. A pair is told at the least key that both have.
     """
     part = (1 - similarity) / (1 + similarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _whole_units(batches):
-            rid, f0, f1, root, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3, 8))
+            key, rid, f0, f1, root, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 3, 4, 5, 6, 7))
             f = np.stack([f0, f1], axis=1).view(np.uint64)
-            out = [np.zeros((0, 2), dtype=np.int64)]
+            out = [np.zeros((0, 4), dtype=np.int64)]
             for a, b in _units(batch):
+                if (root[a:b] == root[a]).all():
+                    continue
                 marks = np.frombuffer(b"".join(batch.column(8).slice(a, b - a).to_pylist()), dtype=np.uint64).reshape(b - a, -1)
+                words = None
                 for x, others in _apart(f[a:b], root[a:b], reach):
-                    most = (n[a:b][others] + n[a + x]) * part + 1e-6
-                    others = others[np.maximum(np.bitwise_count(marks[others] ^ marks[x]).sum(axis=1, dtype=np.int64), np.abs(n[a:b][others] - n[a + x])) <= most]
-                    out.append(np.stack([np.full(len(others), rid[a + x]), rid[a:b][others]], axis=1))
-            yield _link_batch(np.concatenate(out))
-
-    return keys.mapInArrow(run, "a long, b long")
+                    own = n[a:b][others]
+                    others = others[np.abs(own - n[a + x]) <= (own + n[a + x]) * part + 1e-6]
+                    total = n[a:b][others] + n[a + x]
+                    differ = np.maximum(np.bitwise_count(marks[others] ^ marks[x]).sum(axis=1, dtype=np.int64), np.abs(n[a:b][others] - n[a + x]))
+                    stay = differ <= total * part + 1e-6
+                    if not stay.any():
+                        continue
+                    others, far = others[stay], differ[stay] * 1_000_000 // np.maximum(total[stay], 1)
+                    words = _codewords(f[a:b]) if words is None else words
+                    stay = _least_shared(words[others], words[x : x + 1]) == key[a]
+                    others, far = others[stay], far[stay]
+                    more = len(others) > most
+                    if more:
+                        best = np.lexsort((others, far))[:most]
+                        others, far = others[best], far[best]
+                    out.append(np.stack([np.full(len(others), rid[a + x]), rid[a:b][others], far, np.full(len(others), int(more))], axis=1))
+            yield _link_batch(np.concatenate(out), ["a", "b", "far", "more"])
+
+    told = keys.mapInArrow(run, "a long, b long, far long, more long")
+    return told.groupBy("a", "b").agg(F.min("far").alias("far"), F.max("more").alias("more"))
 
 
 def _parities(grams: np.ndarray) -> bytes:
@@ -433,6 +451,12 @@ def _verified(shelf: Shelf, pairs: DataFrame, grams: DataFrame, similarity: floa
     return shelf.keep(own.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long"), name, ROWS)
 
 
+def _rooted(rows: DataFrame, linked: DataFrame) -> DataFrame:
+    """rows with root: that of their rid in linked (node, root), or the rid itself."""
+    out = rows.join(loosened(linked.select(F.col("node").alias("rid"), "root"), "rid"), "rid", "left")
+    return out.select(*rows.columns, F.coalesce("root", "rid").alias("root"))
+
+
 def near_links(shelf: Shelf, own: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, reach: int = REACH, block: int = BLOCK) -> DataFrame:
     """Verified links (a, b) between rids of own (rid, text) that connect all that are so linked and met."""
     rows = shelf.keep(_long_fingerprints(own), "long", ROWS)
@@ -440,7 +464,8 @@ def near_links(shelf: Shelf, own: DataFrame, similarity: float = SIMILARITY, shi
     equal = rows.join(loosened(fps.withColumnRenamed("rid", "a"), "f0", "f1"), ["f0", "f1"]).where("a <> rid").select("a", F.col("rid").alias("b"))
     keys, blocks = _pair_keys(fps), F.ceil(F.col("n") / block).cast("int").alias("blocks")
     crowds = shelf.keep(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block).select("key", blocks), "crowds")
-    candidates = shelf.keep(_met(_dealt(keys, crowds), reach).union(equal).distinct(), "candidates")
+    met = shelf.keep(_met(_dealt(keys, crowds), reach), "pairs")
+    candidates = shelf.keep(_likeliest(met, NEAREST).union(equal).distinct(), "candidates")
     ids = candidates.select(F.col("a").alias("rid")).union(candidates.select("b")).distinct()
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -452,18 +477,27 @@ def near_links(shelf: Shelf, own: DataFrame, similarity: float = SIMILARITY, shi
     # texts meet ids by sorting at every size, and no broadcast of ids grows with the documents
     grams = own.join(loosened(ids, "rid").hint("merge"), "rid").select("rid", "text").mapInArrow(sets, "rid long, grams binary, n long, marks binary")
     grams = shelf.keep(grams, "grams", ROWS)
-    first = _verified(shelf, candidates, grams, similarity, "links")
+    links = _verified(shelf, candidates, grams, similarity, "links")
     # whoever has others within reach is among the ids; keys whose rows are all connected have nothing to add
-    rooted = rows.join(loosened(grams.select("rid"), "rid"), "rid").join(loosened(components(shelf, first, "met").withColumnRenamed("node", "rid"), "rid"), "rid", "left")
-    rooted = shelf.keep(rooted.select("rid", "f0", "f1", F.coalesce("root", "rid").alias("root")), "rooted")
+    rooted = shelf.keep(_rooted(rows.join(loosened(grams.select("rid"), "rid"), "rid"), components(shelf, links, "met")), "rooted")
     keys = _pair_keys(rooted, "root")
     mixed = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("least"), F.max("root").alias("most")).where("least < most")
     mixed = shelf.keep(mixed.select("key", blocks), "mixed")
     dealt = _dealt(keys.join(loosened(mixed.select("key"), "key"), "key", "left_semi"), mixed.where("blocks > 1"), "root")
-    crossing = shelf.keep(_crossing(dealt, reach), "crossing")
-    marked = crossing.join(loosened(grams.select("rid", "n", "marks"), "rid"), "rid").select(*crossing.columns, "n", "marks")
-    late = shelf.keep(_unruled(_by_unit(marked), reach, similarity).distinct().join(candidates, ["a", "b"], "left_anti"), "late")
-    return first.union(_verified(shelf, late, grams, similarity, "late-links"))
+    crossing, tried, most, turn = shelf.keep(_crossing(dealt, reach), "crossing"), candidates, NEAREST, 0
+    while True:
+        marked = crossing.join(loosened(grams.select("rid", "n", "marks"), "rid"), "rid").select(*crossing.columns, "n", "marks")
+        told = shelf.keep(_unruled(_by_unit(marked), reach, similarity, most), f"told-{turn}")
+        waiting = shelf.keep(told.join(tried, ["a", "b"], "left_anti"), f"waiting-{turn}")
+        late = shelf.keep(_likeliest(waiting, most), f"late-{turn}")
+        links = links.union(_verified(shelf, late, grams, similarity, f"late-links-{turn}"))
+        if not told.where("more = 1").take(1) and waiting.count() == late.count():
+            return links
+        # a row that had nothing to tell has nothing later, as components only grow
+        live = told.select(F.col("a").alias("rid")).union(told.select("b")).distinct()
+        still = _rooted(crossing.drop("root").join(loosened(live, "rid"), "rid", "left_semi"), components(shelf, links, f"met-{turn}"))
+        crossing = shelf.keep(_crossing(_by_unit(still.select(crossing.columns)), reach), f"crossing-{turn}")
+        tried, most, turn = tried.union(late), most * GROWTH, turn + 1
 
 
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:

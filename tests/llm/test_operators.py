@@ -874,3 +874,23 @@ def test_pairs_of_a_crowd_are_told_once(spark, tmp_path):
     assert len(pairs) > 1000 and {x.a for x in rows.collect()} | {x.b for x in rows.collect()} == {x for p in pairs for x in p}
     assert all(root[a] == root[b] for a, b in pairs)
     assert {(x.a, x.b) for x in rows.collect()} <= pairs
+
+
+def test_a_crowd_is_verified_in_proportion_to_its_members(spark, tmp_path, monkeypatch):
+    """Copies that meet at many keys: few pairs a copy meet their texts, and the groups are those of all pairs."""
+    from corvane.llm.common import Shelf, components
+
+    r, verified, told = random.Random(11), simhash._verified, []
+    texts = [edited(prose(b, 150), r, 0.012) for b in (1, 2) for _ in range(100)]
+    spark.createDataFrame(list(enumerate(texts)), "rid long, text string").repartition(3).write.parquet(str(tmp_path / "d"))
+    monkeypatch.setattr(simhash, "_verified", lambda shelf, pairs, *more: told.append(pairs.count()) or verified(shelf, pairs, *more))
+    shelf = Shelf(spark, "test")
+    got = {x.node: x.root for x in components(shelf, simhash.near_links(shelf, spark.read.parquet(str(tmp_path / "d")))).collect()}
+    sets, root = [{tuple(words(t)[j : j + 5]) for j in range(len(words(t)) - 4)} for t in texts], list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a + 1, len(texts)):
+            if root[a] != root[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                root = [min(root[a], root[b]) if x in (root[a], root[b]) else x for x in root]
+    assert 1 < len(set(root)) < len(texts) / 2
+    assert [got.get(a, a) for a in range(len(texts))] == root
+    assert sum(told) <= 3 * len(texts), told
