@@ -55,7 +55,7 @@ SIMILARITY, SHINGLE = 0.8, 5
 REACH, BLOCK = 24, 4096
 #: How many pairs a document takes in the first round at most, and how many times as many in each later one. Pairs that
 #: a round leaves out wait for the next, until none is left.
-NEAREST, GROWTH = 2, 4
+NEAREST, GROWTH = 2, 16
 #: Bits of the parities of a text's shingles; most rows with whole texts or shingles that go to a worker at once.
 MARKS, ROWS = 4096, 500
 
